@@ -45,8 +45,15 @@ def shape(c) -> Column:
 
 
 def is_all_digits(c) -> Column:
-    """``str.isdigit()`` on Unicode decimal digits."""
-    return col_of(c).rlike(DIGITS_REGEX)
+    """``str.isdigit()`` on Unicode decimal digits.
+
+    ASCII values are decided by a ``translate`` (no regex); only values with
+    non-ASCII characters go through the Unicode ``\\p{Nd}`` regex.
+    """
+    v = col_of(c)
+    ascii_only = F.octet_length(v) == F.length(v)
+    return (F.when(ascii_only, (v != "") & (F.translate(v, "0123456789", "") == ""))
+            .otherwise(v.rlike(DIGITS_REGEX)))
 
 
 def is_zero_padded(c) -> Column:
@@ -175,13 +182,21 @@ def trailing_minus_to_leading(c) -> Column:
     v = col_of(c)
     t = pystrip(v)
     body = t.substr(F.lit(1), F.length(t) - 1)
-    cond = t.endswith("-") & F.regexp_replace(body, r"\.", "").rlike(DIGITS_REGEX)
+    cond = t.endswith("-") & is_all_digits(F.regexp_replace(body, r"\.", ""))
     return F.when(cond, F.concat(F.lit("-"), body)).otherwise(v)
 
 
+NUMERIC_CHARS = "0123456789+-.eE" + PY_WHITESPACE
+
+
 def is_numeric(c) -> Column:
-    """the value is a plain decimal or scientific number."""
-    return col_of(c).rlike(NUMERIC_REGEX)
+    """the value is a plain decimal or scientific number.
+
+    A ``translate`` pre-check rejects values with any other character before
+    the grammar regex runs.
+    """
+    v = col_of(c)
+    return (F.translate(v, NUMERIC_CHARS, "") == "") & v.rlike(NUMERIC_REGEX)
 
 
 def as_double(c) -> Column:

@@ -62,11 +62,45 @@ def to_cells(df: DataFrame, file_name: str | None = None, *, file_col: str | Non
     if not cols:
         raise ValueError("no columns to profile")
     fcol = F.lit(file_name) if file_col is None else F.col(file_col)
+    df = spread(df)
     wide = df.select(fcol.alias("file_name"),
                      *[F.col(f"`{c}`").cast("string").alias(c) for c in cols])
     return wide.unpivot(["file_name"], cols, "column_name", "value")
 
 
+SMALL_INPUT_BYTES = 2 << 30
+
+
+def _input_bytes(df: DataFrame) -> int | None:
+    """Total size of the files behind ``df`` when they are local, else None."""
+    import os
+    try:
+        files = df.inputFiles()
+    except Exception:  # noqa: BLE001 - not a file-based plan
+        return None
+    total = 0
+    for f in files:
+        path = f[len("file:"):] if f.startswith("file:") else f
+        if "://" in path or not os.path.exists(path):
+            return None
+        total += os.path.getsize(path)
+    return total
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give a CPU-heavy scan one partition per core when the input is small.
+
+    A big input already has one split per file block or row group and is
+    left alone (no shuffle).  A small local input (one file, one row group)
+    would run on a single task, so it is redistributed round-robin.
+    """
+    cores = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    size = _input_bytes(df)
+    if size is not None and size <= SMALL_INPUT_BYTES:
+        return df.repartition(cores)
+    return df
+
+
 def cells_of(tables: list[tuple[str, DataFrame]]) -> DataFrame:
     """Cells of several extracts (U01: UNION ALL of per-file results)."""
     parts = [to_cells(df, name) for name, df in tables]
@@ -77,23 +111,117 @@ def cells_of(tables: list[tuple[str, DataFrame]]) -> DataFrame:
 # Per-value mask and per-column profile
 # --------------------------------------------------------------------------
 
-def value_mask(v: Column) -> Column:
-    """Integer mask of the R01 predicates for one non-null value."""
-    norm = X.trailing_minus_to_leading(v)
-    num = X.is_numeric(norm)
-    x = X.pystrip(norm).try_cast("double")
-    shp = X.shape(v)
-    terms = [
-        F.when(X.is_all_digits(v), BIT_DIGITS),
-        F.when(X.is_zero_padded(v), BIT_ZPAD),
-        F.when(num, BIT_NUM),
-        F.when(num & X.is_integral(x), BIT_INT),
-        F.when(X.has_decimal_mark(v), BIT_DEC),
-    ]
-    for fmt, bit in FORMAT_BITS.items():
-        terms.append(F.when(X.parses_as(v, fmt, K.INFER_YEAR_MIN, K.INFER_YEAR_MAX, shp), bit))
-    mask = reduce(lambda a, b: a + b, [F.coalesce(t, F.lit(0)) for t in terms])
-    return F.when(v.isNotNull(), mask.cast("long"))
+def _role(fmt: str) -> str:
+    """Which numeric parts hold year/month/day for a strict format."""
+    fields = X.format_fields(fmt)
+    if X._packed(fmt):
+        return "packed"
+    head = "".join(fields[:3])
+    return {"Ymd": "ymd", "dmY": "dmy", "mdY": "mdy", "HMS": "hms"}[head]
+
+
+def _shape_bits(formats, bits) -> Column:
+    """Literal map: digit shape -> bits of the formats that shape can satisfy."""
+    acc: dict[str, int] = {}
+    for fmt in formats:
+        for shp in X.format_shapes(fmt):
+            acc[shp] = acc.get(shp, 0) | bits[fmt]
+    pairs = []
+    for k, b in sorted(acc.items()):
+        pairs += [F.lit(k), F.lit(b)]
+    return F.create_map(*pairs)
+
+
+RATIO_BITS = {fmt: 1 << i for i, fmt in enumerate(K.RATIO_DATE_FORMATS)}
+
+
+def classify(cells: DataFrame, *, na_tokens=K.PANDAS_NA_TOKENS,
+             date_patterns=K.DEFAULT_DATETIME_PATTERNS) -> DataFrame:
+    """Per cell: ``v`` (NA tokens nulled), mask ``m``, non-blank ``nb``, date-pattern hit ``dp``.
+
+    Built as a few narrow projections so the generated code stays small:
+    the value is stripped, shaped and split once; calendar validity is
+    computed once per part order (y-m-d, d-m-y, m-d-y, packed, h:m:s) and
+    combined with the formats its digit shape allows.
+    """
+    # Every stage keeps all columns of the one before (``select("*", ...)``):
+    # a parent that uses all of its child's output lets whole-stage codegen
+    # put each stage in its own method, which keeps methods small enough
+    # for the JIT.  Columns are dropped only in the last projection.
+    c = cells.select("file_name", "column_name", X.null_tokens(F.col("value"), na_tokens).alias("v"))
+    c = c.select("*", X.pystrip(F.col("v")).alias("t"))
+    t = F.col("t")
+    body = t.substr(F.lit(1), F.length(t) - 1)
+    minus = t.endswith("-") & X.is_all_digits(F.translate(body, ".", ""))
+    c = c.select("*", X.shape(t).alias("shp"),
+                 F.when(minus, F.concat(F.lit("-"), body)).otherwise(t).alias("norm"))
+    # Only values whose digit shape is a date shape are split and cast, so a
+    # cast never sees a non-digit string (failed casts are the slow path).
+    date_shapes = sorted({s for f in K.INFER_DATE_FORMATS + K.RATIO_DATE_FORMATS for s in X.format_shapes(f)})
+    c = c.select("*", F.col("shp").isin(date_shapes).alias("datey"), X.is_numeric(F.col("norm")).alias("isnum"))
+    c = c.select("*", F.when(F.col("datey"), F.split(F.translate(t, "/.: ", "----"), "-")).alias("parts"),
+                 F.when(F.col("isnum"), F.col("norm").try_cast("double")).alias("x"))
+    nums = [F.try_element_at(F.col("parts"), F.lit(i)).try_cast("int").alias(f"n{i}") for i in range(1, 7)]
+    is_packed = F.col("shp") == "00000000"
+    packed = [F.when(is_packed, t.substr(1, 4).try_cast("int")).alias("p1"),
+              F.when(is_packed, t.substr(5, 2).try_cast("int")).alias("p2"),
+              F.when(is_packed, t.substr(7, 2).try_cast("int")).alias("p3")]
+    c = c.select("*", *nums, *packed)
+    n = {i: F.col(f"n{i}") for i in range(1, 7)}
+    p = {i: F.col(f"p{i}") for i in range(1, 4)}
+
+    def cal(y, m, d):
+        return m.between(1, 12) & d.between(1, X.days_in_month(y, m))
+
+    def hms(h, mi, se):
+        return h.between(0, 23) & mi.between(0, 59) & se.between(0, 59)
+
+    roles = {  # role -> (year column, calendar-valid column)
+        "ymd": (n[1], cal(n[1], n[2], n[3])),
+        "dmy": (n[3], cal(n[3], n[2], n[1])),
+        "mdy": (n[3], cal(n[3], n[1], n[2])),
+        "packed": (p[1], cal(p[1], p[2], p[3])),
+    }
+    c = c.select("*", *[F.coalesce(ok, F.lit(False)).alias(f"cal_{r}") for r, (_, ok) in roles.items()],
+                 F.coalesce(hms(n[1], n[2], n[3]), F.lit(False)).alias("ok_hms"),
+                 F.coalesce(hms(n[4], n[5], n[6]), F.lit(False)).alias("ok_time"))
+
+    def valid_bits(formats, bits, ylo, yhi):
+        terms = []
+        for fmt in formats:
+            role = _role(fmt)
+            if role == "hms":
+                ok = F.col("ok_hms")
+            else:
+                ok = F.col(f"cal_{role}") & roles[role][0].between(ylo, yhi)
+                if len(X.format_fields(fmt)) == 6:
+                    ok = ok & F.col("ok_time")
+            terms.append(F.when(ok, bits[fmt]).otherwise(0))
+        return reduce(lambda a, b: a + b, terms)
+
+    shp = F.col("shp")
+    fmt_bits = (F.coalesce(F.element_at(_shape_bits(K.INFER_DATE_FORMATS, FORMAT_BITS), shp), F.lit(0))
+                .bitwiseAND(valid_bits(K.INFER_DATE_FORMATS, FORMAT_BITS, K.INFER_YEAR_MIN, K.INFER_YEAR_MAX)))
+    # Strict formats see the raw value: surrounding whitespace fails them.
+    fmt_bits = F.when(F.col("v") == t, fmt_bits).otherwise(0)
+    ratio_ok = (F.coalesce(F.element_at(_shape_bits(K.RATIO_DATE_FORMATS, RATIO_BITS), shp), F.lit(0))
+                .bitwiseAND(valid_bits(K.RATIO_DATE_FORMATS, RATIO_BITS, K.RATIO_YEAR_MIN, K.RATIO_YEAR_MAX)) != 0)
+    c = c.select("*", fmt_bits.alias("fb"), ratio_ok.alias("rok"))
+    fmt_bits, ratio_ok = F.col("fb"), F.col("rok")
+    v = F.col("v")
+    mask = (F.when(X.is_all_digits(v), BIT_DIGITS).otherwise(0)
+            + F.when(X.is_zero_padded(v), BIT_ZPAD).otherwise(0)
+            + F.when(F.col("isnum"), BIT_NUM).otherwise(0)
+            + F.when(F.col("isnum") & X.is_integral(F.col("x")), BIT_INT).otherwise(0)
+            + F.when(X.has_decimal_mark(v), BIT_DEC).otherwise(0)
+            + fmt_bits)
+    nonblank = v.isNotNull() & (t != "")
+    pat = t.rlike(X.fold_patterns(date_patterns)) if date_patterns else F.lit(False)
+    # ratio_ok implies a date shape, so the pattern regex only runs on those.
+    return c.select("file_name", "column_name", "v",
+                    F.when(v.isNotNull(), mask.cast("long")).alias("m"),
+                    nonblank.alias("nb"),
+                    (nonblank & F.col("datey") & ratio_ok & pat).alias("dp"))
 
 
 def profile_cells(cells: DataFrame, *, na_tokens=K.PANDAS_NA_TOKENS,
@@ -104,16 +232,11 @@ def profile_cells(cells: DataFrame, *, na_tokens=K.PANDAS_NA_TOKENS,
     ``sample_rows`` (with an explicit ``row_idx`` column in ``cells``)
     restricts each file to its first N rows (W01); off by default.
     """
+    from typesift.session import tune_codegen
+    tune_codegen(cells.sparkSession)
     if sample_rows is not None:
         cells = first_rows(cells, sample_rows, row_idx)
-    v = X.null_tokens(F.col("value"), na_tokens).alias("v")
-    c = cells.select("file_name", "column_name", v)
-    nonblank = c.v.isNotNull() & (X.pystrip(c.v) != "")
-    # Classify each cell once; the aggregate only folds the results.
-    c = c.select("file_name", "column_name", "v",
-                 value_mask(F.col("v")).alias("m"),
-                 nonblank.alias("nb"),
-                 (nonblank & X.date_pattern_match(c.v, date_patterns)).alias("dp"))
+    c = classify(cells, na_tokens=na_tokens, date_patterns=date_patterns)
     return (c.groupBy("file_name", "column_name")
             .agg(F.count("v").alias("n_values"),
                  F.bit_and("m").alias("mask_all"),

@@ -15,6 +15,19 @@ LEGACY_CHARSET_CONF = {
 }
 
 
+# The classification stage generates one large method; HotSpot does not JIT
+# methods above 8000 bytes of bytecode, so Spark is told to fall back to
+# split (JIT-able) projections past that size, as its docs suggest on HotSpot.
+HUGE_METHOD_CONF = "spark.sql.codegen.hugeMethodLimit"
+HUGE_METHOD_LIMIT = "8000"
+
+
+def tune_codegen(spark: SparkSession) -> None:
+    """Apply the HotSpot method-size limit unless the session already set one."""
+    if spark.conf.get(HUGE_METHOD_CONF, "65535") == "65535":
+        spark.conf.set(HUGE_METHOD_CONF, HUGE_METHOD_LIMIT)
+
+
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "typesift",
                   extra: dict | None = None) -> SparkSession:
     """Local/test session.  On a cluster, use the cluster's session and pass
@@ -26,7 +39,8 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
-         .config("spark.sql.session.timeZone", "UTC"))
+         .config("spark.sql.session.timeZone", "UTC")
+         .config(HUGE_METHOD_CONF, HUGE_METHOD_LIMIT))
     for k, v in {**LEGACY_CHARSET_CONF, **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
