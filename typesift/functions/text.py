@@ -227,13 +227,20 @@ def is_code_name(name) -> Column:
 
 
 def sanitize_table_name(file_name) -> Column:
-    """Table name from a file name."""
+    """Table name from a file name.
+
+    Drops the last extension the way ``os.path.splitext`` does (leading dots
+    belong to the name), maps every character that is not a letter, number
+    or ``_`` to ``_``, prefixes ``table_`` before a leading digit and names an
+    empty result ``unnamed_table``.
+    """
     f = col_of(file_name)
-    # os.path.splitext: drop the last extension unless the dot leads the name.
-    base = F.regexp_replace(f, r"(?<=.)\.[^.]*$", "")
+    lead = F.regexp_extract(f, r"^(\.*)", 1)
+    rest = f.substr(F.length(lead) + 1, F.length(f))
+    base = F.when(rest.contains("."), F.concat(lead, F.regexp_extract(rest, r"^(.*)\.[^.]*$", 1))).otherwise(f)
     clean = F.regexp_replace(base, r"[^\p{L}\p{N}_]", "_")
     return (F.when(clean == "", F.lit("unnamed_table"))
-            .when(clean.rlike(r"^\p{N}"), F.concat(F.lit("table_"), clean))
+            .when(clean.rlike(r"^\p{Nd}"), F.concat(F.lit("table_"), clean))
             .otherwise(clean))
 
 

@@ -50,7 +50,7 @@ def _profile_table(name: str) -> QueryFn:
     return run
 
 
-def registry() -> dict[str, tuple[QueryFn, str | None]]:
+def _inference_queries() -> dict[str, tuple[QueryFn, str | None]]:
     out: dict[str, tuple[QueryFn, str | None]] = {
         "infer_initial": (q_infer_initial, O.infer_initial_sql()),
         "infer_corrected": (q_infer_corrected, O.infer_corrected_sql()),
@@ -58,3 +58,145 @@ def registry() -> dict[str, tuple[QueryFn, str | None]]:
     for name, cols in PROFILE_TABLES.items():
         out[f"profile_{name}"] = (_profile_table(name), O.profile_table_sql(name, cols))
     return out
+
+
+# --------------------------------------------------------------------------
+# Reports (F2), registry (F3), fixes, names, values
+# --------------------------------------------------------------------------
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from typesift.functions import text as X  # noqa: E402
+from typesift.operators import fixes as FIX  # noqa: E402
+from typesift.operators import registry as R  # noqa: E402
+from typesift.operators import reports as RP  # noqa: E402
+
+
+def _report(fn) -> QueryFn:
+    def run(spark, sf_dir):
+        return fn(FX.compare_report(spark, sf_dir))
+    run.__name__ = f"q_{fn.__name__}"
+    return run
+
+
+def q_registry_type_summary(spark, sf_dir):
+    return RP.registry_type_summary(FX.registry(spark, sf_dir))
+
+
+def q_registry_upsert(spark, sf_dir):
+    return R.upsert(FX.registry_snapshot(spark, sf_dir), FX.registry(spark, sf_dir))
+
+
+def _diff(spark, sf_dir):
+    return R.compare_with_master(FX.registry(spark, sf_dir), FX.registry_snapshot(spark, sf_dir))
+
+
+def q_master_new_columns(spark, sf_dir):
+    return _diff(spark, sf_dir)[0]
+
+
+def q_master_type_mismatch(spark, sf_dir):
+    return _diff(spark, sf_dir)[1]
+
+
+def q_registry_append(spark, sf_dir):
+    return R.append(FX.registry_snapshot(spark, sf_dir), _diff(spark, sf_dir)[0])
+
+
+def q_registry_align(spark, sf_dir):
+    return R.align(FX.registry_snapshot(spark, sf_dir).select("file_name", "column_name", "data_type"))
+
+
+def _fix_rules(spark, sf_dir):
+    return FIX.fix_rules(R.as_compare_view(FX.registry(spark, sf_dir)))
+
+
+def q_fix_rules(spark, sf_dir):
+    return _fix_rules(spark, sf_dir)
+
+
+def q_fix_summary(spark, sf_dir):
+    return FIX.fix_summary(_fix_rules(spark, sf_dir))
+
+
+def q_registry_apply_fixes(spark, sf_dir):
+    return R.apply_fixes(FX.registry_snapshot(spark, sf_dir), _fix_rules(spark, sf_dir))
+
+
+def q_overrides_from_fixes(spark, sf_dir):
+    return FIX.overrides_from_fixes(_fix_rules(spark, sf_dir))
+
+
+def q_overrides_from_rules(spark, sf_dir):
+    return FIX.overrides_from_rules(FX.registry(spark, sf_dir))
+
+
+def q_unregistered_by_file(spark, sf_dir):
+    return FIX.unregistered_by_file(R.as_compare_view(FX.registry(spark, sf_dir)))
+
+
+def q_keyword_match(spark, sf_dir):
+    names = (FX.compare_report(spark, sf_dir).select(F.col("Column").alias("column_name"))
+             .unionByName(spark.createDataFrame([(c,) for c in FX.EXTRACT_COLUMNS], "column_name string"))
+             .distinct())
+    cat, kw = P.keyword_match(F.col("column_name"), P.keyword_list(None))
+    return names.select("column_name", cat.alias("category"), kw.alias("keyword"))
+
+
+def q_sanitize_names(spark, sf_dir):
+    o = FX.table(spark, sf_dir, "orders")
+    names = (FX.compare_report(spark, sf_dir).select(F.col("File").alias("name"))
+             .unionByName(o.select(F.concat("o_orderpriority", F.lit("（"), "o_orderstatus", F.lit("）.csv")).alias("name")))
+             .distinct())
+    return names.select(F.col("name").alias("file_name"), X.sanitize_table_name(F.col("name")).alias("table_name"))
+
+
+NORMALIZE_COLUMNS = ["partner", "balance", "delta", "eur", "sparse", "storage_location"]
+
+
+def q_normalize_values(spark, sf_dir):
+    f1 = FX.extract_orders(spark, sf_dir).select("row_idx", *NORMALIZE_COLUMNS)
+    long = f1.unpivot(["row_idx"], NORMALIZE_COLUMNS, "column_name", "value")
+    return long.select("row_idx", "column_name", "value", X.normalize_erp_value(F.col("value")).alias("normalized"))
+
+
+REPORTS = {
+    "report_totals": (RP.totals, O.report_totals_sql),
+    "report_type_distribution": (RP.type_distribution, O.report_type_distribution_sql),
+    "report_worst_files": (RP.worst_files, O.report_worst_files_sql),
+    "report_mismatch_patterns": (RP.mismatch_patterns, O.report_mismatch_patterns_sql),
+    "report_formats": (RP.formats, O.report_formats_sql),
+    "report_duplicates": (RP.duplicates, O.report_duplicates_sql),
+    "report_candidates": (RP.candidates, O.report_candidates_sql),
+    "report_datetime_accuracy": (RP.datetime_accuracy, O.report_datetime_accuracy_sql),
+    "report_integer_confusion": (RP.integer_confusion, O.report_integer_confusion_sql),
+    "report_price_columns": (RP.price_columns, O.report_price_columns_sql),
+    "report_unregistered": (RP.unregistered, O.report_unregistered_sql),
+    "report_t002_summary": (RP.t002_summary, O.report_t002_summary_sql),
+}
+
+OTHERS = {
+    "registry_type_summary": (q_registry_type_summary, O.registry_type_summary_sql),
+    "registry_upsert": (q_registry_upsert, O.registry_upsert_sql),
+    "registry_append": (q_registry_append, O.registry_append_sql),
+    "registry_align": (q_registry_align, O.registry_align_sql),
+    "registry_apply_fixes": (q_registry_apply_fixes, O.registry_apply_fixes_sql),
+    "master_new_columns": (q_master_new_columns, O.master_new_columns_sql),
+    "master_type_mismatch": (q_master_type_mismatch, O.master_type_mismatch_sql),
+    "fix_rules": (q_fix_rules, O.fix_rules_sql),
+    "fix_summary": (q_fix_summary, O.fix_summary_sql),
+    "overrides_from_fixes": (q_overrides_from_fixes, O.overrides_from_fixes_sql),
+    "overrides_from_rules": (q_overrides_from_rules, O.overrides_from_rules_sql),
+    "unregistered_by_file": (q_unregistered_by_file, O.unregistered_by_file_sql),
+    "keyword_match": (q_keyword_match, O.keyword_match_sql),
+    "sanitize_names": (q_sanitize_names, O.sanitize_names_sql),
+    "normalize_values": (q_normalize_values, O.normalize_values_sql),
+}
+
+def registry() -> dict[str, tuple[QueryFn, str | None]]:
+    out = _inference_queries()
+    for name, (fn, sql) in REPORTS.items():
+        out[name] = (_report(fn), sql())
+    for name, (fn, sql) in OTHERS.items():
+        out[name] = (fn, sql())
+    return out

@@ -214,3 +214,262 @@ def infer_corrected_sql() -> str:
 def profile_table_sql(table: str, columns: list[str]) -> str:
     cells = cells_sql(table, columns, f"{table}.parquet")
     return f"WITH {profile_sql(cells)},\n{initial_sql()},\n{corrected_sql()}\nSELECT {CORRECTED_COLS} FROM corr2"
+
+
+# --------------------------------------------------------------------------
+# Reports on the comparison report (F2) and the registry
+# --------------------------------------------------------------------------
+
+def pct1(num: str, den: str) -> str:
+    p = f"(({num}) * 2000 + ({den})) // (({den}) * 2)"
+    return f"CASE WHEN ({den}) > 0 THEN CAST({p} // 10 AS VARCHAR) || '.' || CAST({p} % 10 AS VARCHAR) END"
+
+
+def with_f2(body: str) -> str:
+    return f"WITH {F2},\n{body}"
+
+
+def with_f3(body: str) -> str:
+    return f"WITH {F2},\n{F3},\n{body}"
+
+
+UNREG = f"(\"Inferred_Type\" IS NULL OR \"Inferred_Type\" IN ({qlist(K.UNREGISTERED_SPELLINGS)}))"
+
+
+def report_totals_sql() -> str:
+    return with_f2(f"""t AS (SELECT count(*) AS total_fields, count(DISTINCT "File") AS file_count,
+  count(DISTINCT "Column") AS distinct_columns,
+  count(*) FILTER (WHERE "Match" = '○') AS matched_fields,
+  count(*) FILTER (WHERE "Match" <> '○') AS mismatched_fields,
+  count(*) FILTER (WHERE "Inferred_Type" <> "Actual_Type") AS type_mismatches,
+  count(DISTINCT "Actual_Type") AS n_actual,
+  count(*) FILTER (WHERE "Actual_Type" = 'TEXT') AS n_text FROM compare_report)
+SELECT total_fields, file_count, distinct_columns, matched_fields, mismatched_fields,
+  {pct1('matched_fields', 'total_fields')} AS match_rate_pct, type_mismatches,
+  {pct1('type_mismatches', 'total_fields')} AS type_mismatch_pct,
+  (n_actual = 1 AND n_text = total_fields) AS all_actual_text FROM t""")
+
+
+def report_type_distribution_sql() -> str:
+    return with_f2(f"""d AS (SELECT 'Actual_Type' AS dimension, "Actual_Type" AS value FROM compare_report
+  UNION ALL SELECT 'Match', "Match" FROM compare_report
+  UNION ALL SELECT 'Inferred_Type', "Inferred_Type" FROM compare_report),
+g AS (SELECT dimension, value, count(*) AS fields FROM d GROUP BY dimension, value),
+h AS (SELECT *, sum(fields) OVER (PARTITION BY dimension) AS total FROM g)
+SELECT dimension, value, fields, {pct1('fields', 'total')} AS pct FROM h""")
+
+
+def report_worst_files_sql() -> str:
+    return with_f2(f"""f AS (SELECT "File", count(*) AS total_fields, count(*) FILTER (WHERE "Match" = '○') AS matched_fields,
+  min("Encoding") AS "Encoding", min("Delimiter") AS "Delimiter" FROM compare_report GROUP BY "File")
+SELECT "File", total_fields, matched_fields, {pct1('matched_fields', 'total_fields')} AS match_rate_pct,
+  "Encoding", "Delimiter" FROM f ORDER BY matched_fields / total_fields, "File" LIMIT 10""")
+
+
+def report_mismatch_patterns_sql() -> str:
+    return with_f2(f"""m AS (SELECT * FROM compare_report WHERE "Match" <> '○'),
+g AS (SELECT "Inferred_Type", "Actual_Type", count(*) AS fields FROM m GROUP BY ALL),
+h AS (SELECT *, (SELECT count(*) FROM m) AS total FROM g)
+SELECT "Inferred_Type", "Actual_Type", fields, {pct1('fields', 'total')} AS pct FROM h
+ORDER BY fields DESC, "Inferred_Type", "Actual_Type" LIMIT 15""")
+
+
+def report_formats_sql() -> str:
+    return with_f2("""x AS (SELECT 'encoding' AS dimension, "Encoding" AS value, count(*) AS fields, count(DISTINCT "File") AS files
+  FROM compare_report GROUP BY "Encoding"
+  UNION ALL SELECT 'delimiter', "Delimiter", count(*), count(DISTINCT "File") FROM compare_report
+  WHERE "Delimiter" IS NOT NULL GROUP BY "Delimiter")
+SELECT * FROM x""")
+
+
+def report_duplicates_sql() -> str:
+    return with_f2("""g AS (SELECT "Column", count(*) AS occurrences, count(DISTINCT "File") AS files FROM compare_report GROUP BY "Column")
+SELECT * FROM g WHERE occurrences > 1 ORDER BY occurrences DESC, "Column" LIMIT 10""")
+
+
+def report_candidates_sql() -> str:
+    return with_f2(f"""d AS (SELECT count(*) AS n FROM (SELECT "Column" FROM compare_report GROUP BY "Column" HAVING count(*) > 1))
+SELECT count(*) FILTER (WHERE regexp_matches("Column", {q(K.ZERO_PAD_NAME_REGEX)}) AND "Inferred_Type" = 'TEXT') AS zero_padding_candidates,
+  count(*) FILTER (WHERE "Inferred_Type" <> 'TEXT' AND "Actual_Type" = 'TEXT') AS trailing_minus_candidates,
+  (SELECT n FROM d) AS duplicate_names FROM compare_report""")
+
+
+def report_datetime_accuracy_sql() -> str:
+    return with_f2(f"""c AS (SELECT count(*) FILTER (WHERE "Inferred_Type" = 'DATETIME' AND "Actual_Type" = 'TEXT') AS datetime_to_text,
+  count(*) FILTER (WHERE "Inferred_Type" = 'DATETIME' AND "Actual_Type" = 'DATETIME') AS datetime_to_datetime FROM compare_report)
+SELECT datetime_to_text, datetime_to_datetime,
+  coalesce({pct1('datetime_to_datetime', 'datetime_to_text + datetime_to_datetime')}, 'N/A') AS accuracy_pct FROM c""")
+
+
+def report_integer_confusion_sql() -> str:
+    return with_f2("""x AS (SELECT count(*) FILTER (WHERE "Inferred_Type" = 'INTEGER' AND "Actual_Type" = 'TEXT') AS integer_to_text,
+  count(*) FILTER (WHERE "Inferred_Type" = 'INTEGER' AND "Actual_Type" = 'INTEGER') AS integer_to_integer,
+  count(*) FILTER (WHERE "Inferred_Type" = 'TEXT' AND "Actual_Type" = 'INTEGER') AS text_to_integer FROM compare_report)
+SELECT * FROM x""")
+
+
+def report_price_columns_sql() -> str:
+    hit = " OR ".join(f"contains(lower(\"Column\"), {q(k)})" for k in K.PRICE_SUSPECT_KEYWORDS)
+    return with_f2(f"""g AS (SELECT "Column", count(*) AS fields FROM compare_report
+  WHERE "Inferred_Type" = 'INTEGER' AND "Actual_Type" = 'TEXT' AND ({hit}) GROUP BY "Column")
+SELECT * FROM g ORDER BY fields DESC, "Column" LIMIT 5""")
+
+
+def report_unregistered_sql() -> str:
+    return with_f2(f"""u AS (SELECT * FROM compare_report WHERE {UNREG}),
+bf AS (SELECT 'file' AS dimension, "File" AS value, count(*) AS fields FROM u GROUP BY "File"),
+bc AS (SELECT 'column' AS dimension, "Column" AS value, count(*) AS fields FROM u GROUP BY "Column"
+  ORDER BY fields DESC, value LIMIT 10)
+SELECT * FROM bf UNION ALL SELECT * FROM bc""")
+
+
+def report_t002_summary_sql() -> str:
+    st = f"contains(lower(\"File\"), 'zm114') AND contains(\"Column\", {q(K.STORAGE_FIELD)}) AND \"Inferred_Type\" = 'INTEGER'"
+    return with_f2(f"""x AS (SELECT count(*) AS total_records,
+  count(*) FILTER (WHERE "Inferred_Type" <> "Actual_Type") AS mismatch_count,
+  count(*) FILTER (WHERE {UNREG}) AS unregistered_count,
+  count(*) FILTER (WHERE "Inferred_Type" = 'DATETIME' AND "Actual_Type" = 'TEXT') AS datetime_text_count,
+  count(*) FILTER (WHERE "Inferred_Type" = 'INTEGER' AND "Actual_Type" = 'TEXT') AS integer_text_count,
+  count(*) FILTER (WHERE {st}) AS storage_issues_count FROM compare_report)
+SELECT * FROM x""")
+
+
+def registry_type_summary_sql() -> str:
+    return with_f3("""x AS (SELECT data_type, count(*) AS field_count, count(DISTINCT file_name) AS file_count
+  FROM registry GROUP BY data_type ORDER BY field_count DESC, data_type)
+SELECT * FROM x""")
+
+
+REG_COLS = "file_name, column_name, data_type, initial_inferred_type, encoding, delimiter"
+
+
+def registry_upsert_sql() -> str:
+    return with_f3(f"""x AS (SELECT {REG_COLS} FROM snapshot s WHERE NOT EXISTS
+  (SELECT 1 FROM registry r WHERE r.file_name = s.file_name AND r.column_name = s.column_name)
+  UNION ALL SELECT {REG_COLS} FROM registry)
+SELECT * FROM x""")
+
+
+def master_new_columns_sql() -> str:
+    return with_f3("""x AS (SELECT r.file_name, r.column_name, r.data_type FROM registry r
+  LEFT JOIN snapshot s ON r.file_name = s.file_name AND r.column_name = s.column_name WHERE s.data_type IS NULL)
+SELECT * FROM x""")
+
+
+def master_type_mismatch_sql() -> str:
+    return with_f3("""x AS (SELECT r.file_name, r.column_name, r.data_type, s.data_type AS data_type_master FROM registry r
+  JOIN snapshot s ON r.file_name = s.file_name AND r.column_name = s.column_name
+  WHERE s.data_type IS NOT NULL AND r.data_type <> s.data_type)
+SELECT * FROM x""")
+
+
+def registry_append_sql() -> str:
+    return with_f3(f"""n AS (SELECT r.file_name, r.column_name, r.data_type FROM registry r
+  LEFT JOIN snapshot s ON r.file_name = s.file_name AND r.column_name = s.column_name WHERE s.data_type IS NULL),
+x AS (SELECT {REG_COLS} FROM snapshot
+  UNION ALL SELECT file_name, column_name, data_type, NULL, NULL, NULL FROM n)
+SELECT * FROM x""")
+
+
+def registry_align_sql() -> str:
+    return with_f3("""x AS (SELECT file_name, column_name, data_type, CAST(NULL AS VARCHAR) AS initial_inferred_type,
+  CAST(NULL AS VARCHAR) AS encoding, CAST(NULL AS VARCHAR) AS delimiter FROM snapshot)
+SELECT * FROM x""")
+
+
+FIX_CTE = f"""view AS (SELECT file_name AS "File", column_name AS "Column", initial_inferred_type AS "Inferred_Type",
+  data_type AS "Actual_Type" FROM registry),
+fr AS (
+  SELECT 'pattern1' AS pattern, "File" AS file_name, "Column" AS field_name, 'Unknown' AS from_type,
+    CASE WHEN "Actual_Type" IN ('TEXT', 'INTEGER', 'REAL') THEN "Actual_Type" ELSE 'TEXT' END AS to_type,
+    CAST(NULL AS VARCHAR) AS reason, 1.0::DOUBLE AS confidence FROM view WHERE {UNREG}
+  UNION ALL
+  SELECT 'pattern2', "File", "Column", 'DATETIME', 'TEXT', 'DATETIME推論エラー (実際は' || "Actual_Type" || ')', NULL
+    FROM view WHERE "Inferred_Type" = 'DATETIME' AND "Actual_Type" = 'TEXT'
+  UNION ALL
+  SELECT 'pattern3', "File", "Column", 'INTEGER', 'TEXT', '価格関連フィールド (実際は' || "Actual_Type" || ')', NULL
+    FROM view WHERE "Inferred_Type" = 'INTEGER' AND "Actual_Type" = 'TEXT' AND regexp_matches("Column", {q(K.PRICE_NAME_REGEX)})
+  UNION ALL
+  SELECT 'pattern4', "File", "Column", 'INTEGER', 'TEXT', {q(K.REASON_STORAGE)}, NULL
+    FROM view WHERE "File" = {q(K.STORAGE_FILE)} AND contains("Column", {q(K.STORAGE_FIELD)}))"""
+
+
+def fix_rules_sql() -> str:
+    return with_f3(f"{FIX_CTE}\nSELECT * FROM fr")
+
+
+def fix_summary_sql() -> str:
+    pats = " UNION ALL ".join(f"SELECT {q(p)} AS pattern" for p in K.FIX_PATTERNS)
+    return with_f3(f"""{FIX_CTE},
+p AS ({pats}),
+c AS (SELECT pattern, count(*) AS fixes FROM fr GROUP BY pattern),
+x AS (SELECT p.pattern, coalesce(c.fixes, 0) AS fixes FROM p LEFT JOIN c USING (pattern)
+  UNION ALL SELECT 'total', (SELECT count(*) FROM fr))
+SELECT * FROM x""")
+
+
+def registry_apply_fixes_sql() -> str:
+    return with_f3(f"""{FIX_CTE},
+fx AS (SELECT file_name, field_name AS column_name,
+  arg_max(CASE WHEN pattern = 'pattern2' THEN 'TEXT' ELSE to_type END,
+          CASE pattern WHEN 'pattern2' THEN 1 WHEN 'pattern4' THEN 2 ELSE 3 END) AS fix
+  FROM fr WHERE pattern IN ('pattern1', 'pattern2', 'pattern4') GROUP BY file_name, field_name),
+x AS (SELECT s.file_name, s.column_name, coalesce(fx.fix, s.data_type) AS data_type, s.initial_inferred_type,
+  s.encoding, s.delimiter FROM snapshot s LEFT JOIN fx ON s.file_name = fx.file_name AND s.column_name = fx.column_name)
+SELECT * FROM x""")
+
+
+def overrides_from_fixes_sql() -> str:
+    return with_f3(f"""{FIX_CTE}
+SELECT file_name AS file, field_name AS field, 'force_text' AS action,
+  CASE WHEN pattern = 'pattern2' THEN 'datetime' ELSE 'storage' END AS kind
+FROM fr WHERE pattern IN ('pattern2', 'pattern4')""")
+
+
+def overrides_from_rules_sql() -> str:
+    known = " UNION ALL ".join(f"SELECT {q(f)} AS file, {q(c)} AS field, 'force_text' AS action, 'datetime' AS kind"
+                               for f, c in K.KNOWN_DATETIME_OVERRIDES)
+    return with_f3(f"""x AS ({known}
+  UNION ALL SELECT DISTINCT file_name, {q(K.STORAGE_FIELD)}, 'force_text', 'storage' FROM registry
+  WHERE column_name = {q(K.STORAGE_FIELD)})
+SELECT * FROM x""")
+
+
+def unregistered_by_file_sql() -> str:
+    return with_f3(f"""view AS (SELECT file_name AS "File", initial_inferred_type AS "Inferred_Type", data_type AS "Actual_Type" FROM registry),
+x AS (SELECT "File", count(*) AS fields, round(avg(CASE WHEN "Actual_Type" = 'TEXT' THEN 1.0 ELSE 0.0 END), 3) AS text_ratio
+  FROM view WHERE {UNREG} GROUP BY "File")
+SELECT * FROM x""")
+
+
+def keyword_match_sql() -> str:
+    cat, kw = keyword_case("column_name")
+    f1 = " UNION ALL ".join(f"SELECT {q(c)} AS column_name" for c in EXTRACT_COLUMNS)
+    return with_f2(f"""n AS (SELECT DISTINCT "Column" AS column_name FROM compare_report UNION {f1}),
+x AS (SELECT column_name, {cat} AS category, {kw} AS keyword FROM n)
+SELECT * FROM x""")
+
+
+def sanitize_names_sql() -> str:
+    rest = "substr(name, length(lead) + 1)"
+    base = f"CASE WHEN contains({rest}, '.') THEN lead || regexp_extract({rest}, '^(.*)\\.[^.]*$', 1) ELSE name END"
+    return with_f2(f"""n AS (SELECT DISTINCT "File" AS name FROM compare_report
+  UNION SELECT DISTINCT o_orderpriority || '（' || o_orderstatus || '）.csv' FROM orders),
+b AS (SELECT name, regexp_extract(name, '^(\\.*)', 1) AS lead FROM n),
+c AS (SELECT name, regexp_replace({base}, '[^\\p{{L}}\\p{{N}}_]', '_', 'g') AS clean FROM b)
+SELECT name AS file_name, CASE WHEN clean = '' THEN 'unnamed_table'
+  WHEN regexp_matches(clean, '^\\p{{Nd}}') THEN 'table_' || clean ELSE clean END AS table_name FROM c""")
+
+
+def normalize_values_sql() -> str:
+    cols = ["partner", "balance", "delta", "eur", "sparse", "storage_location"]
+    parts = " UNION ALL ".join(f"SELECT row_idx, {q(c)} AS column_name, {c} AS value FROM extract_orders" for c in cols)
+    t = f"trim(value, {WS})"
+    return f"""WITH {F1},
+c AS ({parts}),
+x AS (SELECT row_idx, column_name, value, CASE WHEN value IS NULL THEN NULL
+  WHEN regexp_matches({t}, '^(\\d+)-$') THEN '-' || regexp_extract({t}, '^(\\d+)-$', 1)
+  WHEN regexp_matches({t}, '^0+(\\d+)$') AND length({t}) >= {K.ZERO_PADDING_MIN_LENGTH} THEN regexp_extract({t}, '^0+(\\d+)$', 1)
+  WHEN regexp_matches({t}, '^(\\d+),(\\d+)$') THEN regexp_extract({t}, '^(\\d+),(\\d+)$', 1) || '.' || regexp_extract({t}, '^(\\d+),(\\d+)$', 2)
+  ELSE {t} END AS normalized FROM c)
+SELECT * FROM x"""
