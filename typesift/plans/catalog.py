@@ -200,3 +200,36 @@ def registry() -> dict[str, tuple[QueryFn, str | None]]:
     for name, (fn, sql) in OTHERS.items():
         out[name] = (fn, sql())
     return out
+
+
+# --------------------------------------------------------------------------
+# Typed load of the F1 extract
+# --------------------------------------------------------------------------
+
+from typesift.operators import load as L  # noqa: E402
+
+
+def _load_inputs(spark, sf_dir):
+    f1 = FX.extract_orders(spark, sf_dir)
+    cells = (f1.select(F.lit(FX.EXTRACT_FILE).alias("file_name"), "row_idx", *FX.EXTRACT_COLUMNS)
+             .unpivot(["file_name", "row_idx"], FX.EXTRACT_COLUMNS, "column_name", "value"))
+    types = P.infer_corrected(P.profile_cells(_extract_cells(spark, sf_dir))) \
+        .select("file_name", "column_name", F.col("corrected_type").alias("data_type"))
+    overrides = spark.createDataFrame([(f, c, "force_text", k) for f, c, k in O.LOAD_TEST_OVERRIDES],
+                                      "file string, field string, action string, kind string")
+    dec = L.load_decisions(cells, types, FX.EXTRACT_FILE, overrides)
+    return cells, types, dec
+
+
+def q_load_typed(spark, sf_dir):
+    cells, _, dec = _load_inputs(spark, sf_dir)
+    return L.load_typed_cells(cells, dec)
+
+
+def q_compare_inferred_actual(spark, sf_dir):
+    _, types, dec = _load_inputs(spark, sf_dir)
+    return L.compare_report(L.actual_types(dec), types, "utf-8", ",")
+
+
+OTHERS["load_typed"] = (q_load_typed, O.load_typed_sql)
+OTHERS["compare_inferred_actual"] = (q_compare_inferred_actual, O.compare_inferred_actual_sql)

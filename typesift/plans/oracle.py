@@ -473,3 +473,63 @@ x AS (SELECT row_idx, column_name, value, CASE WHEN value IS NULL THEN NULL
   WHEN regexp_matches({t}, '^(\\d+),(\\d+)$') THEN regexp_extract({t}, '^(\\d+),(\\d+)$', 1) || '.' || regexp_extract({t}, '^(\\d+),(\\d+)$', 2)
   ELSE {t} END AS normalized FROM c)
 SELECT * FROM x"""
+
+
+# --------------------------------------------------------------------------
+# Typed load of the F1 extract
+# --------------------------------------------------------------------------
+
+# Test override list: the shipped overrides plus one field of the F1 extract.
+LOAD_TEST_OVERRIDES = list(K.DEFAULT_OVERRIDES) + [("extract_orders.txt", "due_us", "test")]
+
+
+def _load_ctes() -> str:
+    cells = cells_sql("extract_orders", EXTRACT_COLUMNS, "extract_orders.txt", extra=", row_idx")
+    ov = " UNION ALL ".join(f"SELECT {q(f)} AS file, {q(c)} AS field" for f, c, _ in LOAD_TEST_OVERRIDES)
+    fmt_all = " ".join(f"WHEN bool_and({_parses('value', f, INFER_GATES[f], K.INFER_YEAR_MIN, K.INFER_YEAR_MAX)}) "
+                       f"FILTER (WHERE value IS NOT NULL AND value <> '') THEN {q(f)}" for f in K.INFER_DATE_FORMATS)
+    fmt_any = " ".join(f"WHEN bool_or({_parses('value', f, INFER_GATES[f], K.INFER_YEAR_MIN, K.INFER_YEAR_MAX)}) "
+                       f"FILTER (WHERE value IS NOT NULL AND value <> '') THEN {q(f)}" for f in K.INFER_DATE_FORMATS)
+    return f"""{F1},
+{profile_sql(cells_sql("extract_orders", EXTRACT_COLUMNS, "extract_orders.txt"))},
+{initial_sql()},
+{corrected_sql()},
+types AS (SELECT file_name, column_name, corrected_type AS data_type FROM corr2),
+lc AS ({cells}),
+lc2 AS (SELECT *, regexp_matches(value, {q(NUMERIC)}) AS isnum, TRY_CAST(trim(value, {WS}) AS DOUBLE) AS lx FROM lc),
+ov AS ({ov}),
+dec0 AS (SELECT file_name, column_name,
+  max(CASE WHEN isnum AND lx IS NOT NULL AND (NOT (abs(lx) < 'inf'::DOUBLE AND lx % 1 = 0) OR abs(lx) >= 9.223372036854775807e18)
+      THEN 1 ELSE 0 END) AS blocked,
+  CASE {fmt_all} END AS fmt_all, CASE {fmt_any} END AS fmt_any
+  FROM lc2 GROUP BY file_name, column_name),
+dec AS (SELECT d.file_name, d.column_name, t.data_type AS registered_type,
+  CASE WHEN EXISTS (SELECT 1 FROM ov WHERE ov.file = d.file_name AND ov.field = d.column_name) THEN 'TEXT'
+       WHEN t.data_type = 'INTEGER' THEN CASE WHEN blocked = 1 THEN 'TEXT' ELSE 'INTEGER' END
+       WHEN t.data_type IN ('REAL', 'DATETIME') THEN t.data_type ELSE 'TEXT' END AS load_type,
+  coalesce(fmt_all, fmt_any) AS fmt
+  FROM dec0 d LEFT JOIN types t ON d.file_name = t.file_name AND d.column_name = t.column_name)"""
+
+
+def load_typed_sql() -> str:
+    dt = "CASE " + " ".join(
+        f"WHEN d.fmt = {q(f)} AND {_parses('c.value', f, INFER_GATES[f], K.INFER_YEAR_MIN, K.INFER_YEAR_MAX)} "
+        f"THEN strftime(try_strptime(c.value, {q(f)}), '%Y-%m-%d %H:%M:%S')" for f in K.INFER_DATE_FORMATS) + " END"
+    return f"""WITH {_load_ctes()}
+SELECT c.file_name, c.row_idx, c.column_name, d.load_type,
+  CASE WHEN d.load_type = 'INTEGER' THEN
+    CASE WHEN regexp_matches(c.value, '^\\s*[+-]?[0-9]+\\s*$') THEN TRY_CAST(trim(c.value, {WS}) AS BIGINT)
+         WHEN c.isnum THEN TRY_CAST(c.lx AS BIGINT) END END AS int_value,
+  CASE WHEN d.load_type = 'REAL' AND c.isnum THEN c.lx END AS real_value,
+  CASE WHEN d.load_type = 'TEXT' THEN c.value WHEN d.load_type = 'DATETIME' THEN {dt} END AS text_value
+FROM lc2 c JOIN dec d ON c.file_name = d.file_name AND c.column_name = d.column_name"""
+
+
+def compare_inferred_actual_sql() -> str:
+    return f"""WITH {_load_ctes()},
+act AS (SELECT file_name, column_name, CASE WHEN load_type = 'DATETIME' THEN 'TEXT' ELSE load_type END AS actual_type FROM dec)
+SELECT a.file_name AS "File", a.column_name AS "Column", coalesce(t.data_type, {q(K.UNREGISTERED_LABEL)}) AS "Inferred_Type",
+  a.actual_type AS "Actual_Type",
+  CASE WHEN t.data_type IS NOT NULL AND upper(a.actual_type) = upper(t.data_type) THEN '○' ELSE '×' END AS "Match",
+  'utf-8' AS "Encoding", ',' AS "Delimiter"
+FROM act a LEFT JOIN types t ON a.file_name = t.file_name AND a.column_name = t.column_name"""
