@@ -21,8 +21,6 @@ joins it back to the cells and stays fully distributed.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,13 +92,11 @@ def load_decisions(cells: DataFrame, types: DataFrame, file_name: str | None = N
     (file_name, column_name, data_type).  Columns without a registry entry
     load as TEXT.
     """
-    v = F.col("value")
-    prof = (P.classify(cells.withColumn("value", X.null_tokens(v, ("",))), na_tokens=())
-            .groupBy("file_name", "column_name")
-            .agg(F.bit_and("m").alias("mask_all"), F.bit_or("m").alias("mask_any")))
-    block = (cells.groupBy("file_name", "column_name")
-             .agg(F.max(F.when(integer_blocker(v, normalize), 1).otherwise(0)).alias("_blocked")))
-    d = prof.join(block, ["file_name", "column_name"])
+    # One pass: format bits (empty cells ignored) and the INTEGER blocker.
+    c = P.classify(cells.withColumn("value", X.null_tokens(F.col("value"), ("",))), na_tokens=())
+    d = (c.groupBy("file_name", "column_name")
+         .agg(F.bit_and("m").alias("mask_all"), F.bit_or("m").alias("mask_any"),
+              F.max(F.when(integer_blocker(F.col("v"), normalize), 1).otherwise(0)).alias("_blocked")))
     d = d.join(types.select("file_name", "column_name", "data_type"), ["file_name", "column_name"], "left")
     if overrides is not None:
         ov = overrides.select(F.col("file").alias("file_name"), F.col("field").alias("column_name"),
@@ -150,6 +146,58 @@ def load_typed(df: DataFrame, file_name: str, types: DataFrame, *, overrides: Da
     return df.select(*out)
 
 
+def with_datetime_text(df: DataFrame, value: str, fmt: str, out: str) -> DataFrame:
+    """Add ``out`` = ``value`` parsed under the per-row format name in ``fmt``,
+    rendered ``yyyy-MM-dd HH:mm:ss`` (NULL when it does not parse).
+
+    The value is split once (only when its digit shape is a date shape); the
+    format only selects which parts are year, month, day and time.
+    """
+    v, f = F.col(value), F.col(fmt)
+    shapes = sorted({s for x in K.INFER_DATE_FORMATS for s in X.format_shapes(x)})
+    shp = X.shape(v)
+    d = df.select("*", shp.alias("_shp"))
+    d = d.select("*", F.when(F.col("_shp").isin(shapes) & f.isNotNull(),
+                             F.split(F.translate(v, "/.: ", "----"), "-")).alias("_parts"))
+    n = {i: F.try_element_at(F.col("_parts"), F.lit(i)).try_cast("int") for i in range(1, 7)}
+    packed = F.col("_shp") == "00000000"
+    p = {1: F.when(packed, v.substr(1, 4).try_cast("int")), 2: F.when(packed, v.substr(5, 2).try_cast("int")),
+         3: F.when(packed, v.substr(7, 2).try_cast("int"))}
+    d = d.select("*", *[n[i].alias(f"_n{i}") for i in range(1, 7)], *[p[i].alias(f"_p{i}") for i in range(1, 4)])
+    n = {i: F.col(f"_n{i}") for i in range(1, 7)}
+    p = {i: F.col(f"_p{i}") for i in range(1, 4)}
+    pick = {  # role -> (y, m, d, H, M, S)
+        "ymd": (n[1], n[2], n[3], n[4], n[5], n[6]),
+        "dmy": (n[3], n[2], n[1], F.lit(0), F.lit(0), F.lit(0)),
+        "mdy": (n[3], n[1], n[2], F.lit(0), F.lit(0), F.lit(0)),
+        "packed": (p[1], p[2], p[3], F.lit(0), F.lit(0), F.lit(0)),
+        "hms": (F.lit(1900), F.lit(1), F.lit(1), n[1], n[2], n[3]),
+    }
+    parts = []
+    for i in range(6):
+        e = F.lit(None).cast("int")
+        for fm in K.INFER_DATE_FORMATS:
+            role = P._role(fm)
+            val = pick[role][i]
+            if role == "ymd" and len(X.format_fields(fm)) == 3 and i >= 3:
+                val = F.lit(0)
+            e = F.when(f == fm, val).otherwise(e)
+        parts.append(e.alias(f"_v{i}"))
+    bit = F.lit(0)
+    for fm, b in P.FORMAT_BITS.items():
+        bit = F.when(f == fm, F.lit(b)).otherwise(bit)
+    shape_ok = (F.coalesce(F.element_at(P._shape_bits(K.INFER_DATE_FORMATS, P.FORMAT_BITS), F.col("_shp")),
+                           F.lit(0)).bitwiseAND(bit) != 0)
+    d = d.select("*", *parts, shape_ok.alias("_shape_ok"))
+    y, m, dd, hh, mi, ss = (F.col(f"_v{i}") for i in range(6))
+    ok = (F.col("_shape_ok") & y.between(K.INFER_YEAR_MIN, K.INFER_YEAR_MAX) & m.between(1, 12)
+          & dd.between(1, X.days_in_month(y, m)) & hh.between(0, 23) & mi.between(0, 59) & ss.between(0, 59))
+    txt = F.format_string("%04d-%02d-%02d %02d:%02d:%02d", y, m, dd, hh, mi, ss)
+    helpers = ["_shp", "_parts", *[f"_n{i}" for i in range(1, 7)], *[f"_p{i}" for i in range(1, 4)],
+               *[f"_v{i}" for i in range(6)], "_shape_ok"]
+    return d.select("*", F.when(F.coalesce(ok, F.lit(False)), txt).alias(out)).drop(*helpers)
+
+
 def load_typed_cells(cells: DataFrame, decisions: DataFrame, normalize: bool = False) -> DataFrame:
     """C05 in long form: (…, column_name, load_type, int_value, real_value, text_value).
 
@@ -159,15 +207,13 @@ def load_typed_cells(cells: DataFrame, decisions: DataFrame, normalize: bool = F
     from typesift.sources.rules import small_side
     dec = small_side(decisions.select("file_name", "column_name", "load_type", "date_format"))
     j = cells.join(dec, ["file_name", "column_name"], "left")
+    j = with_datetime_text(j, "value", "date_format", "_dt")
     v, lt = F.col("value"), F.coalesce(F.col("load_type"), F.lit(K.TEXT))
-    fmts = list(K.INFER_DATE_FORMATS)
-    dt = reduce(lambda acc, f: F.when(F.col("date_format") == f, datetime_text(v, f)).otherwise(acc),
-                reversed(fmts), F.lit(None).cast("string"))
     keep = [c for c in cells.columns if c != "value"]
     return j.select(*keep, lt.alias("load_type"),
                     F.when(lt == K.INTEGER, integer_value(v, normalize)).alias("int_value"),
                     F.when(lt == K.REAL, real_value(v, normalize)).alias("real_value"),
-                    F.when(lt == K.TEXT, v).when(lt == K.DATETIME, dt).alias("text_value"))
+                    F.when(lt == K.TEXT, v).when(lt == K.DATETIME, F.col("_dt")).alias("text_value"))
 
 
 # --------------------------------------------------------------------------
