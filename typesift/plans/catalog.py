@@ -155,7 +155,7 @@ NORMALIZE_COLUMNS = ["partner", "balance", "delta", "eur", "sparse", "storage_lo
 
 
 def q_normalize_values(spark, sf_dir):
-    f1 = FX.extract_orders(spark, sf_dir).select("row_idx", *NORMALIZE_COLUMNS)
+    f1 = P.spread(FX.extract_orders(spark, sf_dir)).select("row_idx", *NORMALIZE_COLUMNS)
     long = f1.unpivot(["row_idx"], NORMALIZE_COLUMNS, "column_name", "value")
     return long.select("row_idx", "column_name", "value", X.normalize_erp_value(F.col("value")).alias("normalized"))
 
@@ -210,7 +210,7 @@ from typesift.operators import load as L  # noqa: E402
 
 
 def _load_inputs(spark, sf_dir):
-    f1 = FX.extract_orders(spark, sf_dir)
+    f1 = P.spread(FX.extract_orders(spark, sf_dir))
     cells = (f1.select(F.lit(FX.EXTRACT_FILE).alias("file_name"), "row_idx", *FX.EXTRACT_COLUMNS)
              .unpivot(["file_name", "row_idx"], FX.EXTRACT_COLUMNS, "column_name", "value"))
     types = P.infer_corrected(P.profile_cells(_extract_cells(spark, sf_dir))) \
