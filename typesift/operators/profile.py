@@ -136,7 +136,7 @@ RATIO_BITS = {fmt: 1 << i for i, fmt in enumerate(K.RATIO_DATE_FORMATS)}
 
 
 def classify(cells: DataFrame, *, na_tokens=K.PANDAS_NA_TOKENS,
-             date_patterns=K.DEFAULT_DATETIME_PATTERNS) -> DataFrame:
+             date_patterns=K.DEFAULT_DATETIME_PATTERNS, keep: list[str] | None = None) -> DataFrame:
     """Per cell: ``v`` (NA tokens nulled), mask ``m``, non-blank ``nb``, date-pattern hit ``dp``.
 
     Built as a few narrow projections so the generated code stays small:
@@ -148,7 +148,8 @@ def classify(cells: DataFrame, *, na_tokens=K.PANDAS_NA_TOKENS,
     # a parent that uses all of its child's output lets whole-stage codegen
     # put each stage in its own method, which keeps methods small enough
     # for the JIT.  Columns are dropped only in the last projection.
-    c = cells.select("file_name", "column_name", X.null_tokens(F.col("value"), na_tokens).alias("v"))
+    keep = keep or []
+    c = cells.select("file_name", "column_name", *keep, X.null_tokens(F.col("value"), na_tokens).alias("v"))
     c = c.select("*", X.pystrip(F.col("v")).alias("t"))
     t = F.col("t")
     body = t.substr(F.lit(1), F.length(t) - 1)
@@ -218,7 +219,7 @@ def classify(cells: DataFrame, *, na_tokens=K.PANDAS_NA_TOKENS,
     nonblank = v.isNotNull() & (t != "")
     pat = t.rlike(X.fold_patterns(date_patterns)) if date_patterns else F.lit(False)
     # ratio_ok implies a date shape, so the pattern regex only runs on those.
-    return c.select("file_name", "column_name", "v",
+    return c.select("file_name", "column_name", *keep, "v",
                     F.when(v.isNotNull(), mask.cast("long")).alias("m"),
                     nonblank.alias("nb"),
                     (nonblank & F.col("datey") & ratio_ok & pat).alias("dp"))
@@ -245,6 +246,40 @@ def profile_cells(cells: DataFrame, *, na_tokens=K.PANDAS_NA_TOKENS,
                  F.count(F.when(F.col("dp"), 1)).alias("n_datepat")))
 
 
+def profile_cells_sampled(cells: DataFrame, *, row_idx: str = "row_idx", rows: int = 200,
+                          ratio_sample: int = K.DATE_RATIO_SAMPLE, decimal_sample: int = K.DECIMAL_SAMPLE,
+                          na_tokens=K.PANDAS_NA_TOKENS,
+                          date_patterns=K.DEFAULT_DATETIME_PATTERNS) -> DataFrame:
+    """Parity mode of the original analysis: first ``rows`` rows of each file
+    (W01); the date ratio over the first ``ratio_sample`` non-blank values and
+    the decimal flag over the first ``decimal_sample`` non-null values of each
+    column (W02), all in ``row_idx`` order.  Same output as ``profile_cells``.
+
+    Every window here works on at most ``rows`` cells per (file, column), so
+    no group grows with the data.
+    """
+    from pyspark.sql import Window
+    from typesift.session import tune_codegen
+    tune_codegen(cells.sparkSession)
+    capped = first_rows(cells, rows, row_idx)
+    c = classify(capped.select("file_name", "column_name", "value", row_idx),
+                 na_tokens=na_tokens, date_patterns=date_patterns, keep=[row_idx])
+    nn = F.col("v").isNotNull()
+    w_nn = Window.partitionBy("file_name", "column_name", nn).orderBy(row_idx)
+    w_nb = Window.partitionBy("file_name", "column_name", F.col("nb")).orderBy(row_idx)
+    c = c.select("*", F.row_number().over(w_nn).alias("_rn_nn"), F.row_number().over(w_nb).alias("_rn_nb"))
+    dec = nn & (F.col("_rn_nn") <= decimal_sample) & has_bit(F.col("m"), BIT_DEC)
+    in_ratio = F.col("nb") & (F.col("_rn_nb") <= ratio_sample)
+    agg = (c.groupBy("file_name", "column_name")
+           .agg(F.count("v").alias("n_values"), F.bit_and("m").alias("mask_all"),
+                F.bit_or("m").alias("_any"), F.max(F.when(dec, 1).otherwise(0)).alias("_dec"),
+                F.count(F.when(in_ratio, 1)).alias("n_nonblank"),
+                F.count(F.when(in_ratio & F.col("dp"), 1)).alias("n_datepat")))
+    any_ = (F.col("_any").bitwiseAND(F.lit(~BIT_DEC)) + F.when(F.col("_dec") == 1, BIT_DEC).otherwise(0))
+    return agg.select("file_name", "column_name", "n_values", "mask_all", any_.cast("long").alias("mask_any"),
+                      "n_nonblank", "n_datepat")
+
+
 def first_rows(cells: DataFrame, n: int, row_idx: str | None) -> DataFrame:
     """Keep the first ``n`` rows of each file by an explicit row index.
 

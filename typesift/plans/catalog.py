@@ -233,3 +233,14 @@ def q_compare_inferred_actual(spark, sf_dir):
 
 OTHERS["load_typed"] = (q_load_typed, O.load_typed_sql)
 OTHERS["compare_inferred_actual"] = (q_compare_inferred_actual, O.compare_inferred_actual_sql)
+
+
+def q_infer_sampled(spark, sf_dir):
+    """Parity mode: the original analysis reads 200 rows per file."""
+    f1 = P.spread(FX.extract_orders(spark, sf_dir))
+    cells = (f1.select(F.lit(FX.EXTRACT_FILE).alias("file_name"), "row_idx", *FX.EXTRACT_COLUMNS)
+             .unpivot(["file_name", "row_idx"], FX.EXTRACT_COLUMNS, "column_name", "value"))
+    return P.infer_corrected(P.profile_cells_sampled(cells))
+
+
+OTHERS["infer_sampled"] = (q_infer_sampled, O.infer_sampled_sql)

@@ -120,8 +120,12 @@ def cells_sql(source: str, columns: list[str], file_name: str, extra: str = "")
     return "\nUNION ALL\n".join(parts)
 
 
-def profile_sql(cells: str) -> str:
-    """CTE text ``prof`` over a cells CTE: per-column rule booleans."""
+def profile_sql(cells: str, sampled: bool = False) -> str:
+    """CTE text ``prof`` over a cells CTE: per-column rule booleans.
+
+    ``sampled``: first 200 rows per file by row_idx; date ratio over the
+    first 100 non-blank and the decimal flag over the first 50 non-null
+    values of each column."""
     v = "v"
     t = f"trim(v, {WS})"
     body = f"left({t}, length({t}) - 1)"
@@ -133,20 +137,32 @@ def profile_sql(cells: str) -> str:
     pat = "|".join(f"(?:{p})" for p in K.DEFAULT_DATETIME_PATTERNS)
     ratio_valid = " OR ".join(_parses("tv", f, RATIO_GATES[f], K.RATIO_YEAR_MIN, K.RATIO_YEAR_MAX)
                               for f in K.RATIO_DATE_FORMATS)
-    return f"""c0 AS ({cells}),
-c1 AS (SELECT file_name, column_name,
+    if sampled:
+        c0 = f"""c00 AS ({cells}),
+rr AS (SELECT file_name, row_idx, row_number() OVER (PARTITION BY file_name ORDER BY row_idx) AS rn
+  FROM (SELECT DISTINCT file_name, row_idx FROM c00)),
+c0 AS (SELECT c.* FROM c00 c JOIN rr ON c.file_name = rr.file_name AND c.row_idx = rr.row_idx WHERE rr.rn <= 200)"""
+        ranks = (", row_number() OVER (PARTITION BY file_name, column_name, v IS NOT NULL ORDER BY row_idx) AS rn_nn, "
+                 "row_number() OVER (PARTITION BY file_name, column_name, (v IS NOT NULL AND tv <> '') ORDER BY row_idx) AS rn_nb")
+        dec_f, nb_f = "v IS NOT NULL AND rn_nn <= 50", "rn_nb <= 100"
+        keep = ", row_idx"
+    else:
+        c0 = f"c0 AS ({cells})"
+        ranks, dec_f, nb_f, keep = "", "v IS NOT NULL", "TRUE", ""
+    return f"""{c0},
+c1 AS (SELECT file_name, column_name{keep},
   CASE WHEN value IN ({qlist(K.PANDAS_NA_TOKENS)}) THEN NULL ELSE value END AS v FROM c0),
 c2 AS (SELECT *, {norm} AS nv, {t} AS tv FROM c1),
-c3 AS (SELECT *, TRY_CAST(trim(nv, {WS}) AS DOUBLE) AS x, regexp_matches(nv, {q(NUMERIC)}) AS isnum FROM c2),
+c3 AS (SELECT *, TRY_CAST(trim(nv, {WS}) AS DOUBLE) AS x, regexp_matches(nv, {q(NUMERIC)}) AS isnum{ranks} FROM c2),
 prof AS (SELECT file_name, column_name, count(v) AS n_values,
   bool_and(regexp_matches(v, '^\\p{{Nd}}+$')) FILTER (WHERE v IS NOT NULL) AS all_digits,
   bool_or(starts_with(v, '0') AND length(v) > 1) FILTER (WHERE v IS NOT NULL) AS any_zpad,
   bool_and(isnum) FILTER (WHERE v IS NOT NULL) AS all_num,
   bool_and(isnum AND abs(x) < 'inf'::DOUBLE AND x % 1 = 0) FILTER (WHERE v IS NOT NULL) AS all_int,
-  coalesce(bool_or(contains(v, '.') OR contains(v, ',')) FILTER (WHERE v IS NOT NULL), false) AS has_decimal,
+  coalesce(bool_or(contains(v, '.') OR contains(v, ',')) FILTER (WHERE {dec_f}), false) AS has_decimal,
   {fmt_cols},
-  count(*) FILTER (WHERE v IS NOT NULL AND tv <> '') AS n_nonblank,
-  count(*) FILTER (WHERE v IS NOT NULL AND tv <> '' AND regexp_matches(tv, {q(pat)}) AND ({ratio_valid})) AS n_datepat
+  count(*) FILTER (WHERE v IS NOT NULL AND tv <> '' AND {nb_f}) AS n_nonblank,
+  count(*) FILTER (WHERE v IS NOT NULL AND tv <> '' AND {nb_f} AND regexp_matches(tv, {q(pat)}) AND ({ratio_valid})) AS n_datepat
 FROM c3 GROUP BY file_name, column_name)"""
 
 
@@ -533,3 +549,8 @@ SELECT a.file_name AS "File", a.column_name AS "Column", coalesce(t.data_type, {
   CASE WHEN t.data_type IS NOT NULL AND upper(a.actual_type) = upper(t.data_type) THEN '○' ELSE '×' END AS "Match",
   'utf-8' AS "Encoding", ',' AS "Delimiter"
 FROM act a LEFT JOIN types t ON a.file_name = t.file_name AND a.column_name = t.column_name"""
+
+
+def infer_sampled_sql() -> str:
+    cells = cells_sql("extract_orders", EXTRACT_COLUMNS, "extract_orders.txt", extra=", row_idx")
+    return f"WITH {F1},\n{profile_sql(cells, sampled=True)},\n{initial_sql()},\n{corrected_sql()}\nSELECT {CORRECTED_COLS} FROM corr2"
