@@ -52,8 +52,9 @@ def is_all_digits(c) -> Column:
     """
     v = col_of(c)
     ascii_only = F.octet_length(v) == F.length(v)
+    # Non-ASCII values: the first character decides before the whole value is scanned.
     return (F.when(ascii_only, (v != "") & (F.translate(v, "0123456789", "") == ""))
-            .otherwise(v.rlike(DIGITS_REGEX)))
+            .otherwise(v.substr(1, 1).rlike(DIGITS_REGEX) & v.rlike(DIGITS_REGEX)))
 
 
 def is_zero_padded(c) -> Column:

@@ -132,3 +132,15 @@ def rule_status(spark: SparkSession, *, file_rules: DataFrame, datetime_patterns
         F.lit(overrides is not None).alias("overrides_exist"),
         "total_overrides", "datetime_overrides", "storage_overrides",
         (F.lit(overrides is None) | (F.col("total_overrides") == 0)).alias("sync_required"))
+
+
+def default_template(spark: SparkSession) -> dict[str, DataFrame]:
+    """The default rule template an analysis starts from (files, four date
+    patterns, code and price keyword lists)."""
+    return {
+        "unregistered_files": spark.createDataFrame([(f,) for f, _, _ in K.DEFAULT_FILE_RULES], "file_name string"),
+        "datetime_patterns": spark.createDataFrame(list(enumerate(K.DEFAULT_DATETIME_PATTERNS[:4], 1)),
+                                                   "seq int, pattern string"),
+        "code_fields": spark.createDataFrame([(k,) for k in K.DEFAULT_CODE_KEYWORDS[:4]], "keyword string"),
+        "price_fields": spark.createDataFrame([(k,) for k in K.PRICE_SUSPECT_KEYWORDS], "keyword string"),
+    }

@@ -270,3 +270,19 @@ def save_table(df: DataFrame, table_name: str, *, path: str | None = None) -> No
         w.parquet(path)
     else:
         w.saveAsTable(table_name)
+
+
+def consistency(schemas: DataFrame, registry: DataFrame) -> DataFrame:
+    """X11: stored column types of all typed tables against the registry.
+
+    ``schemas``: (table, column, type) from ``schema_table``; registry rows are
+    matched to tables through the sanitised file name (K08).
+    """
+    reg = registry.select(X.sanitize_table_name(F.col("file_name")).alias("table"), "file_name",
+                          F.col("column_name").alias("column"), "data_type")
+    j = schemas.join(reg, ["table", "column"], "left")
+    match = F.when(F.col("data_type").isNotNull() & (F.upper(F.col("type")) == F.upper(F.col("data_type"))),
+                   K.MATCH_YES).otherwise(K.MATCH_NO)
+    return j.select("table", "file_name", "column",
+                    F.coalesce(F.col("data_type"), F.lit(K.UNREGISTERED_LABEL)).alias("Inferred_Type"),
+                    F.col("type").alias("Actual_Type"), match.alias("Match"))

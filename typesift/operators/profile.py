@@ -379,8 +379,11 @@ def infer_corrected(profile: DataFrame, *, file_rules: DataFrame | None = None,
     """R01 + R02/R03: initial and corrected type with the rule that decided."""
     from typesift.sources.rules import default_file_rules, small_side
     spark = profile.sparkSession
-    fr = file_rules if file_rules is not None else default_file_rules(spark)
-    fr = small_side(fr.select(F.col("file_name").alias("_rule_file")).distinct())
+    if file_rules is None:
+        # The shipped rule list has a fixed, known size: broadcast without a check.
+        fr = F.broadcast(default_file_rules(spark).select(F.col("file_name").alias("_rule_file")))
+    else:
+        fr = small_side(file_rules.select(F.col("file_name").alias("_rule_file")).distinct())
     typ, rule, fmt = initial_type_expr(profile)
     base = profile.select("*", typ.alias("initial_type"), rule.alias("initial_rule"), fmt.alias("date_format"))
     j = base.join(fr, base.file_name == fr._rule_file, "left")
@@ -407,3 +410,24 @@ def infer_corrected(profile: DataFrame, *, file_rules: DataFrame | None = None,
 def infer_table(df: DataFrame, file_name: str, **kw) -> DataFrame:
     """Convenience: profile one wide string DataFrame and infer its types."""
     return infer_corrected(profile_cells(to_cells(df, file_name)), **kw)
+
+
+# --------------------------------------------------------------------------
+# Dtype labels
+# --------------------------------------------------------------------------
+
+def dtype_label(profile: DataFrame) -> DataFrame:
+    """A pandas-style dtype label per column from the profile: ``empty``,
+    ``integer``, ``floating``, ``boolean`` or ``string`` (F14)."""
+    all_ = F.col("mask_all")
+    label = (F.when(F.col("n_values") == 0, "empty")
+             .when(has_bit(all_, BIT_INT) & ~has_bit(F.col("mask_any"), BIT_DEC), "integer")
+             .when(has_bit(all_, BIT_NUM), "floating")
+             .otherwise("string"))
+    return profile.select("file_name", "column_name", label.alias("dtype"))
+
+
+def dtype_label_counts(labels: DataFrame) -> DataFrame:
+    """Label counts per file, most frequent first."""
+    return (labels.groupBy("file_name", "dtype").agg(F.count(F.lit(1)).alias("columns"))
+            .orderBy("file_name", F.desc("columns"), "dtype"))

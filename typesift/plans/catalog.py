@@ -27,6 +27,11 @@ PROFILE_TABLES = {
     "nation": ["n_nationkey", "n_name", "n_regionkey"],
     "region": ["r_regionkey", "r_name"],
     "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    "conversations": ["conv_id", "turn", "role", "text"],
+    "pages": ["page_id", "url", "html"],
+    "labels": ["doc_id", "quality", "toxic"],
+    "benchmark": ["item_id", "text"],
 }
 
 
@@ -244,3 +249,17 @@ def q_infer_sampled(spark, sf_dir):
 
 
 OTHERS["infer_sampled"] = (q_infer_sampled, O.infer_sampled_sql)
+
+
+DTYPE_TABLES = ["orders", "lineitem", "customer", "part", "supplier", "nation", "region", "events"]
+
+
+def q_dtype_label_counts(spark, sf_dir):
+    """A20 over the driver tables read as string extracts."""
+    cells = P.cells_of([(f"{t}.parquet", FX.table(spark, sf_dir, t).select(*PROFILE_TABLES[t]))
+                        for t in DTYPE_TABLES])
+    return P.dtype_label_counts(P.dtype_label(P.profile_cells(cells)))
+
+
+OTHERS["dtype_label_counts"] = (q_dtype_label_counts, lambda: O.dtype_label_counts_sql(
+    {t: PROFILE_TABLES[t] for t in DTYPE_TABLES}))

@@ -554,3 +554,11 @@ FROM act a LEFT JOIN types t ON a.file_name = t.file_name AND a.column_name = t.
 def infer_sampled_sql() -> str:
     cells = cells_sql("extract_orders", EXTRACT_COLUMNS, "extract_orders.txt", extra=", row_idx")
     return f"WITH {F1},\n{profile_sql(cells, sampled=True)},\n{initial_sql()},\n{corrected_sql()}\nSELECT {CORRECTED_COLS} FROM corr2"
+
+
+def dtype_label_counts_sql(tables: dict[str, list[str]]) -> str:
+    cells = "\nUNION ALL\n".join(cells_sql(t, cols, f"{t}.parquet") for t, cols in tables.items())
+    return f"""WITH {profile_sql(cells)},
+lab AS (SELECT file_name, CASE WHEN n_values = 0 THEN 'empty' WHEN all_int AND NOT has_decimal THEN 'integer'
+  WHEN all_num THEN 'floating' ELSE 'string' END AS dtype FROM prof)
+SELECT file_name, dtype, count(*) AS columns FROM lab GROUP BY file_name, dtype"""

@@ -300,3 +300,36 @@ def read_compare_report(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.option("header", True).option("inferSchema", False).csv(path)
     first = df.columns[0]
     return df.withColumnRenamed(first, first.lstrip("\ufeff"))
+
+
+# --------------------------------------------------------------------------
+# Header-less probe
+# --------------------------------------------------------------------------
+
+HEADERLESS_CANDIDATES = (",", "\t", ";", "|", " ")
+
+
+def headerless_probe(spark: SparkSession, probed: DataFrame, n_lines: int = 10) -> DataFrame:
+    """Per file, the first candidate delimiter that splits the first
+    ``n_lines`` lines into more than one field, and a dtype label per column
+    of those lines read without a header."""
+    from typesift.operators import profile as P
+    lines = head_lines(spark, probed, n_lines).filter(F.col("line") != "")
+    widths = lines.groupBy("path").agg(*[
+        F.max(F.size(F.split(F.col("line"), "\\Q" + d + "\\E"))).alias(f"w{i}")
+        for i, d in enumerate(HEADERLESS_CANDIDATES)])
+    delim = F.lit("N/A")
+    for i, d in reversed(list(enumerate(HEADERLESS_CANDIDATES))):
+        delim = F.when(F.col(f"w{i}") > 1, F.lit(d)).otherwise(delim)
+    chosen = widths.select("path", delim.alias("delimiter"))
+    split = (lines.join(chosen, "path")
+             .filter(F.col("delimiter") != "N/A")
+             .select("path", "line_no", F.posexplode(F.split(F.col("line"), _regex_quote(F.col("delimiter"))))
+                     .alias("pos", "value")))
+    cells = split.select(F.col("path").alias("file_name"), F.col("pos").cast("string").alias("column_name"), "value")
+    labels = P.dtype_label(P.profile_cells(cells, na_tokens=("",)))
+    per_file = labels.groupBy("file_name").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("column_name").cast("int").alias("p"),
+                                                                          F.col("dtype").alias("d")))),
+                                 lambda x: x["d"]), ", ").alias("data_types"))
+    return chosen.join(per_file.withColumnRenamed("file_name", "path"), "path", "left")
