@@ -72,3 +72,11 @@ def test_analyze_load_fix(spark, scratch):
     assert vals == [10, 20, None]                       # "5-" does not parse on load
     fc = J.fix_cycle(a.registry)
     assert {r["pattern"]: r["fixes"] for r in fc.summary.collect()}["total"] == 0
+
+
+def test_head_methods_agree(spark, scratch):
+    write_f6(scratch)
+    files = S.list_files(spark, scratch)
+    a = sorted(tuple(r) for r in S.probe(files, head_method="stream").collect())
+    b = sorted(tuple(r) for r in S.probe(files, head_method="binaryFile").collect())
+    assert a == b

@@ -4,10 +4,11 @@ Shape of the jobs
 -----------------
 * Listing (S01/S05) reads file metadata only (``binaryFile`` without the
   content column).
-* Probing (S02/S03/S06/S07-S10) reads the first ``head_bytes`` of each file
-  that is not larger than ``probe_max_bytes``; a larger file must get its
-  encoding and delimiter from a file rule (J06) and is marked ``needs_hint``.
-  Everything else is per-file column arithmetic on that head.
+* Probing (S02/S03/S06/S07-S10) reads only the first ``head_bytes`` of each
+  file, inside tasks over the partitioned file list (pyarrow filesystems); the
+  ``binaryFile`` fallback loads whole files and is limited to
+  ``probe_max_bytes`` (larger files then need a file rule and are marked
+  ``needs_hint``).  Everything else is per-file column arithmetic on the head.
 * Scanning (S04) runs ONE CSV scan per (encoding, delimiter) group, all
   columns as strings, no header handling by the reader.  The header of each
   file is its first record in the split that starts at offset 0; header
@@ -54,6 +55,59 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 # Encoding and delimiter probe
 # --------------------------------------------------------------------------
 
+# --------------------------------------------------------------------------
+# Head reads
+# --------------------------------------------------------------------------
+
+HEAD_SCHEMA = "path string, raw binary"
+
+
+def _head_reader(head_bytes: int):
+    """Per-partition reader: the first ``head_bytes`` of each listed file.
+
+    Runs inside tasks (``mapInPandas``): each task opens only its own files
+    and reads only their heads, so the probe's I/O is files x head_bytes, not
+    the corpus size.
+    """
+    def read(batches):
+        import pandas as pd
+        from pyarrow import fs as pafs
+        for pdf in batches:
+            heads = []
+            for p in pdf["path"]:
+                uri = "file://" + p[len("file:"):] if p.startswith("file:/") and not p.startswith("file:///") else p
+                try:
+                    filesystem, inner = pafs.FileSystem.from_uri(uri)
+                    with filesystem.open_input_stream(inner) as f:
+                        heads.append(f.read(head_bytes))
+                except Exception:  # noqa: BLE001 - unreadable file: no head
+                    heads.append(None)
+            yield pd.DataFrame({"path": pdf["path"], "raw": heads})
+    return read
+
+
+def read_heads(files: DataFrame, head_bytes: int = HEAD_BYTES, method: str = "auto") -> DataFrame:
+    """(path, raw) with the first ``head_bytes`` bytes of each file.
+
+    ``method="stream"`` reads heads in tasks through pyarrow's filesystems
+    (local, HDFS, S3); ``"binaryFile"`` uses Spark's binary source, which
+    loads each file whole (bounded by ``probe_max_bytes``); ``"auto"`` streams
+    for schemes pyarrow knows and falls back otherwise.
+    """
+    paths = files.select("path")
+    if method == "auto":
+        sample = paths.first()
+        scheme = (sample["path"].split(":", 1)[0] if sample and ":" in sample["path"] else "file")
+        method = "stream" if scheme in ("file", "hdfs", "s3") else "binaryFile"
+    if method == "stream":
+        spark = files.sparkSession
+        n = max(1, min(spark.sparkContext.defaultParallelism, 10_000))
+        return paths.repartition(n).mapInPandas(_head_reader(head_bytes), HEAD_SCHEMA)
+    plist = [r["path"] for r in paths.collect()]
+    return (files.sparkSession.read.format("binaryFile").load(plist)
+            .select("path", F.substring(F.col("content"), 1, head_bytes).alias("raw")))
+
+
 def _cut_at_last_newline(head: Column) -> Column:
     """Binary head cut after its last LF byte, so no character is split."""
     latin = F.decode(head, "ISO-8859-1")
@@ -101,7 +155,8 @@ def first_lines(text: Column, n: int) -> Column:
 
 
 def probe(files: DataFrame, *, head_bytes: int = HEAD_BYTES, probe_max_bytes: int = PROBE_MAX_BYTES,
-          delimiter_variant: str = "load", file_rules: DataFrame | None = None) -> DataFrame:
+          delimiter_variant: str = "load", file_rules: DataFrame | None = None,
+          head_method: str = "auto") -> DataFrame:
     """Encoding and delimiter per text file.
 
     Encodings are tried in the order utf-8, cp932, shift_jis, utf-16; the first
@@ -115,12 +170,14 @@ def probe(files: DataFrame, *, head_bytes: int = HEAD_BYTES, probe_max_bytes: in
         raise RuntimeError("probe needs spark.sql.legacy.javaCharsets=true and "
                            "spark.sql.legacy.codingErrorAction=true (see typesift.session)")
     text_files = files.filter(F.col("kind") == "text")
-    small = text_files.filter(F.col("length") <= probe_max_bytes)
-    paths = [r["path"] for r in small.select("path").collect()]
+    if head_method == "binaryFile":
+        # binaryFile loads files whole: only files up to probe_max_bytes.
+        small = text_files.filter(F.col("length") <= probe_max_bytes)
+    else:
+        small = text_files
     cands, fb = ((K.LOAD_DELIMITERS, "\t") if delimiter_variant == "load" else (K.ANALYZE_DELIMITERS, ","))
-    if paths:
-        raw = (spark.read.format("binaryFile").load(paths)
-               .select("path", F.substring(F.col("content"), 1, head_bytes).alias("raw")))
+    if small.select("path").limit(1).count():
+        raw = read_heads(small, head_bytes, head_method).filter(F.col("raw").isNotNull())
         raw = raw.select("path", "raw", _cut_at_last_newline(F.col("raw")).alias("head"))
         enc = F.lit(None).cast("string")
         for e in reversed(K.ENCODINGS):
@@ -279,11 +336,10 @@ def layout_report(probed: DataFrame, lines: DataFrame, expected: DataFrame | Non
 
 def head_lines(spark: SparkSession, probed: DataFrame, n: int = 6) -> DataFrame:
     """(path, line_no, line) of the first ``n`` lines of each probed file (from its head)."""
-    paths = [r["path"] for r in probed.filter(F.col("encoding").isNotNull()).select("path").collect()]
-    if not paths:
+    known = probed.filter(F.col("encoding").isNotNull()).select("path")
+    if not known.limit(1).count():
         return spark.createDataFrame([], "path string, line_no int, line string")
-    raw = spark.read.format("binaryFile").load(paths).select(
-        "path", F.substring(F.col("content"), 1, HEAD_BYTES).alias("raw"))
+    raw = read_heads(known, HEAD_BYTES).filter(F.col("raw").isNotNull())
     raw = raw.select("path", "raw", _cut_at_last_newline(F.col("raw")).alias("head"))
     j = raw.join(probed.select("path", "encoding"), "path")
     text = decode_by(F.col("head"), F.col("encoding"), F.col("raw"))
