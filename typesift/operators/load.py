@@ -92,12 +92,19 @@ def load_decisions(cells: DataFrame, types: DataFrame, file_name: str | None = N
     (file_name, column_name, data_type).  Columns without a registry entry
     load as TEXT.
     """
-    # One pass: format bits (empty cells ignored) and the INTEGER blocker.
-    c = P.classify(cells.withColumn("value", X.null_tokens(F.col("value"), ("",))), na_tokens=())
-    d = (c.groupBy("file_name", "column_name")
-         .agg(F.bit_and("m").alias("mask_all"), F.bit_or("m").alias("mask_any"),
-              F.max(F.when(integer_blocker(F.col("v"), normalize), 1).otherwise(0)).alias("_blocked")))
-    d = d.join(types.select("file_name", "column_name", "data_type"), ["file_name", "column_name"], "left")
+    from typesift.sources.rules import small_side
+    keys = ["file_name", "column_name"]
+    reg = types.select(*keys, "data_type")
+    # Only cells of INTEGER columns (fallback check) and DATETIME columns
+    # (format choice) need classifying; the registry is one row per column.
+    needs = small_side(reg.filter(F.col("data_type").isin(K.INTEGER, K.DATETIME)).select(*keys))
+    c = P.classify(cells.join(needs, keys, "left_semi")
+                   .withColumn("value", X.null_tokens(F.col("value"), ("",))), na_tokens=())
+    stats = (c.groupBy(*keys)
+             .agg(F.bit_and("m").alias("mask_all"), F.bit_or("m").alias("mask_any"),
+                  F.max(F.when(integer_blocker(F.col("v"), normalize), 1).otherwise(0)).alias("_blocked")))
+    # Every column present in the data gets a decision (unregistered ones load as TEXT).
+    d = cells.select(*keys).distinct().join(reg, keys, "left").join(stats, keys, "left")
     if overrides is not None:
         ov = overrides.select(F.col("file").alias("file_name"), F.col("field").alias("column_name"),
                               F.lit(True).alias("_forced")).distinct()
