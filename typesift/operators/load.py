@@ -211,12 +211,12 @@ def load_typed_cells(cells: DataFrame, decisions: DataFrame, normalize: bool = F
     The decision table has one row per column and is joined back with a
     checked broadcast; each cell is converted by its column's load type.
     """
-    from typesift.session import ensure_checkpoint_dir
+    from typesift.session import materialize
     from typesift.sources.rules import small_side
     # The decisions come from a full profiling pass: materialise them once in
     # the shared checkpoint folder, so the size check and the join reuse them.
-    ensure_checkpoint_dir(decisions.sparkSession)
-    dec = small_side(decisions.select("file_name", "column_name", "load_type", "date_format").checkpoint())
+    dec = small_side(materialize(decisions.select("file_name", "column_name", "load_type", "date_format"),
+                                 "load-decisions"))
     j = cells.join(dec, ["file_name", "column_name"], "left")
     j = with_datetime_text(j, "value", "date_format", "_dt")
     v, lt = F.col("value"), F.coalesce(F.col("load_type"), F.lit(K.TEXT))

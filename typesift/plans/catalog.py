@@ -219,10 +219,9 @@ def _load_inputs(spark, sf_dir):
     cells = (f1.select(F.lit(FX.EXTRACT_FILE).alias("file_name"), "row_idx", *FX.EXTRACT_COLUMNS)
              .unpivot(["file_name", "row_idx"], FX.EXTRACT_COLUMNS, "column_name", "value"))
     # The registry written by the analysis step (E1); E2 reads it as a stored table.
-    from typesift.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    types = P.infer_corrected(P.profile_cells(_extract_cells(spark, sf_dir))) \
-        .select("file_name", "column_name", F.col("corrected_type").alias("data_type")).checkpoint()
+    from typesift.session import materialize
+    types = materialize(P.infer_corrected(P.profile_cells(_extract_cells(spark, sf_dir)))
+                        .select("file_name", "column_name", F.col("corrected_type").alias("data_type")), "registry")
     overrides = spark.createDataFrame([(f, c, "force_text", k) for f, c, k in O.LOAD_TEST_OVERRIDES],
                                       "file string, field string, action string, kind string")
     dec = L.load_decisions(cells, types, FX.EXTRACT_FILE, overrides)

@@ -76,3 +76,17 @@ def charset_flags_set(spark: SparkSession) -> bool:
     return all(str(spark.conf.get(k, "false")).lower() == "true" for k in LEGACY_CHARSET_CONF)
 
 
+
+
+def materialize(df, name: str):
+    """Cut lineage by writing ``df`` once as Parquet under the shared
+    checkpoint folder and reading it back.
+
+    Unlike ``Dataset.checkpoint()``, which computes an unpersisted plan twice
+    (once to count, once to write), this runs the plan exactly once.  Meant
+    for small derived tables (registries, per-column decisions).
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
