@@ -10,10 +10,10 @@ Shape of the jobs
   ``probe_max_bytes`` (larger files then need a file rule and are marked
   ``needs_hint``).  Everything else is per-file column arithmetic on the head.
 * Scanning (S04) runs ONE CSV scan per (encoding, delimiter) group, all
-  columns as strings, no header handling by the reader.  The header of each
-  file is its first record in the split that starts at offset 0; header
-  cells become a small (file, position, column_name) table that names the
-  body cells by a join.  No per-file plan, no driver loop over data.
+  columns as strings; the reader drops each file's first line, and the
+  header names come from the probe's header line (parsed by ``from_csv``)
+  as a small (file, position, column_name) table that names the body cells
+  by a join.  No per-file plan, no second pass, no driver loop over data.
 """
 
 from __future__ import annotations
@@ -206,8 +206,13 @@ def probe(files: DataFrame, *, head_bytes: int = HEAD_BYTES, probe_max_bytes: in
               .when(F.col("encoding").isNull(), "unreadable")
               .when(F.coalesce(F.col("n_lines"), F.lit(0)) <= 1, "empty")
               .otherwise("ok"))
-    return out.select("path", "file_name", "length", "encoding", "delimiter",
-                      n_header.alias("n_header_cols"), status.alias("status"))
+    res = out.select("path", "file_name", "length", "encoding", "delimiter",
+                     n_header.alias("n_header_cols"), status.alias("status"),
+                     F.regexp_replace(F.col("header_line"), "\r$", "").alias("header_line"))
+    # One row per file, reused by every later step: written once, so file
+    # heads are read once and later plans stay small.
+    from typesift.session import materialize
+    return materialize(res, "probe")
 
 
 def _regex_quote(c: Column) -> Column:
@@ -223,11 +228,18 @@ def read_cells(spark: SparkSession, probed: DataFrame, *, max_columns: int | Non
                with_row_id: bool = True) -> tuple[DataFrame, DataFrame]:
     """Scan all readable files into cells; returns (cells, quarantine).
 
+    One CSV scan per (encoding, delimiter) group.  The reader drops the first
+    line of every file (``header=true`` with an explicit all-string schema);
+    the column names come from the header line the probe already decoded,
+    parsed with the same CSV rules (``from_csv``), as a small
+    (file, position, name) table joined to the body cells.
+
     cells: (file_name, path, row_id, column_name, value); quarantine: cells
     beyond the header width of their file (rows longer than the header).
     Short rows give NULL cells, as a header-padded read does.  Duplicate
     header names get ``.1``, ``.2`` suffixes.
     """
+    from typesift.sources.rules import small_side
     ok = probed.filter(F.col("status") == "ok")
     groups = ok.groupBy("encoding", "delimiter").agg(F.collect_list("path").alias("paths"),
                                                       F.max("n_header_cols").alias("width")).collect()
@@ -236,32 +248,25 @@ def read_cells(spark: SparkSession, probed: DataFrame, *, max_columns: int | Non
         width = max_columns or int(g["width"] or 1)
         cols = [f"c{i}" for i in range(width + 1)]   # one spare column catches long rows
         schema = ", ".join(f"{c} string" for c in cols)
-        rdr = (spark.read.schema(schema).option("header", "false").option("sep", g["delimiter"])
+        rdr = (spark.read.schema(schema).option("header", "true").option("sep", g["delimiter"])
                .option("mode", "PERMISSIVE").option("multiLine", "false"))
         if g["encoding"] == "utf-16":
             rdr = rdr.option("encoding", "UTF-16LE").option("lineSep", "\n")
         else:
             rdr = rdr.option("encoding", K.JVM_CHARSETS[g["encoding"]])
         raw = rdr.csv(g["paths"]).select(
-            "*", F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("row_id"))
-        # Header = first record of the split that starts at offset 0.
-        hid = raw.filter(F.col("_block") == 0).groupBy("path").agg(F.min("row_id").alias("_hid"))
-        from typesift.sources.rules import small_side
-        hid = small_side(hid)
-        marked = raw.join(hid, "path", "left").withColumn("_is_header", F.col("row_id") == F.col("_hid"))
+            "*", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("row_id"))
         arr = F.array(*[F.col(c) for c in cols])
-        header = (marked.filter("_is_header").select("path", F.posexplode(arr).alias("pos", "name"))
+        # Header names from the probe's header line (one row per file).
+        hdr = (ok.filter((F.col("encoding") == g["encoding"]) & (F.col("delimiter") == g["delimiter"]))
+               .select("path", F.from_csv(F.col("header_line"), F.lit(schema), {"sep": g["delimiter"]}).alias("h")))
+        header = (hdr.select("path", F.posexplode(F.array(*[F.col(f"h.{c}") for c in cols])).alias("pos", "name"))
                   .filter(F.col("name").isNotNull()))
-        header = header.withColumn("name", F.when(F.col("pos") == 0, F.regexp_replace("name", "^\\ufeff", ""))
-                                   .otherwise(F.col("name")))
         w = Window.partitionBy("path", "name").orderBy("pos")
         k = F.row_number().over(w) - 1
         header = header.select("path", "pos", F.when(k > 0, F.concat("name", F.lit("."), k.cast("string")))
                                .otherwise(F.col("name")).alias("column_name"))
-        body = (marked.filter(~F.col("_is_header"))
-                .select("path", "row_id", F.posexplode(arr).alias("pos", "value")))
+        body = raw.select("path", "row_id", F.posexplode(arr).alias("pos", "value"))
         named = body.join(small_side(header), ["path", "pos"], "left")
         named = named.select(X.base_name(F.col("path")).alias("file_name"), "path", "row_id", "pos",
                              "column_name", "value")
