@@ -32,6 +32,14 @@ def write_f6(folder: str) -> dict[str, dict]:
         with open(os.path.join(folder, name), "wb") as f:
             f.write(text.encode(pyenc))
         expected[name] = {"encoding": enc, "delimiter": sep}
+    # Irregular layout: 38 tab-separated header names, body separated by runs of spaces.
+    hdr = "\t".join(f"項目{i}" for i in range(38))
+    body = "\n".join("   ".join(f"v{r}_{i}" for i in range(38)) for r in range(5))
+    with open(os.path.join(folder, "k_irregular.csv"), "wb") as f:
+        f.write((hdr + "\n" + body + "\n").encode("cp932"))
+    expected["k_irregular.csv"] = {"encoding": "cp932", "delimiter": "\t"}
+    with open(os.path.join(folder, "m_sheet.xlsx"), "wb") as f:
+        f.write(b"PK\x03\x04")
     for name in ("skip.log", "skip.py", "skip.bak", "skip.db"):
         with open(os.path.join(folder, name), "w") as f:
             f.write("ignored\n")

@@ -80,3 +80,22 @@ def test_head_methods_agree(spark, scratch):
     a = sorted(tuple(r) for r in S.probe(files, head_method="stream").collect())
     b = sorted(tuple(r) for r in S.probe(files, head_method="binaryFile").collect())
     assert a == b
+
+
+def test_excel_listed_as_unsupported(spark, scratch):
+    write_f6(scratch)
+    st = {r["file_name"]: r["status"] for r in S.probe(S.list_files(spark, scratch)).collect()}
+    assert st["m_sheet.xlsx"] == "unsupported"
+
+
+def test_layout_report_irregular(spark, scratch):
+    write_f6(scratch)
+    probed = S.probe(S.list_files(spark, scratch))
+    expected = spark.createDataFrame([("k_irregular.csv", 38)], "file_name string, expected_columns int")
+    rep = {os.path.basename(r["File Path"]): r for r in
+           S.layout_report(probed, S.head_lines(spark, probed), expected).collect()}
+    k = rep["k_irregular.csv"]
+    assert k["header_columns"] == 38 and k["body_columns"] == 38
+    assert k["Irregular"] == "Yes (Known Irregular - Resolved)"
+    assert rep["c_sjis.txt"]["Irregular"] == "Yes (Unusual Delimiter)"
+    assert rep["a_utf8.csv"]["Irregular"] == "No"

@@ -209,6 +209,12 @@ def probe(files: DataFrame, *, head_bytes: int = HEAD_BYTES, probe_max_bytes: in
     res = out.select("path", "file_name", "length", "encoding", "delimiter",
                      n_header.alias("n_header_cols"), status.alias("status"),
                      F.regexp_replace(F.col("header_line"), "\r$", "").alias("header_line"))
+    # Excel files are listed with their own status (not read; see README).
+    excel = files.filter(F.col("kind") == "excel").select(
+        "path", "file_name", "length", F.lit(None).cast("string").alias("encoding"),
+        F.lit(None).cast("string").alias("delimiter"), F.lit(None).cast("int").alias("n_header_cols"),
+        F.lit("unsupported").alias("status"), F.lit(None).cast("string").alias("header_line"))
+    res = res.unionByName(excel)
     # One row per file, reused by every later step: written once, so file
     # heads are read once and later plans stay small.
     from typesift.session import materialize
@@ -318,13 +324,13 @@ def layout_report(probed: DataFrame, lines: DataFrame, expected: DataFrame | Non
     # without, the first splitter giving > 10 columns.
     big = F.filter(F.col("h"), lambda x: x["n"] > K.HEADER_MIN_COLUMNS)
     closest = F.array_min(F.transform(big, lambda x: F.struct(F.abs(x["n"] - exp).alias("d"), x["i"].alias("i"), x["n"].alias("n"))))
-    first_big = F.element_at(big, 1)
+    first_big = F.try_element_at(big, F.lit(1))
     header_cols = F.when(exp.isNotNull(), closest["n"]).otherwise(first_big["n"])
     # Body: candidates with > 5 columns; closest to the expectation, else the first.
     body_c = F.filter(F.array(F.col("b_ws"), F.col("b_tab"), F.col("b_ws"), F.col("b_comma")),
                       lambda n: n > K.BODY_MIN_COLUMNS)
     body_cols = F.when(exp.isNotNull(), F.array_min(F.transform(body_c, lambda n: F.struct(F.abs(n - exp).alias("d"), n.alias("n"))))["n"]) \
-        .otherwise(F.element_at(body_c, 1))
+        .otherwise(F.try_element_at(body_c, F.lit(1)))
     irregular = (F.when(exp.isNotNull(),
                         F.when(header_cols.isNotNull() & (F.abs(header_cols - exp) > K.LAYOUT_DIFF_LIMIT), "Yes (Header Column Mismatch)")
                         .when(body_cols.isNotNull() & (F.abs(body_cols - exp) > K.LAYOUT_DIFF_LIMIT), "Yes (Data Column Mismatch)")
