@@ -73,3 +73,27 @@ def test_erp_normalizer_cases(spark):
     df = spark.createDataFrame([(k,) for k in cases], "v string")
     got = {r["v"]: r["n"] for r in df.select("v", X.normalize_erp_value(F.col("v")).alias("n")).collect()}
     assert got == cases
+
+
+def test_registry_table_create_migrate_save(spark, scratch):
+    import os
+    loc = os.path.join(scratch, "old_master")
+    spark.sql(f"CREATE TABLE old_master (file_name STRING, column_name STRING, data_type STRING) "
+              f"USING parquet LOCATION '{loc}'")
+    t = R.ensure_table(spark, "old_master")
+    assert t.columns == R.REGISTRY_COLUMNS
+    new = FX.registry(spark, SF_SMALL)
+    R.save(R.upsert(t, new), "old_master")
+    assert spark.table("old_master").count() == new.count()
+    R.save(R.upsert(spark.table("old_master"), new), "old_master")
+    assert spark.table("old_master").count() == new.count()
+    spark.sql("DROP TABLE old_master")
+
+
+def test_actual_type_histogram(spark):
+    from typesift.operators import load as L
+    from typesift.operators import reports as RP
+    typed = spark.createDataFrame([(1, 2.0, "x")], "q bigint, p double, m string")
+    sch = L.schema_table(spark, {"t1": typed, "t2": typed.select("m")})
+    got = {r["type"]: r["columns"] for r in RP.actual_type_histogram(sch).collect()}
+    assert got == {"INTEGER": 1, "REAL": 1, "TEXT": 2}

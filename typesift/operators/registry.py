@@ -127,3 +127,28 @@ def fix_application_counts(registry: DataFrame, fixes: DataFrame) -> DataFrame:
     j = applied.join(keys, (applied.file_name == keys.file_name) & (applied.field_name == keys.column_name), "left")
     return j.groupBy("pattern").agg(F.count(F.lit(1)).alias("requested"),
                                     F.count("_hit").alias("matched"))
+
+
+def ensure_table(spark: SparkSession, name: str, location: str | None = None) -> DataFrame:
+    """Create the registry table when missing and add any of the six
+    columns an older table lacks (migration); returns the table."""
+    cols = ", ".join(f"`{c}` STRING" for c in REGISTRY_COLUMNS)
+    loc = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING parquet{loc}")
+    have = set(spark.table(name).columns)
+    missing = [c for c in REGISTRY_COLUMNS if c not in have]
+    if missing:
+        spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({', '.join(f'`{c}` STRING' for c in missing)})")
+    return spark.table(name)
+
+
+def save(registry: DataFrame, name: str) -> DataFrame:
+    """Replace the registry table's content with ``registry`` (six columns).
+
+    The new content is written to a fresh folder first, because it is usually
+    computed from the table it replaces."""
+    from typesift.session import materialize
+    spark = registry.sparkSession
+    fresh = materialize(align(registry), "registry-save")
+    fresh.write.mode("overwrite").insertInto(name)
+    return spark.table(name)
