@@ -144,3 +144,9 @@ def default_template(spark: SparkSession) -> dict[str, DataFrame]:
         "code_fields": spark.createDataFrame([(k,) for k in K.DEFAULT_CODE_KEYWORDS[:4]], "keyword string"),
         "price_fields": spark.createDataFrame([(k,) for k in K.PRICE_SUSPECT_KEYWORDS], "keyword string"),
     }
+
+
+def preview(df: DataFrame, n: int = 10) -> DataFrame:
+    """The first ``n`` fix candidates in key order, for display."""
+    keys = [c for c in ("file_name", "field_name", "File", "Column") if c in df.columns]
+    return df.orderBy(*keys).limit(n)

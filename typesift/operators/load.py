@@ -74,9 +74,9 @@ def datetime_text(v: Column, fmt: str | None) -> Column:
 
 def first_format(mask: Column) -> Column:
     """Name of the first strict format whose bit is set in ``mask``."""
-    out = F.lit(None).cast("string")
-    for fmt, bit in reversed(list(P.FORMAT_BITS.items())):
-        out = F.when(P.has_bit(mask, bit), F.lit(fmt)).otherwise(out)
+    out = None
+    for fmt, bit in P.FORMAT_BITS.items():
+        out = F.when(P.has_bit(mask, bit), F.lit(fmt)) if out is None else out.when(P.has_bit(mask, bit), F.lit(fmt))
     return out
 
 
@@ -182,17 +182,18 @@ def with_datetime_text(df: DataFrame, value: str, fmt: str, out: str) -> DataFra
     }
     parts = []
     for i in range(6):
-        e = F.lit(None).cast("int")
+        e = None
         for fm in K.INFER_DATE_FORMATS:
             role = P._role(fm)
             val = pick[role][i]
             if role == "ymd" and len(X.format_fields(fm)) == 3 and i >= 3:
                 val = F.lit(0)
-            e = F.when(f == fm, val).otherwise(e)
+            e = F.when(f == fm, val) if e is None else e.when(f == fm, val)
         parts.append(e.alias(f"_v{i}"))
-    bit = F.lit(0)
+    bit = None
     for fm, b in P.FORMAT_BITS.items():
-        bit = F.when(f == fm, F.lit(b)).otherwise(bit)
+        bit = F.when(f == fm, F.lit(b)) if bit is None else bit.when(f == fm, F.lit(b))
+    bit = bit.otherwise(F.lit(0))
     shape_ok = (F.coalesce(F.element_at(P._shape_bits(K.INFER_DATE_FORMATS, P.FORMAT_BITS), F.col("_shp")),
                            F.lit(0)).bitwiseAND(bit) != 0)
     d = d.select("*", *parts, shape_ok.alias("_shape_ok"))

@@ -135,39 +135,32 @@ def _shape_bits(formats, bits) -> Column:
 RATIO_BITS = {fmt: 1 << i for i, fmt in enumerate(K.RATIO_DATE_FORMATS)}
 
 
-def classify(cells: DataFrame, *, na_tokens=K.PANDAS_NA_TOKENS,
-             date_patterns=K.DEFAULT_DATETIME_PATTERNS, keep: list[str] | None = None) -> DataFrame:
-    """Per cell: ``v`` (NA tokens nulled), mask ``m``, non-blank ``nb``, date-pattern hit ``dp``.
-
-    Built as a few narrow projections so the generated code stays small:
-    the value is stripped, shaped and split once; calendar validity is
-    computed once per part order (y-m-d, d-m-y, m-d-y, packed, h:m:s) and
-    combined with the formats its digit shape allows.
-    """
+def _classify_stages(na_tokens: tuple, date_patterns: tuple, keep: tuple) -> list[list]:
+    """The select-argument lists of ``classify``, stage by stage."""
     # Every stage keeps all columns of the one before (``select("*", ...)``):
     # a parent that uses all of its child's output lets whole-stage codegen
     # put each stage in its own method, which keeps methods small enough
     # for the JIT.  Columns are dropped only in the last projection.
-    keep = keep or []
-    c = cells.select("file_name", "column_name", *keep, X.null_tokens(F.col("value"), na_tokens).alias("v"))
-    c = c.select("*", X.pystrip(F.col("v")).alias("t"))
+    stages: list[list] = []
+    stages.append(["file_name", "column_name", *keep, X.null_tokens(F.col("value"), na_tokens).alias("v")])
+    stages.append(["*", X.pystrip(F.col("v")).alias("t")])
     t = F.col("t")
     body = t.substr(F.lit(1), F.length(t) - 1)
     minus = t.endswith("-") & X.is_all_digits(F.translate(body, ".", ""))
-    c = c.select("*", X.shape(t).alias("shp"),
-                 F.when(minus, F.concat(F.lit("-"), body)).otherwise(t).alias("norm"))
+    stages.append(["*", X.shape(t).alias("shp"),
+                   F.when(minus, F.concat(F.lit("-"), body)).otherwise(t).alias("norm")])
     # Only values whose digit shape is a date shape are split and cast, so a
     # cast never sees a non-digit string (failed casts are the slow path).
     date_shapes = sorted({s for f in K.INFER_DATE_FORMATS + K.RATIO_DATE_FORMATS for s in X.format_shapes(f)})
-    c = c.select("*", F.col("shp").isin(date_shapes).alias("datey"), X.is_numeric(F.col("norm")).alias("isnum"))
-    c = c.select("*", F.when(F.col("datey"), F.split(F.translate(t, "/.: ", "----"), "-")).alias("parts"),
-                 F.when(F.col("isnum"), F.col("norm").try_cast("double")).alias("x"))
+    stages.append(["*", F.col("shp").isin(date_shapes).alias("datey"), X.is_numeric(F.col("norm")).alias("isnum")])
+    stages.append(["*", F.when(F.col("datey"), F.split(F.translate(t, "/.: ", "----"), "-")).alias("parts"),
+                   F.when(F.col("isnum"), F.col("norm").try_cast("double")).alias("x")])
     nums = [F.try_element_at(F.col("parts"), F.lit(i)).try_cast("int").alias(f"n{i}") for i in range(1, 7)]
     is_packed = F.col("shp") == "00000000"
     packed = [F.when(is_packed, t.substr(1, 4).try_cast("int")).alias("p1"),
               F.when(is_packed, t.substr(5, 2).try_cast("int")).alias("p2"),
               F.when(is_packed, t.substr(7, 2).try_cast("int")).alias("p3")]
-    c = c.select("*", *nums, *packed)
+    stages.append(["*", *nums, *packed])
     n = {i: F.col(f"n{i}") for i in range(1, 7)}
     p = {i: F.col(f"p{i}") for i in range(1, 4)}
 
@@ -183,9 +176,9 @@ def classify(cells: DataFrame, *, na_tokens=K.PANDAS_NA_TOKENS,
         "mdy": (n[3], cal(n[3], n[1], n[2])),
         "packed": (p[1], cal(p[1], p[2], p[3])),
     }
-    c = c.select("*", *[F.coalesce(ok, F.lit(False)).alias(f"cal_{r}") for r, (_, ok) in roles.items()],
-                 F.coalesce(hms(n[1], n[2], n[3]), F.lit(False)).alias("ok_hms"),
-                 F.coalesce(hms(n[4], n[5], n[6]), F.lit(False)).alias("ok_time"))
+    stages.append(["*", *[F.coalesce(ok, F.lit(False)).alias(f"cal_{r}") for r, (_, ok) in roles.items()],
+                   F.coalesce(hms(n[1], n[2], n[3]), F.lit(False)).alias("ok_hms"),
+                   F.coalesce(hms(n[4], n[5], n[6]), F.lit(False)).alias("ok_time")])
 
     def valid_bits(formats, bits, ylo, yhi):
         terms = []
@@ -207,7 +200,7 @@ def classify(cells: DataFrame, *, na_tokens=K.PANDAS_NA_TOKENS,
     fmt_bits = F.when(F.col("v") == t, fmt_bits).otherwise(0)
     ratio_ok = (F.coalesce(F.element_at(_shape_bits(K.RATIO_DATE_FORMATS, RATIO_BITS), shp), F.lit(0))
                 .bitwiseAND(valid_bits(K.RATIO_DATE_FORMATS, RATIO_BITS, K.RATIO_YEAR_MIN, K.RATIO_YEAR_MAX)) != 0)
-    c = c.select("*", fmt_bits.alias("fb"), ratio_ok.alias("rok"))
+    stages.append(["*", fmt_bits.alias("fb"), ratio_ok.alias("rok")])
     fmt_bits, ratio_ok = F.col("fb"), F.col("rok")
     v = F.col("v")
     mask = (F.when(X.is_all_digits(v), BIT_DIGITS).otherwise(0)
@@ -219,10 +212,39 @@ def classify(cells: DataFrame, *, na_tokens=K.PANDAS_NA_TOKENS,
     nonblank = v.isNotNull() & (t != "")
     pat = t.rlike(X.fold_patterns(date_patterns)) if date_patterns else F.lit(False)
     # ratio_ok implies a date shape, so the pattern regex only runs on those.
-    return c.select("file_name", "column_name", *keep, "v",
-                    F.when(v.isNotNull(), mask.cast("long")).alias("m"),
-                    nonblank.alias("nb"),
-                    (nonblank & F.col("datey") & ratio_ok & pat).alias("dp"))
+    stages.append(["file_name", "column_name", *keep, "v",
+                   F.when(v.isNotNull(), mask.cast("long")).alias("m"),
+                   nonblank.alias("nb"),
+                   (nonblank & F.col("datey") & ratio_ok & pat).alias("dp")])
+    return stages
+
+
+# Column expressions here refer to columns by name only, so one built list
+# serves every DataFrame of a session; building it costs ~1 s of py4j calls.
+_STAGES: dict = {}
+
+
+def classify(cells: DataFrame, *, na_tokens=K.PANDAS_NA_TOKENS,
+             date_patterns=K.DEFAULT_DATETIME_PATTERNS, keep: list[str] | None = None) -> DataFrame:
+    """Per cell: ``v`` (NA tokens nulled), mask ``m``, non-blank ``nb``, date-pattern hit ``dp``.
+
+    Built as a few narrow projections so the generated code stays small:
+    the value is stripped, shaped and split once; calendar validity is
+    computed once per part order (y-m-d, d-m-y, m-d-y, packed, h:m:s) and
+    combined with the formats its digit shape allows.
+    """
+    sc_id = cells.sparkSession.sparkContext.applicationId
+    key = (sc_id, tuple(na_tokens or ()), tuple(date_patterns or ()), tuple(keep or ()))
+    stages = _STAGES.get(key)
+    if stages is None:
+        stages = _classify_stages(key[1], key[2], key[3])
+        _STAGES[key] = stages
+    c = cells
+    for args in stages:
+        c = c.select(*args)
+    return c
+
+
 
 
 def profile_cells(cells: DataFrame, *, na_tokens=K.PANDAS_NA_TOKENS,
@@ -311,8 +333,8 @@ def initial_type_expr(p) -> tuple[Column, Column, Column]:
     code = X.is_code_name(F.col("column_name"))
     zpad = has_bit(all_, BIT_DIGITS) & has_bit(any_, BIT_ZPAD)
     fmt = None
-    for f, bit in reversed(list(FORMAT_BITS.items())):
-        fmt = F.when(has_bit(all_, bit), F.lit(f)).otherwise(fmt if fmt is not None else F.lit(None).cast("string"))
+    for f, bit in FORMAT_BITS.items():
+        fmt = F.when(has_bit(all_, bit), F.lit(f)) if fmt is None else fmt.when(has_bit(all_, bit), F.lit(f))
     is_date = fmt.isNotNull()
     rule = (F.when(empty, "empty").when(code, "code_name").when(zpad, "zero_padded")
             .when(is_date, "date_format").when(has_bit(all_, BIT_INT), "integral")
@@ -360,12 +382,14 @@ def keyword_list(keywords: DataFrame | None) -> list[tuple[str, str]]:
 def keyword_match(name: Column, keywords: list[tuple[str, str]]) -> tuple[Column, Column]:
     """(category, keyword) of the first keyword contained in lower(name)."""
     low = F.lower(name)
-    cat = F.lit(None).cast("string")
-    kw = F.lit(None).cast("string")
-    for c, k in reversed(keywords):
+    if not keywords:
+        return F.lit(None).cast("string"), F.lit(None).cast("string")
+    # One flat CASE per output (first hit wins), not nested CASEs.
+    cat = kw = None
+    for c, k in keywords:
         hit = low.contains(k)
-        cat = F.when(hit, F.lit(c)).otherwise(cat)
-        kw = F.when(hit, F.lit(k)).otherwise(kw)
+        cat = F.when(hit, F.lit(c)) if cat is None else cat.when(hit, F.lit(c))
+        kw = F.when(hit, F.lit(k)) if kw is None else kw.when(hit, F.lit(k))
     return cat, kw
 
 
@@ -384,10 +408,32 @@ def infer_corrected(profile: DataFrame, *, file_rules: DataFrame | None = None,
         fr = F.broadcast(default_file_rules(spark).select(F.col("file_name").alias("_rule_file")))
     else:
         fr = small_side(file_rules.select(F.col("file_name").alias("_rule_file")).distinct())
-    typ, rule, fmt = initial_type_expr(profile)
-    base = profile.select("*", typ.alias("initial_type"), rule.alias("initial_rule"), fmt.alias("date_format"))
+    kws = tuple(keyword_list(keywords))
+    key = (spark.sparkContext.applicationId, kws, threshold)
+    if key not in _CORRECTED:
+        _CORRECTED[key] = _corrected_exprs(kws, threshold)
+    first, later = _CORRECTED[key]
+    base = profile.select("*", *first)
     j = base.join(fr, base.file_name == fr._rule_file, "left")
-    cat, kw = keyword_match(F.col("column_name"), keyword_list(keywords))
+    for args in later:
+        j = j.select(*args)
+    return j
+
+
+_CORRECTED: dict = {}
+
+
+def _corrected_exprs(keywords: tuple, threshold: float) -> tuple[list, list]:
+    """Name-based select lists of ``infer_corrected`` (built once per session).
+
+    Keyword match, deciding rule and corrected type are separate stages, each
+    referring to the previous result by name, so no CASE is copied into
+    another."""
+    typ, rule, fmt = initial_type_expr(None)
+    first = [typ.alias("initial_type"), rule.alias("initial_rule"), fmt.alias("date_format")]
+    cat0, kw0 = keyword_match(F.col("column_name"), list(keywords))
+    stage_kw = ["*", cat0.alias("_cat"), kw0.alias("keyword")]
+    cat = F.col("_cat")
     has_dec = F.coalesce(has_bit(F.col("mask_any"), BIT_DEC), F.lit(False))
     ratio = F.when(F.col("n_nonblank") > 0, F.col("n_datepat") / F.col("n_nonblank"))
     date_hit = (ratio >= F.lit(threshold)) & (F.col("initial_type") != K.DATETIME)
@@ -396,15 +442,17 @@ def infer_corrected(profile: DataFrame, *, file_rules: DataFrame | None = None,
                  .when(cat.isin("amount", "quantity"), F.concat(cat, F.lit("_keyword")))
                  .when(F.coalesce(date_hit, F.lit(False)), "date_ratio")
                  .otherwise("initial"))
+    stage_rule = ["*", corr_rule.alias("corrected_rule")]
+    corr_rule = F.col("corrected_rule")
     corrected = (F.when(corr_rule.isin("file_rule", "code_keyword"), K.TEXT)
                  .when(corr_rule.isin("amount_keyword", "quantity_keyword"),
                        F.when(has_dec, K.REAL).otherwise(K.INTEGER))
                  .when(corr_rule == "date_ratio", K.DATETIME)
                  .otherwise(F.col("initial_type")))
-    return j.select("file_name", "column_name", "n_values", "initial_type", "initial_rule",
-                    "date_format", corrected.alias("corrected_type"),
-                    corr_rule.alias("corrected_rule"), kw.alias("keyword"),
-                    "n_nonblank", "n_datepat", has_dec.alias("has_decimal"))
+    last = ["file_name", "column_name", "n_values", "initial_type", "initial_rule",
+            "date_format", corrected.alias("corrected_type"), "corrected_rule", "keyword",
+            "n_nonblank", "n_datepat", has_dec.alias("has_decimal")]
+    return first, [stage_kw, stage_rule, last]
 
 
 def infer_table(df: DataFrame, file_name: str, **kw) -> DataFrame:
