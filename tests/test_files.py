@@ -99,3 +99,11 @@ def test_layout_report_irregular(spark, scratch):
     assert k["Irregular"] == "Yes (Known Irregular - Resolved)"
     assert rep["c_sjis.txt"]["Irregular"] == "Yes (Unusual Delimiter)"
     assert rep["a_utf8.csv"]["Irregular"] == "No"
+
+
+def test_duplicate_and_quoted_headers(spark, scratch):
+    with open(os.path.join(scratch, "i_dups.csv"), "w", encoding="utf-8") as f:
+        f.write('a,a,"x,y",b\n1,2,"3,5",4\n')
+    cells, _ = S.read_cells(spark, S.probe(S.list_files(spark, scratch)))
+    got = {r["column_name"]: r["value"] for r in cells.collect()}
+    assert got == {"a": "1", "a.1": "2", "x,y": "3,5", "b": "4"}

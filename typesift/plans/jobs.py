@@ -96,7 +96,15 @@ def write_typed_tables(cells: DataFrame, decisions: DataFrame, out_dir: str, *,
     The typed cells are pivoted back to rows per file: a table needs static
     column types, so the per-file column list (metadata) is read on the driver.
     """
-    typed = L.load_typed_cells(cells, decisions, normalize)
+    from typesift.session import scratch_dir
+    spark = cells.sparkSession
+    # Typed cells are computed once and written partitioned by file; each
+    # per-file table below reads only its own partition (partition pruning),
+    # instead of recomputing the corpus pipeline once per file.
+    stage = scratch_dir(spark, "typed-cells")
+    (L.load_typed_cells(cells, decisions, normalize).drop("path")
+     .write.mode("overwrite").partitionBy("file_name").parquet(stage))
+    typed = spark.read.parquet(stage)
     plan = {}
     for r in decisions.select("file_name", "column_name", "load_type").collect():
         plan.setdefault(r["file_name"], []).append((r["column_name"], r["load_type"]))
