@@ -77,7 +77,10 @@ def load_folder(spark: SparkSession, path: str, registry: DataFrame, *, override
     probed = S.probe(files)
     cells, _ = S.read_cells(spark, probed)
     types = registry.select("file_name", "column_name", "data_type")
-    dec = L.load_decisions(cells.select("file_name", "column_name", "value"), types, None, overrides, normalize)
+    from typesift.session import materialize
+    # One row per column, used by the report, the table plan and the conversion.
+    dec = materialize(L.load_decisions(cells.select("file_name", "column_name", "value"), types, None,
+                                       overrides, normalize), "load-decisions")
     fmt = probed.select("file_name", "encoding", "delimiter")
     actual = L.actual_types(dec, parity)
     report = (L.compare_report(actual, types).drop("Encoding", "Delimiter")
@@ -106,8 +109,11 @@ def write_typed_tables(cells: DataFrame, decisions: DataFrame, out_dir: str, *,
      .write.mode("overwrite").partitionBy("file_name").parquet(stage))
     typed = spark.read.parquet(stage)
     plan = {}
-    for r in decisions.select("file_name", "column_name", "load_type").collect():
+    names = {}
+    for r in decisions.select("file_name", "column_name", "load_type",
+                              X.sanitize_table_name(F.col("file_name")).alias("table")).collect():
         plan.setdefault(r["file_name"], []).append((r["column_name"], r["load_type"]))
+        names[r["file_name"]] = r["table"]
     written = []
     for file_name, cols in plan.items():
         t = typed.filter(F.col("file_name") == file_name)
@@ -119,8 +125,7 @@ def write_typed_tables(cells: DataFrame, decisions: DataFrame, out_dir: str, *,
                 v = v.try_cast("timestamp_ntz")
             aggs.append(v.alias(c))
         wide = t.groupBy("row_id").agg(*aggs).drop("row_id")
-        name = t.select(X.sanitize_table_name(F.lit(file_name))).first()[0]
-        dest = f"{out_dir.rstrip('/')}/{name}"
+        dest = f"{out_dir.rstrip('/')}/{names[file_name]}"
         wide.write.mode("overwrite").parquet(dest)
         written.append(dest)
     return written
