@@ -127,3 +127,16 @@ def test_r01_matches_restatement(spark, cols):
     got = {r["column_name"]: r["initial_type"] for r in P.infer_initial(P.profile_cells(cells)).collect()}
     want = {f"c{i}": r01(f"c{i}", values) for i, values in enumerate(cols)}
     assert got == want
+
+
+def test_rule_tables_as_dataframes(spark):
+    from typesift.sources import rules as RU
+    df = spark.createDataFrame([("1", "7", "x"), ("2", "8", "y")], "zzz_id string, qty_plain string, memo string")
+    file_rules = spark.createDataFrame([("custom.txt", "utf-8", "\t")], RU.FILE_RULES_SCHEMA)
+    kw = spark.createDataFrame([(1, "code", "zzz"), (1, "quantity", "qty")], RU.KEYWORDS_SCHEMA)
+    got = {r["column_name"]: r for r in P.infer_table(df, "other.txt", keywords=kw, file_rules=file_rules).collect()}
+    assert got["zzz_id"]["corrected_rule"] == "code_keyword" and got["zzz_id"]["keyword"] == "zzz"
+    assert got["qty_plain"]["corrected_type"] == "INTEGER"
+    forced = {r["column_name"]: r["corrected_type"]
+              for r in P.infer_table(df, "custom.txt", keywords=kw, file_rules=file_rules).collect()}
+    assert set(forced.values()) == {"TEXT"}
