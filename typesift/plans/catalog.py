@@ -32,6 +32,7 @@ PROFILE_TABLES = {
     "pages": ["page_id", "url", "html"],
     "labels": ["doc_id", "quality", "toxic"],
     "benchmark": ["item_id", "text"],
+    "embeddings": ["vec_id", "embedding", "label"],
 }
 
 
