@@ -107,3 +107,11 @@ def test_duplicate_and_quoted_headers(spark, scratch):
     cells, _ = S.read_cells(spark, S.probe(S.list_files(spark, scratch)))
     got = {r["column_name"]: r["value"] for r in cells.collect()}
     assert got == {"a": "1", "a.1": "2", "x,y": "3,5", "b": "4"}
+
+
+def test_quoted_line_breaks_with_multi_line(spark, scratch):
+    with open(os.path.join(scratch, "j_multiline.csv"), "w", encoding="utf-8") as f:
+        f.write('id,note\n1,"first line\nsecond line"\n2,plain\n')
+    cells, _ = S.read_cells(spark, S.probe(S.list_files(spark, scratch)), multi_line=True)
+    notes = sorted(r["value"] for r in cells.filter(F.col("column_name") == "note").collect())
+    assert notes == ["first line\nsecond line", "plain"]

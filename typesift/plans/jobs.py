@@ -40,11 +40,11 @@ class Analysis:
 
 def analyze_folder(spark: SparkSession, path: str, *, registry: DataFrame | None = None,
                    file_rules: DataFrame | None = None, keywords: DataFrame | None = None,
-                   delimiter_variant: str = "load") -> Analysis:
+                   delimiter_variant: str = "load", multi_line: bool = False) -> Analysis:
     """Analyze every extract file in ``path`` and upsert the registry."""
     files = S.list_files(spark, path)
     probed = S.probe(files, delimiter_variant=delimiter_variant, file_rules=file_rules)
-    cells, quarantine = S.read_cells(spark, probed)
+    cells, quarantine = S.read_cells(spark, probed, multi_line=multi_line)
     prof = P.profile_cells(cells.select("file_name", "column_name", "value"))
     types = P.infer_corrected(prof, file_rules=file_rules, keywords=keywords)
     fmt = probed.select("file_name", F.col("encoding").alias("Encoding"), F.col("delimiter").alias("Delimiter"))
@@ -66,7 +66,8 @@ class Load:
 
 
 def load_folder(spark: SparkSession, path: str, registry: DataFrame, *, overrides: DataFrame | None = None,
-                out_dir: str | None = None, normalize: bool = False, parity: bool = True) -> Load:
+                out_dir: str | None = None, normalize: bool = False, parity: bool = True,
+                multi_line: bool = False) -> Load:
     """Typed tables for every readable file and the comparison report.
 
     With ``out_dir`` each typed table is written as Parquet under
@@ -75,7 +76,7 @@ def load_folder(spark: SparkSession, path: str, registry: DataFrame, *, override
     """
     files = S.list_files(spark, path)
     probed = S.probe(files)
-    cells, _ = S.read_cells(spark, probed)
+    cells, _ = S.read_cells(spark, probed, multi_line=multi_line)
     types = registry.select("file_name", "column_name", "data_type")
     from typesift.session import materialize
     # One row per column, used by the report, the table plan and the conversion.

@@ -231,7 +231,7 @@ def _regex_quote(c: Column) -> Column:
 # --------------------------------------------------------------------------
 
 def read_cells(spark: SparkSession, probed: DataFrame, *, max_columns: int | None = None,
-               with_row_id: bool = True) -> tuple[DataFrame, DataFrame]:
+               with_row_id: bool = True, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
     """Scan all readable files into cells; returns (cells, quarantine).
 
     One CSV scan per (encoding, delimiter) group.  The reader drops the first
@@ -244,6 +244,9 @@ def read_cells(spark: SparkSession, probed: DataFrame, *, max_columns: int | Non
     beyond the header width of their file (rows longer than the header).
     Short rows give NULL cells, as a header-padded read does.  Duplicate
     header names get ``.1``, ``.2`` suffixes.
+
+    ``multi_line=True`` lets quoted fields contain line breaks; the reader
+    then cannot split a file, so each file is read by one task.
     """
     from typesift.sources.rules import small_side
     ok = probed.filter(F.col("status") == "ok")
@@ -255,7 +258,7 @@ def read_cells(spark: SparkSession, probed: DataFrame, *, max_columns: int | Non
         cols = [f"c{i}" for i in range(width + 1)]   # one spare column catches long rows
         schema = ", ".join(f"{c} string" for c in cols)
         rdr = (spark.read.schema(schema).option("header", "true").option("sep", g["delimiter"])
-               .option("mode", "PERMISSIVE").option("multiLine", "false"))
+               .option("mode", "PERMISSIVE").option("multiLine", "true" if multi_line else "false"))
         if g["encoding"] == "utf-16":
             rdr = rdr.option("encoding", "UTF-16LE").option("lineSep", "\n")
         else:
