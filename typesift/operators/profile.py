@@ -69,6 +69,7 @@ def to_cells(df: DataFrame, file_name: str | None = None, *, file_col: str | Non
 
 
 SMALL_INPUT_BYTES = 2 << 30
+TINY_INPUT_BYTES = 1 << 20     # below this one task is faster than a shuffle
 
 
 def _input_bytes(df: DataFrame) -> int | None:
@@ -96,7 +97,7 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """
     cores = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     size = _input_bytes(df)
-    if size is not None and size <= SMALL_INPUT_BYTES:
+    if size is not None and TINY_INPUT_BYTES < size <= SMALL_INPUT_BYTES:
         return df.repartition(cores)
     return df
 
