@@ -6,9 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from typesift.llm import packing, token_orc
+from typesift.llm import decontaminate, near_dedup, packing, token_orc
+from typesift.llm.oracles import ORACLES
 from typesift.llm.session import table
 
+__all__ = ["ORACLES", "QUERIES"]
+
+
+def op1_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op1(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_hamming_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.op3(table(spark, sf_dir, "documents"))
+
 
 def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.op6(spark, table(spark, sf_dir, "documents"))
@@ -19,5 +30,5 @@ def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_token_orc, op8_pattern_packing)}
-ORACLES: dict[str, str] = {}
+    f.__name__: f for f in (op1_suffix_decontamination, op3_hamming_near_dedup, op6_token_orc, op8_pattern_packing)}
+
