@@ -47,4 +47,93 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_i
 FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_suffix_decontamination": OP1, "op3_hamming_near_dedup": OP3}
+OP4 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+l AS (SELECT doc_id, [x for x in string_split(t, chr(10)) if regexp_matches(x, '{_WORD}')] AS l FROM d),
+win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 2), ' ') AS t
+        FROM d, unnest(range(1, greatest(len(w) - 1, 1))) AS r(i)),
+again AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS n FROM win),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM again, unnest(range(i, i + 3)) AS r(p) WHERE n > 1 GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+    len(l) AS n_lines, len(regexp_extract_all(t, '[A-Z]')) AS upper, len(regexp_extract_all(t, '[A-Za-z]')) AS letters,
+    len(regexp_extract_all(t, '!')) AS exclaims, len([x for x in w if regexp_matches(x, '[A-Za-z]|[^\\x00-\\x7F]')]) AS lettered,
+    len([x for x in l if suffix(x, '...')]) AS dots
+  FROM d JOIN l USING (doc_id) LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR 100 * upper > 40 * letters OR 10 * exclaims > n_words
+       OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 3 * n_words OR word_chars > 10 * n_words
+       OR 100 * lettered < 80 * n_words OR 100 * dots > 30 * n_lines) AS kept
+FROM f
+"""
+
+
+def _found(kind: int, name: str, pattern: str, keep: str = "true", part: str = "m") -> str:
+    """Spans of one kind: matches and the gaps between them give the places.
+
+    keep: a condition on the match m; part: the end of m that is the span.
+    """
+    p = pattern.replace("'", "''")
+    return f"""
+SELECT doc_id, {kind} AS k, '{name}' AS kind, s + length(m) - length({part}) AS s, s + length(m) AS e FROM (
+  SELECT doc_id, ms[i] AS m,
+    list_sum([length(x) for x in list_slice(gs, 1, i)]) + coalesce(list_sum([length(x) for x in list_slice(ms, 1, i - 1)]), 0) AS s
+  FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS gs FROM d WHERE regexp_matches(t, '{p}')),
+    unnest(range(1, len(ms) + 1)) AS r(i)) WHERE {keep}"""
+
+
+def _digest(base: list[tuple], more: list[tuple]) -> str:
+    every = [_found(i, *rule) for i, rule in enumerate(base + more)]
+    names = [rule[0] for rule in base]
+    part = "kind || ':' || s || ':' || e"
+    counts = ", ".join(f"count(*) FILTER (kind = '{n}') AS n_{n}" for n in names)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(every)}),
+g AS (SELECT doc_id, {counts}, string_agg({part}, ',' ORDER BY s, k) FILTER (k < {len(names)}) AS base,
+      string_agg({part}, ',' ORDER BY s, k) AS spans FROM f GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{n}, 0) AS n_{n}" for n in names)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+_KEYWORD = "(?:" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")) + ")"
+_ASSIGN = _KEYWORD + r"""["']?\x20*[:=]\x20*["']?"""
+_IN_ASSIGN = _ASSIGN.replace("'", "''")
+
+OP9 = _digest(
+    [("assign", _ASSIGN + "[A-Za-z0-9+/_.=-]+", f"length(regexp_extract(m, '^{_IN_ASSIGN}([A-Za-z0-9+/_.=-]+)$', 1)) >= 6"),
+     ("access", "AKIA[A-Z0-9]+", "length(m) >= 20"),
+     ("hex", "[0-9a-f]+", "length(m) >= 24")],
+    [("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+     ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+     ("github", "gh[pousr]_[A-Za-z0-9]+", "length(m) >= 40"),
+     ("slack", "xox[abprs]-[A-Za-z0-9-]+", "length(m) >= 15"),
+     ("google", "AIza[A-Za-z0-9_-]+", "length(m) >= 39")])
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_BACKWARD = f"list_reverse([CAST(x AS INT) for x in string_split({_DIGITS}, '')])"
+_LUHN = (f"list_sum([CASE WHEN i % 2 = 1 THEN {_BACKWARD}[i] ELSE 2 * {_BACKWARD}[i] - CASE WHEN {_BACKWARD}[i] > 4 THEN 9 ELSE 0 END END "
+         f"for i in range(1, length({_DIGITS}) + 1)]) % 10 = 0")
+_IBAN = "regexp_extract(m, '^(?:IBAN|iban|Iban)[:\\x20]*(.*)$', 1)"
+_IBAN_DIGITS = (f"string_split(array_to_string([CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE CAST(ascii(c) - 55 AS VARCHAR) END "
+                f"for c in string_split(substr({_IBAN}, 5) || substr({_IBAN}, 1, 4), '')], ''), '')")
+_SSN = "regexp_extract(m, '[0-9]{3}-[0-9]{2}-[0-9]+$')"
+
+OP10 = _digest(
+    [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+     ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "list_bool_and([CAST(x AS HUGEINT) <= 255 for x in string_split(m, '.')])"),
+     ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}"),
+     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 10 AND 15")],
+    [("link", r"(?:http|https|ftp)://[A-Za-z0-9._~%+-]+:[^\s@/]+@[A-Za-z0-9.-]+"),
+     ("iban", r"(?:IBAN|iban|Iban)[:\x20]*[A-Z]{2}[0-9]{2}[A-Z0-9]+",
+      f"length({_IBAN}) BETWEEN 15 AND 34 AND list_reduce([CAST(c AS INT) for c in {_IBAN_DIGITS}], lambda a, d: (a * 10 + d) % 97) = 1", _IBAN),
+     ("ssn", r"(?:SSN|ssn)[:#\x20]*[0-9]{3}-[0-9]{2}-[0-9]+",
+      f"regexp_matches({_SSN}, '-[0-9]{{4}}$') AND NOT regexp_matches({_SSN}, '^(000|666|9)|-00-|-0000$')", _SSN)])
+
+ORACLES: dict[str, str] = {
+    "op1_suffix_decontamination": OP1, "op3_hamming_near_dedup": OP3, "op4_rule_cascade": OP4, "op9_dfa_secrets": OP9, "op10_anchor_pii": OP10}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from typesift.llm import decontaminate, near_dedup, packing, token_orc
+from typesift.llm import decontaminate, near_dedup, packing, pii, quality, secrets, token_orc, toxicity
 from typesift.llm.oracles import ORACLES
 from typesift.llm.session import table
 
@@ -21,14 +21,31 @@ def op3_hamming_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.op3(table(spark, sf_dir, "documents"))
 
 
+def op4_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op4(table(spark, sf_dir, "documents"))
+
+
 def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.op6(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_nb_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op8(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_decontamination, op3_hamming_near_dedup, op6_token_orc, op8_pattern_packing)}
+def op9_dfa_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op9(table(spark, sf_dir, "documents"))
 
+
+def op10_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op10(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (
+        op1_suffix_decontamination, op3_hamming_near_dedup, op4_rule_cascade, op6_token_orc, op7_nb_ngram_toxicity,
+        op8_pattern_packing, op9_dfa_secrets, op10_anchor_pii)}
