@@ -135,5 +135,35 @@ OP10 = _digest(
      ("ssn", r"(?:SSN|ssn)[:#\x20]*[0-9]{3}-[0-9]{2}-[0-9]+",
       f"regexp_matches({_SSN}, '-[0-9]{{4}}$') AND NOT regexp_matches({_SSN}, '^(000|666|9)|-00-|-0000$')", _SSN)])
 
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, {5 * g + 1}, 5) AS INTEGER) >> {shift}) & 31), 1)"
+    for g in range(8) for shift in (15, 10, 5, 0))
+
+OP2 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS rep FROM p GROUP BY h)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN rep IS NULL OR rep = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN rep <> page_id OR page_id IS NULL THEN rep END AS refers_to
+FROM p JOIN f USING (h)
+"""
+
+OP5 = f"""
+WITH d AS (SELECT doc_id, text AS t, string_split(text, chr(10)) AS l FROM documents),
+lines AS (SELECT doc_id, i, regexp_extract_all(l[i], '{_WORD}') AS w FROM d, unnest(range(1, len(l) + 1)) AS r(i)
+          WHERE doc_id IS NOT NULL),
+leaf AS (SELECT doc_id, i, len(w) || ':' || array_to_string([CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END for x in w[1:8]], ' ') AS k
+         FROM lines WHERE len(w) >= 5),
+rec AS (SELECT k, min(doc_id) AS first FROM leaf GROUP BY k HAVING count(DISTINCT doc_id) >= 2),
+out AS (SELECT DISTINCT doc_id, i FROM leaf JOIN rec USING (k) WHERE doc_id > first),
+gone AS (SELECT doc_id, list(i) AS g FROM out GROUP BY doc_id),
+new AS (SELECT d.doc_id, t, l, coalesce(len(g), 0) AS n,
+  CASE WHEN g IS NULL THEN t ELSE array_to_string([l[i] for i in range(1, len(l) + 1) if NOT list_contains(g, i)], chr(10)) END AS r
+  FROM d LEFT JOIN gone USING (doc_id))
+SELECT doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(n AS BIGINT) AS n_dropped, CAST(length(r) AS BIGINT) AS n_chars, sha256(r) AS text_sha256
+FROM new
+"""
+
 ORACLES: dict[str, str] = {
-    "op1_suffix_decontamination": OP1, "op3_hamming_near_dedup": OP3, "op4_rule_cascade": OP4, "op9_dfa_secrets": OP9, "op10_anchor_pii": OP10}
+    "op1_suffix_decontamination": OP1, "op2_salvage_warc": OP2, "op3_hamming_near_dedup": OP3, "op4_rule_cascade": OP4,
+    "op5_line_template_tree": OP5, "op9_dfa_secrets": OP9, "op10_anchor_pii": OP10}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from typesift.llm import decontaminate, near_dedup, packing, pii, quality, secrets, token_orc, toxicity
+from typesift.llm import decontaminate, line_templates, near_dedup, packing, pii, quality, secrets, token_orc, toxicity, warc
 from typesift.llm.oracles import ORACLES
 from typesift.llm.session import table
 
@@ -17,6 +17,10 @@ def op1_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op1(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_salvage_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op2(table(spark, sf_dir, "pages"))
+
+
 def op3_hamming_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.op3(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,10 @@ def op4_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op4(table(spark, sf_dir, "documents"))
 
 
+def op5_line_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.op5(table(spark, sf_dir, "documents"))
+
+
 def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.op6(spark, table(spark, sf_dir, "documents"))
 
@@ -47,5 +55,5 @@ def op10_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_suffix_decontamination, op3_hamming_near_dedup, op4_rule_cascade, op6_token_orc, op7_nb_ngram_toxicity,
-        op8_pattern_packing, op9_dfa_secrets, op10_anchor_pii)}
+        op1_suffix_decontamination, op2_salvage_warc, op3_hamming_near_dedup, op4_rule_cascade, op5_line_template_tree,
+        op6_token_orc, op7_nb_ngram_toxicity, op8_pattern_packing, op9_dfa_secrets, op10_anchor_pii)}
