@@ -263,19 +263,23 @@ def _next_valid(src: _Source, at: int) -> int:
 def salvage(file, start: int = 0, end: int | None = None) -> Iterator[dict]:
     """Records that begin in [start, end), and gaps (with ``problem``) of the bytes that no record covers.
 
-    A gap belongs to the range it begins in; what lies before the first record
-    of a later range belongs to the range before.
+    A gap goes with the record before it, so that each is told once, whatever
+    the ranges; one at the start of the file goes with the first range.
     """
     src = _Source(file)
     end = src.size if end is None else end
     at = start if start == 0 else _next_valid(src, start)
-    while at < min(end, src.size):
+    inside = at < end
+    while inside and at < src.size:
         try:
             fields, after = _record(src, at)
         except Damaged as e:
             after = _next_valid(src, getattr(e, "end", at + 1))
             yield {"offset": at, "length": after - at, "problem": str(e)}
+            inside = after < end
         else:
+            if at >= end:  # the next range's
+                return
             yield fields | {"offset": at, "length": after - at}
         at = after
 
