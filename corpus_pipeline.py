@@ -2,25 +2,48 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 it as Parquet in the shared checkpoint folder and reads it again for the next.
+All stages but the last return the columns of their input; the last returns the
+pieces of every kept document with their places in the training sequences.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from typesift.llm import packing
+from typesift.llm import decontaminate, line_templates, near_dedup, packing, toxicity
 from typesift.llm.session import materialize, table
 from typesift.llm.tokens import vocabulary
 
 
+def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the toxicity classifier rejects."""
+    return toxicity.reject(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without lines whose template an earlier document has; documents left without a word go."""
+    return line_templates.deduplicate(docs)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest doc_id."""
+    return near_dedup.deduplicate(docs)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold too much of the benchmark."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every kept document's pieces in sequences of at most 2048 tokens."""
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 
-STAGES = [("packing", packed)]
+STAGES = [("toxicity", civil), ("line_dedup", fresh_lines), ("near_dedup", distinct),
+          ("decontamination", uncontaminated), ("packing", packed)]
 
-#: The toxicity stage fits a classifier, which SQL can't express.
+#: The toxicity stage fits a classifier, which SQL can't express; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
