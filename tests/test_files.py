@@ -66,7 +66,7 @@ def test_analyze_load_fix(spark, scratch):
     rep = {(r["File"], r["Column"]): r for r in ld.report.collect()}
     assert rep[("a_utf8.csv", "数量")]["Match"] == "○"
     assert rep[("a_utf8.csv", "売上日")]["Actual_Type"] == "TEXT"     # stored as text (parity)
-    t = spark.read.parquet(os.path.join(out, "a_utf8"))
+    t = J.read_typed_table(spark, out, "a_utf8")
     assert dict(t.dtypes)["数量"] == "bigint" and dict(t.dtypes)["単価"] == "double"
     vals = sorted((r["数量"] for r in t.collect()), key=lambda x: (x is None, x))
     assert vals == [10, 20, None]                       # "5-" does not parse on load
@@ -77,8 +77,8 @@ def test_analyze_load_fix(spark, scratch):
 def test_head_methods_agree(spark, scratch):
     write_f6(scratch)
     files = S.list_files(spark, scratch)
-    a = sorted(tuple(r) for r in S.probe(files, head_method="stream").collect())
-    b = sorted(tuple(r) for r in S.probe(files, head_method="binaryFile").collect())
+    a = sorted(str(r) for r in S.probe(files, head_method="stream").collect())
+    b = sorted(str(r) for r in S.probe(files, head_method="scan").collect())
     assert a == b
 
 
@@ -115,3 +115,106 @@ def test_quoted_line_breaks_with_multi_line(spark, scratch):
     cells, _ = S.read_cells(spark, S.probe(S.list_files(spark, scratch)), multi_line=True)
     notes = sorted(r["value"] for r in cells.filter(F.col("column_name") == "note").collect())
     assert notes == ["first line\nsecond line", "plain"]
+
+
+def put(folder, name, raw):
+    with open(os.path.join(folder, name), "wb") as f:
+        f.write(raw)
+
+
+def rows_of(spark, folder):
+    """{file: rows as dicts} and the quarantined values, read back from the cells."""
+    probed = S.probe(S.list_files(spark, folder))
+    cells, quarantine = S.read_cells(spark, probed)
+    rows = {}
+    for r in cells.collect():
+        rows.setdefault(r["file_name"], {}).setdefault(r["row_id"], {})[r["column_name"]] = r["value"]
+    return {f: sorted(x.values(), key=str) for f, x in rows.items()}, sorted((r["file_name"], r["value"]) for r in quarantine.collect()), probed
+
+
+def test_any_file_name_is_read(spark, scratch):
+    folder = os.path.join(scratch, "in [x] 払 {a}")
+    os.makedirs(folder)
+    names = ["払出明細（大阪）.txt", "with space.csv", "br[1].csv", "p+q%20.csv", "q?.csv"]
+    for n in names:
+        put(folder, n, b"a\tb\n1\t2\n")
+    put(folder, "_hidden.csv", b"a,b\n1,2\n")
+    rows, _, probed = rows_of(spark, folder)
+    assert rows == {n: [{"a": "1", "b": "2"}] for n in names}
+    assert {r["file_name"]: r["status"] for r in probed.collect()}["_hidden.csv"] == "hidden_name"
+
+
+def test_encoding_is_decided_on_the_whole_file(spark, scratch):
+    put(scratch, "late.csv", b"a,b\n" + b"1,2\n" * 30_000 + "x,日本\n".encode("cp932"))
+    put(scratch, "replacement.csv", "a,b\n1,\ufffd\n".encode())
+    rows, _, probed = rows_of(spark, scratch)
+    got = {r["file_name"]: r for r in probed.collect()}
+    assert got["late.csv"]["encoding"] == "cp932" and got["late.csv"]["bad_characters"]["utf-8"] > 0
+    assert len(rows["late.csv"]) == 30_001 and {"a": "x", "b": "日本"} in rows["late.csv"]
+    assert got["replacement.csv"]["encoding"] == "utf-8" and rows["replacement.csv"] == [{"a": "1", "b": "\ufffd"}]
+
+
+def test_cp932_first(spark, scratch):
+    put(scratch, "ascii.csv", b"a,b\n1,2\n")
+    order = ("cp932", "shift_jis", "utf-8")
+    assert S.probe(S.list_files(spark, scratch), encodings=order).first()["encoding"] == "cp932"
+
+
+def test_rows_keep_every_cell(spark, scratch):
+    put(scratch, "quotes.csv", b'a,b\n"say ""hi"", ok",2\n"x"y,"1,2"\nin"ner,\n')
+    put(scratch, "wide.csv", b"a,,c\n1,2,3,4,5\n\na,,c\n6\n")
+    put(scratch, "crlf.txt", "a\tb\r\n1\t上\r\n\t\r\n".encode("cp932"))
+    put(scratch, "lead.csv", b"\n  \nx,y\n1,2\n")
+    put(scratch, "le.txt", "日付\t上\r\n《\t20240101\r\n".encode("utf-16"))
+    put(scratch, "be.txt", b"\xfe\xff" + "日付\t上\r\n《\t20240101\r\n".encode("utf-16-be"))
+    rows, quarantine, _ = rows_of(spark, scratch)
+    assert rows["quotes.csv"] == sorted([{"a": 'say "hi", ok', "b": "2"}, {"a": "xy", "b": "1,2"}, {"a": 'in"ner', "b": ""}], key=str)
+    assert rows["wide.csv"] == sorted([{"a": "1", "Unnamed: 1": "2", "c": "3"}, {"a": "a", "Unnamed: 1": "", "c": "c"},
+                                       {"a": "6", "Unnamed: 1": None, "c": None}], key=str)
+    assert quarantine == [("wide.csv", "4"), ("wide.csv", "5")]
+    assert rows["crlf.txt"] == sorted([{"a": "1", "b": "上"}, {"a": "", "b": ""}], key=str)
+    assert rows["lead.csv"] == [{"x": "1", "y": "2"}]
+    assert rows["le.txt"] == rows["be.txt"] == [{"日付": "《", "上": "20240101"}]
+
+
+def test_unreadable_store_raises(spark, scratch):
+    import pytest
+    gone = spark.createDataFrame([(os.path.join(scratch, "gone.csv"),)], "path string")
+    with pytest.raises(Exception, match="gone.csv"):
+        S.read_heads(gone).collect()
+
+
+def test_load_reports_collisions_and_uses_the_registered_format(spark, scratch):
+    folder, out = os.path.join(scratch, "in"), os.path.join(scratch, "out")
+    os.makedirs(folder)
+    put(folder, "dup-x.csv", b"a\tb\n1\t2\n")
+    put(folder, "dup_x.txt", b"a\tb\n3\t4\n")
+    put(folder, "same1.csv", b"n|d\n1|20240101\n2|x\n")
+    put(folder, "same2.csv", b"n|d\n3|20240102\n")
+    reg = spark.createDataFrame([(f, c, t, t, "utf-8", "|") for f in ("same1.csv", "same2.csv") for c, t in (("n", "INTEGER"), ("d", "DATETIME"))],
+                                "file_name string, column_name string, data_type string, initial_inferred_type string, encoding string, delimiter string")
+    done = J.load_folder(spark, folder, reg, out_dir=out)
+    assert {r["status"]: r["files"] for r in done.tally.collect()} == {"collision": 2, "loaded": 2}
+    assert done.tables.where("status = 'loaded'").select("layout").distinct().count() == 1
+    assert sorted(map(tuple, J.read_typed_table(spark, out, "same1").select("n", "d").collect())) == [(1, "2024-01-01 00:00:00"), (2, None)]
+    assert J.read_typed_table(spark, out, "same2").columns == ["n", "d"]
+
+
+def test_one_failing_layout_leaves_the_others(spark, scratch):
+    folder, out = os.path.join(scratch, "in"), os.path.join(scratch, "out")
+    os.makedirs(folder)
+    put(folder, "good.csv", b"a,b\n1,2\n")
+    put(folder, "bad.csv", b"__table__,b\n1,2\n")  # the name of the writer's own column
+    done = J.load_folder(spark, folder, J.analyze_folder(spark, folder).registry, out_dir=out)
+    got = {r["file_name"]: r["status"] for r in done.tables.collect()}
+    assert got == {"good.csv": "loaded", "bad.csv": "failed"}
+
+
+def test_last_date_column_of_a_crlf_utf16_file_loads(spark, scratch):
+    folder, out = os.path.join(scratch, "in"), os.path.join(scratch, "out")
+    os.makedirs(folder)
+    put(folder, "d.txt", "品\t売上日\r\na\t20240101\r\nb\t20240102\r\n".encode("utf-16"))
+    a = J.analyze_folder(spark, folder)
+    assert {r["column_name"]: r["Inferred_Type"] for r in a.analysis.collect()}["売上日"] == "DATETIME"
+    J.load_folder(spark, folder, a.registry, out_dir=out)
+    assert sorted(r["売上日"] for r in J.read_typed_table(spark, out, "d").collect()) == ["2024-01-01 00:00:00", "2024-01-02 00:00:00"]

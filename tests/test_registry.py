@@ -37,13 +37,14 @@ def test_new_mismatch_equal_cover_all(spark):
     assert new_cols.count() + mismatch.count() + equal.count() == reg.count()
 
 
-def test_append_rejects_existing_keys(spark):
+def test_append_rejects_existing_and_repeated_keys(spark):
+    import pytest
     reg = FX.registry(spark, SF_SMALL)
-    try:
-        R.append(reg, reg.limit(1))
-    except ValueError:
-        return
-    raise AssertionError("append accepted an existing key")
+    new = spark.createDataFrame([("new", "c", "TEXT")], "file_name string, column_name string, data_type string")
+    assert R.append(reg, new).count() == reg.count() + 1
+    for bad in (reg.limit(1), new.unionByName(new)):
+        with pytest.raises(Exception, match="append: the registry has"):
+            R.append(reg, bad).collect()
 
 
 def test_profile_invariant_under_repartition(spark):

@@ -94,3 +94,31 @@ def test_consistency_and_status(spark):
                          keywords=RU.default_keywords(spark), overrides=None).first()
     assert st["unregistered_files"] == 4 and st["sync_required"] is True
     assert st["code_fields"] == len(K.DEFAULT_CODE_KEYWORDS)
+
+
+def test_empty_override_lists_and_remote_paths(spark, scratch):
+    path = os.path.join(scratch, "empty.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump({"datetime_override_fields": [{"file": "a", "field": "b", "action": "force_text"}], "storage_code_fields": []}, f)
+    assert RU.read_overrides(spark, f"file://{path}").count() == 1
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump({"datetime_override_fields": [], "storage_code_fields": []}, f)
+    assert RU.read_overrides(spark, path).count() == 0
+
+
+def test_missing_rule_document_is_written_with_the_defaults(spark, scratch):
+    path = os.path.join(scratch, "rules")
+    doc = RU.read_rule_document(spark, path)
+    assert doc["file_rules"].count() == len(K.DEFAULT_FILE_RULES)
+    again = RU.read_rule_document(spark, path)
+    assert [r["pattern"] for r in again["datetime_patterns"].orderBy("seq").collect()] == list(K.DEFAULT_DATETIME_PATTERNS)
+    assert {(r["name"], r["pattern"]) for r in again["erp_patterns"].collect()} == set(K.DEFAULT_ERP_PATTERNS)
+
+
+def test_fix_rules_as_lines(spark, scratch):
+    rules = spark.createDataFrame(
+        [("pattern2", f"f{i}.txt", "d", "DATETIME", "TEXT", "r", None) for i in range(50)]
+        + [("pattern4", "zm114.txt", "保管場所", "INTEGER", "TEXT", "s", 0.5)], RU.FIX_RULES_SCHEMA)
+    SK.write_fix_rules(rules, os.path.join(scratch, "fixes"))
+    back = SK.read_fix_rule_lines(spark, os.path.join(scratch, "fixes"))
+    assert sorted(map(str, back.select(*rules.columns).collect())) == sorted(map(str, rules.collect()))

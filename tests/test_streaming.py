@@ -20,11 +20,27 @@ def test_incremental_upsert(spark, scratch):
         os.link(os.path.join(src, name), os.path.join(inbox, name))
     q = INC.start(spark, inbox, reg, checkpoint=ckpt, trigger_once=True)
     q.awaitTermination(300)
-    first = spark.read.parquet(reg).count()
+    first = INC.read_registry(spark, reg).count()
     os.link(os.path.join(src, "c_sjis.txt"), os.path.join(inbox, "c_sjis.txt"))
     q = INC.start(spark, inbox, reg, checkpoint=ckpt, trigger_once=True)
     q.awaitTermination(300)
-    rows = spark.read.parquet(reg).collect()
+    rows = INC.read_registry(spark, reg).collect()
     assert first == 10
     assert len(rows) == 15
     assert {r["file_name"] for r in rows} == {"a_utf8.csv", "b_cp932.txt", "c_sjis.txt"}
+
+
+def test_registry_versions(spark, scratch):
+    from typesift.operators import registry as R
+    reg = os.path.join(scratch, "registry")
+    assert INC.read_registry(spark, reg).count() == 0
+    one = spark.createDataFrame([("f", "c", "TEXT", "TEXT", "utf-8", ",")], R.REGISTRY_SCHEMA)
+    INC.write_registry(one, reg)
+    # the new version is computed from the current one
+    INC.write_registry(R.upsert(INC.read_registry(spark, reg), one.selectExpr("'g' file_name", "column_name", "data_type")), reg)
+    assert sorted(r["file_name"] for r in INC.read_registry(spark, reg).collect()) == ["f", "g"]
+    # an unfinished version is not read, and is replaced
+    one.limit(0).write.parquet(f"{reg}/version=3")
+    assert INC.read_registry(spark, reg).count() == 2
+    INC.write_registry(INC.read_registry(spark, reg), reg)
+    assert INC.read_registry(spark, reg).count() == 2

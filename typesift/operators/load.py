@@ -84,27 +84,27 @@ def first_format(mask: Column) -> Column:
 # Decisions
 # --------------------------------------------------------------------------
 
-def load_decisions(cells: DataFrame, types: DataFrame, file_name: str | None = None,
-                   overrides: DataFrame | None = None, normalize: bool = False) -> DataFrame:
+def load_decisions(cells: DataFrame, types: DataFrame, overrides: DataFrame | None = None, normalize: bool = False, *,
+                   columns: DataFrame) -> DataFrame:
     """One row per (file_name, column_name): registered type, load type, date format.
 
     ``cells``: (file_name, column_name, value); ``types``: registry rows
-    (file_name, column_name, data_type).  Columns without a registry entry
-    load as TEXT.
+    (file_name, column_name, data_type); ``columns``: the (file_name,
+    column_name) of all columns, known from the headers or a schema.  Columns
+    without a registry entry load as TEXT.
     """
-    from typesift.sources.rules import small_side
     keys = ["file_name", "column_name"]
     reg = types.select(*keys, "data_type")
     # Only cells of INTEGER columns (fallback check) and DATETIME columns
     # (format choice) need classifying; the registry is one row per column.
-    needs = small_side(reg.filter(F.col("data_type").isin(K.INTEGER, K.DATETIME)).select(*keys))
+    needs = reg.filter(F.col("data_type").isin(K.INTEGER, K.DATETIME)).select(*keys)
     c = P.classify(cells.join(needs, keys, "left_semi")
                    .withColumn("value", X.null_tokens(F.col("value"), ("",))), na_tokens=())
     stats = (c.groupBy(*keys)
              .agg(F.bit_and("m").alias("mask_all"), F.bit_or("m").alias("mask_any"),
                   F.max(F.when(integer_blocker(F.col("v"), normalize), 1).otherwise(0)).alias("_blocked")))
-    # Every column present in the data gets a decision (unregistered ones load as TEXT).
-    d = cells.select(*keys).distinct().join(reg, keys, "left").join(stats, keys, "left")
+    # Every column gets a decision (unregistered ones load as TEXT).
+    d = columns.select(*keys).distinct().join(reg, keys, "left").join(stats, keys, "left")
     if overrides is not None:
         ov = overrides.select(F.col("file").alias("file_name"), F.col("field").alias("column_name"),
                               F.lit(True).alias("_forced")).distinct()
@@ -126,31 +126,31 @@ def load_decisions(cells: DataFrame, types: DataFrame, file_name: str | None = N
 # Typed table (wide) and typed cells (long)
 # --------------------------------------------------------------------------
 
+def typed_value(v: Column, load_type: str, date_format: str | None, normalize: bool = False, parity: bool = True) -> Column:
+    """One column's conversion."""
+    if load_type == K.INTEGER:
+        return integer_value(v, normalize)
+    if load_type == K.REAL:
+        return real_value(v, normalize)
+    if load_type == K.DATETIME:
+        text = datetime_text(v, date_format)
+        return text if parity else text.try_cast("timestamp_ntz")
+    return v
+
+
 def load_typed(df: DataFrame, file_name: str, types: DataFrame, *, overrides: DataFrame | None = None,
                normalize: bool = False, parity: bool = True, columns: list[str] | None = None) -> DataFrame:
-    """The extract as a typed table (K01 writes it)."""
+    """The extract as a typed table (K01 writes it).
+
+    One decision per column comes to the driver, because a table's schema does.
+    """
     cols = columns or df.columns
-    cells = P.to_cells(df, file_name, columns=cols)
+    names = df.sparkSession.createDataFrame([(file_name, c) for c in cols], "file_name string, column_name string")
     dec = {r["column_name"]: r for r in
-           load_decisions(cells, types.filter(F.col("file_name") == file_name), file_name, overrides, normalize)
-           .collect()}
-    out = []
-    for c in cols:
-        v = F.col(f"`{c}`").cast("string")
-        r = dec.get(c)
-        lt = r["load_type"] if r else K.TEXT
-        if lt == K.INTEGER:
-            e = integer_value(v, normalize)
-        elif lt == K.REAL:
-            e = real_value(v, normalize)
-        elif lt == K.DATETIME:
-            e = datetime_text(v, r["date_format"])
-            if not parity:
-                e = e.try_cast("timestamp_ntz")
-        else:
-            e = v
-        out.append(e.alias(c))
-    return df.select(*out)
+           load_decisions(P.to_cells(df, file_name, columns=cols), types.filter(F.col("file_name") == file_name),
+                          overrides, normalize, columns=names).collect()}
+    return df.select(*[typed_value(F.col(f"`{c}`").cast("string"), dec[c]["load_type"], dec[c]["date_format"], normalize, parity)
+                       .alias(c) for c in cols])
 
 
 def with_datetime_text(df: DataFrame, value: str, fmt: str, out: str) -> DataFrame:
@@ -209,16 +209,10 @@ def with_datetime_text(df: DataFrame, value: str, fmt: str, out: str) -> DataFra
 def load_typed_cells(cells: DataFrame, decisions: DataFrame, normalize: bool = False) -> DataFrame:
     """C05 in long form: (…, column_name, load_type, int_value, real_value, text_value).
 
-    The decision table has one row per column and is joined back with a
-    checked broadcast; each cell is converted by its column's load type.
+    The decision table has one row per column; each cell is converted by its
+    column's load type.
     """
-    from typesift.session import materialize
-    from typesift.sources.rules import small_side
-    # The decisions come from a full profiling pass: materialise them once in
-    # the shared checkpoint folder, so the size check and the join reuse them.
-    dec = small_side(materialize(decisions.select("file_name", "column_name", "load_type", "date_format"),
-                                 "load-decisions"))
-    j = cells.join(dec, ["file_name", "column_name"], "left")
+    j = cells.join(decisions.select("file_name", "column_name", "load_type", "date_format"), ["file_name", "column_name"], "left")
     j = with_datetime_text(j, "value", "date_format", "_dt")
     v, lt = F.col("value"), F.coalesce(F.col("load_type"), F.lit(K.TEXT))
     keep = [c for c in cells.columns if c != "value"]
@@ -248,6 +242,12 @@ def schema_table(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame
     return spark.createDataFrame(rows, "table string, column string, type string")
 
 
+def catalog_schema(spark: SparkSession, database: str | None = None) -> DataFrame:
+    """(table, column, type) of the tables in the session's catalog."""
+    names = [t.name for t in (spark.catalog.listTables(database) if database else spark.catalog.listTables()) if not t.isTemporary]
+    return schema_table(spark, {n: spark.table(f"`{database}`.`{n}`" if database else f"`{n}`") for n in names})
+
+
 def actual_types(decisions: DataFrame, parity: bool = True) -> DataFrame:
     """Stored type of each loaded column from the decisions (DATETIME is text under parity)."""
     t = F.when(F.col("load_type") == K.DATETIME, F.lit(K.TEXT if parity else K.DATETIME)) \
@@ -271,15 +271,6 @@ def compare_report(actual: DataFrame, types: DataFrame, encoding: Column | str |
                     match.alias("Match"), lit_or(encoding).alias("Encoding"), lit_or(delimiter).alias("Delimiter"))
 
 
-def save_table(df: DataFrame, table_name: str, *, path: str | None = None) -> None:
-    """Replace the typed table (managed table, or Parquet at ``path``)."""
-    w = df.write.mode("overwrite")
-    if path:
-        w.parquet(path)
-    else:
-        w.saveAsTable(table_name)
-
-
 def consistency(schemas: DataFrame, registry: DataFrame) -> DataFrame:
     """X11: stored column types of all typed tables against the registry.
 

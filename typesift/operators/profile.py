@@ -17,7 +17,7 @@ The decision rules then run on that small per-column result.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,46 +62,11 @@ def to_cells(df: DataFrame, file_name: str | None = None, *, file_col: str | Non
     if not cols:
         raise ValueError("no columns to profile")
     fcol = F.lit(file_name) if file_col is None else F.col(file_col)
-    df = spread(df)
     wide = df.select(fcol.alias("file_name"),
                      *[F.col(f"`{c}`").cast("string").alias(c) for c in cols])
     return wide.unpivot(["file_name"], cols, "column_name", "value")
 
 
-SMALL_INPUT_BYTES = 2 << 30
-TINY_INPUT_BYTES = 1 << 20     # below this one task is faster than a shuffle
-
-
-def _input_bytes(df: DataFrame) -> int | None:
-    """Total size of the files behind ``df`` when they are local, else None."""
-    import os
-    try:
-        files = df.inputFiles()
-    except Exception:  # noqa: BLE001 - not a file-based plan
-        return None
-    total = 0
-    for f in files:
-        path = f[len("file:"):] if f.startswith("file:") else f
-        if "://" in path or not os.path.exists(path):
-            return None
-        total += os.path.getsize(path)
-    return total
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Give a CPU-heavy scan one partition per core when the input is small.
-
-    A big input already has one split per file block or row group and is
-    left alone (no shuffle).  A small local input (one file, one row group)
-    would run on a single task, so it is redistributed round-robin.
-    """
-    cores = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    size = _input_bytes(df)
-    if size is not None and TINY_INPUT_BYTES < size <= SMALL_INPUT_BYTES:
-        return df.repartition(cores)
-    return df
-
-
 def cells_of(tables: list[tuple[str, DataFrame]]) -> DataFrame:
     """Cells of several extracts (U01: UNION ALL of per-file results)."""
     parts = [to_cells(df, name) for name, df in tables]
@@ -222,7 +187,9 @@ def _classify_stages(na_tokens: tuple, date_patterns: tuple, keep: tuple) -> lis
 
 # Column expressions here refer to columns by name only, so one built list
 # serves every DataFrame of a session; building it costs ~1 s of py4j calls.
-_STAGES: dict = {}
+@lru_cache(maxsize=16)
+def _stages(session: str, na_tokens: tuple, date_patterns: tuple, keep: tuple) -> list[list]:
+    return _classify_stages(na_tokens, date_patterns, keep)
 
 
 def classify(cells: DataFrame, *, na_tokens=K.PANDAS_NA_TOKENS,
@@ -235,13 +202,8 @@ def classify(cells: DataFrame, *, na_tokens=K.PANDAS_NA_TOKENS,
     combined with the formats its digit shape allows.
     """
     sc_id = cells.sparkSession.sparkContext.applicationId
-    key = (sc_id, tuple(na_tokens or ()), tuple(date_patterns or ()), tuple(keep or ()))
-    stages = _STAGES.get(key)
-    if stages is None:
-        stages = _classify_stages(key[1], key[2], key[3])
-        _STAGES[key] = stages
     c = cells
-    for args in stages:
+    for args in _stages(sc_id, tuple(na_tokens or ()), tuple(date_patterns or ()), tuple(keep or ())):
         c = c.select(*args)
     return c
 
@@ -256,8 +218,6 @@ def profile_cells(cells: DataFrame, *, na_tokens=K.PANDAS_NA_TOKENS,
     ``sample_rows`` (with an explicit ``row_idx`` column in ``cells``)
     restricts each file to its first N rows (W01); off by default.
     """
-    from typesift.session import tune_codegen
-    tune_codegen(cells.sparkSession)
     if sample_rows is not None:
         cells = first_rows(cells, sample_rows, row_idx)
     c = classify(cells, na_tokens=na_tokens, date_patterns=date_patterns)
@@ -282,8 +242,6 @@ def profile_cells_sampled(cells: DataFrame, *, row_idx: str = "row_idx", rows: i
     no group grows with the data.
     """
     from pyspark.sql import Window
-    from typesift.session import tune_codegen
-    tune_codegen(cells.sparkSession)
     capped = first_rows(cells, rows, row_idx)
     c = classify(capped.select("file_name", "column_name", "value", row_idx),
                  na_tokens=na_tokens, date_patterns=date_patterns, keep=[row_idx])
@@ -306,16 +264,15 @@ def profile_cells_sampled(cells: DataFrame, *, row_idx: str = "row_idx", rows: i
 def first_rows(cells: DataFrame, n: int, row_idx: str | None) -> DataFrame:
     """Keep the first ``n`` rows of each file by an explicit row index.
 
-    ``row_number() <= n`` lets Spark insert a partial WindowGroupLimit before
-    the shuffle, so each task forwards at most ``n`` rows per file.
+    A ``dense_rank`` over the row index numbers the rows, whose cells are
+    several here; Spark's group limit keeps at most ``n`` rows of a file per
+    task before the only shuffle.
     """
     if not row_idx:
         raise ValueError("sampled mode needs an explicit row_idx column")
     from pyspark.sql import Window
-    rows = cells.select("file_name", row_idx).distinct()
     w = Window.partitionBy("file_name").orderBy(row_idx)
-    keep = rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
-    return cells.join(keep, ["file_name", row_idx], "left_semi")
+    return cells.withColumn("_rn", F.dense_rank().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
 def has_bit(mask: Column, bit: int) -> Column:
@@ -359,22 +316,16 @@ def infer_initial(profile: DataFrame) -> DataFrame:
 # J07 keyword match (rules folded once on the driver)
 # --------------------------------------------------------------------------
 
-MAX_RULE_ROWS = 100_000
-
-
 def keyword_list(keywords: DataFrame | None) -> list[tuple[str, str]]:
     """Ordered (category, keyword) pairs from a rule table (seq, category, keyword).
 
-    Rule tables are configuration: their size is checked before they are
-    brought to the driver.
+    Rule tables are configuration that a person edits: each keyword becomes
+    one branch of the match.
     """
     if keywords is None:
         return ([("code", k) for k in K.DEFAULT_CODE_KEYWORDS]
                 + [("amount", k) for k in K.DEFAULT_AMOUNT_KEYWORDS]
                 + [("quantity", k) for k in K.DEFAULT_QUANTITY_KEYWORDS])
-    n = keywords.count()
-    if n > MAX_RULE_ROWS:
-        raise ValueError(f"keyword rule table has {n} rows (limit {MAX_RULE_ROWS})")
     prio = F.when(F.col("category") == "code", 0).when(F.col("category") == "amount", 1).otherwise(2)
     rows = keywords.select("category", "keyword", prio.alias("_p"), "seq").orderBy("_p", "seq").collect()
     return [(r["category"], r["keyword"]) for r in rows]
@@ -402,18 +353,15 @@ def infer_corrected(profile: DataFrame, *, file_rules: DataFrame | None = None,
                     keywords: DataFrame | None = None,
                     threshold: float = K.DATE_RATIO_THRESHOLD) -> DataFrame:
     """R01 + R02/R03: initial and corrected type with the rule that decided."""
-    from typesift.sources.rules import default_file_rules, small_side
+    from typesift.sources.rules import default_file_rules
     spark = profile.sparkSession
     if file_rules is None:
         # The shipped rule list has a fixed, known size: broadcast without a check.
         fr = F.broadcast(default_file_rules(spark).select(F.col("file_name").alias("_rule_file")))
     else:
-        fr = small_side(file_rules.select(F.col("file_name").alias("_rule_file")).distinct())
+        fr = file_rules.select(F.col("file_name").alias("_rule_file")).distinct()
     kws = tuple(keyword_list(keywords))
-    key = (spark.sparkContext.applicationId, kws, threshold)
-    if key not in _CORRECTED:
-        _CORRECTED[key] = _corrected_exprs(kws, threshold)
-    first, later = _CORRECTED[key]
+    first, later = _corrected(spark.sparkContext.applicationId, kws, threshold)
     base = profile.select("*", *first)
     j = base.join(fr, base.file_name == fr._rule_file, "left")
     for args in later:
@@ -421,7 +369,9 @@ def infer_corrected(profile: DataFrame, *, file_rules: DataFrame | None = None,
     return j
 
 
-_CORRECTED: dict = {}
+@lru_cache(maxsize=16)
+def _corrected(session: str, keywords: tuple, threshold: float) -> tuple[list, list]:
+    return _corrected_exprs(keywords, threshold)
 
 
 def _corrected_exprs(keywords: tuple, threshold: float) -> tuple[list, list]:

@@ -52,14 +52,18 @@ def upsert(base: DataFrame, new: DataFrame, order: str | None = None) -> DataFra
     return align(base).join(new1.select(*KEYS), KEYS, "left_anti").unionByName(new1)
 
 
-def append(base: DataFrame, candidates: DataFrame, *, check: bool = True) -> DataFrame:
-    """Append candidate rows; a key that already exists is an error."""
-    cand = align(candidates)
-    if check:
-        clash = cand.join(base.select(*KEYS), KEYS, "left_semi").limit(1).count()
-        if clash:
-            raise ValueError("append: candidate keys already present in the registry")
-    return align(base).unionByName(cand)
+def append(base: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Append candidate rows; a key that exists, or comes twice, is an error.
+
+    The check is part of the plan: reading the result fails on a collision.
+    """
+    rows = align(base).withColumn("_new", F.lit(0)).unionByName(align(candidates).withColumn("_new", F.lit(1)))
+    attrs = [c for c in REGISTRY_COLUMNS if c not in KEYS]
+    one = rows.groupBy(*KEYS).agg(F.count("*").alias("_n"), F.max("_new").alias("_new"),
+                                  F.max(F.struct(*attrs)).alias("_r"))
+    clash = F.raise_error(F.concat(F.lit("append: the registry has, or the candidates repeat, "), F.to_json(F.struct(*KEYS))))
+    checked = F.when((F.col("_n") > 1) & (F.col("_new") == 1), clash.cast("string")).otherwise(F.col("file_name"))
+    return one.select(checked.alias("file_name"), "column_name", *[F.col(f"_r.{a}").alias(a) for a in attrs])
 
 
 def compare_with_master(analyzed: DataFrame, master: DataFrame) -> tuple[DataFrame, DataFrame]:

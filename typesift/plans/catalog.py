@@ -161,7 +161,7 @@ NORMALIZE_COLUMNS = ["partner", "balance", "delta", "eur", "sparse", "storage_lo
 
 
 def q_normalize_values(spark, sf_dir):
-    f1 = P.spread(FX.extract_orders(spark, sf_dir)).select("row_idx", *NORMALIZE_COLUMNS)
+    f1 = FX.extract_orders(spark, sf_dir).select("row_idx", *NORMALIZE_COLUMNS)
     long = f1.unpivot(["row_idx"], NORMALIZE_COLUMNS, "column_name", "value")
     return long.select("row_idx", "column_name", "value", X.normalize_erp_value(F.col("value")).alias("normalized"))
 
@@ -216,7 +216,7 @@ from typesift.operators import load as L  # noqa: E402
 
 
 def _load_inputs(spark, sf_dir):
-    f1 = P.spread(FX.extract_orders(spark, sf_dir))
+    f1 = FX.extract_orders(spark, sf_dir)
     cells = (f1.select(F.lit(FX.EXTRACT_FILE).alias("file_name"), "row_idx", *FX.EXTRACT_COLUMNS)
              .unpivot(["file_name", "row_idx"], FX.EXTRACT_COLUMNS, "column_name", "value"))
     # The registry written by the analysis step (E1); E2 reads it as a stored table.
@@ -225,7 +225,8 @@ def _load_inputs(spark, sf_dir):
                         .select("file_name", "column_name", F.col("corrected_type").alias("data_type")), "registry")
     overrides = spark.createDataFrame([(f, c, "force_text", k) for f, c, k in O.LOAD_TEST_OVERRIDES],
                                       "file string, field string, action string, kind string")
-    dec = L.load_decisions(cells, types, FX.EXTRACT_FILE, overrides)
+    names = spark.createDataFrame([(FX.EXTRACT_FILE, c) for c in FX.EXTRACT_COLUMNS], "file_name string, column_name string")
+    dec = L.load_decisions(cells, types, overrides, columns=names)
     return cells, types, dec
 
 
@@ -245,7 +246,7 @@ OTHERS["compare_inferred_actual"] = (q_compare_inferred_actual, O.compare_inferr
 
 def q_infer_sampled(spark, sf_dir):
     """Parity mode: the original analysis reads 200 rows per file."""
-    f1 = P.spread(FX.extract_orders(spark, sf_dir))
+    f1 = FX.extract_orders(spark, sf_dir)
     cells = (f1.select(F.lit(FX.EXTRACT_FILE).alias("file_name"), "row_idx", *FX.EXTRACT_COLUMNS)
              .unpivot(["file_name", "row_idx"], FX.EXTRACT_COLUMNS, "column_name", "value"))
     return P.infer_corrected(P.profile_cells_sampled(cells))

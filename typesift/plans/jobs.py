@@ -2,19 +2,20 @@
 
 * ``analyze_folder`` (E1): list -> probe -> one scan per format group ->
   profile -> initial + corrected types -> analysis rows and registry upsert.
-* ``load_folder`` (E2): scan -> load decisions from the registry and the
-  overrides -> typed tables (one per file, K01) -> comparison report (J04).
+* ``load_folder`` (E2): scan in the registered formats -> load decisions from
+  the registry and the overrides -> typed tables, one job per layout (K01) ->
+  comparison report (J04).
 * ``fix_cycle`` (E3): registry -> fix rules -> updated registry + overrides.
 * ``master_diff`` (E4): analysis against a registry snapshot taken *before*
   the upsert, so new columns and type changes are visible (D13).
 
-Each step is a lazy DataFrame; the only driver-side values are file paths,
-format groups and per-column decisions (metadata whose size is the number
-of files or columns, never the number of rows).
+Each step is a lazy DataFrame; the only driver-side values are the distinct
+table layouts and, one layout at a time, the paths of its files.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,9 @@ from typesift.operators import fixes as FIX
 from typesift.operators import load as L
 from typesift.operators import profile as P
 from typesift.operators import registry as R
+from typesift.session import materialize
 from typesift.sources import files as S
+from typesift.sources import rules as RULES
 
 
 @dataclass
@@ -39,14 +42,30 @@ class Analysis:
 
 
 def analyze_folder(spark: SparkSession, path: str, *, registry: DataFrame | None = None,
-                   file_rules: DataFrame | None = None, keywords: DataFrame | None = None,
-                   delimiter_variant: str = "load", multi_line: bool = False) -> Analysis:
-    """Analyze every extract file in ``path`` and upsert the registry."""
-    files = S.list_files(spark, path)
-    probed = S.probe(files, delimiter_variant=delimiter_variant, file_rules=file_rules)
-    cells, quarantine = S.read_cells(spark, probed, multi_line=multi_line)
-    prof = P.profile_cells(cells.select("file_name", "column_name", "value"))
-    types = P.infer_corrected(prof, file_rules=file_rules, keywords=keywords)
+                   rules: dict[str, DataFrame] | None = None, delimiter_variant: str = "load",
+                   multi_line: bool = False, encodings: tuple[str, ...] = K.ENCODINGS) -> Analysis:
+    """Analyze every extract file in ``path`` and upsert the registry.
+
+    rules: rule tables by name (file_rules, datetime_patterns, keywords), as
+    ``sources.rules.read_rule_document`` returns them.
+    """
+    return analyze_files(spark, S.list_files(spark, path), registry=registry, rules=rules,
+                         delimiter_variant=delimiter_variant, multi_line=multi_line, encodings=encodings)
+
+
+def analyze_files(spark: SparkSession, files: DataFrame, *, registry: DataFrame | None = None,
+                  rules: dict[str, DataFrame] | None = None, delimiter_variant: str = "load",
+                  multi_line: bool = False, encodings: tuple[str, ...] = K.ENCODINGS, places: list[str] | None = None) -> Analysis:
+    """``analyze_folder`` for listed files; places: paths to scan instead of their whole folders."""
+    rules = rules or {}
+    file_rules = rules.get("file_rules")
+    if file_rules is None:
+        file_rules = RULES.default_file_rules(spark)
+    probed = S.probe(files, delimiter_variant=delimiter_variant, file_rules=file_rules, encodings=encodings, places=places)
+    cells, quarantine = S.read_cells(spark, probed, multi_line=multi_line, places=places)
+    patterns = RULES.patterns_of(rules.get("datetime_patterns"))
+    prof = P.profile_cells(cells.select("file_name", "column_name", "value"), date_patterns=patterns)
+    types = P.infer_corrected(prof, file_rules=file_rules, keywords=rules.get("keywords"))
     fmt = probed.select("file_name", F.col("encoding").alias("Encoding"), F.col("delimiter").alias("Delimiter"))
     analysis = types.join(fmt, "file_name", "left").select(
         "file_name", "column_name", F.col("corrected_type").alias("Inferred_Type"),
@@ -62,74 +81,99 @@ def analyze_folder(spark: SparkSession, path: str, *, registry: DataFrame | None
 class Load:
     report: DataFrame       # File, Column, Inferred_Type, Actual_Type, Match, Encoding, Delimiter
     decisions: DataFrame    # per column: registered type, load type, date format, overridden
+    tables: DataFrame       # per file: table, layout, path, status, problem
     tally: DataFrame        # status -> files (A19)
 
 
+def registered_formats(registry: DataFrame) -> DataFrame:
+    """The encoding and delimiter that the analysis found, as file rules."""
+    return (registry.where("encoding is not null or delimiter is not null").groupBy("file_name")
+            .agg(F.max("encoding").alias("encoding"), F.max("delimiter").alias("separator")))
+
+
 def load_folder(spark: SparkSession, path: str, registry: DataFrame, *, overrides: DataFrame | None = None,
                 out_dir: str | None = None, normalize: bool = False, parity: bool = True,
                 multi_line: bool = False) -> Load:
     """Typed tables for every readable file and the comparison report.
 
-    With ``out_dir`` each typed table is written as Parquet under
-    ``out_dir/<table name>`` (K01, K08); the decisions are computed once for
-    all files together.
+    Files are read in the format the registry holds for them.  With
+    ``out_dir`` each file's typed table is written (see ``write_typed_tables``).
+    Files whose names give the same table name are not loaded but reported
+    with the status ``collision``; a file that fails is reported as ``failed``.
     """
-    files = S.list_files(spark, path)
-    probed = S.probe(files)
+    probed = S.probe(S.list_files(spark, path), file_rules=registered_formats(registry))
     cells, _ = S.read_cells(spark, probed, multi_line=multi_line)
     types = registry.select("file_name", "column_name", "data_type")
-    from typesift.session import materialize
-    # One row per column, used by the report, the table plan and the conversion.
-    dec = materialize(L.load_decisions(cells.select("file_name", "column_name", "value"), types, None,
-                                       overrides, normalize), "load-decisions")
-    fmt = probed.select("file_name", "encoding", "delimiter")
-    actual = L.actual_types(dec, parity)
-    report = (L.compare_report(actual, types).drop("Encoding", "Delimiter")
-              .join(fmt.withColumnRenamed("file_name", "File"), "File", "left")
-              .withColumnRenamed("encoding", "Encoding").withColumnRenamed("delimiter", "Delimiter"))
+    names = probed.where("status = 'ok'").select("file_name", F.explode("names").alias("column_name"))
+    # One row per column, used by the report, the layouts and the conversion.
+    dec = materialize(L.load_decisions(cells.select("file_name", "column_name", "value"), types, overrides, normalize,
+                                       columns=names), "load-decisions")
+    fmt = probed.select(F.col("file_name").alias("File"), F.col("encoding").alias("Encoding"), F.col("delimiter").alias("Delimiter"))
+    report = L.compare_report(L.actual_types(dec, parity), types).drop("Encoding", "Delimiter").join(fmt, "File", "left")
+    tables = table_plan(probed, dec)
     if out_dir:
-        write_typed_tables(cells, dec, out_dir, normalize=normalize, parity=parity)
-    tally = probed.groupBy("status").agg(F.count(F.lit(1)).alias("files"))
-    return Load(report, dec, tally)
+        tables = write_typed_tables(spark, probed, tables, out_dir, normalize=normalize, parity=parity, multi_line=multi_line)
+    tally = tables.groupBy("status").agg(F.count(F.lit(1)).alias("files"))
+    return Load(report, dec, tables, tally)
 
 
-def write_typed_tables(cells: DataFrame, decisions: DataFrame, out_dir: str, *, normalize: bool = False,
-                       parity: bool = True) -> list[str]:
-    """One Parquet table per file, columns typed by the decisions.
+def table_plan(probed: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Per file: table name (K08), layout (its columns with their conversions) and status.
 
-    The typed cells are pivoted back to rows per file: a table needs static
-    column types, so the per-file column list (metadata) is read on the driver.
+    Files with the same columns and decisions share a layout.
+    """
+    at = probed.where("status = 'ok'").select("file_name", F.posexplode("names").alias("pos", "column_name"))
+    cols = at.join(decisions.select("file_name", "column_name", "load_type", "date_format"), ["file_name", "column_name"], "left")
+    layout = cols.groupBy("file_name").agg(F.to_json(F.transform(
+        F.array_sort(F.collect_list(F.struct("pos", "column_name", "load_type", "date_format"))),
+        lambda c: F.array(c["column_name"], c["load_type"], c["date_format"]))).alias("layout"))
+    out = probed.select("file_name", "path", "status").join(layout, "file_name", "left")
+    out = out.withColumn("table_name", X.sanitize_table_name(F.col("file_name")))
+    shared = out.where("status = 'ok'").groupBy("table_name").agg(F.count("*").alias("files"))
+    out = out.join(shared, "table_name", "left")
+    status = F.when((F.col("status") == "ok") & (F.col("files") > 1), "collision").otherwise(F.col("status"))
+    return materialize(out.select("table_name", "file_name", "path", status.alias("status"), "layout"), "table-plan")
+
+
+def write_typed_tables(spark: SparkSession, probed: DataFrame, tables: DataFrame, out_dir: str, *, normalize: bool = False,
+                       parity: bool = True, multi_line: bool = False) -> DataFrame:
+    """One Parquet folder ``out_dir/layout=<hash>/__table__=<table>`` per file.
+
+    One job per layout: its files are scanned, each row's fields are converted
+    by one select and written; nothing is shuffled.  The returned manifest
+    (also written to ``out_dir/_tables``) has each file's status and folder.
     """
-    from typesift.session import scratch_dir
-    spark = cells.sparkSession
-    # Typed cells are computed once and written partitioned by file; each
-    # per-file table below reads only its own partition (partition pruning),
-    # instead of recomputing the corpus pipeline once per file.
-    stage = scratch_dir(spark, "typed-cells")
-    (L.load_typed_cells(cells, decisions, normalize).drop("path")
-     .write.mode("overwrite").partitionBy("file_name").parquet(stage))
-    typed = spark.read.parquet(stage)
-    plan = {}
-    names = {}
-    for r in decisions.select("file_name", "column_name", "load_type",
-                              X.sanitize_table_name(F.col("file_name")).alias("table")).collect():
-        plan.setdefault(r["file_name"], []).append((r["column_name"], r["load_type"]))
-        names[r["file_name"]] = r["table"]
-    written = []
-    for file_name, cols in plan.items():
-        t = typed.filter(F.col("file_name") == file_name)
-        aggs = []
-        for c, lt in cols:
-            src = {"INTEGER": "int_value", "REAL": "real_value"}.get(lt, "text_value")
-            v = F.first(F.when(F.col("column_name") == c, F.col(src)), ignorenulls=True)
-            if lt == K.DATETIME and not parity:
-                v = v.try_cast("timestamp_ntz")
-            aggs.append(v.alias(c))
-        wide = t.groupBy("row_id").agg(*aggs).drop("row_id")
-        dest = f"{out_dir.rstrip('/')}/{names[file_name]}"
-        wide.write.mode("overwrite").parquet(dest)
-        written.append(dest)
-    return written
+    ready = tables.where("status = 'ok'").withColumn("key", F.lower(F.hex(F.xxhash64("layout"))))
+    root = out_dir.rstrip("/")
+    problems = {}
+    for r in ready.select("key", "layout").distinct().collect():  # as many as there are distinct layouts
+        own = ready.where(F.col("key") == r["key"]).select("path", "table_name")
+        try:
+            places = [x["path"] for x in own.select("path").collect()]
+            rows = S.read_rows(spark, probed.join(own.select("path"), "path", "left_semi"), multi_line=multi_line, places=places)
+            typed = [L.typed_value(F.get("fields", F.lit(i)), load_type or K.TEXT, date_format, normalize, parity).alias(name)
+                     for i, (name, load_type, date_format) in enumerate(json.loads(r["layout"]))]
+            # the table of a row's file, as a column whose name no header has
+            (rows.join(F.broadcast(own), "path").select(*typed, F.col("table_name").alias("__table__"))
+             .write.mode("overwrite").partitionBy("__table__").parquet(f"{root}/layout={r['key']}"))
+        except Exception as e:  # one layout's failure leaves the others; it is told in the manifest
+            problems[r["key"]] = str(e).partition("\n")[0][:500]
+    failed = spark.createDataFrame(list(problems.items()), "key string, problem string")
+    done = tables.withColumn("key", F.when(F.col("status") == "ok", F.lower(F.hex(F.xxhash64("layout"))))).join(failed, "key", "left")
+    status = F.when(F.col("problem").isNotNull(), "failed").when(F.col("status") == "ok", "loaded").otherwise(F.col("status"))
+    done = done.select(
+        "table_name", "file_name", "path", "layout", status.alias("status"), "problem",
+        F.when(status == "loaded", F.concat(F.lit(f"{root}/layout="), "key", F.lit("/__table__="), "table_name")).alias("folder"))
+    done.write.mode("overwrite").parquet(f"{root}/_tables")
+    return spark.read.parquet(f"{root}/_tables")
+
+
+def read_typed_table(spark: SparkSession, out_dir: str, table: str) -> DataFrame:
+    """A table that ``write_typed_tables`` has written."""
+    row = spark.read.parquet(f"{out_dir.rstrip('/')}/_tables").where((F.col("table_name") == table) & (F.col("status") == "loaded")).first()
+    if row is None:
+        raise ValueError(f"no loaded table {table}")
+    return spark.read.parquet(row["folder"])
 
 
 @dataclass

@@ -22,12 +22,6 @@ HUGE_METHOD_CONF = "spark.sql.codegen.hugeMethodLimit"
 HUGE_METHOD_LIMIT = "8000"
 
 
-def tune_codegen(spark: SparkSession) -> None:
-    """Apply the HotSpot method-size limit unless the session already set one."""
-    if spark.conf.get(HUGE_METHOD_CONF, "65535") == "65535":
-        spark.conf.set(HUGE_METHOD_CONF, HUGE_METHOD_LIMIT)
-
-
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "typesift",
                   extra: dict | None = None) -> SparkSession:
     """Local/test session.  On a cluster, use the cluster's session and pass
@@ -50,9 +44,10 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) is a scratch folder set.
+    Only a session on one machine (``local``) may leave it unset; it then
+    gets a scratch folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -60,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="typesift-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf

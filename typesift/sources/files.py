@@ -2,140 +2,171 @@
 
 Shape of the jobs
 -----------------
-* Listing (S01/S05) reads file metadata only (``binaryFile`` without the
-  content column).
-* Probing (S02/S03/S06/S07-S10) reads only the first ``head_bytes`` of each
-  file, inside tasks over the partitioned file list (pyarrow filesystems); the
-  ``binaryFile`` fallback loads whole files and is limited to
-  ``probe_max_bytes`` (larger files then need a file rule and are marked
-  ``needs_hint``).  Everything else is per-file column arithmetic on the head.
-* Scanning (S04) runs ONE CSV scan per (encoding, delimiter) group, all
-  columns as strings; the reader drops each file's first line, and the
-  header names come from the probe's header line (parsed by ``from_csv``)
-  as a small (file, position, column_name) table that names the body cells
-  by a join.  No per-file plan, no second pass, no driver loop over data.
+* Listing (S01/S05) reads file metadata only.  Names that Spark's file sources
+  hide (leading ``_`` or ``.``) are listed with the status ``hidden_name``.
+* Heads: the first lines of each file, however long, read in tasks through
+  pyarrow's file systems, or by one Spark text scan where pyarrow does not
+  know the store.  They give the header and the delimiter.
+* Encoding check (S02): one text scan over the whole corpus counts, for each
+  file and encoding, the characters that do not decode; the first encoding in
+  order without any is the file's.  No prefix decides.
+* Rows (S04): one text scan; each line is decoded and split by its file's
+  encoding and delimiter into one array, so a row has no width limit and no
+  file's shape depends on another's.  Quotes follow RFC 4180.  Cells beyond
+  the header go to the quarantine, missing ones are NULL, empty ones ``''``.
+
+Files are matched to their lines by path; no list of paths goes through the
+driver except that of the files of one table layout (see plans.jobs).
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from typesift.functions import constants as K
 from typesift.functions import text as X
-from typesift.session import charset_flags_set
+from typesift.session import charset_flags_set, materialize
 
-HEAD_BYTES = 64 * 1024
-PROBE_MAX_BYTES = 512 * 1024 * 1024
+#: Lines read at the start of a file for its header and delimiter.
+HEAD_LINES = 24
+BYTE_ENCODINGS = tuple(e for e in K.ENCODINGS if e != "utf-16")
+#: Line separator bytes of the scans; a UTF-16 file is scanned by its own byte order.
+LINE_SEPARATORS = {"utf-8": "\n", "cp932": "\n", "shift_jis": "\n", "utf-16le": "\n\x00", "utf-16be": "\x00\n"}
+BOMS = {"utf-16le": b"\xff\xfe", "utf-16be": b"\xfe\xff"}
 
 
 # --------------------------------------------------------------------------
 # Listing and dispatch
 # --------------------------------------------------------------------------
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files in a folder (not recursive) with name, extension, size and kind.
+def literal_path(path: str) -> str:
+    """A path for Spark's readers in which no character is a glob."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
 
-    kind: ``skip`` (.py .log .bak .db), ``excel`` (listed, not read), ``text``.
-    """
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
-          .select("path", "length", "modificationTime"))
+
+def plain_path(encoded: Column) -> Column:
+    """A scan's URI-encoded file path as the listing has it."""
+    return F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
+
+
+def _named(df: DataFrame) -> DataFrame:
     name = X.base_name(F.col("path"))
     low = F.lower(name)
-    skip = None
+    skip = F.lit(False)
     for ext in K.SKIP_EXTENSIONS:
-        skip = low.endswith(ext) if skip is None else (skip | low.endswith(ext))
+        skip = skip | low.endswith(ext)
     excel = low.endswith(K.EXCEL_EXTENSIONS[0]) | low.endswith(K.EXCEL_EXTENSIONS[1])
-    kind = F.when(skip, "skip").when(excel, "excel").otherwise("text")
+    hidden = name.startswith("_") | name.startswith(".")
+    kind = F.when(skip, "skip").when(excel, "excel").when(hidden, "hidden").otherwise("text")
     return df.select("path", name.alias("file_name"), X.extension(F.col("path")).alias("extension"),
                      "length", "modificationTime", kind.alias("kind"))
 
 
-# --------------------------------------------------------------------------
-# Encoding and delimiter probe
-# --------------------------------------------------------------------------
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files in a folder (not recursive) with name, extension, size and kind.
+
+    kind: ``skip`` (.py .log .bak .db), ``excel`` (listed, not read),
+    ``hidden`` (a name Spark's sources do not read), ``text``.
+    """
+    seen = (spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(literal_path(path))
+            .select("path", "length", "modificationTime"))
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = store.globStatus(jvm.org.apache.hadoop.fs.Path(literal_path(path.rstrip("/")) + "/[_.]*")) or []
+    hidden = [(f.getPath().toString(), f.getLen()) for f in found
+              if f.isFile() and not f.getPath().getName().endswith(".crc") and f.getPath().getName() != "_SUCCESS"]
+    if hidden:
+        seen = seen.unionByName(spark.createDataFrame(hidden, "path string, length long")
+                                .withColumn("modificationTime", F.lit(None).cast("timestamp")))
+    return _named(seen)
+
+
+def listed(paths: DataFrame) -> DataFrame:
+    """Files given as (path, length), as ``list_files`` describes them."""
+    return _named(paths.withColumn("modificationTime", F.lit(None).cast("timestamp")))
+
+
+def _folders(files: DataFrame) -> list[str]:
+    """The folders that hold the files (normally one)."""
+    return [r[0] for r in files.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct().collect()]
+
+
+def raw_lines(spark: SparkSession, places: list[str], encoding: str = "utf-8") -> DataFrame:
+    """(path, start, raw) of every line below folders or files; raw: bytes without the line break."""
+    if not places:
+        return spark.createDataFrame([], "path string, start long, raw binary")
+    text = (spark.read.option("lineSep", LINE_SEPARATORS[encoding]).text([literal_path(p) for p in places])
+            .select("*", plain_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("start")))
+    return text.select("path", "start", F.col("value").cast("binary").alias("raw"))
+
 
 # --------------------------------------------------------------------------
-# Head reads
+# Heads
 # --------------------------------------------------------------------------
 
 HEAD_SCHEMA = "path string, raw binary"
+#: Stores that pyarrow opens, and its name for their scheme.
+ARROW_SCHEMES = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs", "abfss": "abfss"}
 
 
-def _head_reader(head_bytes: int):
-    """Per-partition reader: the first ``head_bytes`` of each listed file.
+def open_file(path: str):
+    """An input stream on a Spark path; its name is never parsed as a URI."""
+    from pyarrow import fs
 
-    Runs inside tasks (``mapInPandas``): each task opens only its own files
-    and reads only their heads, so the probe's I/O is files x head_bytes, not
-    the corpus size.
-    """
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return fs.LocalFileSystem().open_input_stream(path)
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"))
+    authority, _, inner = rest.lstrip("/").partition("/")
+    store, base = fs.FileSystem.from_uri(f"{ARROW_SCHEMES[scheme]}://{authority}/")
+    return store.open_input_stream(f"{base.rstrip('/')}/{inner}" if base.strip("/") else
+                                   (f"/{inner}" if scheme == "hdfs" else f"{authority}/{inner}"))
+
+
+def _read_head(path: str, n_lines: int) -> bytes:
+    parts, breaks = [], 0
+    with open_file(path) as f:
+        while breaks < n_lines and (chunk := f.read(1 << 16)):
+            parts.append(chunk)
+            breaks += chunk.count(b"\n")
+    return b"".join(parts)
+
+
+def _head_reader(n_lines: int):
     def read(batches):
         import pandas as pd
-        from pyarrow import fs as pafs
-        for pdf in batches:
-            heads = []
-            for p in pdf["path"]:
-                uri = "file://" + p[len("file:"):] if p.startswith("file:/") and not p.startswith("file:///") else p
-                try:
-                    filesystem, inner = pafs.FileSystem.from_uri(uri)
-                    with filesystem.open_input_stream(inner) as f:
-                        heads.append(f.read(head_bytes))
-                except Exception:  # noqa: BLE001 - unreadable file: no head
-                    heads.append(None)
-            yield pd.DataFrame({"path": pdf["path"], "raw": heads})
+        for pdf in batches:  # an error fails the task: no file is dropped in silence
+            yield pd.DataFrame({"path": pdf["path"], "raw": [_read_head(p, n_lines) for p in pdf["path"]]})
     return read
 
 
-def read_heads(files: DataFrame, head_bytes: int = HEAD_BYTES, method: str = "auto") -> DataFrame:
-    """(path, raw) with the first ``head_bytes`` bytes of each file.
+def read_heads(files: DataFrame, n_lines: int = HEAD_LINES, method: str = "auto") -> DataFrame:
+    """(path, raw): at least the first ``n_lines`` lines of each file (or all it has).
 
-    ``method="stream"`` reads heads in tasks through pyarrow's filesystems
-    (local, HDFS, S3); ``"binaryFile"`` uses Spark's binary source, which
-    loads each file whole (bounded by ``probe_max_bytes``); ``"auto"`` streams
-    for schemes pyarrow knows and falls back otherwise.
+    ``stream`` opens the files in tasks through pyarrow; ``scan`` takes the
+    lines from a Spark text scan, for stores that pyarrow does not open;
+    ``auto`` chooses by the scheme of the paths.
     """
     paths = files.select("path")
+    spark = files.sparkSession
     if method == "auto":
-        sample = paths.first()
-        scheme = (sample["path"].split(":", 1)[0] if sample and ":" in sample["path"] else "file")
-        method = "stream" if scheme in ("file", "hdfs", "s3") else "binaryFile"
+        one = paths.first()
+        scheme = one["path"].partition(":")[0] if one and ":" in one["path"] else "file"
+        method = "stream" if scheme in ARROW_SCHEMES else "scan"
     if method == "stream":
-        spark = files.sparkSession
-        n = max(1, min(spark.sparkContext.defaultParallelism, 10_000))
-        return paths.repartition(n).mapInPandas(_head_reader(head_bytes), HEAD_SCHEMA)
-    plist = [r["path"] for r in paths.collect()]
-    return (files.sparkSession.read.format("binaryFile").load(plist)
-            .select("path", F.substring(F.col("content"), 1, head_bytes).alias("raw")))
-
-
-def _cut_at_last_newline(head: Column) -> Column:
-    """Binary head cut after its last LF byte, so no character is split."""
-    latin = F.decode(head, "ISO-8859-1")
-    pos = F.length(latin) - F.locate("\n", F.reverse(latin)) + 1
-    return F.when(F.locate("\n", latin) > 0, F.substring(head, 1, pos)).otherwise(head)
-
-
-def _head_for(head: Column, raw: Column, e: str) -> Column:
-    """Bytes to decode under encoding ``e``: the head cut at its last LF for
-    byte-oriented encodings; an even-length raw head for UTF-16 (an LF cut
-    would split a two-byte unit)."""
-    if e == "utf-16":
-        return F.substring(raw, 1, (F.length(raw) / 2).cast("int") * 2)
-    return head
-
-
-def decode_by(head: Column, encoding: Column, raw: Column | None = None) -> Column:
-    """Decode with the per-row encoding name (one branch per supported
-    encoding, as decode() takes a literal charset); a leading BOM is dropped."""
-    raw = head if raw is None else raw
-    out = F.lit(None).cast("string")
-    for e in K.ENCODINGS:
-        out = F.when(encoding == e, F.decode(_head_for(head, raw, e), K.JVM_CHARSETS[e])).otherwise(out)
-    return F.regexp_replace(out, "^\ufeff", "")
-
-
-def _decode_ok(head: Column, charset: str) -> Column:
-    return ~F.decode(head, charset).contains("\ufffd")
+        n = max(1, spark.sparkContext.defaultParallelism)
+        return paths.repartition(n).mapInPandas(_head_reader(n_lines), HEAD_SCHEMA)
+    lines = raw_lines(spark, _folders(paths)).where("start = 0").join(paths, "path", "left_semi")
+    w = Window.partitionBy("path").orderBy("id")
+    lines = (lines.withColumn("id", F.monotonically_increasing_id()).withColumn("rn", F.row_number().over(w))
+             .where(F.col("rn") <= n_lines))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", F.hex("raw").alias("h")))), lambda x: x["h"]), "0A")
+    return lines.groupBy("path").agg(F.unhex(F.concat(joined, F.lit("0A"))).alias("raw"))
 
 
 def count_char(text: Column, ch: str) -> Column:
@@ -154,144 +185,254 @@ def first_lines(text: Column, n: int) -> Column:
     return F.array_join(F.slice(F.split(text, "\n"), 1, n), "\n")
 
 
-def probe(files: DataFrame, *, head_bytes: int = HEAD_BYTES, probe_max_bytes: int = PROBE_MAX_BYTES,
-          delimiter_variant: str = "load", file_rules: DataFrame | None = None,
-          head_method: str = "auto") -> DataFrame:
-    """Encoding and delimiter per text file.
+def decode_by(raw: Column, encoding: Column) -> Column:
+    """Decode with the per-row encoding name; a leading BOM is dropped."""
+    charsets = {e: K.JVM_CHARSETS[e] for e in BYTE_ENCODINGS} | {"utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE"}
+    even = F.substring(raw, 1, (F.octet_length(raw) / 2).cast("int") * 2)
+    out = F.lit(None).cast("string")
+    for e, charset in charsets.items():
+        out = F.when(encoding == e, F.decode(even if e.startswith("utf-16") else raw, charset)).otherwise(out)
+    return F.regexp_replace(out, "^\ufeff", "")
 
-    Encodings are tried in the order utf-8, cp932, shift_jis, utf-16; the first
-    that decodes the head without replacement characters wins.  The delimiter
-    is the most frequent candidate in the first five lines (``load`` variant:
-    tab , | ; with tab as fallback; ``analyze`` variant: , tab ; | space with
-    comma as fallback).  Files with a file rule take its hints.
+
+def bad_characters(raw: Column, encoding: str) -> Column:
+    """How many characters of the line do not decode."""
+    decoded = F.decode(raw, K.JVM_CHARSETS[encoding])
+    n = count_char(decoded, "\ufffd")
+    if encoding == "utf-8":  # a replacement character that is in the file is not an error
+        return F.when(F.is_valid_utf8(raw.cast("string")), 0).otherwise(F.greatest(n, F.lit(1)))
+    return n
+
+
+# --------------------------------------------------------------------------
+# Lines to fields (RFC 4180)
+# --------------------------------------------------------------------------
+
+def quoted(delimiter: Column) -> Column:
+    """The delimiter as a literal regex."""
+    return F.concat(F.lit("\\Q"), delimiter, F.lit("\\E"))
+
+
+def fields_of(line: Column, delimiter: Column) -> Column:
+    """A decoded line as an array of fields; a quoted field may hold delimiters and doubled quotes."""
+    d = quoted(delimiter)
+    pattern = F.concat(d, F.lit('("[^"]*+(?:""[^"]*+)*+"(?:(?!'), d, F.lit(").)*+|(?:(?!"), d, F.lit(").)*+)"))
+    parts = F.regexp_extract_all(F.concat(delimiter, line), pattern, F.lit(1))
+    inner = F.transform(parts, lambda f: F.when(f.startswith('"'), F.replace(
+        F.regexp_replace(f, '^"([^"]*+(?:""[^"]*+)*+)"', "$1"), F.lit('""'), F.lit('"'))).otherwise(f))
+    return F.when(line.contains('"'), inner).otherwise(F.split(line, d, -1))
+
+
+def column_names(header: Column) -> Column:
+    """Header fields as pandas names them: blank ones ``Unnamed: n``, repeats ``.1``, ``.2``, ..."""
+    filled = F.transform(header, lambda h, i: F.when(h == "", F.concat(F.lit("Unnamed: "), i.cast("string"))).otherwise(h))
+
+    def unique(h, i):
+        before = F.size(F.filter(F.slice(filled, F.lit(1), i), lambda x: x == h))
+        return F.when(before > 0, F.concat(h, F.lit("."), before.cast("string"))).otherwise(h)
+    return F.transform(filled, unique)
+
+
+# --------------------------------------------------------------------------
+# Encoding and delimiter probe
+# --------------------------------------------------------------------------
+
+def _head_columns(heads: DataFrame) -> DataFrame:
+    """utf16 (byte order of a UTF-16 BOM or NULL) and header_raw, the bytes of the first non-blank line, with its number."""
+    start = F.substring("raw", 1, 2)
+    utf16 = F.lit(None).cast("string")
+    for name, bom in BOMS.items():
+        utf16 = F.when(start == F.lit(bom), name).otherwise(utf16)
+    latin = F.split(F.regexp_replace(F.decode("raw", "ISO-8859-1"), "^\u00ef\u00bb\u00bf", ""), "\n")
+    line = F.try_element_at(F.filter(latin, lambda x: F.btrim(x, F.lit(" \t\r")) != ""), F.lit(1))
+    return heads.select("path", "raw", utf16.alias("utf16"), F.encode(line, "ISO-8859-1").alias("header_raw"))
+
+
+def probe(files: DataFrame, *, delimiter_variant: str = "load", file_rules: DataFrame | None = None,
+          encodings: tuple[str, ...] = K.ENCODINGS, head_method: str = "auto", places: list[str] | None = None) -> DataFrame:
+    """Encoding, delimiter, header and status of each file.
+
+    ``encodings`` is the order of trial (``K.ENCODINGS``, or with cp932 first);
+    UTF-16 is known by its byte order mark.  bad_characters maps each encoding
+    to the characters of the whole file that do not decode under it.  The
+    delimiter is the most frequent candidate in the first five lines (``load``
+    variant: tab , | ; with tab as fallback; ``analyze`` variant: , tab ; |
+    space with comma as fallback).  Files with a file rule take its hints.
+    places: paths to scan instead of the files' whole folders.
     """
     spark = files.sparkSession
     if not charset_flags_set(spark):
         raise RuntimeError("probe needs spark.sql.legacy.javaCharsets=true and "
                            "spark.sql.legacy.codingErrorAction=true (see typesift.session)")
     text_files = files.filter(F.col("kind") == "text")
-    if head_method == "binaryFile":
-        # binaryFile loads files whole: only files up to probe_max_bytes.
-        small = text_files.filter(F.col("length") <= probe_max_bytes)
-    else:
-        small = text_files
     cands, fb = ((K.LOAD_DELIMITERS, "\t") if delimiter_variant == "load" else (K.ANALYZE_DELIMITERS, ","))
-    if small.select("path").limit(1).count():
-        raw = read_heads(small, head_bytes, head_method).filter(F.col("raw").isNotNull())
-        raw = raw.select("path", "raw", _cut_at_last_newline(F.col("raw")).alias("head"))
-        enc = F.lit(None).cast("string")
-        for e in reversed(K.ENCODINGS):
-            ok = _decode_ok(_head_for(F.col("head"), F.col("raw"), e), K.JVM_CHARSETS[e])
-            enc = F.when(ok, F.lit(e)).otherwise(enc)
-        heads = raw.select("path", "head", "raw", enc.alias("encoding"))
-        decoded = decode_by(F.col("head"), F.col("encoding"), F.col("raw"))
-        heads = heads.select("path", "encoding", decoded.alias("text"))
-        heads = heads.select("path", "encoding", "text", first_lines(F.col("text"), K.DELIMITER_SAMPLE_LINES).alias("sample"))
-        probed = heads.select("path", "encoding",
-                              pick_delimiter(F.col("sample"), cands, fb).alias("delimiter"),
-                              F.size(F.filter(F.split(F.col("text"), "\n"), lambda s: F.btrim(s) != "")).alias("n_lines"),
-                              F.split(F.col("text"), "\n")[0].alias("header_line"))
-    else:
-        probed = spark.createDataFrame([], "path string, encoding string, delimiter string, n_lines int, header_line string")
-    out = text_files.join(probed, "path", "left")
+    heads = materialize(_head_columns(read_heads(text_files, method=head_method)), "heads")
+    lines = raw_lines(spark, places if places is not None else _folders(text_files)).join(heads.where("utf16 is null").select("path", "header_raw"), "path")
+    checked = lines.groupBy("path").agg(
+        F.count(F.when(F.btrim(F.decode("raw", "ISO-8859-1"), F.lit(" \t\r")) != "", 1)).alias("n_lines"),
+        F.count(F.when(F.col("raw") == F.col("header_raw"), 1)).alias("header_copies"),
+        *[F.sum(bad_characters(F.col("raw"), e)).alias(f"bad_{e}") for e in BYTE_ENCODINGS])
+    enc = F.lit(None).cast("string")
+    for e in reversed([e for e in encodings if e in BYTE_ENCODINGS]):
+        enc = F.when(F.col(f"bad_{e}") == 0, e).otherwise(enc)
+    out = text_files.join(heads, "path", "left").join(checked, "path", "left")
+    hint_enc = hint_sep = F.lit(None).cast("string")
     if file_rules is not None:
-        fr = file_rules.select(F.col("file_name").alias("_fr_file"), F.col("encoding").alias("_fr_enc"),
-                               F.col("separator").alias("_fr_sep"))
-        out = out.join(F.broadcast(fr), out.file_name == fr._fr_file, "left")
-        out = out.withColumn("encoding", F.coalesce("_fr_enc", "encoding")) \
-                 .withColumn("delimiter", F.coalesce("_fr_sep", "delimiter")).drop("_fr_file", "_fr_enc", "_fr_sep")
-    n_header = F.when(F.col("header_line").isNotNull(),
-                      F.size(F.split(F.regexp_replace(F.col("header_line"), "\r$", ""), _regex_quote(F.col("delimiter")))))
-    status = (F.when(F.col("encoding").isNull() & (F.col("length") > probe_max_bytes), "needs_hint")
-              .when(F.col("encoding").isNull(), "unreadable")
-              .when(F.coalesce(F.col("n_lines"), F.lit(0)) <= 1, "empty")
-              .otherwise("ok"))
-    res = out.select("path", "file_name", "length", "encoding", "delimiter",
-                     n_header.alias("n_header_cols"), status.alias("status"),
-                     F.regexp_replace(F.col("header_line"), "\r$", "").alias("header_line"))
-    # Excel files are listed with their own status (not read; see README).
-    excel = files.filter(F.col("kind") == "excel").select(
-        "path", "file_name", "length", F.lit(None).cast("string").alias("encoding"),
-        F.lit(None).cast("string").alias("delimiter"), F.lit(None).cast("int").alias("n_header_cols"),
-        F.lit("unsupported").alias("status"), F.lit(None).cast("string").alias("header_line"))
-    res = res.unionByName(excel)
-    # One row per file, reused by every later step: written once, so file
-    # heads are read once and later plans stay small.
-    from typesift.session import materialize
+        rules = file_rules.groupBy(F.col("file_name").alias("rule_file")).agg(
+            F.max("encoding").alias("rule_enc"), F.max("separator").alias("rule_sep"))
+        out = out.join(rules, out["file_name"] == F.col("rule_file"), "left")
+        hint_enc = F.when(F.lower("rule_enc").isin(*BYTE_ENCODINGS), F.lower("rule_enc"))
+        hint_sep = F.when(F.length("rule_sep") > 0, F.col("rule_sep"))
+    # scan_as: the encoding by which lines are cut and decoded; utf-16 by its byte order
+    out = out.withColumn("scan_as", F.coalesce(F.col("utf16"), hint_enc, enc))
+    text = decode_by(F.col("raw"), F.col("scan_as"))
+    out = out.withColumn("sample", first_lines(F.regexp_replace(text, "\r", ""), K.DELIMITER_SAMPLE_LINES))
+    out = out.withColumn("delimiter", F.coalesce(hint_sep, pick_delimiter(F.col("sample"), cands, fb)))
+    utf16_lines = F.filter(F.split(text, "\r?\n"), lambda s: F.btrim(s) != "")
+    header = F.when(F.col("utf16").isNotNull(), F.try_element_at(utf16_lines, F.lit(1))).otherwise(
+        decode_by(F.col("header_raw"), F.col("scan_as")))
+    out = out.withColumn("header_line", F.regexp_replace(header, "\r$", ""))
+    out = out.withColumn("header", fields_of(F.col("header_line"), F.col("delimiter")))
+    n_lines = F.when(F.col("utf16").isNotNull(), F.size(utf16_lines)).otherwise(F.coalesce("n_lines", F.lit(0)))
+    status = (F.when(n_lines <= 1, F.when(n_lines.isNull() | (F.col("scan_as").isNull() & (n_lines > 0)), "unreadable").otherwise("empty"))
+              .when(F.col("scan_as").isNull(), "unreadable").otherwise("ok"))
+    bad = F.create_map(*[x for e in BYTE_ENCODINGS for x in (F.lit(e), F.coalesce(f"bad_{e}", F.lit(0)).cast("long"))])
+    res = out.select(
+        "path", "file_name", "length", F.when(F.col("scan_as").startswith("utf-16"), "utf-16").otherwise(F.col("scan_as")).alias("encoding"),
+        F.when(F.col("scan_as").isNotNull(), F.col("delimiter")).alias("delimiter"),
+        F.when(F.col("header_line").isNotNull(), F.size("header")).alias("n_header_cols"), status.alias("status"), "header_line",
+        "scan_as", "header", column_names(F.col("header")).alias("names"), "header_raw", "header_copies",
+        F.when(F.col("utf16").isNull(), bad).alias("bad_characters"))
+    other = files.filter(F.col("kind").isin("excel", "hidden"))
+    res = res.unionByName(other.select("path", "file_name", "length", F.when(F.col("kind") == "excel", "unsupported")
+                                       .otherwise("hidden_name").alias("status")), allowMissingColumns=True)
+    # One row per file, reused by every later step: written once, so files
+    # are probed once and later plans stay small.
     return materialize(res, "probe")
 
 
-def _regex_quote(c: Column) -> Column:
-    """A single-character delimiter as a literal regex."""
-    return F.concat(F.lit("\\Q"), c, F.lit("\\E"))
-
-
 # --------------------------------------------------------------------------
-# Corpus scan to cells
+# Corpus scan to rows and cells
 # --------------------------------------------------------------------------
 
-def read_cells(spark: SparkSession, probed: DataFrame, *, max_columns: int | None = None,
-               with_row_id: bool = True, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Scan all readable files into cells; returns (cells, quarantine).
+ROW_COLUMNS = ("file_name", "path", "row_id", "fields", "names")
 
-    One CSV scan per (encoding, delimiter) group.  The reader drops the first
-    line of every file (``header=true`` with an explicit all-string schema);
-    the column names come from the header line the probe already decoded,
-    parsed with the same CSV rules (``from_csv``), as a small
-    (file, position, name) table joined to the body cells.
 
-    cells: (file_name, path, row_id, column_name, value); quarantine: cells
-    beyond the header width of their file (rows longer than the header).
-    Short rows give NULL cells, as a header-padded read does.  Duplicate
-    header names get ``.1``, ``.2`` suffixes.
+def _python_rows(probed: DataFrame) -> DataFrame:
+    """(path, row_id, fields) of whole files whose quoted fields may hold line breaks.
+
+    Such a file can't be split, so one task reads it, as a stream.
+    """
+    def read(batches):
+        import csv
+        import io
+
+        import pyarrow as pa
+
+        csv.field_size_limit(1 << 31)
+        for b in batches:
+            for path, encoding, delimiter in zip(*(b.column(c).to_pylist() for c in ("path", "scan_as", "delimiter"))):
+                codec = {"utf-8": "utf-8-sig", "utf-16le": "utf-16", "utf-16be": "utf-16"}.get(encoding, encoding)
+                with open_file(path) as f:
+                    rows = csv.reader(io.TextIOWrapper(io.BufferedReader(_Raw(f)), encoding=codec, newline=""), delimiter=delimiter)
+                    held, n, header = [], 0, True
+                    for row in rows:
+                        if not row or len(row) == 1 and not row[0].strip():
+                            continue
+                        if header:
+                            header = False
+                            continue
+                        held.append(row)
+                        if len(held) == 4096:
+                            yield _row_batch(pa, path, n, held)
+                            n, held = n + len(held), []
+                    yield _row_batch(pa, path, n, held)
+
+    return (probed.select("path", "scan_as", "delimiter").repartition("path")
+            .mapInArrow(read, "path string, row_id long, fields array<string>"))
+
+
+def _row_batch(pa, path: str, n: int, rows: list[list[str]]):
+    return pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array(range(n, n + len(rows)), pa.int64()),
+                                       pa.array(rows, pa.list_(pa.string()))], names=["path", "row_id", "fields"])
+
+
+class _Raw(__import__("io").RawIOBase):
+    """A pyarrow stream as a raw file."""
 
-    ``multi_line=True`` lets quoted fields contain line breaks; the reader
-    then cannot split a file, so each file is read by one task.
+    def __init__(self, stream):
+        self.stream = stream
+
+    def readable(self):
+        return True
+
+    def readinto(self, buffer):
+        data = self.stream.read(len(buffer))
+        buffer[:len(data)] = data
+        return len(data)
+
+
+def read_rows(spark: SparkSession, probed: DataFrame, *, multi_line: bool = False, places: list[str] | None = None) -> DataFrame:
+    """(file_name, path, row_id, fields, names) of every row below the header of the readable files.
+
+    places: the paths to scan instead of the files' whole folders.
     """
-    from typesift.sources.rules import small_side
     ok = probed.filter(F.col("status") == "ok")
-    groups = ok.groupBy("encoding", "delimiter").agg(F.collect_list("path").alias("paths"),
-                                                      F.max("n_header_cols").alias("width")).collect()
-    cells_parts, quarantine_parts = [], []
-    for g in groups:
-        width = max_columns or int(g["width"] or 1)
-        cols = [f"c{i}" for i in range(width + 1)]   # one spare column catches long rows
-        schema = ", ".join(f"{c} string" for c in cols)
-        rdr = (spark.read.schema(schema).option("header", "true").option("sep", g["delimiter"])
-               .option("mode", "PERMISSIVE").option("multiLine", "true" if multi_line else "false"))
-        if g["encoding"] == "utf-16":
-            rdr = rdr.option("encoding", "UTF-16LE").option("lineSep", "\n")
-        else:
-            rdr = rdr.option("encoding", K.JVM_CHARSETS[g["encoding"]])
-        raw = rdr.csv(g["paths"]).select(
-            "*", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("row_id"))
-        arr = F.array(*[F.col(c) for c in cols])
-        # Header names from the probe's header line (one row per file).
-        hdr = (ok.filter((F.col("encoding") == g["encoding"]) & (F.col("delimiter") == g["delimiter"]))
-               .select("path", F.from_csv(F.col("header_line"), F.lit(schema), {"sep": g["delimiter"]}).alias("h")))
-        header = (hdr.select("path", F.posexplode(F.array(*[F.col(f"h.{c}") for c in cols])).alias("pos", "name"))
-                  .filter(F.col("name").isNotNull()))
-        w = Window.partitionBy("path", "name").orderBy("pos")
-        k = F.row_number().over(w) - 1
-        header = header.select("path", "pos", F.when(k > 0, F.concat("name", F.lit("."), k.cast("string")))
-                               .otherwise(F.col("name")).alias("column_name"))
-        body = raw.select("path", "row_id", F.posexplode(arr).alias("pos", "value"))
-        named = body.join(small_side(header), ["path", "pos"], "left")
-        named = named.select(X.base_name(F.col("path")).alias("file_name"), "path", "row_id", "pos",
-                             "column_name", "value")
-        cells_parts.append(named.filter(F.col("column_name").isNotNull()).drop("pos"))
-        quarantine_parts.append(named.filter(F.col("column_name").isNull() & F.col("value").isNotNull()))
-    schema = "file_name string, path string, row_id long, column_name string, value string"
-    if not cells_parts:
-        empty = spark.createDataFrame([], schema)
-        return empty, spark.createDataFrame([], "file_name string, path string, row_id long, pos int, column_name string, value string")
-    cells = cells_parts[0]
-    quarantine = quarantine_parts[0]
-    for c, q in zip(cells_parts[1:], quarantine_parts[1:]):
-        cells, quarantine = cells.unionByName(c), quarantine.unionByName(q)
-    if not with_row_id:
-        cells = cells.drop("row_id")
-    return cells, quarantine
+    about = ok.select("path", "file_name", "names", "header", "scan_as", "delimiter", "header_raw", "header_copies")
+    if multi_line:
+        rows = _python_rows(ok)
+        return rows.join(about.select("path", "file_name", "names"), "path").select(*ROW_COLUMNS)
+    parts = []
+    for scan in [r[0] for r in ok.select(F.when(F.col("scan_as").startswith("utf-16"), F.col("scan_as")).otherwise("utf-8"))
+                 .distinct().collect()]:  # at most three: byte encodings together, UTF-16 by byte order
+        own = about.filter(F.col("scan_as") == scan) if scan != "utf-8" else about.filter(~F.col("scan_as").startswith("utf-16"))
+        lines = raw_lines(spark, places if places is not None else _folders(own), scan).withColumn("row_id", F.monotonically_increasing_id())
+        lines = lines.join(own, "path")
+        if scan == "utf-8":
+            # The header's line goes wherever it is; further rows equal to it come back below.
+            lines = lines.where(F.col("raw") != F.col("header_raw"))
+            again = own.where("header_copies > 1").select(
+                "path", "file_name", "names", F.explode(F.sequence(F.lit(-1).cast("long"), 1 - F.col("header_copies"), F.lit(-1).cast("long"))).alias("row_id"),
+                F.col("header").alias("fields"))
+            parts.append(again.select(*ROW_COLUMNS))
+        line = F.regexp_replace(decode_by(F.col("raw"), F.col("scan_as")), "\r$", "")
+        rows = lines.withColumn("line", line).withColumn("fields", fields_of(F.col("line"), F.col("delimiter")))
+        if scan != "utf-8":
+            first = rows.where("start = 0").where(F.btrim("line") != "").groupBy("path").agg(F.min("row_id").alias("header_id"))
+            rows = rows.join(first, "path", "left").where(F.col("header_id").isNull() | (F.col("row_id") != F.col("header_id")))
+        rows = rows.where(~((F.size("fields") == 1) & (F.btrim(F.col("fields")[0]) == "")))
+        parts.append(rows.select(*ROW_COLUMNS))
+    if not parts:
+        return spark.createDataFrame([], "file_name string, path string, row_id long, fields array<string>, names array<string>")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def cells_of_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cells, quarantine): each row's fields under their names; what the header does not cover."""
+    width = F.size("names")
+    padded = F.concat("fields", F.array_repeat(F.lit(None).cast("string"), F.greatest(width - F.size("fields"), F.lit(0))))
+    long = rows.select("file_name", "path", "row_id", "names", F.posexplode(padded).alias("pos", "value"))
+    cells = long.where(F.col("pos") < width).select(
+        "file_name", "path", "row_id", F.element_at("names", F.col("pos") + 1).alias("column_name"), "value")
+    beyond = rows.where(F.size("fields") > width).select(
+        "file_name", "path", "row_id", "names", F.posexplode("fields").alias("pos", "value"))
+    return cells, beyond.where(F.col("pos") >= width).select(
+        "file_name", "path", "row_id", "pos", F.lit(None).cast("string").alias("column_name"), "value")
+
+
+def read_cells(spark: SparkSession, probed: DataFrame, *, with_row_id: bool = True,
+               multi_line: bool = False, places: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Scan all readable files into cells; returns (cells, quarantine).
+
+    cells: (file_name, path, row_id, column_name, value); quarantine: cells
+    beyond the header of their file.  ``multi_line=True`` lets quoted fields
+    contain line breaks; such files can't be split.
+    """
+    cells, quarantine = cells_of_rows(read_rows(spark, probed, multi_line=multi_line, places=places))
+    return (cells if with_row_id else cells.drop("row_id")), quarantine
 
 
 # --------------------------------------------------------------------------
@@ -353,11 +494,8 @@ def head_lines(spark: SparkSession, probed: DataFrame, n: int = 6) -> DataFrame:
     known = probed.filter(F.col("encoding").isNotNull()).select("path")
     if not known.limit(1).count():
         return spark.createDataFrame([], "path string, line_no int, line string")
-    raw = read_heads(known, HEAD_BYTES).filter(F.col("raw").isNotNull())
-    raw = raw.select("path", "raw", _cut_at_last_newline(F.col("raw")).alias("head"))
-    j = raw.join(probed.select("path", "encoding"), "path")
-    text = decode_by(F.col("head"), F.col("encoding"), F.col("raw"))
-    lines = F.slice(F.split(text, "\r?\n"), 1, n)
+    j = read_heads(known, n).join(probed.select("path", "scan_as"), "path")
+    lines = F.slice(F.split(decode_by(F.col("raw"), F.col("scan_as")), "\r?\n"), 1, n)
     return j.select("path", F.posexplode(lines).alias("line_no", "line"))
 
 
@@ -394,7 +532,7 @@ def headerless_probe(spark: SparkSession, probed: DataFrame, n_lines: int = 10)
     chosen = widths.select("path", delim.alias("delimiter"))
     split = (lines.join(chosen, "path")
              .filter(F.col("delimiter") != "N/A")
-             .select("path", "line_no", F.posexplode(F.split(F.col("line"), _regex_quote(F.col("delimiter"))))
+             .select("path", "line_no", F.posexplode(F.split(F.col("line"), quoted(F.col("delimiter"))))
                      .alias("pos", "value")))
     cells = split.select(F.col("path").alias("file_name"), F.col("pos").cast("string").alias("column_name"), "value")
     labels = P.dtype_label(P.profile_cells(cells, na_tokens=("",)))

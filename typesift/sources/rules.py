@@ -7,15 +7,12 @@ shipped defaults and read the JSON rule documents.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from typesift.functions import constants as K
 
-# A side is broadcast only when its row count is proven below this bound.
-BROADCAST_MAX_ROWS = 1_000_000
-
 FILE_RULES_SCHEMA = "file_name string, encoding string, separator string"
 DATETIME_PATTERNS_SCHEMA = "seq int, pattern string"
 KEYWORDS_SCHEMA = "seq int, category string, keyword string"
@@ -25,13 +22,6 @@ FIX_RULES_SCHEMA = ("pattern string, file_name string, field_name string, from_t
                     "to_type string, reason string, confidence double")
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking that it is small; else leave it
-    to the planner (sort-merge / shuffled hash join)."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def default_file_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(K.DEFAULT_FILE_RULES), FILE_RULES_SCHEMA)
 
@@ -62,12 +52,9 @@ def empty_overrides(spark: SparkSession) -> DataFrame:
 
 
 def patterns_of(df: DataFrame | None) -> tuple[str, ...]:
-    """Ordered pattern strings of a (seq, pattern) table, size-checked."""
+    """Ordered pattern strings of a (seq, pattern) rule table, which a person edits."""
     if df is None:
         return K.DEFAULT_DATETIME_PATTERNS
-    n = df.count()
-    if n > BROADCAST_MAX_ROWS:
-        raise ValueError(f"pattern table too large: {n} rows")
     return tuple(r["pattern"] for r in df.orderBy("seq").select("pattern").collect())
 
 
@@ -75,79 +62,82 @@ def patterns_of(df: DataFrame | None) -> tuple[str, ...]:
 # JSON rule documents
 # --------------------------------------------------------------------------
 
-def _read_json_doc(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(path)
+def _read_json_doc(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """A JSON document on any store Spark reads, under an explicit schema; None if there is no such file."""
+    try:
+        return spark.read.option("multiLine", True).schema(schema).json(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+RULE_DOCUMENT = ("unregistered_files map<string, struct<encoding: string, separator: string>>, datetime_patterns array<string>, "
+                 "business_logic_rules struct<code_fields: array<string>, amount_fields: array<string>, quantity_fields: array<string>>, "
+                 "sap_patterns map<string, string>")
+
+
+def default_rule_document(spark: SparkSession) -> DataFrame:
+    """The shipped rules as one JSON document column."""
+    files = {name: (enc, sep) for name, enc, sep in K.DEFAULT_FILE_RULES}
+    row = (files, list(K.DEFAULT_DATETIME_PATTERNS),
+           (list(K.DEFAULT_CODE_KEYWORDS), list(K.DEFAULT_AMOUNT_KEYWORDS), list(K.DEFAULT_QUANTITY_KEYWORDS)), dict(K.DEFAULT_ERP_PATTERNS))
+    doc = spark.createDataFrame([row], RULE_DOCUMENT)
+    return doc.select(F.to_json(F.struct(*doc.columns)).alias("json"))
 
 
 def read_rule_document(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Rule document -> {file_rules, datetime_patterns, keywords, erp_patterns}.
 
-    Keeps list order through ``posexplode``; JSON object keys (file rules,
-    ERP pattern names) keep document order as Spark reads the struct fields
-    in file order.
+    Lists keep their order.  A missing document gives the shipped rules and is
+    written with them, so that it can be edited.  A part that the document
+    lacks is left out.
     """
-    doc = _read_json_doc(spark, path)
-    fields = {f.name: f for f in doc.schema.fields}
+    doc = _read_json_doc(spark, path, RULE_DOCUMENT)
+    if doc is None:
+        default_rule_document(spark).coalesce(1).write.text(path)
+        doc = _read_json_doc(spark, path, RULE_DOCUMENT)
+    has = doc.select(*[F.col(c).isNotNull().alias(c) for c in doc.columns]).first()
     out: dict[str, DataFrame] = {}
-    if "unregistered_files" in fields:
-        names = [f.name for f in fields["unregistered_files"].dataType.fields]
-        parts = [doc.select(F.lit(n).alias("file_name"),
-                            F.col(f"unregistered_files.`{n}`.encoding").alias("encoding"),
-                            F.col(f"unregistered_files.`{n}`.separator").alias("separator"))
-                 for n in names]
-        out["file_rules"] = _union(spark, parts, FILE_RULES_SCHEMA)
-    if "datetime_patterns" in fields:
+    if has["unregistered_files"]:
+        out["file_rules"] = doc.select(F.explode("unregistered_files").alias("file_name", "r")).select("file_name", "r.encoding", "r.separator")
+    if has["datetime_patterns"]:
         out["datetime_patterns"] = doc.select(F.posexplode("datetime_patterns").alias("seq", "pattern")) \
             .select((F.col("seq") + 1).cast("int").alias("seq"), "pattern")
-    if "business_logic_rules" in fields:
+    if has["business_logic_rules"]:
         parts = []
         for cat, key in (("code", "code_fields"), ("amount", "amount_fields"), ("quantity", "quantity_fields")):
             parts.append(doc.select(F.posexplode(f"business_logic_rules.{key}").alias("seq", "keyword"))
                          .select((F.col("seq") + 1).cast("int").alias("seq"), F.lit(cat).alias("category"), "keyword"))
         out["keywords"] = _union(spark, parts, KEYWORDS_SCHEMA)
-    if "sap_patterns" in fields:
-        names = [f.name for f in fields["sap_patterns"].dataType.fields]
-        parts = [doc.select(F.lit(n).alias("name"), F.col(f"sap_patterns.`{n}`").alias("pattern")) for n in names]
-        out["erp_patterns"] = _union(spark, parts, ERP_PATTERNS_SCHEMA)
+    if has["sap_patterns"]:
+        out["erp_patterns"] = doc.select(F.explode("sap_patterns").alias("name", "pattern"))
     return out
 
 
+_OVERRIDE = "array<struct<file: string, field: string, action: string>>"
+
+
 def read_overrides(spark: SparkSession, path: str | None) -> DataFrame:
-    """Load overrides document; a missing file gives an empty table."""
-    import os
-    if path is None or not os.path.exists(path):
+    """Load overrides document; a missing file or an empty list gives no rows."""
+    doc = None if path is None else _read_json_doc(spark, path, f"datetime_override_fields {_OVERRIDE}, storage_code_fields {_OVERRIDE}")
+    if doc is None:
         return empty_overrides(spark)
-    doc = _read_json_doc(spark, path)
-    fields = {f.name for f in doc.schema.fields}
-    parts = []
-    for key, kind in (("datetime_override_fields", "datetime"), ("storage_code_fields", "storage")):
-        if key in fields:
-            parts.append(doc.select(F.explode(key).alias("o"))
-                         .select(F.col("o.file").alias("file"), F.col("o.field").alias("field"),
-                                 F.col("o.action").alias("action"), F.lit(kind).alias("kind")))
-    return _union(spark, parts, OVERRIDES_SCHEMA)
+    return _union(spark, [
+        doc.select(F.explode(key).alias("o")).select("o.file", "o.field", "o.action", F.lit(kind).alias("kind"))
+        for key, kind in (("datetime_override_fields", "datetime"), ("storage_code_fields", "storage"))], OVERRIDES_SCHEMA)
+
+
+_FIX = "array<struct<file_name: string, field_name: string, from_type: string, to_type: string, reason: string, confidence: double>>"
 
 
 def read_fix_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Fix-rule document (four pattern lists) -> one table with a pattern column."""
-    doc = _read_json_doc(spark, path)
-    if "fix_rules" not in doc.columns:
+    """Fix-rule document (four pattern lists) -> one table with a pattern column; a missing file gives no rows."""
+    doc = _read_json_doc(spark, path, "fix_rules struct<" + ", ".join(f"{p}_fixes: {_FIX}" for p in K.FIX_PATTERNS) + ">")
+    if doc is None:
         return spark.createDataFrame([], FIX_RULES_SCHEMA)
-    lists = {f.name: f for f in doc.schema["fix_rules"].dataType.fields}
-    parts = []
-    for p in K.FIX_PATTERNS:
-        key = f"{p}_fixes"
-        if key not in lists or not isinstance(lists[key].dataType, T.ArrayType) \
-                or not isinstance(lists[key].dataType.elementType, T.StructType):
-            continue
-        sub = {f.name for f in lists[key].dataType.elementType.fields}
-        e = F.col("r")
-        parts.append(doc.select(F.explode(f"fix_rules.{key}").alias("r")).select(
-            F.lit(p).alias("pattern"), e.file_name.alias("file_name"), e.field_name.alias("field_name"),
-            e.from_type.alias("from_type"), e.to_type.alias("to_type"),
-            (e.reason if "reason" in sub else F.lit(None).cast("string")).alias("reason"),
-            (e.confidence.cast("double") if "confidence" in sub else F.lit(None).cast("double")).alias("confidence")))
-    return _union(spark, parts, FIX_RULES_SCHEMA)
+    return _union(spark, [doc.select(F.explode(f"fix_rules.{p}_fixes").alias("r")).select(F.lit(p).alias("pattern"), "r.*")
+                          for p in K.FIX_PATTERNS], FIX_RULES_SCHEMA)
 
 
 def _union(spark: SparkSession, parts: list[DataFrame], schema: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from typesift.functions import constants as K
+from typesift.sources import rules as RULES
 
 
 def write_report_csv(df: DataFrame, path: str, *, single_file: bool = False) -> None:
@@ -18,12 +19,29 @@ def write_report_csv(df: DataFrame, path: str, *, single_file: bool = False) ->
     out.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_fix_rules(rules: DataFrame, path: str) -> None:
+    """Fix rules as JSON lines in one folder per pattern, and their counts.
+
+    Any number of rules is written by as many tasks as hold them.
+    ``read_fix_rule_lines`` reads them back.
+    """
+    root = path.rstrip("/")
+    rules.write.mode("overwrite").partitionBy("pattern").json(f"{root}/fix_rules")
+    counts = rules.groupBy("pattern").agg(F.count(F.lit(1)).alias("fixes"))
+    counts.withColumn("generated_at", F.current_timestamp()).coalesce(1).write.mode("overwrite").json(f"{root}/summary")
+
+
+def read_fix_rule_lines(spark, path: str) -> DataFrame:
+    """What ``write_fix_rules`` wrote."""
+    return spark.read.schema(RULES.FIX_RULES_SCHEMA).json(f"{path.rstrip('/')}/fix_rules")
+
+
 def fix_rules_document(rules: DataFrame) -> DataFrame:
-    """The fix-rule document as one JSON string:
+    """The fix-rule document of the original tool as one JSON string:
     {"summary": {...}, "fix_rules": {"pattern1_fixes": [...], ...}}.
 
-    Built with ``to_json`` over grouped structs; the rule set of the original
-    tool is small (one entry per field needing a fix).
+    One document is one value, so this form is for rule sets that a person
+    reads; ``write_fix_rules`` has no such bound.
     """
     entry = F.struct("file_name", "field_name", "from_type", "to_type", "reason", "confidence")
     per = rules.groupBy("pattern").agg(F.collect_list(entry).alias("fixes"), F.count(F.lit(1)).alias("n"))

@@ -11,12 +11,12 @@ driver or lost executor resumes without re-reading old files.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typesift.functions import text as X
-from typesift.operators import profile as P
 from typesift.operators import registry as R
+from typesift.plans import jobs as J
 from typesift.session import scratch_dir
 from typesift.sources import files as S
 
@@ -24,41 +24,65 @@ from typesift.sources import files as S
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
-def analyze_batch(spark: SparkSession, paths: DataFrame, registry_path: str) -> None:
-    """Analyze the files listed in ``paths`` (path, length) and upsert the registry at ``registry_path``."""
-    listed = paths.select("path", X.base_name(F.col("path")).alias("file_name"), F.lit(None).alias("extension"),
-                          "length", F.lit(None).cast("timestamp").alias("modificationTime"),
-                          F.lit("text").alias("kind"))
-    probed = S.probe(listed)
-    cells, _ = S.read_cells(spark, probed)
-    types = P.infer_corrected(P.profile_cells(cells.select("file_name", "column_name", "value")))
-    fmt = probed.select("file_name", "encoding", "delimiter")
-    new_rows = types.join(fmt, "file_name", "left").select(
-        "file_name", "column_name", F.col("corrected_type").alias("data_type"),
-        F.col("initial_type").alias("initial_inferred_type"), "encoding", "delimiter")
+def current_version(spark: SparkSession, registry_path: str) -> int | None:
+    """Number of the current version; None before the first batch.  Any other error is raised."""
     try:
-        base = spark.read.parquet(registry_path)
-    except Exception:  # noqa: BLE001 - first batch: no registry yet
-        base = R.empty_registry(spark)
-    merged = R.upsert(base, new_rows)
-    # Write to a fresh folder and swap by name: the old registry is still being read.
-    tmp = scratch_dir(spark, "registry-next")
-    merged.write.mode("overwrite").parquet(tmp)
-    spark.read.parquet(tmp).write.mode("overwrite").parquet(registry_path)
+        return spark.read.schema("version long").json(f"{registry_path.rstrip('/')}/versions.json").agg(F.max("version")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def read_registry(spark: SparkSession, registry_path: str) -> DataFrame:
+    """The current registry; an empty one before the first batch."""
+    version = current_version(spark, registry_path)
+    if version is None:
+        return R.empty_registry(spark)
+    return spark.read.schema(R.REGISTRY_SCHEMA).parquet(f"{registry_path.rstrip('/')}/version={version}")
+
+
+def write_registry(registry: DataFrame, registry_path: str) -> None:
+    """A new version beside the current one, then the line that makes it current.
+
+    A failure in between leaves the current version as it is; the next write
+    replaces the unfinished one.  A batch that runs twice upserts the same rows.
+    """
+    spark, root = registry.sparkSession, registry_path.rstrip("/")
+    version = (current_version(spark, registry_path) or 0) + 1
+    registry.write.mode("overwrite").parquet(f"{root}/version={version}")
+    spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").json(f"{root}/versions.json")
+
+
+def analyze_batch(spark: SparkSession, paths: DataFrame, registry_path: str,
+                  rules: dict[str, DataFrame] | None = None) -> None:
+    """Analyze the files listed in ``paths`` (path, length) and upsert the registry at ``registry_path``.
+
+    Only the batch's files are scanned; their number is bounded by the
+    stream's ``max_files``.
+    """
+    files = S.listed(paths.select("path", "length")).persist()
+    places = [r["path"] for r in files.where("kind = 'text'").select("path").collect()]
+    try:
+        if places:
+            done = J.analyze_files(spark, files, registry=read_registry(spark, registry_path), rules=rules, places=places)
+            write_registry(done.registry, registry_path)
+    finally:
+        files.unpersist()
 
 
 def start(spark: SparkSession, folder: str, registry_path: str, *, checkpoint: str | None = None,
-          trigger_once: bool = False):
+          trigger_once: bool = False, rules: dict[str, DataFrame] | None = None, max_files: int = 1000):
     """Watch ``folder`` for new extract files; each micro-batch is analyzed and upserted."""
-    stream = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
-              .load(folder).select("path", "length"))
+    stream = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("maxFilesPerTrigger", max_files)
+              .load(S.literal_path(folder)).select("path", "length"))
     skip = None
     for ext in (".py", ".log", ".bak", ".db", ".xls", ".xlsx"):
         c = F.lower(F.col("path")).endswith(ext)
         skip = c if skip is None else (skip | c)
     stream = stream.filter(~skip)
     ckpt = checkpoint or scratch_dir(spark, "incremental-analyze")
-    w = (stream.writeStream.foreachBatch(lambda batch, _id: analyze_batch(spark, batch, registry_path))
+    w = (stream.writeStream.foreachBatch(lambda batch, _id: analyze_batch(spark, batch, registry_path, rules))
          .option("checkpointLocation", ckpt))
     w = w.trigger(availableNow=True) if trigger_once else w
     return w.start()
