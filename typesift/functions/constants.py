@@ -32,6 +32,9 @@ PANDAS_NA_TOKENS = (
     "nan", "null",
 )
 
+# --- FIXED VALUES: spellings that pandas reads as booleans -------------------
+BOOLEAN_SPELLINGS = ("True", "TRUE", "true", "False", "FALSE", "false")
+
 # --- FIXED VALUES: column-name tokens that make a column a code (TEXT) ------
 # Matched as substrings of the upper-cased column name.
 CODE_NAME_TOKENS = ("CD", "コード", "ID", "NO", "番号", "指図", "ネットワーク")
@@ -147,3 +150,10 @@ HEADER_SPLITTERS = ("\t", " ", r"\s+", ",", ";")
 HEADER_MIN_COLUMNS = 10
 BODY_MIN_COLUMNS = 5
 LAYOUT_DIFF_LIMIT = 5
+
+# --- FIXED VALUES: the rule template an analysis starts from -----------------
+TEMPLATE_DATETIME_PATTERNS = (
+    r"^\d{8}$", r"^\d{4}/\d{2}/\d{2}$", r"^\d{4}-\d{2}-\d{2}$", r"^\d{2}\.\d{2}\.\d{4}$",
+)
+TEMPLATE_CODE_FIELDS = ("保管場所", "warehouse", "storage", "location")
+TEMPLATE_PRICE_FIELDS = ("原価", "単価", "genka", "tanka", "price", "cost", "amount")

@@ -1,9 +1,8 @@
 """Fix rules and load overrides.
 
 Input is the registry seen as a comparison view (``File, Column,
-Inferred_Type, Actual_Type``; see ``registry.as_compare_view``).  Each fix
-pattern is a filter plus literal columns, and the rule set is their
-UNION ALL; nothing is collected.
+Inferred_Type, Actual_Type``; see ``registry.as_compare_view``).  One pass
+tests every field against the four patterns; nothing is collected.
 """
 
 from __future__ import annotations
@@ -18,64 +17,51 @@ from typesift.operators.reports import is_unregistered
 FIX_COLUMNS = ["pattern", "file_name", "field_name", "from_type", "to_type", "reason", "confidence"]
 
 
-def _rules(df: DataFrame, pattern: str, from_type: Column, to_type: Column,
-           reason: Column | None, confidence: Column | None) -> DataFrame:
-    return df.select(F.lit(pattern).alias("pattern"), F.col("File").alias("file_name"),
-                     F.col("Column").alias("field_name"), from_type.alias("from_type"),
-                     to_type.alias("to_type"),
-                     (reason if reason is not None else F.lit(None).cast("string")).alias("reason"),
-                     (confidence if confidence is not None else F.lit(None).cast("double")).alias("confidence"))
-
-
 def suggested_type(actual: Column) -> Column:
     """Actual type -> suggested type, TEXT by default."""
     return F.when(actual.isin(K.TEXT, K.INTEGER, K.REAL), actual).otherwise(F.lit(K.TEXT))
 
 
-def pattern1(view: DataFrame) -> DataFrame:
-    """Unregistered fields -> register with the actual type, confidence 1.0."""
-    u = view.filter(is_unregistered("Inferred_Type"))
-    return _rules(u, "pattern1", F.lit("Unknown"), suggested_type(F.col("Actual_Type")), None, F.lit(1.0))
-
-
-def pattern2(view: DataFrame) -> DataFrame:
-    """DATETIME inferred but TEXT registered."""
-    d = view.filter((F.col("Inferred_Type") == K.DATETIME) & (F.col("Actual_Type") == K.TEXT))
-    reason = F.concat(F.lit(K.REASON_DATETIME.split("{actual}")[0]), F.col("Actual_Type"),
-                      F.lit(K.REASON_DATETIME.split("{actual}")[1]))
-    return _rules(d, "pattern2", F.lit(K.DATETIME), F.lit(K.TEXT), reason, None)
-
+def _because(template: str) -> Column:
+    before, after = template.split("{actual}")
+    return F.concat(F.lit(before), F.col("Actual_Type"), F.lit(after))
 
-def pattern3(view: DataFrame) -> DataFrame:
-    """INTEGER inferred, TEXT registered, price-like name."""
-    d = view.filter((F.col("Inferred_Type") == K.INTEGER) & (F.col("Actual_Type") == K.TEXT)
-                    & F.col("Column").rlike(K.PRICE_NAME_REGEX))
-    reason = F.concat(F.lit(K.REASON_PRICE.split("{actual}")[0]), F.col("Actual_Type"),
-                      F.lit(K.REASON_PRICE.split("{actual}")[1]))
-    return _rules(d, "pattern3", F.lit(K.INTEGER), F.lit(K.TEXT), reason, None)
 
+def _conditions(storage_file: str, storage_field: str) -> dict[str, Column]:
+    """Which fields each pattern takes.
 
-def pattern4(view: DataFrame, file_name: str = K.STORAGE_FILE, field: str = K.STORAGE_FIELD) -> DataFrame:
-    """Storage-location fields of the storage file -> TEXT (no type check)."""
-    d = view.filter((F.col("File") == file_name) & F.col("Column").contains(field))
-    return _rules(d, "pattern4", F.lit(K.INTEGER), F.lit(K.TEXT), F.lit(K.REASON_STORAGE), None)
+    X01 unregistered fields; X02 DATETIME inferred but TEXT registered; X03
+    INTEGER inferred, TEXT registered, price-like name; X04 storage-location
+    fields of the storage file (no type check).
+    """
+    inferred, text = F.col("Inferred_Type"), F.col("Actual_Type") == K.TEXT
+    return {"pattern1": is_unregistered("Inferred_Type"),
+            "pattern2": (inferred == K.DATETIME) & text,
+            "pattern3": (inferred == K.INTEGER) & text & F.col("Column").rlike(K.PRICE_NAME_REGEX),
+            "pattern4": (F.col("File") == storage_file) & F.col("Column").contains(storage_field)}
 
 
 def fix_rules(view: DataFrame, *, storage_file: str = K.STORAGE_FILE,
               storage_field: str = K.STORAGE_FIELD) -> DataFrame:
-    """X05 + U02: all four fix lists as one table with a pattern column."""
-    return (pattern1(view).unionByName(pattern2(view)).unionByName(pattern3(view))
-            .unionByName(pattern4(view, storage_file, storage_field)))
+    """X05 + U02: all four fix lists as one table with a pattern column, from one pass."""
+    none = F.lit(None).cast("string")
+    fixes = {  # pattern: (from_type, to_type, reason, confidence)
+        "pattern1": (F.lit("Unknown"), suggested_type(F.col("Actual_Type")), none, F.lit(1.0)),
+        "pattern2": (F.lit(K.DATETIME), F.lit(K.TEXT), _because(K.REASON_DATETIME), F.lit(None).cast("double")),
+        "pattern3": (F.lit(K.INTEGER), F.lit(K.TEXT), _because(K.REASON_PRICE), F.lit(None).cast("double")),
+        "pattern4": (F.lit(K.INTEGER), F.lit(K.TEXT), F.lit(K.REASON_STORAGE), F.lit(None).cast("double"))}
+    hits = [F.when(cond, F.struct(F.lit(p).alias("pattern"), *[c.alias(n) for c, n in zip(fixes[p], FIX_COLUMNS[3:])]))
+            for p, cond in _conditions(storage_file, storage_field).items()]
+    hit = F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("r")
+    return (view.select(F.col("File").alias("file_name"), F.col("Column").alias("field_name"), hit)
+            .select("r.pattern", "file_name", "field_name", *[f"r.{c}" for c in FIX_COLUMNS[3:]]))
 
 
 def fix_summary(rules: DataFrame) -> DataFrame:
-    """Fixes per pattern (all four listed, zero included) plus the total."""
-    spark = rules.sparkSession
-    pats = spark.createDataFrame([(p,) for p in K.FIX_PATTERNS], "pattern string")
-    per = rules.groupBy("pattern").agg(F.count(F.lit(1)).alias("fixes"))
-    listed = pats.join(per, "pattern", "left").select("pattern", F.coalesce("fixes", F.lit(0)).alias("fixes"))
-    total = rules.agg(F.count(F.lit(1)).alias("fixes")).select(F.lit("total").alias("pattern"), "fixes")
-    return listed.unionByName(total)
+    """Fixes per pattern (all four listed, zero included) plus the total, from one aggregate."""
+    counts = rules.agg(*[F.count(F.when(F.col("pattern") == p, 1)).alias(p) for p in K.FIX_PATTERNS], F.count(F.lit(1)).alias("total"))
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(p).alias("pattern"), F.col(p).alias("fixes"))
+                                             for p in (*K.FIX_PATTERNS, "total")])).alias("r")).select("r.pattern", "r.fixes")
 
 
 def unregistered_by_file(view: DataFrame) -> DataFrame:
@@ -139,10 +125,9 @@ def default_template(spark: SparkSession) -> dict[str, DataFrame]:
     patterns, code and price keyword lists)."""
     return {
         "unregistered_files": spark.createDataFrame([(f,) for f, _, _ in K.DEFAULT_FILE_RULES], "file_name string"),
-        "datetime_patterns": spark.createDataFrame(list(enumerate(K.DEFAULT_DATETIME_PATTERNS[:4], 1)),
-                                                   "seq int, pattern string"),
-        "code_fields": spark.createDataFrame([(k,) for k in K.DEFAULT_CODE_KEYWORDS[:4]], "keyword string"),
-        "price_fields": spark.createDataFrame([(k,) for k in K.PRICE_SUSPECT_KEYWORDS], "keyword string"),
+        "datetime_patterns": spark.createDataFrame(list(enumerate(K.TEMPLATE_DATETIME_PATTERNS, 1)), "seq int, pattern string"),
+        "code_fields": spark.createDataFrame([(k,) for k in K.TEMPLATE_CODE_FIELDS], "keyword string"),
+        "price_fields": spark.createDataFrame([(k,) for k in K.TEMPLATE_PRICE_FIELDS], "keyword string"),
     }
 
 

@@ -33,6 +33,7 @@ BIT_NUM = 1 << 2          # float() succeeds after trailing-minus normalisation
 BIT_INT = 1 << 3          # ... and the value is integral
 BIT_DEC = 1 << 4          # contains '.' or ','
 FORMAT_BITS = {fmt: 1 << (5 + i) for i, fmt in enumerate(K.INFER_DATE_FORMATS)}
+BIT_BOOL = 1 << (5 + len(K.INFER_DATE_FORMATS))   # a spelling of true or false
 
 PROFILE_SCHEMA = T.StructType([
     T.StructField("file_name", T.StringType()),
@@ -42,6 +43,7 @@ PROFILE_SCHEMA = T.StructType([
     T.StructField("mask_any", T.LongType()),
     T.StructField("n_nonblank", T.LongType()),
     T.StructField("n_datepat", T.LongType()),
+    T.StructField("n_rows", T.LongType()),
 ])
 
 
@@ -174,6 +176,7 @@ def _classify_stages(na_tokens: tuple, date_patterns: tuple, keep: tuple) -> lis
             + F.when(F.col("isnum"), BIT_NUM).otherwise(0)
             + F.when(F.col("isnum") & X.is_integral(F.col("x")), BIT_INT).otherwise(0)
             + F.when(X.has_decimal_mark(v), BIT_DEC).otherwise(0)
+            + F.when(v.isin(*K.BOOLEAN_SPELLINGS), BIT_BOOL).otherwise(0)
             + fmt_bits)
     nonblank = v.isNotNull() & (t != "")
     pat = t.rlike(X.fold_patterns(date_patterns)) if date_patterns else F.lit(False)
@@ -226,7 +229,8 @@ def profile_cells(cells: DataFrame, *, na_tokens=K.PANDAS_NA_TOKENS,
                  F.bit_and("m").alias("mask_all"),
                  F.bit_or("m").alias("mask_any"),
                  F.count(F.when(F.col("nb"), 1)).alias("n_nonblank"),
-                 F.count(F.when(F.col("dp"), 1)).alias("n_datepat")))
+                 F.count(F.when(F.col("dp"), 1)).alias("n_datepat"),
+                 F.count(F.lit(1)).alias("n_rows")))
 
 
 def profile_cells_sampled(cells: DataFrame, *, row_idx: str = "row_idx", rows: int = 200,
@@ -255,10 +259,11 @@ def profile_cells_sampled(cells: DataFrame, *, row_idx: str = "row_idx", rows: i
            .agg(F.count("v").alias("n_values"), F.bit_and("m").alias("mask_all"),
                 F.bit_or("m").alias("_any"), F.max(F.when(dec, 1).otherwise(0)).alias("_dec"),
                 F.count(F.when(in_ratio, 1)).alias("n_nonblank"),
-                F.count(F.when(in_ratio & F.col("dp"), 1)).alias("n_datepat")))
+                F.count(F.when(in_ratio & F.col("dp"), 1)).alias("n_datepat"),
+                F.count(F.lit(1)).alias("n_rows")))
     any_ = (F.col("_any").bitwiseAND(F.lit(~BIT_DEC)) + F.when(F.col("_dec") == 1, BIT_DEC).otherwise(0))
     return agg.select("file_name", "column_name", "n_values", "mask_all", any_.cast("long").alias("mask_any"),
-                      "n_nonblank", "n_datepat")
+                      "n_nonblank", "n_datepat", "n_rows")
 
 
 def first_rows(cells: DataFrame, n: int, row_idx: str | None) -> DataFrame:
@@ -417,10 +422,13 @@ def infer_table(df: DataFrame, file_name: str, **kw) -> DataFrame:
 
 def dtype_label(profile: DataFrame) -> DataFrame:
     """A pandas-style dtype label per column from the profile: ``empty``,
-    ``integer``, ``floating``, ``boolean`` or ``string`` (F14)."""
+    ``boolean``, ``integer``, ``floating`` (also integers among nulls) or
+    ``string`` (F14)."""
     all_ = F.col("mask_all")
+    whole = has_bit(all_, BIT_INT) & ~has_bit(F.col("mask_any"), BIT_DEC)
     label = (F.when(F.col("n_values") == 0, "empty")
-             .when(has_bit(all_, BIT_INT) & ~has_bit(F.col("mask_any"), BIT_DEC), "integer")
+             .when(has_bit(all_, BIT_BOOL), "boolean")
+             .when(whole & (F.col("n_rows") == F.col("n_values")), "integer")
              .when(has_bit(all_, BIT_NUM), "floating")
              .otherwise("string"))
     return profile.select("file_name", "column_name", label.alias("dtype"))

@@ -144,6 +144,12 @@ def datetime_accuracy(rep: DataFrame) -> DataFrame:
                     F.coalesce(pct1("datetime_to_datetime", tot), F.lit("N/A")).alias("accuracy_pct"))
 
 
+def datetime_text_files(rep: DataFrame, k: int = 5) -> DataFrame:
+    """The k files with the most DATETIME fields stored as TEXT."""
+    return (rep.filter(_pair(K.DATETIME, K.TEXT)).groupBy("File").agg(F.count(F.lit(1)).alias("fields"))
+            .orderBy(F.desc("fields"), "File").limit(k))
+
+
 def integer_confusion(rep: DataFrame) -> DataFrame:
     """INTEGER->TEXT, INTEGER->INTEGER, TEXT->INTEGER counts."""
     return rep.agg(F.count(F.when(_pair(K.INTEGER, K.TEXT), 1)).alias("integer_to_text"),
@@ -204,7 +210,7 @@ def t001_report(rep: DataFrame) -> dict[str, DataFrame]:
 
 def t002_report(rep: DataFrame) -> dict[str, DataFrame]:
     return {"summary": t002_summary(rep), "unregistered": unregistered(rep),
-            "datetime_accuracy": datetime_accuracy(rep), "integer_confusion": integer_confusion(rep),
+            "datetime_accuracy": datetime_accuracy(rep), "datetime_text_files": datetime_text_files(rep), "integer_confusion": integer_confusion(rep),
             "price_columns": price_columns(rep), "storage_issues": storage_issues(rep)}
 
 

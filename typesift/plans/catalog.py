@@ -157,7 +157,7 @@ def q_sanitize_names(spark, sf_dir):
     return names.select(F.col("name").alias("file_name"), X.sanitize_table_name(F.col("name")).alias("table_name"))
 
 
-NORMALIZE_COLUMNS = ["partner", "balance", "delta", "eur", "sparse", "storage_location"]
+NORMALIZE_COLUMNS = FX.EXTRACT_COLUMNS
 
 
 def q_normalize_values(spark, sf_dir):
@@ -205,7 +205,8 @@ def registry() -> dict[str, tuple[QueryFn, str | None]]:
         out[name] = (_report(fn), sql())
     for name, (fn, sql) in OTHERS.items():
         out[name] = (fn, sql())
-    return out
+    from typesift.plans import more_queries
+    return out | more_queries.registry()
 
 
 # --------------------------------------------------------------------------
@@ -255,15 +256,13 @@ def q_infer_sampled(spark, sf_dir):
 OTHERS["infer_sampled"] = (q_infer_sampled, O.infer_sampled_sql)
 
 
-DTYPE_TABLES = ["orders", "lineitem", "customer", "part", "supplier", "nation", "region", "events"]
-
-
 def q_dtype_label_counts(spark, sf_dir):
     """A20 over the driver tables read as string extracts."""
-    cells = P.cells_of([(f"{t}.parquet", FX.table(spark, sf_dir, t).select(*PROFILE_TABLES[t]))
-                        for t in DTYPE_TABLES])
-    return P.dtype_label_counts(P.dtype_label(P.profile_cells(cells)))
+    parts = None  # each table's profile is aggregated on its own; the union holds one row per column
+    for t, cols in PROFILE_TABLES.items():
+        one = P.profile_cells(P.to_cells(FX.table(spark, sf_dir, t), f"{t}.parquet", columns=cols))
+        parts = one if parts is None else parts.unionByName(one)
+    return P.dtype_label_counts(P.dtype_label(parts))
 
 
-OTHERS["dtype_label_counts"] = (q_dtype_label_counts, lambda: O.dtype_label_counts_sql(
-    {t: PROFILE_TABLES[t] for t in DTYPE_TABLES}))
+OTHERS["dtype_label_counts"] = (q_dtype_label_counts, lambda: O.dtype_label_counts_sql(PROFILE_TABLES))

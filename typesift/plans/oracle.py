@@ -157,7 +157,8 @@ c3 AS (SELECT *, TRY_CAST(trim(nv, {WS}) AS DOUBLE) AS x, regexp_matches(nv, {q(
 prof AS (SELECT file_name, column_name, count(v) AS n_values,
   bool_and(regexp_matches(v, '^\\p{{Nd}}+$')) FILTER (WHERE v IS NOT NULL) AS all_digits,
   bool_or(starts_with(v, '0') AND length(v) > 1) FILTER (WHERE v IS NOT NULL) AS any_zpad,
-  bool_and(isnum) FILTER (WHERE v IS NOT NULL) AS all_num,
+  bool_and(isnum) FILTER (WHERE v IS NOT NULL) AS all_num, count(*) AS n_rows,
+  bool_and(v IN ({qlist(K.BOOLEAN_SPELLINGS)})) FILTER (WHERE v IS NOT NULL) AS all_bool,
   bool_and(isnum AND abs(x) < 'inf'::DOUBLE AND x % 1 = 0) FILTER (WHERE v IS NOT NULL) AS all_int,
   coalesce(bool_or(contains(v, '.') OR contains(v, ',')) FILTER (WHERE {dec_f}), false) AS has_decimal,
   {fmt_cols},
@@ -478,7 +479,7 @@ SELECT name AS file_name, CASE WHEN clean = '' THEN 'unnamed_table'
 
 
 def normalize_values_sql() -> str:
-    cols = ["partner", "balance", "delta", "eur", "sparse", "storage_location"]
+    cols = EXTRACT_COLUMNS
     parts = " UNION ALL ".join(f"SELECT row_idx, {q(c)} AS column_name, {c} AS value FROM extract_orders" for c in cols)
     t = f"trim(value, {WS})"
     return f"""WITH {F1},
@@ -559,6 +560,7 @@ def infer_sampled_sql() -> str:
 def dtype_label_counts_sql(tables: dict[str, list[str]]) -> str:
     cells = "\nUNION ALL\n".join(cells_sql(t, cols, f"{t}.parquet") for t, cols in tables.items())
     return f"""WITH {profile_sql(cells)},
-lab AS (SELECT file_name, CASE WHEN n_values = 0 THEN 'empty' WHEN all_int AND NOT has_decimal THEN 'integer'
+lab AS (SELECT file_name, CASE WHEN n_values = 0 THEN 'empty' WHEN all_bool THEN 'boolean'
+  WHEN all_int AND NOT has_decimal AND n_rows = n_values THEN 'integer'
   WHEN all_num THEN 'floating' ELSE 'string' END AS dtype FROM prof)
 SELECT file_name, dtype, count(*) AS columns FROM lab GROUP BY file_name, dtype"""

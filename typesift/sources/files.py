@@ -348,7 +348,8 @@ def _python_rows(probed: DataFrame) -> DataFrame:
                             n, held = n + len(held), []
                     yield _row_batch(pa, path, n, held)
 
-    return (probed.select("path", "scan_as", "delimiter").repartition("path")
+    n = max(1, probed.sparkSession.sparkContext.defaultParallelism)
+    return (probed.select("path", "scan_as", "delimiter").repartition(n, "path")
             .mapInArrow(read, "path string, row_id long, fields array<string>"))
 
 
@@ -439,53 +440,68 @@ def read_cells(spark: SparkSession, probed: DataFrame, *, with_row_id: bool = Tr
 # Layout scoring of irregular files
 # --------------------------------------------------------------------------
 
+def _parts(line: Column, splitter: str) -> Column:
+    """Number of non-blank parts of a line."""
+    pattern = splitter if splitter == r"\s+" else "\\Q" + splitter + "\\E"
+    return F.size(F.filter(F.split(line, pattern), lambda s: F.btrim(s) != ""))
+
+
+def _closest(counts: list[Column], least: int, expected: Column) -> Column:
+    """Of the counts over ``least``, the one closest to the expectation, else the first; earlier ones win ties."""
+    numbered = F.array(*[F.struct(F.lit(i).alias("i"), c.alias("n")) for i, c in enumerate(counts)])
+    big = F.filter(numbered, lambda x: x["n"] > least)
+    best = F.array_min(F.transform(big, lambda x: F.struct(F.abs(x["n"] - expected).alias("d"), x["i"].alias("i"), x["n"].alias("n"))))
+    return F.when(expected.isNotNull(), best["n"]).otherwise(F.try_element_at(big, F.lit(1))["n"])
+
+
+def header_columns(line: Column, expected: Column) -> Column:
+    """Columns of a header line under the splitter that fits the expectation (or the first that gives enough)."""
+    return _closest([_parts(line, s) for s in K.HEADER_SPLITTERS], K.HEADER_MIN_COLUMNS, expected)
+
+
+def body_columns(lines: Column, expected: Column) -> Column:
+    """Columns of the widest of some body lines: by white space, tab, white space by hand, comma."""
+    def widest(count):
+        return F.coalesce(F.array_max(F.transform(lines, count)), F.lit(0))
+    space = widest(lambda x: _parts(x, r"\s+"))
+    return _closest([space, widest(lambda x: F.size(F.split(x, "\t"))), space, widest(lambda x: F.size(F.split(x, ",", -1)))],
+                    K.BODY_MIN_COLUMNS, expected)
+
+
 def layout_report(probed: DataFrame, lines: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     """Header and body column counts under several splitters, and the verdict.
 
     ``lines``: (path, line_no, line) for the first lines of each file (line 0
-    is the header); ``expected``: (file_name, expected_columns).
+    is the header); ``expected``: (file_name, expected_columns, and optionally
+    regular) - the files of irregular layout, with NULL where the number of
+    columns is not known; ``regular`` ones are only checked for their width.
     """
     spark = probed.sparkSession
     if expected is None:
         expected = spark.createDataFrame(list(K.KNOWN_IRREGULAR_FILES), "file_name string, expected_columns int")
-
-    def nonblank_parts(line: Column, splitter: str) -> Column:
-        pattern = splitter if splitter == r"\s+" else "\\Q" + splitter + "\\E"
-        return F.size(F.filter(F.split(line, pattern), lambda s: F.btrim(s) != ""))
-
-    head = lines.filter(F.col("line_no") == 0)
-    hcounts = head.select("path", F.array(*[F.struct(F.lit(i).alias("i"), nonblank_parts(F.col("line"), s).alias("n"))
-                                            for i, s in enumerate(K.HEADER_SPLITTERS)]).alias("h"))
-    body = lines.filter((F.col("line_no") >= 1) & (F.col("line_no") <= 5))
-    bcounts = (body.groupBy("path").agg(
-        F.max(nonblank_parts(F.col("line"), r"\s+")).alias("b_ws"),
-        F.max(F.size(F.split(F.col("line"), "\t"))).alias("b_tab"),
-        F.max(F.size(F.split(F.col("line"), ",", -1))).alias("b_comma")))
-    j = (probed.join(hcounts, "path", "left").join(bcounts, "path", "left")
-         .join(F.broadcast(expected), "file_name", "left"))
-    exp = F.col("expected_columns")
-    # Header: with an expectation, the count > 10 closest to it (earlier splitter on ties);
-    # without, the first splitter giving > 10 columns.
-    big = F.filter(F.col("h"), lambda x: x["n"] > K.HEADER_MIN_COLUMNS)
-    closest = F.array_min(F.transform(big, lambda x: F.struct(F.abs(x["n"] - exp).alias("d"), x["i"].alias("i"), x["n"].alias("n"))))
-    first_big = F.try_element_at(big, F.lit(1))
-    header_cols = F.when(exp.isNotNull(), closest["n"]).otherwise(first_big["n"])
-    # Body: candidates with > 5 columns; closest to the expectation, else the first.
-    body_c = F.filter(F.array(F.col("b_ws"), F.col("b_tab"), F.col("b_ws"), F.col("b_comma")),
-                      lambda n: n > K.BODY_MIN_COLUMNS)
-    body_cols = F.when(exp.isNotNull(), F.array_min(F.transform(body_c, lambda n: F.struct(F.abs(n - exp).alias("d"), n.alias("n"))))["n"]) \
-        .otherwise(F.try_element_at(body_c, F.lit(1)))
-    irregular = (F.when(exp.isNotNull(),
-                        F.when(header_cols.isNotNull() & (F.abs(header_cols - exp) > K.LAYOUT_DIFF_LIMIT), "Yes (Header Column Mismatch)")
-                        .when(body_cols.isNotNull() & (F.abs(body_cols - exp) > K.LAYOUT_DIFF_LIMIT), "Yes (Data Column Mismatch)")
-                        .otherwise("Yes (Known Irregular - Resolved)"))
-                 .when(~F.coalesce(F.col("delimiter"), F.lit("N/A")).isin(",", "\t", "N/A"), "Yes (Unusual Delimiter)")
-                 .otherwise("No"))
-    actual = F.when(exp.isNotNull(), exp).otherwise(F.col("n_header_cols"))
-    return j.select(F.col("path").alias("File Path"), irregular.alias("Irregular"),
+    if "regular" not in expected.columns:
+        expected = expected.withColumn("regular", F.lit(False))
+    # six lines of a file at most
+    few = lines.where("line_no <= 5").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    few = few.select("path", F.try_element_at(F.filter("l", lambda x: x["line_no"] == 0), F.lit(1))["line"].alias("head"),
+                     F.transform(F.filter("l", lambda x: x["line_no"] > 0), lambda x: x["line"]).alias("body"))
+    types = headerless_probe(spark, probed).select("path", "data_types", F.size(F.split("data_types", ", ")).alias("probed_columns"))
+    j = probed.join(few, "path", "left").join(expected, "file_name", "left").join(types, "path", "left")
+    exp, irregular_file = F.col("expected_columns"), F.coalesce(~F.col("regular"), F.lit(False))
+    header_cols, body_cols = header_columns(F.col("head"), exp), body_columns(F.col("body"), exp)
+    limit = K.LAYOUT_DIFF_LIMIT
+    verdict = (F.when(irregular_file & exp.isNull(), "Yes (Unknown Structure)")
+               .when(irregular_file & (F.abs(header_cols - exp) > limit), "Yes (Header Column Mismatch)")
+               .when(irregular_file & (F.abs(body_cols - exp) > limit), "Yes (Data Column Mismatch)")
+               .when(irregular_file, "Yes (Known Irregular - Resolved)")
+               .when(~F.coalesce(F.col("delimiter"), F.lit("N/A")).isin(",", "\t", "N/A"), "Yes (Unusual Delimiter)")
+               .when(exp.isNotNull() & (F.coalesce("probed_columns", F.lit(0)) != exp), "Yes (Column Mismatch)")
+               .otherwise("No"))
+    actual = F.when(irregular_file, F.coalesce(exp, body_cols, header_cols)).otherwise(F.col("probed_columns"))
+    return j.select(F.col("path").alias("File Path"), verdict.alias("Irregular"),
                     exp.alias("Expected Columns"), actual.alias("Actual Columns"),
                     F.coalesce(F.col("delimiter"), F.lit("N/A")).alias("Delimiter"),
-                    F.col("encoding").alias("Encoding"),
+                    F.col("encoding").alias("Encoding"), F.coalesce("data_types", F.lit("N/A")).alias("Data Types"),
                     header_cols.alias("header_columns"), body_cols.alias("body_columns"))
 
 
@@ -517,19 +533,26 @@ def read_compare_report(spark: SparkSession, path: str) -> DataFrame:
 HEADERLESS_CANDIDATES = (",", "\t", ";", "|", " ")
 
 
+def _holds(delimiter: str):
+    return lambda line: line.contains(delimiter)
+
+
+def first_splitting(lines: Column) -> Column:
+    """The first candidate that splits any of the lines, ``N/A`` when none does."""
+    out = F.lit("N/A")
+    for d in reversed(HEADERLESS_CANDIDATES):
+        out = F.when(F.exists(lines, _holds(d)), F.lit(d)).otherwise(out)
+    return out
+
+
 def headerless_probe(spark: SparkSession, probed: DataFrame, n_lines: int = 10) -> DataFrame:
     """Per file, the first candidate delimiter that splits the first
     ``n_lines`` lines into more than one field, and a dtype label per column
     of those lines read without a header."""
     from typesift.operators import profile as P
     lines = head_lines(spark, probed, n_lines).filter(F.col("line") != "")
-    widths = lines.groupBy("path").agg(*[
-        F.max(F.size(F.split(F.col("line"), "\\Q" + d + "\\E"))).alias(f"w{i}")
-        for i, d in enumerate(HEADERLESS_CANDIDATES)])
-    delim = F.lit("N/A")
-    for i, d in reversed(list(enumerate(HEADERLESS_CANDIDATES))):
-        delim = F.when(F.col(f"w{i}") > 1, F.lit(d)).otherwise(delim)
-    chosen = widths.select("path", delim.alias("delimiter"))
+    few = lines.groupBy("path").agg(F.collect_list("line").alias("l"))  # n_lines at most
+    chosen = few.select("path", first_splitting(F.col("l")).alias("delimiter"))
     split = (lines.join(chosen, "path")
              .filter(F.col("delimiter") != "N/A")
              .select("path", "line_no", F.posexplode(F.split(F.col("line"), quoted(F.col("delimiter"))))
