@@ -165,15 +165,6 @@ def fold_patterns(patterns) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
-def date_pattern_match(c, patterns=K.DEFAULT_DATETIME_PATTERNS) -> Column:
-    """Stripped value matches a date pattern and is a valid date."""
-    t = pystrip(c)
-    if not patterns:
-        return F.lit(False)
-    return t.rlike(fold_patterns(patterns)) & any_format_parses(
-        t, K.RATIO_DATE_FORMATS, K.RATIO_YEAR_MIN, K.RATIO_YEAR_MAX)
-
-
 # --------------------------------------------------------------------------
 # Numbers
 # --------------------------------------------------------------------------
@@ -200,12 +191,6 @@ def is_numeric(c) -> Column:
     return (F.translate(v, NUMERIC_CHARS, "") == "") & v.rlike(NUMERIC_REGEX)
 
 
-def as_double(c) -> Column:
-    """F04 + cast; null when the grammar rejects the value."""
-    v = col_of(c)
-    return F.when(is_numeric(v), pystrip(v).try_cast("double"))
-
-
 def is_integral(x: Column) -> Column:
     """a finite double with no fractional part."""
     return (F.abs(x) < F.lit(float("inf"))) & (x % F.lit(1.0) == F.lit(0.0))

@@ -306,9 +306,6 @@ def layout_counts_sql() -> str:
         split = f"string_split_regex({line}, '\\s+')" if splitter == r"\s+" else f"string_split({line}, {O.q(splitter)})"
         return f"len([x for x in {split} if trim(x) <> ''])"
 
-    def pick(counts, least):
-        big = "[{'i': i, 'n': c[i]} for i in range(1, len(c) + 1) if c[i] > " + str(least) + "]"
-        return counts, big
     head = "[" + ", ".join(parts("head", s) for s in K.HEADER_SPLITTERS) + "]"
     wide = "coalesce(list_max([{e} for l in body]), 0)"
     space = wide.replace("{e}", parts("l", r"\s+"))

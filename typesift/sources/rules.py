@@ -38,10 +38,6 @@ def default_keywords(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, KEYWORDS_SCHEMA)
 
 
-def default_erp_patterns(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(K.DEFAULT_ERP_PATTERNS), ERP_PATTERNS_SCHEMA)
-
-
 def default_overrides(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(f, c, K.FORCE_TEXT, kind) for f, c, kind in K.DEFAULT_OVERRIDES],
                                  OVERRIDES_SCHEMA)
