@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK_BYTES = 2 << 20
 
@@ -144,13 +145,17 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
 
 
 def blocks(texts: pa.Array | pa.ChunkedArray, max_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int, list[bytes], Block]]:
-    """(first row, end row, texts, block) over a string column; null is empty."""
-    raw = [t or b"" for t in texts.cast(pa.binary() if not pa.types.is_large_string(texts.type) else pa.large_binary()).to_pylist()]
+    """(first row, end row, texts, block) over a string column; null is empty.
+
+    Only one block's texts are Python objects at a time.
+    """
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(size)
+    kind = pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()
     lo = 0
-    while lo < len(raw):
-        hi, size = lo, 0
-        while hi < len(raw) and (hi == lo or size + len(raw[hi]) <= max_bytes):
-            size += len(raw[hi])
-            hi += 1
-        yield lo, hi, raw[lo:hi], Block(raw[lo:hi])
+    while lo < len(size):
+        before = int(ends[lo] - size[lo])
+        hi = max(lo + 1, int(np.searchsorted(ends, before + max_bytes, side="right")))
+        raw = [t or b"" for t in texts.slice(lo, hi - lo).cast(kind).to_pylist()]
+        yield lo, hi, raw, Block(raw)
         lo = hi

@@ -19,8 +19,8 @@ import pandas as pd
 
 from typesift.llm import textbatch as tb
 
-#: Pieces remembered per process (about 150 bytes each); beyond it the memory is emptied.
-MAX_PIECES = 1_500_000
+#: Pieces remembered per process (about 50 bytes each); beyond it the memory is emptied.
+MAX_PIECES = 500_000
 
 # Byte classes for cutting: space, other white space, ASCII letter, ASCII
 # punctuation (not the apostrophe, which starts contractions), the rest.
@@ -64,6 +64,47 @@ def encoder(path: str, keep_space: bool) -> PieceEncoder:
     return _encoders[key]
 
 
+class _Table:
+    """64-bit keys to numbers, open addressing in two arrays."""
+
+    def __init__(self, size: int = 1 << 16):
+        self.keys = np.zeros(size, dtype=np.uint64)  # 0: free
+        self.values = np.zeros(size, dtype=np.int32)
+        self.used = 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys & np.uint64(len(self.keys) - 1)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 if it is not there."""
+        out, slot, left = np.full(len(keys), -1, dtype=np.int64), self._slots(keys), np.arange(len(keys))
+        while len(left):
+            at = slot[left]
+            there = self.keys[at]
+            hit = there == keys[left]
+            out[left[hit]] = self.values[at[hit]]
+            left = left[~hit & (there != 0)]
+            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Keys that are distinct and not there yet."""
+        if 2 * (self.used + len(keys)) > len(self.keys):
+            old, more = self.keys != 0, _Table(1 << (2 * (self.used + len(keys))).bit_length())
+            more.add(self.keys[old], self.values[old])
+            self.keys, self.values = more.keys, more.values
+        self.used += len(keys)
+        slot, left = self._slots(keys), np.arange(len(keys))
+        while len(left):
+            at = slot[left]
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[left[free]]  # of several for one slot, one stays
+            mine = free & (self.keys[at] == keys[left])
+            self.values[at[mine]] = values[left[mine]]
+            left = left[~mine]
+            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
+
+
 class PieceEncoder:
     def __init__(self, path: str, keep_space: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -77,11 +118,11 @@ class PieceEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[int, int] = {}
+        self.index = _Table()
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
         self.offset = np.zeros(1 << 15, dtype=np.int64)
-        self.length = np.zeros(1 << 15, dtype=np.int64)
+        self.length = np.zeros(1 << 15, dtype=np.int32)
 
     def _plain(self, s: str) -> bool:
         """One word of Latin letters, which neither vocabulary splits or normalises further than its case."""
@@ -95,7 +136,7 @@ class PieceEncoder:
             return self.letters[0x20] + self._mapped(s[1:])
         return s if s.isascii() else s.encode().decode("latin-1").translate(self.letters)
 
-    def _learn(self, keys: list[int], pieces: list[bytes]) -> None:
+    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
         words = [p.decode("utf-8", "replace") for p in pieces]
         plain = [self._plain(w) for w in words]
         simple = self.merger.encode_batch_fast([self._mapped(w) for w, p in zip(words, plain) if p])
@@ -103,7 +144,7 @@ class PieceEncoder:
         simple, others = iter(simple), iter(others)
         ids = [next(simple if p else others).ids for p in plain]
         n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        total, at = int(n.sum()), len(self.index)
+        total, at = int(n.sum()), self.index.used
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while at + len(keys) > len(self.offset):
@@ -113,7 +154,7 @@ class PieceEncoder:
         self.length[at:at + len(keys)] = n
         self.offset[at:at + len(keys)] = self.used + np.cumsum(n) - n
         self.used += total
-        self.index.update(zip(keys, range(at, at + len(keys))))
+        self.index.add(keys, np.arange(at, at + len(keys)))
 
     def encode(self, block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, number of ids of each text)."""
@@ -122,20 +163,19 @@ class PieceEncoder:
         if not len(starts):
             return np.zeros(0, dtype=np.uint32), np.zeros(block.n, dtype=np.int64)
         values = tb.BYTE_VALUES if self.keep_space else tb.FOLDED_VALUES
-        codes, distinct = pd.factorize(block.hashes(starts, ends, values))
-        one = np.empty(len(distinct), dtype=np.int64)
+        codes, keys = pd.factorize(np.maximum(block.hashes(starts, ends, values), np.uint64(1)))
+        one = np.empty(len(keys), dtype=np.int64)
         one[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        keys = distinct.tolist()
-        if len(self.index) > MAX_PIECES:
+        if self.index.used > MAX_PIECES:
             self._clear()
-        found = np.fromiter((self.index.get(k, -1) for k in keys), dtype=np.int64, count=len(keys))
+        found = self.index.find(keys)
         new = np.flatnonzero(found < 0)
         if len(new):
-            raw, at, size = block.bytes, one[new], len(self.index)
-            self._learn(distinct[new].tolist(), [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())])
+            raw, at, size = block.bytes, one[new], self.index.used
+            self._learn(keys[new], [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())])
             found[new] = np.arange(size, size + len(new))
         entry = found[codes]
-        n = self.length[entry]
+        n = self.length[entry].astype(np.int64)
         shift = self.offset[entry] - (np.cumsum(n) - n)
         ids = self.flat[np.repeat(shift, n) + np.arange(int(n.sum()))]
         return ids, tb.per_text(first, n)

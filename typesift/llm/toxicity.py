@@ -28,14 +28,14 @@ from pyspark.sql import functions as F
 from typesift.llm import textbatch as tb
 from typesift.llm.session import shipped
 
-SIZES = (3, 4, 5)
+SIZES = (3, 5, 7)
 BITS = 20
 FOLDS = 5
-MAX_TOXIC = 3000
-MAX_CLEAN = 6000
+MAX_TOXIC = 2000
+MAX_CLEAN = 4000
 #: An n-gram is a feature if so many sampled documents have it, and its log ratio is that far from 0.
 MIN_DOCUMENTS = 3
-MIN_RATIO = 0.4
+MIN_RATIO = 1.0
 PENALTY = 3e-4
 STEPS = 200
 
@@ -55,14 +55,10 @@ def grams(block: tb.Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS)).astype(np.int64), ~broken
 
 
-def _features(raw: list[bytes]) -> list[np.ndarray]:
-    """The distinct buckets of each text."""
-    out = []
-    for one in raw:
-        block = tb.Block([one])
-        found = [b[ok] for b, ok in grams(block)]
-        out.append(np.unique(np.concatenate(found)).astype(np.int32) if found else np.zeros(0, dtype=np.int32))
-    return out
+def _features(one: bytes) -> np.ndarray:
+    """The distinct buckets of a text."""
+    found = [b[ok].astype(np.int32) for b, ok in grams(tb.Block([one]))]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int32)
 
 
 def fit(texts: list[bytes], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -73,22 +69,23 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         share = min(max(n1 / n if n else 0.0, 1e-6), 1 - 1e-6)
         return *none, float(np.log(share / (1 - share)))
     size = 1 << BITS
-    df = np.zeros((2, size))
-    found = _features(texts)
-    for y, f in zip(toxic.tolist(), found):
-        df[y, f] += 1
+    df = np.zeros((2, size), dtype=np.int32)
+    for y, one in zip(toxic.tolist(), texts):
+        df[y, _features(one)] += 1
     ratio = np.log((df[1] + 1) / (n1 + 2)) - np.log((df[0] + 1) / (n - n1 + 2))
     used = (df.sum(0) >= MIN_DOCUMENTS) & (np.abs(ratio) >= MIN_RATIO)
-    place = np.full(size, -1, dtype=np.int64)
+    place = np.full(size, -1, dtype=np.int32)
     buckets = np.flatnonzero(used)
     if not len(buckets):
         return *none, float(np.log(n1 / (n - n1)))
-    place[buckets] = np.arange(len(buckets))
-    cols = [place[f[used[f]]] for f in found]
-    col = np.concatenate(cols)
-    row = np.repeat(np.arange(n), [len(c) for c in cols])
+    place[buckets] = np.arange(len(buckets), dtype=np.int32)
+    # a second look at the texts costs time, not the memory of all their features
+    found = [place[f[used[f]]] for f in map(_features, texts)]
+    col = np.concatenate(found)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(c) for c in found])
+    del found, df
     r = ratio[buckets]
-    x = r[col]
+    x = r[col].astype(np.float32)
     y = toxic.astype(float)
     # each class counts the same, whatever the sample's shares
     weight = np.where(y > 0, 0.5 / n1, 0.5 / (n - n1))
