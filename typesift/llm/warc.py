@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from typesift.llm.session import materialize, scratch_dir, shipped
+from typesift.llm.session import materialize, partitions, scratch_dir, shipped
 
 MIN_BYTES = 0
 ROLL_BYTES = 128 << 20
@@ -315,8 +315,8 @@ def read_warc(files: DataFrame, payloads: bool = True, range_bytes: int = RANGE_
     ranges = files.where("bytes > 0").select(
         "path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, step)).alias("start"))
     ranges = ranges.select("path", "start", (F.col("start") + step).alias("end"))
-    # each range to a partition of its own, as far as there are partitions
-    return ranges.repartition("path", "start").mapInArrow(_reader(payloads), RECORD)
+    # a number of partitions, so that the few small rows aren't put together again
+    return ranges.repartition(partitions(files.sparkSession), "path", "start").mapInArrow(_reader(payloads), RECORD)
 
 
 def op2(pages: DataFrame) -> DataFrame:
