@@ -31,6 +31,10 @@ _classes[0x09:0x0E] = OTHER_SPACE
 _classes[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
 _classes[[b for b in b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"]] = MARK
 
+# First bytes of characters that are no white space in any alphabet.
+_NO_SPACE_HEAD = np.ones(256, dtype=bool)
+_NO_SPACE_HEAD[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = False
+
 _WORD_CUT = np.zeros((5, 5), dtype=bool)
 _WORD_CUT[LETTER, MARK] = _WORD_CUT[MARK, LETTER] = True
 
@@ -201,8 +205,8 @@ class PieceEncoder:
             | ((third == 0xE1) & (before == 0x9A))
             | ((third == 0xE3) & (before == 0x80)))
         cut[ends[~unsure]] = True
-        # A single line break or tab is a piece of its own.
-        alone = np.flatnonzero((kind[1:-1] == OTHER_SPACE) & ~blank[:-2] & ~blank[2:]) + 1
+        # A single line break or tab is a piece of its own, if what follows is surely no white space.
+        alone = np.flatnonzero((kind[1:-1] == OTHER_SPACE) & ~blank[:-2] & _NO_SPACE_HEAD[data[2:]]) + 1
         cut[alone[cut[alone]] + 1] = True
         between = block.bounds[1:] - 1
         cut[between] = cut[block.bounds] = True
