@@ -14,6 +14,9 @@ from typesift.llm import decontaminate, line_templates, near_dedup, packing, tox
 from typesift.llm.session import materialize, table
 from typesift.llm.tokens import vocabulary
 
+#: The near-dedup stage's similarity; op3's is 85.
+NEAR_PERCENT = 80
+
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the toxicity classifier rejects."""
@@ -26,8 +29,8 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
-    return near_dedup.deduplicate(docs)
+    """One document of each group of near duplicates (0.8 or more): the one with the smallest doc_id."""
+    return near_dedup.deduplicate(docs, NEAR_PERCENT)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

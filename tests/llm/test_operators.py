@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from typesift.llm import (components, decontaminate, dfa, line_templates, near_dedup, packing, pii, quality, secrets,
                           textbatch, token_orc, tokens, toxicity, warc)
 from typesift.llm.suffix_automaton import SuffixAutomaton
@@ -236,6 +237,27 @@ def test_every_pair_within_the_distance_shares_a_bucket():
         assert any(not wrong & set(lanes) for lanes in near_dedup._KEEP)
 
 
+def test_near_duplicates_threshold(spark):
+    base = [f"w{i}" for i in range(104)]  # 100 shingles
+    near = [*base[:93], *(f"z{i}" for i in range(11))]  # 89 of 111 shingles: 0.802
+    docs = frame(spark, [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(base[::-1]))])
+    assert {r["doc_id"] for r in near_dedup.deduplicate(docs).collect()} == {1, 2, 3}
+    assert {r["doc_id"] for r in near_dedup.deduplicate(docs, 80).collect()} == {1, 3}
+    assert {r["doc_id"] for r in corpus_pipeline.distinct(spark, docs, "").collect()} == {1, 3}
+    with pytest.raises(ValueError):
+        near_dedup.lane_join(79)
+
+
+def test_lane_join_of_other_thresholds():
+    assert near_dedup.lane_join(85).distance == near_dedup.MAX_DISTANCE
+    r = random.Random(9)
+    for percent in (80, 82, 90):
+        join = near_dedup.lane_join(percent)
+        for _ in range(500):
+            wrong = set(r.sample(range(near_dedup.LANES), join.distance))
+            assert any(not wrong & set(lanes) for lanes in join.keep)
+
+
 # ---- 4 quality ------------------------------------------------------------
 
 def test_quality_measures_and_verdict(spark):

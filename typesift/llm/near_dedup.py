@@ -2,13 +2,16 @@
 
 Words are runs without white space, A-Z lower-cased; a document's set holds
 its distinct ``SHINGLE``-word shingles (a shorter text is one shingle).  Two
-documents are linked when 100 * intersection >= PERCENT * union of the sets.
+documents are linked when 100 * intersection >= percent * union of the sets;
+op3 has ``PERCENT``.
 
 1. A signature has ``LANES`` lanes of 16 bits.  The join guarantees all pairs
    that differ in at most ``MAX_DISTANCE`` lanes: with ``CHUNKS`` chunks one
    chunk differs in at most MAX_DISTANCE // CHUNKS lanes, so each chunk is
    indexed once for every choice of lanes left out.  At a similarity of 0.85 a
-   pair differs in more than 15 of 32 lanes with a probability of 3e-6.
+   pair differs in more than 15 of 32 lanes with a probability of 3e-6.  Other
+   thresholds (``lane_join``) take as many chunks as keep that under ``MISSED``:
+   for 0.8 ten chunks and 19 lanes, with a probability of 2e-7.
 2. Equal sets are one class before that.  Within a bucket of the index, a
    breadth-first search over signature distances gives the edges of a spanning
    forest, never all pairs; their components are families.
@@ -28,7 +31,10 @@ by ``deduplicate``.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
+from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +54,37 @@ MAX_DISTANCE = 15
 BUCKET_BLOCK = 4096
 FAMILY_BLOCK = 4_000_000
 
-_KEEP = [c for chunk in range(CHUNKS)
-         for c in itertools.combinations(range(chunk * LANES // CHUNKS, (chunk + 1) * LANES // CHUNKS),
-                                         LANES // CHUNKS - MAX_DISTANCE // CHUNKS)]
+#: Least threshold, and the largest probability of missing a pair of exactly the threshold.
+MIN_PERCENT = 80
+MISSED = 4e-6
+
+
+class LaneJoin(NamedTuple):
+    """A threshold, the lanes in which a pair may differ, and the lanes of each key of the index."""
+
+    percent: int
+    distance: int
+    keep: list[tuple[int, ...]]
+
+
+def lane_join(percent: int = PERCENT) -> LaneJoin:
+    """The join that meets pairs of ``percent`` or more: one lane of each chunk may differ."""
+    if not MIN_PERCENT <= percent <= 100:
+        raise ValueError(f"percent must be {MIN_PERCENT} to 100, not {percent}")
+    p = percent / 100
+
+    def missed(distance):
+        return sum(math.comb(LANES, k) * (1 - p) ** k * p ** (LANES - k) for k in range(distance + 1, LANES + 1))
+
+    chunks = CHUNKS
+    while missed(2 * chunks - 1) > MISSED:
+        chunks += 1
+    bounds = [i * LANES // chunks for i in range(chunks + 1)]
+    return LaneJoin(percent, 2 * chunks - 1, [c for lo, hi in zip(bounds, bounds[1:])
+                                              for c in itertools.combinations(range(lo, hi), hi - lo - 1)])
+
+
+_KEEP = lane_join().keep
 
 
 def shingle_sets(block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
@@ -122,12 +156,12 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["doc_id", "n_shingles", "set_key", "sig"])
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _index(batches: Iterator[pa.RecordBatch], keep: list[tuple[int, ...]]) -> Iterator[pa.RecordBatch]:
     """The bucket keys of each class: for each chunk, the lanes that are left after the allowed errors."""
     for b in batches:
         sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), dtype="<u2").reshape(-1, LANES).astype(np.uint64)
         rep = b.column("rep").to_numpy()
-        for i, lanes in enumerate(_KEEP):
+        for i, lanes in enumerate(keep):
             key = np.full(len(sig), i + 1, dtype=np.uint64)
             for lane in lanes:
                 key = tb.mix(key * np.uint64(tb.BASE) + sig[:, lane])
@@ -176,12 +210,12 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
 
 
-def _sizes_near(size: np.ndarray, x: int, others: np.ndarray) -> np.ndarray:
+def _sizes_near(size: np.ndarray, x: int, others: np.ndarray, percent: int) -> np.ndarray:
     a, b = size[x], size[others]
-    return 100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)
+    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
 
-def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bucket_edges(batches: Iterator[pa.RecordBatch], join: LaneJoin) -> Iterator[pa.RecordBatch]:
     """Spanning forests of the buckets under signature distance (and set sizes that allow a link)."""
     def read(b):
         return list(zip(b.column("rep").to_pylist(), b.column("n").to_pylist(), b.column("sig").to_pylist()))
@@ -191,7 +225,7 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         rep = [r[0] for r in rows]
         size = np.array([r[1] for r in rows])
         sig = np.frombuffer(b"".join(r[2] for r in rows), dtype="<u2").reshape(-1, LANES)
-        near = lambda x, others: ((sig[others] != sig[x]).sum(1) <= MAX_DISTANCE) & _sizes_near(size, x, others)  # noqa: E731, B023
+        near = lambda x, others: ((sig[others] != sig[x]).sum(1) <= join.distance) & _sizes_near(size, x, others, join.percent)  # noqa: E731, B023
         out.extend((rep[x], rep[y]) for x, y in _forest(len(rows), near))
         if len(out) > 50_000:
             yield _edges(out)
@@ -200,7 +234,7 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _edges(out)
 
 
-def _confirmed_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirmed_edges(batches: Iterator[pa.RecordBatch], join: LaneJoin) -> Iterator[pa.RecordBatch]:
     """Spanning forests of the families under exact set similarity."""
     def read(b):
         items = []
@@ -225,7 +259,7 @@ def _confirmed_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         mark = np.zeros(len(distinct), dtype=bool)
 
         def near(x, others):
-            hit = ((sig[others] != sig[x]).sum(1) <= MAX_DISTANCE) & _sizes_near(size, x, others)
+            hit = ((sig[others] != sig[x]).sum(1) <= join.distance) & _sizes_near(size, x, others, join.percent)
             some = others[hit]
             if len(some):
                 mine = codes[at[x]:at[x + 1]]
@@ -237,7 +271,7 @@ def _confirmed_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                     where = np.repeat(at[some] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                     common = np.add.reduceat(mark[codes[where]].astype(np.int64), np.cumsum(n) - n)
                 mark[mine] = False
-                hit[hit] = 100 * common >= PERCENT * (size[x] + size[some] - common)
+                hit[hit] = 100 * common >= join.percent * (size[x] + size[some] - common)
             return hit
 
         out.extend((rep[x], rep[y]) for x, y in _forest(len(rows), near))
@@ -256,8 +290,9 @@ def _block_pairs(rows: DataFrame, blocks) -> DataFrame:
             .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document."""
+    join = lane_join(percent)
     shipped(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = materialize(texts.mapInArrow(_describe, "doc_id long, n_shingles long, set_key binary, sig binary"), "signatures")
@@ -265,12 +300,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         described.where("n_shingles > 0 and doc_id is not null").groupBy("set_key")
         .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("sig").alias("sig")), "classes")
 
-    index = classes.select("sig", "rep").mapInArrow(_index, "key long, rep long")
+    index = classes.select("sig", "rep").mapInArrow(partial(_index, keep=join.keep), "key long, rep long")
     shared = index.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     members = index.join(shared, "key").join(classes.select("rep", "n", "sig"), "rep")
     members = _block_pairs(members, F.ceil(F.col("members") / BUCKET_BLOCK))
     dealt = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    edges = dealt.select("key", "i", "j", "rep", "n", "sig").mapInArrow(_bucket_edges, "a long, b long")
+    edges = dealt.select("key", "i", "j", "rep", "n", "sig").mapInArrow(partial(_bucket_edges, join=join), "a long, b long")
     families = materialize(components(edges), "families").withColumnsRenamed({"node": "rep", "root": "family"})
 
     family = families.join(classes, "rep")
@@ -279,7 +314,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     dealt = (family.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
              .select("family", "i", "j", "rep", "set_key", "sig", "text")
              .repartition("family", "i", "j").sortWithinPartitions("family", "i", "j"))
-    links = components(dealt.mapInArrow(_confirmed_edges, "a long, b long"))
+    links = components(dealt.mapInArrow(partial(_confirmed_edges, join=join), "a long, b long"))
 
     roots = classes.join(links.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_key", F.coalesce("root", "rep").alias("root"))
@@ -288,12 +323,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each group, with all its columns; of rows that repeat a doc_id, all stay."""
-    kept = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("doc_id_")).distinct()
+    kept = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("doc_id_")).distinct()
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # no clash with the joined column
     same = plain[f"c{docs.columns.index('doc_id')}"].cast("long") == F.col("doc_id_")
     return plain.join(kept, same, "left_anti").toDF(*docs.columns)
 
 
-op3 = near_duplicates
+def op3(docs: DataFrame) -> DataFrame:
+    return near_duplicates(docs)
