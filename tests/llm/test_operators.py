@@ -248,6 +248,19 @@ def test_near_duplicates_threshold(spark):
         near_dedup.lane_join(79)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    words = [[f"{c}{i}" for i in range(60)] for c in "abcdef"]
+    a, b, c, d, e, f = (" ".join(w) for w in words)
+    near = " ".join(words[1][:-1] + ["other"])
+    rows = [(1, a), (1, b), (7, a), (7, c), (8, near), (8, d), (8, d), (8, d.upper()), (9, e), (9, e), (9, ""), (9, ""), (None, f), (None, f), (None, a)]
+    kept = near_dedup.deduplicate(frame(spark, rows))
+    assert kept.schema == frame(spark, rows).schema
+    got = sorted(((str(r["doc_id"]), r["text"].lower()) for r in kept.collect()))
+    assert got == sorted([("1", a), ("1", b), ("7", c), ("8", d), ("9", e), ("9", ""), ("9", ""), ("None", f), ("None", f), ("None", a)])
+    component = {(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert component == {(1, 1), (7, 1), (7, 7), (8, 1), (8, 8), (9, 9), (None, None)}
+
+
 def test_lane_join_of_other_thresholds():
     assert near_dedup.lane_join(85).distance == near_dedup.MAX_DISTANCE
     r = random.Random(9)

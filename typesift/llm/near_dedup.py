@@ -12,7 +12,8 @@ op3 has ``PERCENT``.
    pair differs in more than 15 of 32 lanes with a probability of 3e-6.  Other
    thresholds (``lane_join``) take as many chunks as keep that under ``MISSED``:
    for 0.8 ten chunks and 19 lanes, with a probability of 2e-7.
-2. Equal sets are one class before that.  Within a bucket of the index, a
+2. Equal sets are one class before that, numbered, and first seen in the
+   smallest (doc_id, hash of the text).  Within a bucket of the index, a
    breadth-first search over signature distances gives the edges of a spanning
    forest, never all pairs; their components are families.
 3. Each family's whole texts are fetched once; a search over exact set
@@ -22,10 +23,11 @@ op3 has ``PERCENT``.
 
 Definite results: null or empty texts have no set and are linked with nothing;
 a row with a null doc_id is linked with nothing and has a null component;
-repeated rows are each returned; equal texts share a component; ties (a
-similarity of exactly the threshold) are links; an empty table gives no rows;
-columns other than doc_id and text are ignored by ``near_duplicates`` and kept
-by ``deduplicate``.
+repeated rows are each returned by ``near_duplicates``; rows that repeat a
+doc_id with different texts are linked each by its own text; equal texts share a
+component; ties (a similarity of exactly the threshold) are links; an empty
+table gives no rows; columns other than doc_id and text are ignored by
+``near_duplicates`` and kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -152,8 +154,9 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = set_keys(h, at)
             sigs = [None if k is None else raw[2 * LANES * i:2 * LANES * (i + 1)] for i, k in enumerate(keys)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
-                names=["doc_id", "n_shingles", "set_key", "sig"])
+                [b.column("doc_id").slice(lo, hi - lo), b.column("text_hash").slice(lo, hi - lo), pa.array(np.diff(at)),
+                 pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
+                names=["doc_id", "text_hash", "n_shingles", "set_key", "sig"])
 
 
 def _index(batches: Iterator[pa.RecordBatch], keep: list[tuple[int, ...]]) -> Iterator[pa.RecordBatch]:
@@ -290,15 +293,21 @@ def _block_pairs(rows: DataFrame, blocks) -> DataFrame:
             .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per document."""
+def _linked(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, first: for each row, the (doc_id, text_hash) that stays of its group.
+
+    ``first`` is null for rows that are linked with nothing because they have no doc_id or no word.
+    """
     join = lane_join(percent)
     shipped(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = materialize(texts.mapInArrow(_describe, "doc_id long, n_shingles long, set_key binary, sig binary"), "signatures")
+    texts = texts.withColumn("text_hash", F.xxhash64("text"))
+    described = materialize(
+        texts.mapInArrow(_describe, "doc_id long, text_hash long, n_shingles long, set_key binary, sig binary"), "signatures")
     classes = materialize(
         described.where("n_shingles > 0 and doc_id is not null").groupBy("set_key")
-        .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("sig").alias("sig")), "classes")
+        .agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("n_shingles").alias("n"), F.max("sig").alias("sig"))
+        .withColumn("rep", F.monotonically_increasing_id()), "classes")
 
     index = classes.select("sig", "rep").mapInArrow(partial(_index, keep=join.keep), "key long, rep long")
     shared = index.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
@@ -311,24 +320,47 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     family = families.join(classes, "rep")
     sizes = family.groupBy("family").agg(F.sum("n").alias("weight"))
     family = _block_pairs(family.join(sizes, "family"), F.ceil(F.col("weight") / FAMILY_BLOCK))
-    dealt = (family.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    family = family.withColumns({"doc_id": F.col("first.doc_id"), "text_hash": F.col("first.text_hash")})
+    dealt = (family.join(texts, ["doc_id", "text_hash"])
              .select("family", "i", "j", "rep", "set_key", "sig", "text")
              .repartition("family", "i", "j").sortWithinPartitions("family", "i", "j"))
-    links = components(dealt.mapInArrow(partial(_confirmed_edges, join=join), "a long, b long"))
+    links = materialize(components(dealt.mapInArrow(partial(_confirmed_edges, join=join), "a long, b long")), "links")
+
+    linked = links.withColumnRenamed("node", "rep").join(classes.select("rep", "set_key", "first"), "rep")
+    firsts = linked.groupBy("root").agg(F.min("first").alias("group_first"))
+    roots = classes.select("set_key", "first").join(linked.select("set_key", "root").join(firsts, "root"), "set_key", "left").select(
+        "set_key", F.coalesce("group_first", "first").alias("first"))
+    out = described.join(roots, "set_key", "left")
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("first"))
 
-    roots = classes.join(links.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "set_key", F.coalesce("root", "rep").alias("root"))
-    out = described.join(roots, "set_key", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per document."""
+    out = _linked(docs, percent).select(
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("first.doc_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each group, with all its columns; of rows that repeat a doc_id, all stay."""
-    kept = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("doc_id_")).distinct()
-    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # no clash with the joined column
-    same = plain[f"c{docs.columns.index('doc_id')}"].cast("long") == F.col("doc_id_")
-    return plain.join(kept, same, "left_anti").toDF(*docs.columns)
+    """One document of each group, with all its columns.
+
+    Rows are told apart by doc_id and text: of rows that repeat a doc_id those
+    whose own text is no copy stay, and of rows equal in both, one (any one, if
+    other columns differ).  Rows without a doc_id or a word all stay.
+    """
+    linked = materialize(_linked(docs, percent).where("first is not null").groupBy("doc_id", "text_hash")
+                         .agg(F.min("first").alias("first"), F.count("*").alias("rows")), "linked")
+    linked = linked.withColumnsRenamed({"doc_id": "doc_id_", "text_hash": "text_hash_"})
+    stays = F.struct("doc_id_", "text_hash_") == F.col("first")
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # no clash with the joined columns
+    doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    same = (doc_id.cast("long") == F.col("doc_id_")) & (F.xxhash64(text.cast("string")) == F.col("text_hash_"))
+    out = plain.join(linked.where(~stays | (F.col("rows") > 1)).select("doc_id_", "text_hash_"), same, "left_anti")
+    repeats = linked.where(stays & (F.col("rows") > 1)).select("doc_id_", "text_hash_")
+    if not repeats.isEmpty():
+        one = plain.join(repeats, same).dropDuplicates(["doc_id_", "text_hash_"])
+        out = out.unionByName(one.drop("doc_id_", "text_hash_"))
+    return out.toDF(*docs.columns)
 
 
 def op3(docs: DataFrame) -> DataFrame:
