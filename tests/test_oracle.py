@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]

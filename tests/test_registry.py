@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from typesift.functions import text as X
 from typesift.operators import profile as P
 from typesift.operators import registry as R
