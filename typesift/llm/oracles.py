@@ -164,6 +164,38 @@ SELECT doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(n AS BIGINT)
 FROM new
 """
 
+_LETTERS = "ABCDE"
+_ORDERS = " UNION ALL ".join(f"SELECT {i} AS i, '{c}' AS c" for i, c in enumerate(_LETTERS))
+
+OP13 = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+lab AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+firsts AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT)
+    + 4 * CAST(100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) AS INT) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+    + 16 * CAST(coalesce(doc_id > first, false) AS INT) AS fails
+  FROM d JOIN firsts USING (t) LEFT JOIN lab USING (doc_id)),
+n AS (SELECT part, good, toxic, fails, count(*) AS n FROM m GROUP BY ALL),
+l AS ({_ORDERS}),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM l a, l b, l c, l d, l e
+      WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS f,
+        list_sum([1 << (ascii(x) - 65) for x in string_split(filter_order[1:step], '')]) AS after
+      FROM o, unnest(range(1, 6)) AS r(step)),
+r AS (
+  SELECT part, filter_order, step, s.f, coalesce(sum(n) FILTER (fails & after = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (fails & after = s.f), 0) AS removed, coalesce(sum(n) FILTER (fails & s.f > 0 AND fails & (after - s.f) > 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (fails = s.f), 0) AS unique_fails, coalesce(sum(n) FILTER (good AND fails & after = s.f), 0) AS good_lost,
+    coalesce(sum(n) FILTER (toxic AND fails & after = s.f), 0) AS toxic_lost
+  FROM n, s GROUP BY part, filter_order, step, s.f)
+SELECT part, filter_order, CAST(step AS INT) AS step, {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM r
+"""
+
 ORACLES: dict[str, str] = {
     "op1_suffix_decontamination": OP1, "op2_salvage_warc": OP2, "op3_hamming_near_dedup": OP3, "op4_rule_cascade": OP4,
-    "op5_line_template_tree": OP5, "op9_dfa_secrets": OP9, "op10_anchor_pii": OP10}
+    "op5_line_template_tree": OP5, "op9_dfa_secrets": OP9, "op10_anchor_pii": OP10,
+    "op13_survival_words": OP13}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from typesift.llm import decontaminate, line_templates, near_dedup, packing, pii, quality, secrets, token_orc, toxicity, warc
+from typesift.llm import decontaminate, filter_audit, line_templates, near_dedup, packing, pii, quality, secrets, token_orc, toxicity, warc
 from typesift.llm.oracles import ORACLES
 from typesift.llm.session import table
 
@@ -53,7 +53,12 @@ def op10_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op10(table(spark, sf_dir, "documents"))
 
 
+def op13_survival_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.op13(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_suffix_decontamination, op2_salvage_warc, op3_hamming_near_dedup, op4_rule_cascade, op5_line_template_tree,
-        op6_token_orc, op7_nb_ngram_toxicity, op8_pattern_packing, op9_dfa_secrets, op10_anchor_pii)}
+        op6_token_orc, op7_nb_ngram_toxicity, op8_pattern_packing, op9_dfa_secrets, op10_anchor_pii,
+        op13_survival_words)}
