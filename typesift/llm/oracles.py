@@ -164,6 +164,35 @@ SELECT doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(n AS BIGINT)
 FROM new
 """
 
+_CRC32 = """4294967295 - list_reduce(list_concat([4294967295], [CAST(ascii(x) AS BIGINT) for x in string_split(CAST(conv_id AS VARCHAR), '')]),
+  lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: xor(c >> 1, 3988292384 * (c & 1))))"""
+
+OP12 = f"""
+WITH t AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS i
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, ({_CRC32}) % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+n AS (SELECT conv_id AS base, count(*) AS n FROM t GROUP BY conv_id),
+r AS (
+  SELECT c.conv_id, t.i AS d, role, text FROM c JOIN t ON t.conv_id = c.base AND t.i <= c.h
+  UNION ALL
+  SELECT c.conv_id, coalesce(least(h, n), 0) + t.i - h AS d, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.i > c.h LEFT JOIN n USING (base)),
+m AS (
+  SELECT conv_id, 0 AS d, '' AS k, 0 AS b FROM c
+  UNION ALL
+  SELECT conv_id, d, string_agg(length(role) || ':' || length(text) || ':' || role || text, '') OVER (PARTITION BY conv_id ORDER BY d), strlen(text) FROM r),
+l AS (SELECT conv_id, max(d) AS l FROM m GROUP BY conv_id),
+v AS (SELECT d, k, min(conv_id) AS v, count(*) AS n, max(b) AS b FROM m GROUP BY d, k),
+mv AS (SELECT m.conv_id, m.d, v.v FROM m JOIN v USING (d, k)),
+kids AS (SELECT p.v, p.d, count(*) AS n FROM v JOIN mv p ON p.conv_id = v.v AND p.d = v.d - 1 GROUP BY p.v, p.d),
+w AS (SELECT v.v, v.d, v.n, (v.n - 1) * v.b AS saved, coalesce(kids.n, 0) AS n_children FROM v LEFT JOIN kids USING (v, d)),
+sub AS (SELECT p.v, p.d, sum(CAST(n_children = 0 AS INT)) AS leaves, sum(saved) AS saved FROM w JOIN mv p ON p.conv_id = w.v AND p.d <= w.d GROUP BY p.v, p.d),
+e AS (SELECT v, d, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS e FROM mv JOIN l USING (conv_id) WHERE d = l GROUP BY v, d)
+SELECT w.v AS conv_id, CAST(w.d AS BIGINT) AS depth, p.v AS parent_conv_id, w.n AS n_convs, CAST(n_children AS BIGINT) AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(sub.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e, '')) AS ends_sha256
+FROM w JOIN sub USING (v, d) LEFT JOIN e USING (v, d) LEFT JOIN mv p ON p.conv_id = w.v AND p.d = w.d - 1
+"""
+
 _LETTERS = "ABCDE"
 _ORDERS = " UNION ALL ".join(f"SELECT {i} AS i, '{c}' AS c" for i, c in enumerate(_LETTERS))
 
@@ -198,4 +227,4 @@ FROM r
 ORACLES: dict[str, str] = {
     "op1_suffix_decontamination": OP1, "op2_salvage_warc": OP2, "op3_hamming_near_dedup": OP3, "op4_rule_cascade": OP4,
     "op5_line_template_tree": OP5, "op9_dfa_secrets": OP9, "op10_anchor_pii": OP10,
-    "op13_survival_words": OP13}
+    "op12_euler_prefix_trie": OP12, "op13_survival_words": OP13}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from typesift.llm import decontaminate, filter_audit, line_templates, near_dedup, packing, piece_bpe, pii, quality, secrets, token_orc, toxicity, warc
+from typesift.llm import decontaminate, filter_audit, line_templates, near_dedup, packing, piece_bpe, pii, prefix_trie, quality, secrets, token_orc, toxicity, warc
 from typesift.llm.oracles import ORACLES
 from typesift.llm.session import table
 
@@ -57,6 +57,10 @@ def op11_piece_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.op11(table(spark, sf_dir, "documents"))
 
 
+def op12_euler_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.op12(table(spark, sf_dir, "conversations"))
+
+
 def op13_survival_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.op13(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -65,4 +69,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_suffix_decontamination, op2_salvage_warc, op3_hamming_near_dedup, op4_rule_cascade, op5_line_template_tree,
         op6_token_orc, op7_nb_ngram_toxicity, op8_pattern_packing, op9_dfa_secrets, op10_anchor_pii,
-        op11_piece_merge_rounds, op13_survival_words)}
+        op11_piece_merge_rounds, op12_euler_prefix_trie, op13_survival_words)}
