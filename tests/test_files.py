@@ -41,7 +41,7 @@ def test_analyze_variant_uses_space_candidate(spark, scratch):
 
 def test_scan_names_pads_and_quarantines(spark, scratch):
     write_f6(scratch)
-    cells, quarantine = S.read_cells(spark, S.probe(S.list_files(spark, scratch)))
+    cells, quarantine = S.read_cells(S.probe(S.list_files(spark, scratch)))
     b = cells.filter(F.col("file_name") == "b_cp932.txt")
     assert {r["column_name"] for r in b.select("column_name").distinct().collect()} == \
         {"①番号", "数量", "単価", "売上日", "メモ"}
@@ -74,12 +74,13 @@ def test_analyze_load_fix(spark, scratch):
     assert {r["pattern"]: r["fixes"] for r in fc.summary.collect()}["total"] == 0
 
 
-def test_head_methods_agree(spark, scratch):
+def test_read_methods_agree(spark, scratch):
     write_f6(scratch)
     files = S.list_files(spark, scratch)
-    a = sorted(str(r) for r in S.probe(files, head_method="stream").collect())
-    b = sorted(str(r) for r in S.probe(files, head_method="scan").collect())
-    assert a == b
+    a, b = (S.probe(files, method=m) for m in ("open", "spark"))
+    assert sorted(str(r) for r in a.collect()) == sorted(str(r) for r in b.collect())
+    a, b = (sorted(str(r) for r in S.read_rows(a, m).collect()) for m in ("open", "spark"))
+    assert a == b and len(a) > 20
 
 
 def test_excel_listed_as_unsupported(spark, scratch):
@@ -93,7 +94,7 @@ def test_layout_report_irregular(spark, scratch):
     probed = S.probe(S.list_files(spark, scratch))
     expected = spark.createDataFrame([("k_irregular.csv", 38)], "file_name string, expected_columns int")
     rep = {os.path.basename(r["File Path"]): r for r in
-           S.layout_report(probed, S.head_lines(spark, probed), expected).collect()}
+           S.layout_report(probed, S.head_lines(probed), expected).collect()}
     k = rep["k_irregular.csv"]
     assert k["header_columns"] == 38 and k["body_columns"] == 38
     assert k["Irregular"] == "Yes (Known Irregular - Resolved)"
@@ -104,15 +105,15 @@ def test_layout_report_irregular(spark, scratch):
 def test_duplicate_and_quoted_headers(spark, scratch):
     with open(os.path.join(scratch, "i_dups.csv"), "w", encoding="utf-8") as f:
         f.write('a,a,"x,y",b\n1,2,"3,5",4\n')
-    cells, _ = S.read_cells(spark, S.probe(S.list_files(spark, scratch)))
+    cells, _ = S.read_cells(S.probe(S.list_files(spark, scratch)))
     got = {r["column_name"]: r["value"] for r in cells.collect()}
     assert got == {"a": "1", "a.1": "2", "x,y": "3,5", "b": "4"}
 
 
-def test_quoted_line_breaks_with_multi_line(spark, scratch):
+def test_quoted_line_breaks(spark, scratch):
     with open(os.path.join(scratch, "j_multiline.csv"), "w", encoding="utf-8") as f:
         f.write('id,note\n1,"first line\nsecond line"\n2,plain\n')
-    cells, _ = S.read_cells(spark, S.probe(S.list_files(spark, scratch)), multi_line=True)
+    cells, _ = S.read_cells(S.probe(S.list_files(spark, scratch)))
     notes = sorted(r["value"] for r in cells.filter(F.col("column_name") == "note").collect())
     assert notes == ["first line\nsecond line", "plain"]
 
@@ -125,7 +126,7 @@ def put(folder, name, raw):
 def rows_of(spark, folder):
     """{file: rows as dicts} and the quarantined values, read back from the cells."""
     probed = S.probe(S.list_files(spark, folder))
-    cells, quarantine = S.read_cells(spark, probed)
+    cells, quarantine = S.read_cells(probed)
     rows = {}
     for r in cells.collect():
         rows.setdefault(r["file_name"], {}).setdefault(r["row_id"], {})[r["column_name"]] = r["value"]
@@ -138,10 +139,10 @@ def test_any_file_name_is_read(spark, scratch):
     names = ["払出明細（大阪）.txt", "with space.csv", "br[1].csv", "p+q%20.csv", "q?.csv"]
     for n in names:
         put(folder, n, b"a\tb\n1\t2\n")
-    put(folder, "_hidden.csv", b"a,b\n1,2\n")
+    for n in ("_hidden.csv", ".dotted.csv"):
+        put(folder, n, b"a,b\n1,2\n")
     rows, _, probed = rows_of(spark, folder)
-    assert rows == {n: [{"a": "1", "b": "2"}] for n in names}
-    assert {r["file_name"]: r["status"] for r in probed.collect()}["_hidden.csv"] == "hidden_name"
+    assert rows == {n: [{"a": "1", "b": "2"}] for n in [*names, "_hidden.csv", ".dotted.csv"]}
 
 
 def test_encoding_is_decided_on_the_whole_file(spark, scratch):
@@ -179,9 +180,50 @@ def test_rows_keep_every_cell(spark, scratch):
 
 def test_unreadable_store_raises(spark, scratch):
     import pytest
-    gone = spark.createDataFrame([(os.path.join(scratch, "gone.csv"),)], "path string")
+    gone = S.listed(spark.createDataFrame([(os.path.join(scratch, "gone.csv"), 9)], "path string, length long"))
     with pytest.raises(Exception, match="gone.csv"):
-        S.read_heads(gone).collect()
+        S.probe(gone)
+
+
+def test_line_breaks_of_any_kind(spark, scratch):
+    put(scratch, "cr.csv", b"a,b\r1,2\r3,4\r")
+    put(scratch, "crlf.csv", b'a,b\r\n1,"x\r\ny"\r\n')
+    put(scratch, "lf.csv", b"a,b\n1,2")
+    put(scratch, "mixed.csv", b"a,b\n1,2\r3,4\r\n5,6")
+    put(scratch, "cr16.txt", b"\xff\xfe" + "a\tb\r1\t2\r".encode("utf-16-le"))
+    rows, _, probed = rows_of(spark, scratch)
+    assert rows["cr.csv"] == [{"a": "1", "b": "2"}, {"a": "3", "b": "4"}] and rows["cr16.txt"] == [{"a": "1", "b": "2"}]
+    assert rows["crlf.csv"] == [{"a": "1", "b": "x\r\ny"}] and len(rows["mixed.csv"]) == 3
+    assert {r["file_name"]: (r["line_break"], r["status"]) for r in probed.collect()} == {
+        "cr.csv": ("CR", "ok"), "crlf.csv": ("CRLF", "ok"), "lf.csv": ("LF", "ok"), "mixed.csv": ("mixed", "ok"), "cr16.txt": ("CR", "ok")}
+
+
+def test_header_after_a_long_blank_head(spark, scratch):
+    put(scratch, "late.csv", b"\n" * 70_000 + b"a,b\n1,2\n")
+    put(scratch, "blank.csv", b"\n \n" * 50)
+    put(scratch, "nothing.csv", b"")
+    put(scratch, "header.csv", b'\n"a\nb",c\n\n')
+    rows, _, probed = rows_of(spark, scratch)
+    assert rows == {"late.csv": [{"a": "1", "b": "2"}]}
+    assert {r["file_name"]: r["status"] for r in probed.collect()} == {"late.csv": "ok", "blank.csv": "empty", "nothing.csv": "empty", "header.csv": "empty"}
+
+
+def test_one_file_over_many_ranges(spark, scratch):
+    import csv
+    import io
+    import random
+    r = random.Random(2)
+    table = [[str(i), r.choice(["plain", "two\nlines", 'say "hi"', "a,b", "", "\r\n\r\n", "end\""]), "x" * r.randint(0, 90)] for i in range(4000)]
+    out = io.StringIO(newline="")
+    csv.writer(out).writerows([["id", "note", "x"], *table])
+    put(scratch, "big.csv", out.getvalue().encode())
+    put(scratch, "open.csv", b'a,b\n1,"never\nclosed,\n')
+    probed = S.probe(S.list_files(spark, scratch), range_bytes=4096)
+    assert {x["file_name"]: x["open_quote"] for x in probed.collect()} == {"big.csv": False, "open.csv": True}
+    rows = S.read_rows(probed).orderBy("row_id").collect()
+    assert [x["fields"] for x in rows if x["file_name"] == "big.csv"] == table
+    assert [x["fields"] for x in rows if x["file_name"] == "open.csv"] == [["1", "never\nclosed,\n"]]
+    assert probed.where("file_name = 'big.csv'").first()["ranges"].__len__() > 50
 
 
 def test_load_reports_collisions_and_uses_the_registered_format(spark, scratch):

@@ -139,7 +139,6 @@ SKIP_EXTENSIONS = (".py", ".log", ".bak", ".db")
 EXCEL_EXTENSIONS = (".xls", ".xlsx")
 # Encodings tried in order (Python names, with the JVM charset used for each).
 ENCODINGS = ("utf-8", "cp932", "shift_jis", "utf-16")
-JVM_CHARSETS = {"utf-8": "UTF-8", "cp932": "windows-31j", "shift_jis": "Shift_JIS", "utf-16": "UTF-16"}
 # Delimiter candidates: analyze-time list (fallback ",") and load-time list (fallback tab).
 ANALYZE_DELIMITERS = (",", "\t", ";", "|", " ")
 LOAD_DELIMITERS = ("\t", ",", "|", ";")

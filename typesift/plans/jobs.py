@@ -43,26 +43,26 @@ class Analysis:
 
 def analyze_folder(spark: SparkSession, path: str, *, registry: DataFrame | None = None,
                    rules: dict[str, DataFrame] | None = None, delimiter_variant: str = "load",
-                   multi_line: bool = False, encodings: tuple[str, ...] = K.ENCODINGS) -> Analysis:
+                   encodings: tuple[str, ...] = K.ENCODINGS) -> Analysis:
     """Analyze every extract file in ``path`` and upsert the registry.
 
     rules: rule tables by name (file_rules, datetime_patterns, keywords), as
     ``sources.rules.read_rule_document`` returns them.
     """
     return analyze_files(spark, S.list_files(spark, path), registry=registry, rules=rules,
-                         delimiter_variant=delimiter_variant, multi_line=multi_line, encodings=encodings)
+                         delimiter_variant=delimiter_variant, encodings=encodings)
 
 
 def analyze_files(spark: SparkSession, files: DataFrame, *, registry: DataFrame | None = None,
                   rules: dict[str, DataFrame] | None = None, delimiter_variant: str = "load",
-                  multi_line: bool = False, encodings: tuple[str, ...] = K.ENCODINGS, places: list[str] | None = None) -> Analysis:
-    """``analyze_folder`` for listed files; places: paths to scan instead of their whole folders."""
+                  encodings: tuple[str, ...] = K.ENCODINGS) -> Analysis:
+    """``analyze_folder`` for listed files."""
     rules = rules or {}
     file_rules = rules.get("file_rules")
     if file_rules is None:
         file_rules = RULES.default_file_rules(spark)
-    probed = S.probe(files, delimiter_variant=delimiter_variant, file_rules=file_rules, encodings=encodings, places=places)
-    cells, quarantine = S.read_cells(spark, probed, multi_line=multi_line, places=places)
+    probed = S.probe(files, delimiter_variant=delimiter_variant, file_rules=file_rules, encodings=encodings)
+    cells, quarantine = S.read_cells(probed)
     patterns = RULES.patterns_of(rules.get("datetime_patterns"))
     prof = P.profile_cells(cells.select("file_name", "column_name", "value"), date_patterns=patterns)
     types = P.infer_corrected(prof, file_rules=file_rules, keywords=rules.get("keywords"))
@@ -92,8 +92,7 @@ def registered_formats(registry: DataFrame) -> DataFrame:
 
 
 def load_folder(spark: SparkSession, path: str, registry: DataFrame, *, overrides: DataFrame | None = None,
-                out_dir: str | None = None, normalize: bool = False, parity: bool = True,
-                multi_line: bool = False) -> Load:
+                out_dir: str | None = None, normalize: bool = False, parity: bool = True) -> Load:
     """Typed tables for every readable file and the comparison report.
 
     Files are read in the format the registry holds for them.  With
@@ -102,7 +101,7 @@ def load_folder(spark: SparkSession, path: str, registry: DataFrame, *, override
     with the status ``collision``; a file that fails is reported as ``failed``.
     """
     probed = S.probe(S.list_files(spark, path), file_rules=registered_formats(registry))
-    cells, _ = S.read_cells(spark, probed, multi_line=multi_line)
+    cells, _ = S.read_cells(probed)
     types = registry.select("file_name", "column_name", "data_type")
     names = probed.where("status = 'ok'").select("file_name", F.explode("names").alias("column_name"))
     # One row per column, used by the report, the layouts and the conversion.
@@ -112,7 +111,7 @@ def load_folder(spark: SparkSession, path: str, registry: DataFrame, *, override
     report = L.compare_report(L.actual_types(dec, parity), types).drop("Encoding", "Delimiter").join(fmt, "File", "left")
     tables = table_plan(probed, dec)
     if out_dir:
-        tables = write_typed_tables(spark, probed, tables, out_dir, normalize=normalize, parity=parity, multi_line=multi_line)
+        tables = write_typed_tables(spark, probed, tables, out_dir, normalize=normalize, parity=parity)
     tally = tables.groupBy("status").agg(F.count(F.lit(1)).alias("files"))
     return Load(report, dec, tables, tally)
 
@@ -136,7 +135,7 @@ def table_plan(probed: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def write_typed_tables(spark: SparkSession, probed: DataFrame, tables: DataFrame, out_dir: str, *, normalize: bool = False,
-                       parity: bool = True, multi_line: bool = False) -> DataFrame:
+                       parity: bool = True) -> DataFrame:
     """One Parquet folder ``out_dir/layout=<hash>/__table__=<table>`` per file.
 
     One job per layout: its files are scanned, each row's fields are converted
@@ -149,8 +148,7 @@ def write_typed_tables(spark: SparkSession, probed: DataFrame, tables: DataFrame
     for r in ready.select("key", "layout").distinct().collect():  # as many as there are distinct layouts
         own = ready.where(F.col("key") == r["key"]).select("path", "table_name")
         try:
-            places = [x["path"] for x in own.select("path").collect()]
-            rows = S.read_rows(spark, probed.join(own.select("path"), "path", "left_semi"), multi_line=multi_line, places=places)
+            rows = S.read_rows(probed.join(own.select("path"), "path", "left_semi"))
             typed = [L.typed_value(F.get("fields", F.lit(i)), load_type or K.TEXT, date_format, normalize, parity).alias(name)
                      for i, (name, load_type, date_format) in enumerate(json.loads(r["layout"]))]
             # the table of a row's file, as a column whose name no header has

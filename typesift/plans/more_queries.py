@@ -172,7 +172,7 @@ def scan_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
      .write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(folder))
     probed = S.probe(S.list_files(spark, folder))
     # the parts are one extract
-    cells, _ = S.read_cells(spark, probed)
+    cells, _ = S.read_cells(probed)
     return P.infer_corrected(P.profile_cells(cells.select(F.lit(FX.EXTRACT_FILE).alias("file_name"), "column_name", "value")))
 
 

@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-
 import tempfile
 
 from pyspark.sql import SparkSession
 
-# Needed to decode cp932 (windows-31j) in the CSV reader and to get U+FFFD
-# instead of an error from decode() in the encoding probe.
-LEGACY_CHARSET_CONF = {
-    "spark.sql.legacy.javaCharsets": "true",
-    "spark.sql.legacy.codingErrorAction": "true",
-}
-
-
 # The classification stage generates one large method; HotSpot does not JIT
 # methods above 8000 bytes of bytecode, so Spark is told to fall back to
 # split (JIT-able) projections past that size, as its docs suggest on HotSpot.
@@ -35,7 +26,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config(HUGE_METHOD_CONF, HUGE_METHOD_LIMIT))
-    for k, v in {**LEGACY_CHARSET_CONF, **(extra or {})}.items():
+    for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -69,12 +60,6 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def charset_flags_set(spark: SparkSession) -> bool:
-    return all(str(spark.conf.get(k, "false")).lower() == "true" for k in LEGACY_CHARSET_CONF)
-
-
-
-
 def materialize(df, name: str):
     """Cut lineage by writing ``df`` once as Parquet under the shared
     checkpoint folder and reading it back.

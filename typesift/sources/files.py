@@ -2,40 +2,37 @@
 
 Shape of the jobs
 -----------------
-* Listing (S01/S05) reads file metadata only.  Names that Spark's file sources
-  hide (leading ``_`` or ``.``) are listed with the status ``hidden_name``.
-* Heads: the first lines of each file, however long, read in tasks through
-  pyarrow's file systems, or by one Spark text scan where pyarrow does not
-  know the store.  They give the header and the delimiter.
-* Encoding check (S02): one text scan over the whole corpus counts, for each
-  file and encoding, the characters that do not decode; the first encoding in
-  order without any is the file's.  No prefix decides.
-* Rows (S04): one text scan; each line is decoded and split by its file's
-  encoding and delimiter into one array, so a row has no width limit and no
-  file's shape depends on another's.  Quotes follow RFC 4180.  Cells beyond
-  the header go to the quarantine, missing ones are NULL, empty ones ``''``.
-
-Files are matched to their lines by path; no list of paths goes through the
-driver except that of the files of one table layout (see plans.jobs).
+* Listing (S01/S05) reads file metadata only, of files with any name.
+* First scan (S02): every file in byte ranges (``sources.ranges``).  Each range
+  counts the characters that do not decode under each encoding; the first encoding
+  in order without any in the whole file is the file's.  The same scan gives the
+  file's first line with text, and what its quotes do.
+* Header (S03/S06): the delimiter is chosen from the first lines, and the record at
+  the first line with text, however late, is the header.
+* Second scan (S04): the ranges again, cut at true record ends; a task decodes its
+  records, and one expression splits each into an array of fields, so a row has no
+  width limit and a quoted field may hold line breaks.  Cells beyond the header go
+  to the quarantine, missing ones are NULL, empty ones ``''``.
+
+Decoding is Python's, so no session setting changes it.  No list of paths goes
+through the driver, and files that are not read are not opened.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from typesift.functions import constants as K
 from typesift.functions import text as X
-from typesift.session import charset_flags_set, materialize
+from typesift.session import materialize
+from typesift.sources import ranges as B
 
-#: Lines read at the start of a file for its header and delimiter.
-HEAD_LINES = 24
 BYTE_ENCODINGS = tuple(e for e in K.ENCODINGS if e != "utf-16")
-#: Line separator bytes of the scans; a UTF-16 file is scanned by its own byte order.
-LINE_SEPARATORS = {"utf-8": "\n", "cp932": "\n", "shift_jis": "\n", "utf-16le": "\n\x00", "utf-16be": "\x00\n"}
-BOMS = {"utf-16le": b"\xff\xfe", "utf-16be": b"\xfe\xff"}
 
 
 # --------------------------------------------------------------------------
@@ -59,29 +56,44 @@ def _named(df: DataFrame) -> DataFrame:
     for ext in K.SKIP_EXTENSIONS:
         skip = skip | low.endswith(ext)
     excel = low.endswith(K.EXCEL_EXTENSIONS[0]) | low.endswith(K.EXCEL_EXTENSIONS[1])
-    hidden = name.startswith("_") | name.startswith(".")
-    kind = F.when(skip, "skip").when(excel, "excel").when(hidden, "hidden").otherwise("text")
+    kind = F.when(skip, "skip").when(excel, "excel").otherwise("text")
     return df.select("path", name.alias("file_name"), X.extension(F.col("path")).alias("extension"),
                      "length", "modificationTime", kind.alias("kind"))
 
 
+def _listing(batches: Iterator) -> Iterator:
+    """(path, length, modificationTime) of the files in each folder."""
+    import pyarrow as pa
+    from pyarrow import fs
+    for b in batches:
+        for folder in b.column("path").to_pylist():
+            store, inner = B.located(folder)
+            found = [i for i in store.get_file_info(fs.FileSelector(inner)) if i.is_file]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f"{folder}/{i.base_name}" for i in found], pa.string()), pa.array([i.size for i in found], pa.int64()),
+                 pa.array([i.mtime_ns // 1000 if i.mtime_ns is not None else None for i in found], pa.int64()).cast(pa.timestamp("us", "UTC"))],
+                names=["path", "length", "modificationTime"])
+
+
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """Files in a folder (not recursive) with name, extension, size and kind.
 
-    kind: ``skip`` (.py .log .bak .db), ``excel`` (listed, not read),
-    ``hidden`` (a name Spark's sources do not read), ``text``.
+    kind: ``skip`` (.py .log .bak .db), ``excel`` (listed, not read), ``text``.
+    A task lists the folder through pyarrow: also empty files, and names that begin
+    with ``_`` or ``.``, but for the marks that Spark itself leaves beside its files.
+    Stores that pyarrow does not know are listed by Spark, which passes over both.
     """
-    seen = (spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(literal_path(path))
-            .select("path", "length", "modificationTime"))
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = store.globStatus(jvm.org.apache.hadoop.fs.Path(literal_path(path.rstrip("/")) + "/[_.]*")) or []
-    hidden = [(f.getPath().toString(), f.getLen()) for f in found
-              if f.isFile() and not f.getPath().getName().endswith(".crc") and f.getPath().getName() != "_SUCCESS"]
-    if hidden:
-        seen = seen.unionByName(spark.createDataFrame(hidden, "path string, length long")
-                                .withColumn("modificationTime", F.lit(None).cast("timestamp")))
+    whole = store.makeQualified(folder).toString().rstrip("/")
+    if whole.partition(":")[0] in B.ARROW_SCHEMES:
+        one = spark.createDataFrame([(whole,)], "path string").coalesce(1)
+        seen = one.mapInArrow(_listing, "path string, length long, modificationTime timestamp")
+        name = X.base_name(F.col("path"))
+        seen = seen.where(~(name.startswith(".") & name.endswith(".crc")) & (name != "_SUCCESS"))
+    else:
+        seen = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(literal_path(path)).select("path", "length", "modificationTime")
     return _named(seen)
 
 
@@ -90,85 +102,6 @@ def listed(paths: DataFrame) -> DataFrame:
     return _named(paths.withColumn("modificationTime", F.lit(None).cast("timestamp")))
 
 
-def _folders(files: DataFrame) -> list[str]:
-    """The folders that hold the files (normally one)."""
-    return [r[0] for r in files.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct().collect()]
-
-
-def raw_lines(spark: SparkSession, places: list[str], encoding: str = "utf-8") -> DataFrame:
-    """(path, start, raw) of every line below folders or files; raw: bytes without the line break."""
-    if not places:
-        return spark.createDataFrame([], "path string, start long, raw binary")
-    text = (spark.read.option("lineSep", LINE_SEPARATORS[encoding]).text([literal_path(p) for p in places])
-            .select("*", plain_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("start")))
-    return text.select("path", "start", F.col("value").cast("binary").alias("raw"))
-
-
-# --------------------------------------------------------------------------
-# Heads
-# --------------------------------------------------------------------------
-
-HEAD_SCHEMA = "path string, raw binary"
-#: Stores that pyarrow opens, and its name for their scheme.
-ARROW_SCHEMES = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs", "abfss": "abfss"}
-
-
-def open_file(path: str):
-    """An input stream on a Spark path; its name is never parsed as a URI."""
-    from pyarrow import fs
-
-    scheme, colon, rest = path.partition(":")
-    if not colon or "/" in scheme:
-        return fs.LocalFileSystem().open_input_stream(path)
-    if scheme == "file":
-        return fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"))
-    authority, _, inner = rest.lstrip("/").partition("/")
-    store, base = fs.FileSystem.from_uri(f"{ARROW_SCHEMES[scheme]}://{authority}/")
-    return store.open_input_stream(f"{base.rstrip('/')}/{inner}" if base.strip("/") else
-                                   (f"/{inner}" if scheme == "hdfs" else f"{authority}/{inner}"))
-
-
-def _read_head(path: str, n_lines: int) -> bytes:
-    parts, breaks = [], 0
-    with open_file(path) as f:
-        while breaks < n_lines and (chunk := f.read(1 << 16)):
-            parts.append(chunk)
-            breaks += chunk.count(b"\n")
-    return b"".join(parts)
-
-
-def _head_reader(n_lines: int):
-    def read(batches):
-        import pandas as pd
-        for pdf in batches:  # an error fails the task: no file is dropped in silence
-            yield pd.DataFrame({"path": pdf["path"], "raw": [_read_head(p, n_lines) for p in pdf["path"]]})
-    return read
-
-
-def read_heads(files: DataFrame, n_lines: int = HEAD_LINES, method: str = "auto") -> DataFrame:
-    """(path, raw): at least the first ``n_lines`` lines of each file (or all it has).
-
-    ``stream`` opens the files in tasks through pyarrow; ``scan`` takes the
-    lines from a Spark text scan, for stores that pyarrow does not open;
-    ``auto`` chooses by the scheme of the paths.
-    """
-    paths = files.select("path")
-    spark = files.sparkSession
-    if method == "auto":
-        one = paths.first()
-        scheme = one["path"].partition(":")[0] if one and ":" in one["path"] else "file"
-        method = "stream" if scheme in ARROW_SCHEMES else "scan"
-    if method == "stream":
-        n = max(1, spark.sparkContext.defaultParallelism)
-        return paths.repartition(n).mapInPandas(_head_reader(n_lines), HEAD_SCHEMA)
-    lines = raw_lines(spark, _folders(paths)).where("start = 0").join(paths, "path", "left_semi")
-    w = Window.partitionBy("path").orderBy("id")
-    lines = (lines.withColumn("id", F.monotonically_increasing_id()).withColumn("rn", F.row_number().over(w))
-             .where(F.col("rn") <= n_lines))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", F.hex("raw").alias("h")))), lambda x: x["h"]), "0A")
-    return lines.groupBy("path").agg(F.unhex(F.concat(joined, F.lit("0A"))).alias("raw"))
-
-
 def count_char(text: Column, ch: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))
 
@@ -185,27 +118,8 @@ def first_lines(text: Column, n: int) -> Column:
     return F.array_join(F.slice(F.split(text, "\n"), 1, n), "\n")
 
 
-def decode_by(raw: Column, encoding: Column) -> Column:
-    """Decode with the per-row encoding name; a leading BOM is dropped."""
-    charsets = {e: K.JVM_CHARSETS[e] for e in BYTE_ENCODINGS} | {"utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE"}
-    even = F.substring(raw, 1, (F.octet_length(raw) / 2).cast("int") * 2)
-    out = F.lit(None).cast("string")
-    for e, charset in charsets.items():
-        out = F.when(encoding == e, F.decode(even if e.startswith("utf-16") else raw, charset)).otherwise(out)
-    return F.regexp_replace(out, "^\ufeff", "")
-
-
-def bad_characters(raw: Column, encoding: str) -> Column:
-    """How many characters of the line do not decode."""
-    decoded = F.decode(raw, K.JVM_CHARSETS[encoding])
-    n = count_char(decoded, "\ufffd")
-    if encoding == "utf-8":  # a replacement character that is in the file is not an error
-        return F.when(F.is_valid_utf8(raw.cast("string")), 0).otherwise(F.greatest(n, F.lit(1)))
-    return n
-
-
 # --------------------------------------------------------------------------
-# Lines to fields (RFC 4180)
+# Records to fields
 # --------------------------------------------------------------------------
 
 def quoted(delimiter: Column) -> Column:
@@ -214,12 +128,13 @@ def quoted(delimiter: Column) -> Column:
 
 
 def fields_of(line: Column, delimiter: Column) -> Column:
-    """A decoded line as an array of fields; a quoted field may hold delimiters and doubled quotes."""
+    """A decoded record as an array of fields; a quoted field may hold delimiters, line breaks and doubled quotes,
+    and goes on to the end if nothing closes it."""
     d = quoted(delimiter)
-    pattern = F.concat(d, F.lit('("[^"]*+(?:""[^"]*+)*+"(?:(?!'), d, F.lit(").)*+|(?:(?!"), d, F.lit(").)*+)"))
+    pattern = F.concat(F.lit("(?s)"), d, F.lit('("[^"]*+(?:""[^"]*+)*+(?:"(?:(?!'), d, F.lit(").)*+|\\z)|(?:(?!"), d, F.lit(").)*+)"))
     parts = F.regexp_extract_all(F.concat(delimiter, line), pattern, F.lit(1))
     inner = F.transform(parts, lambda f: F.when(f.startswith('"'), F.replace(
-        F.regexp_replace(f, '^"([^"]*+(?:""[^"]*+)*+)"', "$1"), F.lit('""'), F.lit('"'))).otherwise(f))
+        F.regexp_replace(f, '^"([^"]*+(?:""[^"]*+)*+)(?:"|\\z)', "$1"), F.lit('""'), F.lit('"'))).otherwise(f))
     return F.when(line.contains('"'), inner).otherwise(F.split(line, d, -1))
 
 
@@ -237,45 +152,78 @@ def column_names(header: Column) -> Column:
 # Encoding and delimiter probe
 # --------------------------------------------------------------------------
 
-def _head_columns(heads: DataFrame) -> DataFrame:
-    """utf16 (byte order of a UTF-16 BOM or NULL) and header_raw, the bytes of the first non-blank line, with its number."""
-    start = F.substring("raw", 1, 2)
-    utf16 = F.lit(None).cast("string")
-    for name, bom in BOMS.items():
-        utf16 = F.when(start == F.lit(bom), name).otherwise(utf16)
-    latin = F.split(F.regexp_replace(F.decode("raw", "ISO-8859-1"), "^\u00ef\u00bb\u00bf", ""), "\n")
-    line = F.try_element_at(F.filter(latin, lambda x: F.btrim(x, F.lit(" \t\r")) != ""), F.lit(1))
-    return heads.select("path", "raw", utf16.alias("utf16"), F.encode(line, "ISO-8859-1").alias("header_raw"))
+def _codec(scan_as: str) -> str:
+    return {"utf-8": "utf-8-sig", "utf-16le": "utf-16", "utf-16be": "utf-16"}.get(scan_as, scan_as)
+
+
+def _with_sample(rows: DataFrame, n: int, method: str) -> DataFrame:
+    """``rows`` (path, scan_as, first_text, ...) with sample, the text of the file's first lines, or of those from its first text on if they are blank."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        for b in batches:
+            found = []
+            for r in b.to_pylist():
+                if r["first_text"] is None or r["scan_as"] is None:
+                    found.append(None)
+                    continue
+                f = B.Bytes(r["path"], r["content"])
+                text = B.head(f, n).decode(_codec(r["scan_as"]), "replace")
+                found.append(text if text.strip() else B.head(f, n, r["first_text"]).decode(B.codec(r["scan_as"]), "replace"))
+                f.close()
+            yield b.append_column("sample", pa.array(found, pa.string()))
+
+    rows = B.with_content(rows, method)
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("sample", StringType())])).drop("content")
+
+
+def _with_header(rows: DataFrame, method: str) -> DataFrame:
+    """``rows`` (path, scan_as, first_text, delimiter, ...) with header_line and header_end, the place after it."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        for b in batches:
+            found = []
+            for r in b.to_pylist():
+                if r["first_text"] is None or r["scan_as"] is None:
+                    found.append((None, None))
+                else:
+                    f = B.Bytes(r["path"], r["content"])
+                    found.append(B.first_record(f, r["first_text"], r["scan_as"], r["delimiter"]))
+                    f.close()
+            yield b.append_column("header_line", pa.array([x for x, _ in found], pa.string())).append_column(
+                "header_end", pa.array([x for _, x in found], pa.int64()))
+
+    rows = B.with_content(rows, method)
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("header_line", StringType()), StructField("header_end", LongType())])).drop("content")
 
 
 def probe(files: DataFrame, *, delimiter_variant: str = "load", file_rules: DataFrame | None = None,
-          encodings: tuple[str, ...] = K.ENCODINGS, head_method: str = "auto", places: list[str] | None = None) -> DataFrame:
-    """Encoding, delimiter, header and status of each file.
+          encodings: tuple[str, ...] = K.ENCODINGS, method: str = "auto", range_bytes: int = B.RANGE_BYTES) -> DataFrame:
+    """Encoding, delimiter, header, status and byte ranges of each file.
 
     ``encodings`` is the order of trial (``K.ENCODINGS``, or with cp932 first);
     UTF-16 is known by its byte order mark.  bad_characters maps each encoding
     to the characters of the whole file that do not decode under it.  The
-    delimiter is the most frequent candidate in the first five lines (``load``
+    delimiter is the most frequent candidate in the first five lines, or from the
+    first text on if they are blank (``load``
     variant: tab , | ; with tab as fallback; ``analyze`` variant: , tab ; |
     space with comma as fallback).  Files with a file rule take its hints.
-    places: paths to scan instead of the files' whole folders.
+    line_break: LF, CR, CRLF or mixed.  open_quote: whether the file ends inside
+    quotes.  status: ``ok``; ``empty``, nothing but a header; ``unreadable``, no
+    encoding fits; ``unsupported``, Excel.  method: how bytes are read, see
+    ``ranges.with_content``.
     """
-    spark = files.sparkSession
-    if not charset_flags_set(spark):
-        raise RuntimeError("probe needs spark.sql.legacy.javaCharsets=true and "
-                           "spark.sql.legacy.codingErrorAction=true (see typesift.session)")
     text_files = files.filter(F.col("kind") == "text")
     cands, fb = ((K.LOAD_DELIMITERS, "\t") if delimiter_variant == "load" else (K.ANALYZE_DELIMITERS, ","))
-    heads = materialize(_head_columns(read_heads(text_files, method=head_method)), "heads")
-    lines = raw_lines(spark, places if places is not None else _folders(text_files)).join(heads.where("utf16 is null").select("path", "header_raw"), "path")
-    checked = lines.groupBy("path").agg(
-        F.count(F.when(F.btrim(F.decode("raw", "ISO-8859-1"), F.lit(" \t\r")) != "", 1)).alias("n_lines"),
-        F.count(F.when(F.col("raw") == F.col("header_raw"), 1)).alias("header_copies"),
-        *[F.sum(bad_characters(F.col("raw"), e)).alias(f"bad_{e}") for e in BYTE_ENCODINGS])
+    given = {} if file_rules is None else {r[0]: None for r in file_rules.select("separator").distinct().collect() if r[0]}  # rules are a table that a person edits
+    scanned = materialize(B.scan(text_files, list(BYTE_ENCODINGS), list({**dict.fromkeys(cands), **given}), range_bytes=range_bytes, method=method), "ranges")
+    checked = scanned.groupBy("path").agg(
+        F.max("utf16").alias("utf16"), F.min("first_text").alias("first_text"), F.max("last_text").alias("last_text"),
+        *[F.sum(c).alias(c) for c in ("n_lf", "n_cr", "n_crlf", "n_text_lines")],
+        *[F.sum(F.try_element_at("bad", F.lit(e))).alias(f"bad_{e}") for e in BYTE_ENCODINGS])
     enc = F.lit(None).cast("string")
     for e in reversed([e for e in encodings if e in BYTE_ENCODINGS]):
         enc = F.when(F.col(f"bad_{e}") == 0, e).otherwise(enc)
-    out = text_files.join(heads, "path", "left").join(checked, "path", "left")
+    out = text_files.select("path", "file_name", "length").join(checked, "path", "left")
     hint_enc = hint_sep = F.lit(None).cast("string")
     if file_rules is not None:
         rules = file_rules.groupBy(F.col("file_name").alias("rule_file")).agg(
@@ -283,29 +231,37 @@ def probe(files: DataFrame, *, delimiter_variant: str = "load", file_rules: Data
         out = out.join(rules, out["file_name"] == F.col("rule_file"), "left")
         hint_enc = F.when(F.lower("rule_enc").isin(*BYTE_ENCODINGS), F.lower("rule_enc"))
         hint_sep = F.when(F.length("rule_sep") > 0, F.col("rule_sep"))
-    # scan_as: the encoding by which lines are cut and decoded; utf-16 by its byte order
-    out = out.withColumn("scan_as", F.coalesce(F.col("utf16"), hint_enc, enc))
-    text = decode_by(F.col("raw"), F.col("scan_as"))
-    out = out.withColumn("sample", first_lines(F.regexp_replace(text, "\r", ""), K.DELIMITER_SAMPLE_LINES))
-    out = out.withColumn("delimiter", F.coalesce(hint_sep, pick_delimiter(F.col("sample"), cands, fb)))
-    utf16_lines = F.filter(F.split(text, "\r?\n"), lambda s: F.btrim(s) != "")
-    header = F.when(F.col("utf16").isNotNull(), F.try_element_at(utf16_lines, F.lit(1))).otherwise(
-        decode_by(F.col("header_raw"), F.col("scan_as")))
-    out = out.withColumn("header_line", F.regexp_replace(header, "\r$", ""))
+    # scan_as: the encoding by which records are cut and decoded; utf-16 by its byte order
+    out = out.withColumn("scan_as", F.coalesce(F.col("utf16"), hint_enc, enc)).withColumn("hint_sep", hint_sep)
+    out = _with_sample(out, K.DELIMITER_SAMPLE_LINES, method)
+    out = out.withColumn("delimiter", F.coalesce(F.col("hint_sep"), pick_delimiter(F.coalesce("sample", F.lit("")), cands, fb)))
+    out = _with_header(out.drop("sample"), method)
     out = out.withColumn("header", fields_of(F.col("header_line"), F.col("delimiter")))
-    n_lines = F.when(F.col("utf16").isNotNull(), F.size(utf16_lines)).otherwise(F.coalesce("n_lines", F.lit(0)))
-    status = (F.when(n_lines <= 1, F.when(n_lines.isNull() | (F.col("scan_as").isNull() & (n_lines > 0)), "unreadable").otherwise("empty"))
-              .when(F.col("scan_as").isNull(), "unreadable").otherwise("ok"))
+
+    turns = scanned.select("path", "range", "start", "end", "turns").join(out.select("path", "delimiter", "scan_as"), "path")
+    turns = B.start_states(turns.withColumn("turn", B.turn_of(F.col("delimiter"), F.col("scan_as"))).drop("turns"))
+    spans = turns.groupBy("path").agg(  # a range is megabytes of its file
+        F.array_sort(F.collect_list(F.struct("range", "start", "end", "state"))).alias("ranges"),
+        F.max_by(F.when(F.col("state") == 1, F.col("turn").bitwiseAND(2) / 2).otherwise(F.col("turn").bitwiseAND(1)), "range").alias("end_state"))
+    out = out.join(spans, "path", "left")
+
+    some = F.coalesce("n_text_lines", F.lit(0)) > 0
+    more = F.col("last_text") >= F.col("header_end")
+    status = F.when(~some, "empty").when(F.col("scan_as").isNull(), "unreadable").when(~more, "empty").otherwise("ok")
     bad = F.create_map(*[x for e in BYTE_ENCODINGS for x in (F.lit(e), F.coalesce(f"bad_{e}", F.lit(0)).cast("long"))])
+    kinds = [("LF", "n_lf"), ("CR", "n_cr"), ("CRLF", "n_crlf")]
+    n_kinds = sum((F.coalesce(c, F.lit(0)) > 0).cast("int") for _, c in kinds)
+    line_break = F.when(n_kinds > 1, "mixed")
+    for name, c in kinds:
+        line_break = line_break.when(F.col(c) > 0, name)
     res = out.select(
         "path", "file_name", "length", F.when(F.col("scan_as").startswith("utf-16"), "utf-16").otherwise(F.col("scan_as")).alias("encoding"),
         F.when(F.col("scan_as").isNotNull(), F.col("delimiter")).alias("delimiter"),
         F.when(F.col("header_line").isNotNull(), F.size("header")).alias("n_header_cols"), status.alias("status"), "header_line",
-        "scan_as", "header", column_names(F.col("header")).alias("names"), "header_raw", "header_copies",
-        F.when(F.col("utf16").isNull(), bad).alias("bad_characters"))
-    other = files.filter(F.col("kind").isin("excel", "hidden"))
-    res = res.unionByName(other.select("path", "file_name", "length", F.when(F.col("kind") == "excel", "unsupported")
-                                       .otherwise("hidden_name").alias("status")), allowMissingColumns=True)
+        "scan_as", "header", column_names(F.col("header")).alias("names"), "header_end", line_break.alias("line_break"),
+        (F.col("end_state") == 1).alias("open_quote"), "ranges", F.when(F.col("utf16").isNull(), bad).alias("bad_characters"))
+    other = files.filter(F.col("kind") == "excel")
+    res = res.unionByName(other.select("path", "file_name", "length", F.lit("unsupported").alias("status")), allowMissingColumns=True)
     # One row per file, reused by every later step: written once, so files
     # are probed once and later plans stay small.
     return materialize(res, "probe")
@@ -318,97 +274,17 @@ def probe(files: DataFrame, *, delimiter_variant: str = "load", file_rules: Data
 ROW_COLUMNS = ("file_name", "path", "row_id", "fields", "names")
 
 
-def _python_rows(probed: DataFrame) -> DataFrame:
-    """(path, row_id, fields) of whole files whose quoted fields may hold line breaks.
-
-    Such a file can't be split, so one task reads it, as a stream.
-    """
-    def read(batches):
-        import csv
-        import io
-
-        import pyarrow as pa
-
-        csv.field_size_limit(1 << 31)
-        for b in batches:
-            for path, encoding, delimiter in zip(*(b.column(c).to_pylist() for c in ("path", "scan_as", "delimiter"))):
-                codec = {"utf-8": "utf-8-sig", "utf-16le": "utf-16", "utf-16be": "utf-16"}.get(encoding, encoding)
-                with open_file(path) as f:
-                    rows = csv.reader(io.TextIOWrapper(io.BufferedReader(_Raw(f)), encoding=codec, newline=""), delimiter=delimiter)
-                    held, n, header = [], 0, True
-                    for row in rows:
-                        if not row or len(row) == 1 and not row[0].strip():
-                            continue
-                        if header:
-                            header = False
-                            continue
-                        held.append(row)
-                        if len(held) == 4096:
-                            yield _row_batch(pa, path, n, held)
-                            n, held = n + len(held), []
-                    yield _row_batch(pa, path, n, held)
-
-    n = max(1, probed.sparkSession.sparkContext.defaultParallelism)
-    return (probed.select("path", "scan_as", "delimiter").repartition(n, "path")
-            .mapInArrow(read, "path string, row_id long, fields array<string>"))
-
-
-def _row_batch(pa, path: str, n: int, rows: list[list[str]]):
-    return pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array(range(n, n + len(rows)), pa.int64()),
-                                       pa.array(rows, pa.list_(pa.string()))], names=["path", "row_id", "fields"])
-
-
-class _Raw(__import__("io").RawIOBase):
-    """A pyarrow stream as a raw file."""
-
-    def __init__(self, stream):
-        self.stream = stream
-
-    def readable(self):
-        return True
+def read_rows(probed: DataFrame, method: str = "auto") -> DataFrame:
+    """(file_name, path, row_id, fields, names) of every record below the header of the readable files.
 
-    def readinto(self, buffer):
-        data = self.stream.read(len(buffer))
-        buffer[:len(data)] = data
-        return len(data)
-
-
-def read_rows(spark: SparkSession, probed: DataFrame, *, multi_line: bool = False, places: list[str] | None = None) -> DataFrame:
-    """(file_name, path, row_id, fields, names) of every row below the header of the readable files.
-
-    places: the paths to scan instead of the files' whole folders.
+    row_id: the place of the record's first byte in its file.
     """
     ok = probed.filter(F.col("status") == "ok")
-    about = ok.select("path", "file_name", "names", "header", "scan_as", "delimiter", "header_raw", "header_copies")
-    if multi_line:
-        rows = _python_rows(ok)
-        return rows.join(about.select("path", "file_name", "names"), "path").select(*ROW_COLUMNS)
-    parts = []
-    for scan in [r[0] for r in ok.select(F.when(F.col("scan_as").startswith("utf-16"), F.col("scan_as")).otherwise("utf-8"))
-                 .distinct().collect()]:  # at most three: byte encodings together, UTF-16 by byte order
-        own = about.filter(F.col("scan_as") == scan) if scan != "utf-8" else about.filter(~F.col("scan_as").startswith("utf-16"))
-        lines = raw_lines(spark, places if places is not None else _folders(own), scan).withColumn("row_id", F.monotonically_increasing_id())
-        lines = lines.join(own, "path")
-        if scan == "utf-8":
-            # The header's line goes wherever it is; further rows equal to it come back below.
-            lines = lines.where(F.col("raw") != F.col("header_raw"))
-            again = own.where("header_copies > 1").select(
-                "path", "file_name", "names", F.explode(F.sequence(F.lit(-1).cast("long"), 1 - F.col("header_copies"), F.lit(-1).cast("long"))).alias("row_id"),
-                F.col("header").alias("fields"))
-            parts.append(again.select(*ROW_COLUMNS))
-        line = F.regexp_replace(decode_by(F.col("raw"), F.col("scan_as")), "\r$", "")
-        rows = lines.withColumn("line", line).withColumn("fields", fields_of(F.col("line"), F.col("delimiter")))
-        if scan != "utf-8":
-            first = rows.where("start = 0").where(F.btrim("line") != "").groupBy("path").agg(F.min("row_id").alias("header_id"))
-            rows = rows.join(first, "path", "left").where(F.col("header_id").isNull() | (F.col("row_id") != F.col("header_id")))
-        rows = rows.where(~((F.size("fields") == 1) & (F.btrim(F.col("fields")[0]) == "")))
-        parts.append(rows.select(*ROW_COLUMNS))
-    if not parts:
-        return spark.createDataFrame([], "file_name string, path string, row_id long, fields array<string>, names array<string>")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    spans = ok.select("path", "file_name", "names", "delimiter", F.col("scan_as").alias("encoding"), F.col("header_end").alias("skip"), F.inline("ranges"))
+    chunks = B.records(spans.where(F.col("end") > F.col("skip")), method)
+    rows = chunks.select("path", "file_name", "names", "delimiter", F.inline(F.arrays_zip("row_id", "record")))
+    rows = rows.withColumn("fields", fields_of(F.col("record"), F.col("delimiter")))
+    return rows.where(~((F.size("fields") == 1) & (F.btrim(F.col("fields")[0]) == ""))).select(*ROW_COLUMNS)
 
 
 def cells_of_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -424,15 +300,13 @@ def cells_of_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         "file_name", "path", "row_id", "pos", F.lit(None).cast("string").alias("column_name"), "value")
 
 
-def read_cells(spark: SparkSession, probed: DataFrame, *, with_row_id: bool = True,
-               multi_line: bool = False, places: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def read_cells(probed: DataFrame, *, with_row_id: bool = True, method: str = "auto") -> tuple[DataFrame, DataFrame]:
     """Scan all readable files into cells; returns (cells, quarantine).
 
     cells: (file_name, path, row_id, column_name, value); quarantine: cells
-    beyond the header of their file.  ``multi_line=True`` lets quoted fields
-    contain line breaks; such files can't be split.
+    beyond the header of their file.
     """
-    cells, quarantine = cells_of_rows(read_rows(spark, probed, multi_line=multi_line, places=places))
+    cells, quarantine = cells_of_rows(read_rows(probed, method))
     return (cells if with_row_id else cells.drop("row_id")), quarantine
 
 
@@ -505,14 +379,21 @@ def layout_report(probed: DataFrame, lines: DataFrame, expected: DataFrame | Non
                     header_cols.alias("header_columns"), body_cols.alias("body_columns"))
 
 
-def head_lines(spark: SparkSession, probed: DataFrame, n: int = 6) -> DataFrame:
-    """(path, line_no, line) of the first ``n`` lines of each probed file (from its head)."""
-    known = probed.filter(F.col("encoding").isNotNull()).select("path")
-    if not known.limit(1).count():
-        return spark.createDataFrame([], "path string, line_no int, line string")
-    j = read_heads(known, n).join(probed.select("path", "scan_as"), "path")
-    lines = F.slice(F.split(decode_by(F.col("raw"), F.col("scan_as")), "\r?\n"), 1, n)
-    return j.select("path", F.posexplode(lines).alias("line_no", "line"))
+def head_lines(probed: DataFrame, n: int = 6, method: str = "auto") -> DataFrame:
+    """(path, line_no, line) of the first ``n`` lines of each probed file."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        for b in batches:
+            for r in b.to_pylist():
+                f = B.Bytes(r["path"], r["content"])
+                text = B.head(f, n).decode(_codec(r["scan_as"]), "replace")
+                f.close()
+                lines = re.split("\r\n|\r|\n", text)[:n]
+                yield pa.RecordBatch.from_arrays([pa.array([r["path"]] * len(lines), pa.string()), pa.array(range(len(lines)), pa.int32()),
+                                                  pa.array(lines, pa.string())], names=["path", "line_no", "line"])
+
+    known = probed.filter(F.col("encoding").isNotNull()).select("path", "scan_as")
+    return B.with_content(known, method).mapInArrow(run, "path string, line_no int, line string")
 
 
 # --------------------------------------------------------------------------
@@ -550,7 +431,7 @@ def headerless_probe(spark: SparkSession, probed: DataFrame, n_lines: int = 10)
     ``n_lines`` lines into more than one field, and a dtype label per column
     of those lines read without a header."""
     from typesift.operators import profile as P
-    lines = head_lines(spark, probed, n_lines).filter(F.col("line") != "")
+    lines = head_lines(probed, n_lines).filter(F.col("line") != "")
     few = lines.groupBy("path").agg(F.collect_list("line").alias("l"))  # n_lines at most
     chosen = few.select("path", first_splitting(F.col("l")).alias("delimiter"))
     split = (lines.join(chosen, "path")

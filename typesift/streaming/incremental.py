@@ -62,10 +62,9 @@ def analyze_batch(spark: SparkSession, paths: DataFrame, registry_path: str,
     stream's ``max_files``.
     """
     files = S.listed(paths.select("path", "length")).persist()
-    places = [r["path"] for r in files.where("kind = 'text'").select("path").collect()]
     try:
-        if places:
-            done = J.analyze_files(spark, files, registry=read_registry(spark, registry_path), rules=rules, places=places)
+        if files.where("kind = 'text'").limit(1).count():
+            done = J.analyze_files(spark, files, registry=read_registry(spark, registry_path), rules=rules)
             write_registry(done.registry, registry_path)
     finally:
         files.unpersist()
