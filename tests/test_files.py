@@ -246,10 +246,34 @@ def test_one_failing_layout_leaves_the_others(spark, scratch):
     folder, out = os.path.join(scratch, "in"), os.path.join(scratch, "out")
     os.makedirs(folder)
     put(folder, "good.csv", b"a,b\n1,2\n")
-    put(folder, "bad.csv", b"__table__,b\n1,2\n")  # the name of the writer's own column
+    put(folder, "bad.csv", b"a,a,a.1\n1,2,3\n")  # two columns named a.1
+    put(folder, "plain.csv", b"__table__,b\n1,2\n")
     done = J.load_folder(spark, folder, J.analyze_folder(spark, folder).registry, out_dir=out)
-    got = {r["file_name"]: r["status"] for r in done.tables.collect()}
-    assert got == {"good.csv": "loaded", "bad.csv": "failed"}
+    got = {r["file_name"]: (r["status"], r["problem"]) for r in done.tables.collect()}
+    assert got == {"good.csv": ("loaded", None), "bad.csv": ("failed", "columns share a name: a.1"), "plain.csv": ("loaded", None)}
+
+
+def test_many_layouts_in_one_job_and_their_readback(spark, scratch):
+    import pyarrow.parquet as pq
+    folder, out = os.path.join(scratch, "in"), os.path.join(scratch, "out")
+    os.makedirs(folder)
+    n = 120
+    for i in range(n):
+        put(folder, f"f{i}.csv", (",".join(f"c{i}_{k}" for k in range(1 + i % 5)) + ",d\n" + "".join(
+            ",".join(str(i * k + r) for k in range(1 + i % 5)) + f',"2024-01-0{r}"\n' for r in range(1, 5))).encode())
+    registry = J.analyze_folder(spark, folder).registry
+    done = J.load_folder(spark, folder, registry, out_dir=out)
+    assert [(r["status"], r["files"]) for r in done.tally.collect()] == [("loaded", n)]
+    assert done.tables.select("layout").distinct().count() == n and done.tables.where("rows = 4").count() == n
+    probed = S.probe(S.list_files(spark, folder))
+    manifest = spark.read.parquet(f"{out}/_tables")
+    checked = J.readback(probed, manifest, done.decisions)
+    assert checked.count() == sum(2 + i % 5 for i in range(n)) and checked.where("not same").count() == 0
+    assert J.stored_consistency(manifest, registry).where("Match = '○'").count() > 0
+    one = manifest.where("table_name = 'f7'").first()["files"][0].removeprefix("file:")
+    t = pq.read_table(one)
+    pq.write_table(t.set_column(0, t.column_names[0], [[99, *t.column(0).to_pylist()[1:]]]), one)  # one altered cell
+    assert [(r["table"], r["column"]) for r in J.readback(probed, manifest, done.decisions).where("not same").collect()] == [("f7", "c7_0")]
 
 
 def test_last_date_column_of_a_crlf_utf16_file_loads(spark, scratch):

@@ -222,6 +222,45 @@ def load_typed_cells(cells: DataFrame, decisions: DataFrame, normalize: bool = F
                     F.when(lt == K.TEXT, v).when(lt == K.DATETIME, F.col("_dt")).alias("text_value"))
 
 
+def _converted(rows: DataFrame, normalize: bool) -> DataFrame:
+    """Cells of rows(..., fields, load_types, date_formats), cut or filled to the width of their layout, in order: pos, int_value, real_value, text_value."""
+    keep = [c for c in rows.columns if c not in ("fields", "load_types", "date_formats", "record", "delimiter", "k")]
+    width = F.size("load_types")
+    filled = F.slice(F.concat("fields", F.array_repeat(F.lit(None).cast("string"), width)), F.lit(1), width)
+    cells = rows.select(*keep, "load_types", "date_formats", F.posexplode(filled).alias("pos", "value"))
+    cells = cells.select(*keep, "pos", "value", F.coalesce(F.element_at("load_types", F.col("pos") + 1), F.lit(K.TEXT)).alias("load_type"),
+                         F.element_at("date_formats", F.col("pos") + 1).alias("date_format"))
+    cells = with_datetime_text(cells, "value", "date_format", "_dt")
+    v, lt = F.col("value"), F.col("load_type")
+    return cells.select(*keep, "pos", F.when(lt == K.INTEGER, integer_value(v, normalize)).alias("int_value"),
+                        F.when(lt == K.REAL, real_value(v, normalize)).alias("real_value"),
+                        F.when(lt == K.TEXT, v).when(lt == K.DATETIME, F.col("_dt")).alias("text_value"))
+
+
+def written_cells(rows: DataFrame, normalize: bool = False) -> DataFrame:
+    """Converted cells of rows(table, layout, first, fields, load_types, date_formats), as the writer of typed tables takes them.
+
+    first: whether the row tells its table and layout to the writer.
+    """
+    cells, tells = _converted(rows, normalize), F.col("first") & (F.col("pos") == 0)
+    return cells.select(F.when(tells, F.col("table")).alias("table"), F.when(tells, F.col("layout")).alias("layout"), "pos", "int_value", "real_value", "text_value")
+
+
+def source_cells(rows: DataFrame, normalize: bool = False) -> DataFrame:
+    """(table, column, int_value, real_value, text_value) of rows(table, names, fields, load_types, date_formats)."""
+    cells = _converted(rows, normalize)
+    return cells.select("table", F.element_at("names", F.col("pos") + 1).alias("column"), "int_value", "real_value", "text_value")
+
+
+def layouts(columns: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(file_name, layout, load_types, date_formats) from columns(file_name, pos, column_name); layout: JSON [name, load type, date format] of each column."""
+    cols = columns.join(decisions.select("file_name", "column_name", "load_type", "date_format"), ["file_name", "column_name"], "left")
+    one = cols.groupBy("file_name").agg(F.array_sort(F.collect_list(F.struct(  # the columns of one file
+        "pos", "column_name", F.coalesce("load_type", F.lit(K.TEXT)).alias("load_type"), "date_format"))).alias("c"))
+    return one.select("file_name", F.to_json(F.transform("c", lambda c: F.array(c["column_name"], c["load_type"], c["date_format"]))).alias("layout"),
+                      F.col("c.load_type").alias("load_types"), F.col("c.date_format").alias("date_formats"))
+
+
 # --------------------------------------------------------------------------
 # S14 schema scan and J04 comparison
 # --------------------------------------------------------------------------
@@ -242,12 +281,6 @@ def schema_table(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame
     return spark.createDataFrame(rows, "table string, column string, type string")
 
 
-def catalog_schema(spark: SparkSession, database: str | None = None) -> DataFrame:
-    """(table, column, type) of the tables in the session's catalog."""
-    names = [t.name for t in (spark.catalog.listTables(database) if database else spark.catalog.listTables()) if not t.isTemporary]
-    return schema_table(spark, {n: spark.table(f"`{database}`.`{n}`" if database else f"`{n}`") for n in names})
-
-
 def actual_types(decisions: DataFrame, parity: bool = True) -> DataFrame:
     """Stored type of each loaded column from the decisions (DATETIME is text under parity)."""
     t = F.when(F.col("load_type") == K.DATETIME, F.lit(K.TEXT if parity else K.DATETIME)) \

@@ -3,19 +3,17 @@
 * ``analyze_folder`` (E1): list -> probe -> one scan per format group ->
   profile -> initial + corrected types -> analysis rows and registry upsert.
 * ``load_folder`` (E2): scan in the registered formats -> load decisions from
-  the registry and the overrides -> typed tables, one job per layout (K01) ->
-  comparison report (J04).
+  the registry and the overrides -> typed tables, one job for all layouts (K01)
+  -> comparison report (J04); ``readback`` holds the stored tables to the files.
 * ``fix_cycle`` (E3): registry -> fix rules -> updated registry + overrides.
 * ``master_diff`` (E4): analysis against a registry snapshot taken *before*
   the upsert, so new columns and type changes are visible (D13).
 
-Each step is a lazy DataFrame; the only driver-side values are the distinct
-table layouts and, one layout at a time, the paths of its files.
+Each step is a lazy DataFrame; nothing of the files or tables is kept by the driver.
 """
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +28,7 @@ from typesift.operators import registry as R
 from typesift.session import materialize
 from typesift.sources import files as S
 from typesift.sources import rules as RULES
+from typesift.sources import typed_tables as TT
 
 
 @dataclass
@@ -81,7 +80,7 @@ def analyze_files(spark: SparkSession, files: DataFrame, *, registry: DataFrame
 class Load:
     report: DataFrame       # File, Column, Inferred_Type, Actual_Type, Match, Encoding, Delimiter
     decisions: DataFrame    # per column: registered type, load type, date format, overridden
-    tables: DataFrame       # per file: table, layout, path, status, problem
+    tables: DataFrame       # per file: table, layout, path, status, problem, rows, files
     tally: DataFrame        # status -> files (A19)
 
 
@@ -117,61 +116,76 @@ def load_folder(spark: SparkSession, path: str, registry: DataFrame, *, override
 
 
 def table_plan(probed: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Per file: table name (K08), layout (its columns with their conversions) and status.
-
-    Files with the same columns and decisions share a layout.
-    """
+    """Per file: table name (K08), layout (its columns with their conversions) and status."""
     at = probed.where("status = 'ok'").select("file_name", F.posexplode("names").alias("pos", "column_name"))
-    cols = at.join(decisions.select("file_name", "column_name", "load_type", "date_format"), ["file_name", "column_name"], "left")
-    layout = cols.groupBy("file_name").agg(F.to_json(F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", "column_name", "load_type", "date_format"))),
-        lambda c: F.array(c["column_name"], c["load_type"], c["date_format"]))).alias("layout"))
-    out = probed.select("file_name", "path", "status").join(layout, "file_name", "left")
+    out = probed.select("file_name", "path", "status").join(L.layouts(at, decisions), "file_name", "left")
     out = out.withColumn("table_name", X.sanitize_table_name(F.col("file_name")))
     shared = out.where("status = 'ok'").groupBy("table_name").agg(F.count("*").alias("files"))
     out = out.join(shared, "table_name", "left")
     status = F.when((F.col("status") == "ok") & (F.col("files") > 1), "collision").otherwise(F.col("status"))
-    return materialize(out.select("table_name", "file_name", "path", status.alias("status"), "layout"), "table-plan")
+    return materialize(out.select("table_name", "file_name", "path", status.alias("status"), "layout", "load_types", "date_formats"), "table-plan")
+
+
+def _written_cells(probed: DataFrame, tables: DataFrame, normalize: bool) -> DataFrame:
+    """The converted cells of the files of ``tables``, in order."""
+    own = tables.select("path", F.col("table_name").alias("table"), "layout", "load_types", "date_formats")
+    chunks = S.read_chunks(probed.join(own, "path"), ("table", "layout", "load_types", "date_formats"))
+    rows = chunks.select("table", "layout", "load_types", "date_formats", "delimiter", F.posexplode("record").alias("k", "record"))
+    rows = rows.withColumn("first", F.col("k") == 0).withColumn("fields", S.fields_of(F.col("record"), F.col("delimiter")))
+    return L.written_cells(rows, normalize)
 
 
 def write_typed_tables(spark: SparkSession, probed: DataFrame, tables: DataFrame, out_dir: str, *, normalize: bool = False,
                        parity: bool = True) -> DataFrame:
-    """One Parquet folder ``out_dir/layout=<hash>/__table__=<table>`` per file.
+    """The files' typed tables below ``out_dir/tables``, in one job whatever their layouts.
 
-    One job per layout: its files are scanned, each row's fields are converted
-    by one select and written; nothing is shuffled.  The returned manifest
-    (also written to ``out_dir/_tables``) has each file's status and folder.
+    Nothing is shuffled but byte ranges: a task reads a range, converts its cells
+    and writes them to its file's table (``sources.typed_tables``).  The returned
+    manifest (also written to ``out_dir/_tables``) has each file's status and, for
+    loaded ones, the files and rows of its table; a file whose data can't be stored
+    is ``failed``, with the problem, and leaves the others.
     """
-    ready = tables.where("status = 'ok'").withColumn("key", F.lower(F.hex(F.xxhash64("layout"))))
     root = out_dir.rstrip("/")
-    problems = {}
-    for r in ready.select("key", "layout").distinct().collect():  # as many as there are distinct layouts
-        own = ready.where(F.col("key") == r["key"]).select("path", "table_name")
-        try:
-            rows = S.read_rows(probed.join(own.select("path"), "path", "left_semi"))
-            typed = [L.typed_value(F.get("fields", F.lit(i)), load_type or K.TEXT, date_format, normalize, parity).alias(name)
-                     for i, (name, load_type, date_format) in enumerate(json.loads(r["layout"]))]
-            # the table of a row's file, as a column whose name no header has
-            (rows.join(F.broadcast(own), "path").select(*typed, F.col("table_name").alias("__table__"))
-             .write.mode("overwrite").partitionBy("__table__").parquet(f"{root}/layout={r['key']}"))
-        except Exception as e:  # one layout's failure leaves the others; it is told in the manifest
-            problems[r["key"]] = str(e).partition("\n")[0][:500]
-    failed = spark.createDataFrame(list(problems.items()), "key string, problem string")
-    done = tables.withColumn("key", F.when(F.col("status") == "ok", F.lower(F.hex(F.xxhash64("layout"))))).join(failed, "key", "left")
-    status = F.when(F.col("problem").isNotNull(), "failed").when(F.col("status") == "ok", "loaded").otherwise(F.col("status"))
-    done = done.select(
-        "table_name", "file_name", "path", "layout", status.alias("status"), "problem",
-        F.when(status == "loaded", F.concat(F.lit(f"{root}/layout="), "key", F.lit("/__table__="), "table_name")).alias("folder"))
-    done.write.mode("overwrite").parquet(f"{root}/_tables")
+    done = TT.write_cells(_written_cells(probed, tables.where("status = 'ok'"), normalize), root, parity)
+    done = done.groupBy(F.col("table").alias("table_name")).agg(
+        F.min("problem").alias("problem"), F.sum("rows").alias("rows"), F.array_sort(F.collect_list("file")).alias("files"))  # the files of one table
+    found = tables.drop("load_types", "date_formats").join(done, "table_name", "left")
+    status = (F.when((F.col("status") == "ok") & F.col("problem").isNotNull(), "failed")
+              .when((F.col("status") == "ok") & F.col("files").isNull(), "empty").when(F.col("status") == "ok", "loaded").otherwise(F.col("status")))
+    loaded = status == "loaded"
+    found = found.select("table_name", "file_name", "path", "layout", status.alias("status"), F.when(F.col("status") == "ok", F.col("problem")).alias("problem"),
+                         F.when(loaded, F.col("rows")).alias("rows"), F.when(loaded, F.col("files")).alias("files"))
+    found.write.mode("overwrite").parquet(f"{root}/_tables")
     return spark.read.parquet(f"{root}/_tables")
 
 
+def stored_files(manifest: DataFrame) -> DataFrame:
+    """(table, file) of the loaded tables of a manifest."""
+    return manifest.where("status = 'loaded'").select(F.col("table_name").alias("table"), F.explode("files").alias("file"))
+
+
+def readback(probed: DataFrame, manifest: DataFrame, decisions: DataFrame, *, normalize: bool = False) -> DataFrame:
+    """What the files' converted cells and the stored tables have in common, per column (``typed_tables.readback``)."""
+    at = probed.where("status = 'ok'").select("file_name", F.posexplode("names").alias("pos", "column_name"))
+    plan = manifest.where("status = 'loaded'").drop("layout").join(L.layouts(at, decisions), "file_name")
+    own = plan.select("path", F.col("table_name").alias("table"), "load_types", "date_formats")
+    chunks = S.read_chunks(probed.join(own, "path"), ("table", "names", "load_types", "date_formats"))
+    rows = chunks.select("table", "names", "load_types", "date_formats", "delimiter", F.explode("record").alias("record"))
+    rows = rows.withColumn("fields", S.fields_of(F.col("record"), F.col("delimiter")))
+    return TT.readback(L.source_cells(rows, normalize), TT.stored_cells(stored_files(manifest)))
+
+
 def read_typed_table(spark: SparkSession, out_dir: str, table: str) -> DataFrame:
     """A table that ``write_typed_tables`` has written."""
     row = spark.read.parquet(f"{out_dir.rstrip('/')}/_tables").where((F.col("table_name") == table) & (F.col("status") == "loaded")).first()
     if row is None:
         raise ValueError(f"no loaded table {table}")
-    return spark.read.parquet(row["folder"])
+    return spark.read.parquet(*[S.literal_path(f) for f in row["files"]])
+
+
+def stored_consistency(manifest: DataFrame, registry: DataFrame) -> DataFrame:
+    """X11: the stored types of a load, from its files' footers, against the registry."""
+    return L.consistency(TT.stored_schemas(stored_files(manifest)), registry)
 
 
 @dataclass

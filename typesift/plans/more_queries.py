@@ -263,6 +263,46 @@ n AS ({counts})
 SELECT type, count(*) AS columns, CAST(sum(n) AS BIGINT) AS cells FROM st JOIN n ON n.t = st."table" GROUP BY type"""
 
 
+def load_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extract written as typed tables of several layouts in one job, read back and held to its source, with the footers' types."""
+    from typesift.plans import catalog
+    from typesift.session import materialize, scratch_dir
+    from typesift.sources import typed_tables as TT
+    _, _, dec = catalog._load_inputs(spark, sf_dir)
+    dec = materialize(dec, "load-decisions")
+    columns = {"extract_a": FX.EXTRACT_COLUMNS, "extract_b": FX.EXTRACT_COLUMNS[::-1], "extract_c": FX.EXTRACT_COLUMNS[3:9]}
+    at = spark.createDataFrame([(FX.EXTRACT_FILE, t, i, c) for t, cols in columns.items() for i, c in enumerate(cols)],
+                               "file_name string, table string, pos int, column_name string")
+    plan = L.layouts(at.select(F.col("table").alias("file_name"), "pos", "column_name"),
+                     at.join(dec, ["file_name", "column_name"]).select(F.col("table").alias("file_name"), "column_name", "load_type", "date_format"))
+    plan = {r["file_name"]: r for r in plan.collect()}  # three layouts
+    f1, rows = FX.extract_orders(spark, sf_dir), None
+    for t, cols in columns.items():
+        def strings(values):
+            return F.array(*[F.lit(v).cast("string") for v in values])
+        one = f1.select(F.lit(t).alias("table"), F.lit(plan[t]["layout"]).alias("layout"), F.array(*cols).alias("fields"),
+                        strings(plan[t]["load_types"]).alias("load_types"), strings(plan[t]["date_formats"]).alias("date_formats"), strings(cols).alias("names"))
+        rows = one if rows is None else rows.unionByName(one)
+    telling = rows.withColumn("first", F.lit(True))
+    written = TT.write_cells(L.written_cells(telling.drop("names")), scratch_dir(spark, "typed"))
+    files = materialize(written.select("table", "file"), "typed-files")
+    checked = TT.readback(L.source_cells(rows.drop("layout")), TT.stored_cells(files))
+    schemas = TT.stored_schemas(files).select("table", "column", "pos", "type", F.col("nulls").alias("footer_nulls"))
+    return checked.join(schemas, ["table", "column"]).select(
+        "table", "column", "pos", "type", "rows", "nulls", "stored_rows", "stored_nulls", "footer_nulls", "same")
+
+
+def load_readback_sql() -> str:
+    lists = {"extract_a": FX.EXTRACT_COLUMNS, "extract_b": FX.EXTRACT_COLUMNS[::-1], "extract_c": FX.EXTRACT_COLUMNS[3:9]}
+    at = ", ".join(f"({O.q(t)}, {i}, {O.q(c)})" for t, cols in lists.items() for i, c in enumerate(cols))
+    return f"""WITH cells AS ({O.load_typed_sql()}),
+n AS (SELECT column_name, any_value(load_type) AS load_type, count(*) AS n,
+        count(*) FILTER (int_value IS NULL AND real_value IS NULL AND text_value IS NULL) AS nulls FROM cells GROUP BY column_name),
+placed(t, pos, column_name) AS (VALUES {at})
+SELECT t AS "table", column_name AS "column", pos, CASE WHEN load_type = 'DATETIME' THEN 'TEXT' ELSE load_type END AS type,
+  n AS rows, nulls, n AS stored_rows, nulls AS stored_nulls, nulls AS footer_nulls, true AS same FROM placed JOIN n USING (column_name)"""
+
+
 # --- file operators on table texts -------------------------------------------
 
 
@@ -347,4 +387,4 @@ def registry() -> dict:
     """All of them; the last need the catalog's table list."""
     return QUERIES | {f.__name__: (f, sql()) for f, sql in (
         (chain_fixed_registry, chain_fixed_registry_sql), (catalog_consistency, catalog_consistency_sql),
-        (stored_type_histogram, stored_type_histogram_sql))}
+        (stored_type_histogram, stored_type_histogram_sql), (load_readback, load_readback_sql))}

@@ -274,17 +274,21 @@ def probe(files: DataFrame, *, delimiter_variant: str = "load", file_rules: Data
 ROW_COLUMNS = ("file_name", "path", "row_id", "fields", "names")
 
 
+def read_chunks(probed: DataFrame, shared: tuple[str, ...], method: str = "auto") -> DataFrame:
+    """``ranges.records`` of what lies below the header of the readable files, with some of their columns."""
+    ok = probed.filter(F.col("status") == "ok")
+    spans = ok.select("path", "delimiter", F.col("scan_as").alias("encoding"), F.col("header_end").alias("skip"), *shared, F.inline("ranges"))
+    return B.records(spans.where(F.col("end") > F.col("skip")), method)
+
+
 def read_rows(probed: DataFrame, method: str = "auto") -> DataFrame:
     """(file_name, path, row_id, fields, names) of every record below the header of the readable files.
 
     row_id: the place of the record's first byte in its file.
     """
-    ok = probed.filter(F.col("status") == "ok")
-    spans = ok.select("path", "file_name", "names", "delimiter", F.col("scan_as").alias("encoding"), F.col("header_end").alias("skip"), F.inline("ranges"))
-    chunks = B.records(spans.where(F.col("end") > F.col("skip")), method)
+    chunks = read_chunks(probed, ("file_name", "names"), method)
     rows = chunks.select("path", "file_name", "names", "delimiter", F.inline(F.arrays_zip("row_id", "record")))
-    rows = rows.withColumn("fields", fields_of(F.col("record"), F.col("delimiter")))
-    return rows.where(~((F.size("fields") == 1) & (F.btrim(F.col("fields")[0]) == ""))).select(*ROW_COLUMNS)
+    return rows.withColumn("fields", fields_of(F.col("record"), F.col("delimiter"))).select(*ROW_COLUMNS)
 
 
 def cells_of_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

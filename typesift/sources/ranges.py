@@ -370,29 +370,42 @@ def range_records(f: Bytes, start: int, end: int, state: int, encoding: str, del
 CHUNK_RECORDS = 1024
 
 
+_SPAN_COLUMNS = ("path", "range", "start", "end", "state", "encoding", "delimiter", "skip")
+
+
+def is_blank(record: str, delimiter: str) -> bool:
+    """Whether a record is one field of spaces."""
+    return not record.strip(' "') and delimiter not in record and not record.replace('"', "").strip(" ")
+
+
 def records(spans: DataFrame, method: str = "auto") -> DataFrame:
-    """(path, file_name, names, delimiter, row_id array, record array) of rows (path, range, start, end, state, encoding, delimiter, skip, file_name, names).
+    """(path, delimiter, row_id array, record array, ...) of rows (path, range, start, end, state, encoding, delimiter, skip, ...).
 
-    row_id: the place of each record's first byte.  What the rows of a file share
-    goes with every chunk of them, so rows need no join to their file.
+    row_id: the place of each record's first byte; blank records are left out.
+    Further columns, strings or arrays of them, are what the rows of a file share:
+    they go with every chunk of rows, so rows need no join to their file.
     """
+    shared = [f for f in spans.schema.fields if f.name not in _SPAN_COLUMNS]
+    kept = ["path", "delimiter", *(f.name for f in shared)]
+    schema = ("path string, delimiter string, " + "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in shared)
+              + "row_id array<bigint>, record array<string>")
+    kinds = {"string": pa.string(), "array<string>": pa.list_(pa.string())}
+    arrow = pa.schema([("path", pa.string()), ("delimiter", pa.string()), *((f.name, kinds[f.dataType.simpleString()]) for f in shared),
+                       ("row_id", pa.list_(pa.int64())), ("record", pa.list_(pa.string()))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                f = Bytes(r["path"], r["content"])
-                for at, texts in range_records(f, r["start"], r["end"], r["state"], r["encoding"], r["delimiter"], r["skip"]):
-                    rows = [{**{k: r[k] for k in ("path", "file_name", "names", "delimiter")}, "row_id": at[lo:lo + CHUNK_RECORDS].tolist(),
-                             "record": texts[lo:lo + CHUNK_RECORDS]} for lo in range(0, len(texts), CHUNK_RECORDS)]
-                    yield pa.RecordBatch.from_pylist(rows, schema=_RECORDS_ARROW)
+                f, own, d = Bytes(r["path"], r["content"]), {k: r[k] for k in kept}, r["delimiter"]
+                for at, texts in range_records(f, r["start"], r["end"], r["state"], r["encoding"], d, r["skip"]):
+                    some = [k for k, t in enumerate(texts) if not is_blank(t, d)]
+                    at = at.tolist()
+                    chunks = [some[lo:lo + CHUNK_RECORDS] for lo in range(0, len(some), CHUNK_RECORDS)]
+                    if chunks:
+                        yield pa.RecordBatch.from_pylist([own | {"row_id": [at[k] for k in c], "record": [texts[k] for k in c]} for c in chunks], schema=arrow)
                 f.close()
 
-    own = spans.select("path", "range", "start", "end", "state", "encoding", "delimiter", "skip", "file_name", "names")
-    return with_content(_spread(own), method).mapInArrow(
-        run, "path string, file_name string, names array<string>, delimiter string, row_id array<bigint>, record array<string>")
-
-
-_RECORDS_ARROW = pa.schema([("path", pa.string()), ("file_name", pa.string()), ("names", pa.list_(pa.string())), ("delimiter", pa.string()),
-                            ("row_id", pa.list_(pa.int64())), ("record", pa.list_(pa.string()))])
+    return with_content(_spread(spans), method).mapInArrow(run, schema)
 
 
 # ---- heads ----------------------------------------------------------------
