@@ -11,10 +11,15 @@ anti join + union, which shuffles both sides on the key once.
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typesift.functions import constants as K
+from typesift.session import materialize
+from typesift.sources.versioned import VersionedTable
 
 KEYS = ["file_name", "column_name"]
 REGISTRY_COLUMNS = ["file_name", "column_name", "data_type", "initial_inferred_type", "encoding", "delimiter"]
@@ -146,13 +151,28 @@ def ensure_table(spark: SparkSession, name: str, location: str | None = None) ->
     return spark.table(name)
 
 
+def store(spark: SparkSession, root: str) -> VersionedTable:
+    """A registry kept as versions under ``root``; see ``sources.versioned``."""
+    return VersionedTable(spark, root, REGISTRY_SCHEMA)
+
+
+def upsert_into(kept: VersionedTable, new: DataFrame, order: str | None = None) -> int:
+    """K02 on a stored registry: upserts of several writers at once are all kept."""
+    fresh = materialize(dedupe_last(new, order), "registry-new")
+    return kept.update(lambda base: upsert(base, fresh))
+
+
 def save(registry: DataFrame, name: str) -> DataFrame:
     """Replace the registry table's content with ``registry`` (six columns).
 
-    The new content is written to a fresh folder first, because it is usually
-    computed from the table it replaces."""
-    from typesift.session import materialize
+    The new content is written to a folder of its own, to which the table then
+    points: one change in the catalog.  A failure before it leaves the table as it
+    was.
+    """
     spark = registry.sparkSession
-    fresh = materialize(align(registry), "registry-save")
-    fresh.write.mode("overwrite").insertInto(name)
+    place = spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").first()["data_type"]
+    fresh = f"{re.sub('-[0-9a-f]{32}$', '', place.rstrip('/'))}-{uuid.uuid4().hex}"
+    align(registry).write.parquet(fresh)
+    spark.sql(f"ALTER TABLE {name} SET LOCATION '{fresh}'")
+    spark.catalog.refreshTable(name)
     return spark.table(name)

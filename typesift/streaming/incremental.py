@@ -11,7 +11,6 @@ driver or lost executor resumes without re-reading old files.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,34 +23,9 @@ from typesift.sources import files as S
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
-def current_version(spark: SparkSession, registry_path: str) -> int | None:
-    """Number of the current version; None before the first batch.  Any other error is raised."""
-    try:
-        return spark.read.schema("version long").json(f"{registry_path.rstrip('/')}/versions.json").agg(F.max("version")).first()[0]
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-
-
 def read_registry(spark: SparkSession, registry_path: str) -> DataFrame:
     """The current registry; an empty one before the first batch."""
-    version = current_version(spark, registry_path)
-    if version is None:
-        return R.empty_registry(spark)
-    return spark.read.schema(R.REGISTRY_SCHEMA).parquet(f"{registry_path.rstrip('/')}/version={version}")
-
-
-def write_registry(registry: DataFrame, registry_path: str) -> None:
-    """A new version beside the current one, then the line that makes it current.
-
-    A failure in between leaves the current version as it is; the next write
-    replaces the unfinished one.  A batch that runs twice upserts the same rows.
-    """
-    spark, root = registry.sparkSession, registry_path.rstrip("/")
-    version = (current_version(spark, registry_path) or 0) + 1
-    registry.write.mode("overwrite").parquet(f"{root}/version={version}")
-    spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").json(f"{root}/versions.json")
+    return R.store(spark, registry_path).read()
 
 
 def analyze_batch(spark: SparkSession, paths: DataFrame, registry_path: str,
@@ -64,8 +38,9 @@ def analyze_batch(spark: SparkSession, paths: DataFrame, registry_path: str,
     files = S.listed(paths.select("path", "length")).persist()
     try:
         if files.where("kind = 'text'").limit(1).count():
-            done = J.analyze_files(spark, files, registry=read_registry(spark, registry_path), rules=rules)
-            write_registry(done.registry, registry_path)
+            done = J.analyze_files(spark, files, rules=rules)
+            # a batch that runs twice upserts the same rows
+            R.upsert_into(R.store(spark, registry_path), done.registry)
     finally:
         files.unpersist()
 
