@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from typesift.functions import constants as K
 from typesift.functions import text as X
+from typesift.operators import keyword_index as KI
 
 # Bit layout of the per-value mask.
 BIT_DIGITS = 1 << 0       # str.isdigit()
@@ -318,15 +319,11 @@ def infer_initial(profile: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------
-# J07 keyword match (rules folded once on the driver)
+# J07 keyword match (the shipped rules)
 # --------------------------------------------------------------------------
 
-def keyword_list(keywords: DataFrame | None) -> list[tuple[str, str]]:
-    """Ordered (category, keyword) pairs from a rule table (seq, category, keyword).
-
-    Rule tables are configuration that a person edits: each keyword becomes
-    one branch of the match.
-    """
+def keyword_list(keywords: DataFrame | None = None) -> list[tuple[str, str]]:
+    """Ordered (category, keyword) pairs of the shipped rules, or of a table that a person edits."""
     if keywords is None:
         return ([("code", k) for k in K.DEFAULT_CODE_KEYWORDS]
                 + [("amount", k) for k in K.DEFAULT_AMOUNT_KEYWORDS]
@@ -357,7 +354,11 @@ def keyword_match(name: Column, keywords: list[tuple[str, str]]) -> tuple[Column
 def infer_corrected(profile: DataFrame, *, file_rules: DataFrame | None = None,
                     keywords: DataFrame | None = None,
                     threshold: float = K.DATE_RATIO_THRESHOLD) -> DataFrame:
-    """R01 + R02/R03: initial and corrected type with the rule that decided."""
+    """R01 + R02/R03: initial and corrected type with the rule that decided.
+
+    The shipped keywords are a CASE; a keyword table (seq, category, keyword), of
+    any size, is joined by ``keyword_index``.
+    """
     from typesift.sources.rules import default_file_rules
     spark = profile.sparkSession
     if file_rules is None:
@@ -365,10 +366,13 @@ def infer_corrected(profile: DataFrame, *, file_rules: DataFrame | None = None,
         fr = F.broadcast(default_file_rules(spark).select(F.col("file_name").alias("_rule_file")))
     else:
         fr = file_rules.select(F.col("file_name").alias("_rule_file")).distinct()
-    kws = tuple(keyword_list(keywords))
+    kws = tuple(keyword_list()) if keywords is None else ()
     first, later = _corrected(spark.sparkContext.applicationId, kws, threshold)
     base = profile.select("*", *first)
     j = base.join(fr, base.file_name == fr._rule_file, "left")
+    if keywords is not None:
+        hit = KI.match(profile, "column_name", keywords).withColumnsRenamed({"column_name": "_name", "category": "_cat"})
+        j, later = j.join(hit, F.col("column_name").eqNullSafe(F.col("_name")), "left").drop("_name"), later[1:]
     for args in later:
         j = j.select(*args)
     return j

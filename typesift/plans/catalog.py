@@ -145,7 +145,7 @@ def q_keyword_match(spark, sf_dir):
     names = (FX.compare_report(spark, sf_dir).select(F.col("Column").alias("column_name"))
              .unionByName(spark.createDataFrame([(c,) for c in FX.EXTRACT_COLUMNS], "column_name string"))
              .distinct())
-    cat, kw = P.keyword_match(F.col("column_name"), P.keyword_list(None))
+    cat, kw = P.keyword_match(F.col("column_name"), P.keyword_list())
     return names.select("column_name", cat.alias("category"), kw.alias("keyword"))
 
 

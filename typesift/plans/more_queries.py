@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from typesift.functions import constants as K
 from typesift.functions import text as X
 from typesift.operators import fixes as FIX
+from typesift.operators import keyword_index as KI
 from typesift.operators import load as L
 from typesift.operators import profile as P
 from typesift.operators import registry as R
 from typesift.operators import reports as RP
 from typesift.plans import fixtures as FX
 from typesift.plans import oracle as O
+from typesift.sources import dialect as DI
 from typesift.sources import files as S
 
 STORAGE_FILE = "file_00001.txt"
@@ -361,6 +363,45 @@ SELECT doc_id, expected, CAST({choose('hc', K.HEADER_MIN_COLUMNS)} AS INTEGER) A
   CAST({choose('bc', K.BODY_MIN_COLUMNS)} AS INTEGER) AS body_columns FROM c"""
 
 
+def dialect_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delimiter and quote of every document, by all its lines."""
+    docs = FX.table(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    return DI.detect(lines, "doc_id", "line")
+
+
+def dialect_scores_sql() -> str:
+    bare = {q: f"regexp_replace(line, {O.q(f'{q}[^{q}]*{q}')}, '', 'g')" if q else "line" for q in DI.QUOTES}
+    width = [f"length({bare[q]}) - length(replace({bare[q]}, {O.q(d)}, '')) + 1" for d, q in DI.DIALECTS]
+    names = "[" + ", ".join("{'d': " + O.q(d) + ", 'q': " + O.q(q) + "}" for d, q in DI.DIALECTS) + "]"
+    return f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+w AS (SELECT doc_id, [{", ".join(width)}] AS w FROM l WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''),
+p AS (SELECT doc_id, i, w[i] AS width, count(*) AS n FROM w, unnest(range(1, {len(width) + 1})) AS r(i) GROUP BY doc_id, i, w[i]),
+s AS (SELECT doc_id, i, CAST(CAST(sum(CASE WHEN width = 1 THEN n * {DI.SCALE // 1000} ELSE n * {DI.SCALE} * (width - 1) // width END) AS BIGINT) // count(*) AS BIGINT) AS score,
+        max(width) AS widest, CAST(sum(n) AS BIGINT) AS lines FROM p GROUP BY doc_id, i),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS r FROM s)
+SELECT doc_id, CASE WHEN widest > 1 THEN {names}[i].d ELSE 'N/A' END AS delimiter, CASE WHEN widest > 1 THEN {names}[i].q ELSE '' END AS quote, score, lines
+FROM b WHERE r = 1"""
+
+
+def keyword_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J07 with a keyword table that grows with the data: the words of the benchmark looked for in the addresses of all pages."""
+    words = FX.table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("keyword")).distinct()
+    n = F.length("keyword")
+    table = words.select("keyword", (-n).alias("seq"), F.when(n % 3 == 0, "code").when(n % 3 == 1, "amount").otherwise("quantity").alias("category"))
+    return KI.match(FX.table(spark, sf_dir, "pages"), "url", table)
+
+
+def keyword_index_sql() -> str:
+    return """WITH n AS (SELECT DISTINCT url FROM pages),
+k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS keyword FROM benchmark),
+h AS (SELECT url, keyword, length(keyword) AS len,
+        row_number() OVER (PARTITION BY url ORDER BY length(keyword) % 3, length(keyword) DESC, keyword) AS r
+      FROM n JOIN k ON contains(lower(url), keyword))
+SELECT n.url, CASE len % 3 WHEN 0 THEN 'code' WHEN 1 THEN 'amount' WHEN 2 THEN 'quantity' END AS category, keyword
+FROM n LEFT JOIN h ON h.url = n.url AND h.r = 1"""
+
+
 def url_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """the last component and extension of each page's address."""
     p = FX.table(spark, sf_dir, "pages")
@@ -380,7 +421,7 @@ QUERIES = {
         (report_storage_issues, report_storage_issues_sql), (report_datetime_files, report_datetime_files_sql),
         (infer_file_rule, infer_file_rule_sql), (load_decisions_integer, load_decisions_integer_sql),
         (scan_extract, O.infer_corrected_sql), (line_delimiters, line_delimiters_sql), (layout_counts, layout_counts_sql),
-        (url_names, url_names_sql))}
+        (url_names, url_names_sql), (dialect_scores, dialect_scores_sql), (keyword_index, keyword_index_sql))}
 
 
 def registry() -> dict:

@@ -30,6 +30,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from typesift.functions import constants as K
 from typesift.functions import text as X
 from typesift.session import materialize
+from typesift.sources import dialect as DI
 from typesift.sources import ranges as B
 
 BYTE_ENCODINGS = tuple(e for e in K.ENCODINGS if e != "utf-16")
@@ -431,13 +432,17 @@ def first_splitting(lines: Column) -> Column:
 
 
 def headerless_probe(spark: SparkSession, probed: DataFrame, n_lines: int = 10) -> DataFrame:
-    """Per file, the first candidate delimiter that splits the first
-    ``n_lines`` lines into more than one field, and a dtype label per column
-    of those lines read without a header."""
+    """Per file a delimiter for its first ``n_lines`` lines, and a dtype label
+    per column of those lines read without a header.
+
+    The delimiter is that of the dialect whose rows are most alike
+    (``sources.dialect``), or the first candidate that splits any of the lines.
+    """
     from typesift.operators import profile as P
     lines = head_lines(probed, n_lines).filter(F.col("line") != "")
     few = lines.groupBy("path").agg(F.collect_list("line").alias("l"))  # n_lines at most
-    chosen = few.select("path", first_splitting(F.col("l")).alias("delimiter"))
+    sniffed = DI.detect(lines, "path", "line").select("path", F.nullif("delimiter", F.lit("N/A")).alias("sniffed"))
+    chosen = few.join(sniffed, "path", "left").select("path", F.coalesce("sniffed", first_splitting(F.col("l"))).alias("delimiter"))
     split = (lines.join(chosen, "path")
              .filter(F.col("delimiter") != "N/A")
              .select("path", "line_no", F.posexplode(F.split(F.col("line"), quoted(F.col("delimiter"))))
