@@ -47,13 +47,13 @@ def shape(c) -> Column:
 def is_all_digits(c) -> Column:
     """``str.isdigit()`` on Unicode decimal digits.
 
-    ASCII values are decided by a ``translate`` (no regex); only values with
-    non-ASCII characters go through the Unicode ``\\p{Nd}`` regex.
+    A short anchored regex decides ASCII digits; only values with non-ASCII
+    characters go through the Unicode ``\\p{Nd}`` regex.
     """
     v = col_of(c)
     ascii_only = F.octet_length(v) == F.length(v)
     # Non-ASCII values: the first character decides before the whole value is scanned.
-    return (F.when(ascii_only, (v != "") & (F.translate(v, "0123456789", "") == ""))
+    return (F.when(v.rlike(r"\A[0-9]+\z"), True).when(ascii_only, False)
             .otherwise(v.substr(1, 1).rlike(DIGITS_REGEX) & v.rlike(DIGITS_REGEX)))
 
 
@@ -178,17 +178,9 @@ def trailing_minus_to_leading(c) -> Column:
     return F.when(cond, F.concat(F.lit("-"), body)).otherwise(v)
 
 
-NUMERIC_CHARS = "0123456789+-.eE" + PY_WHITESPACE
-
-
 def is_numeric(c) -> Column:
-    """the value is a plain decimal or scientific number.
-
-    A ``translate`` pre-check rejects values with any other character before
-    the grammar regex runs.
-    """
-    v = col_of(c)
-    return (F.translate(v, NUMERIC_CHARS, "") == "") & v.rlike(NUMERIC_REGEX)
+    """the value is a plain decimal or scientific number."""
+    return col_of(c).rlike(NUMERIC_REGEX)
 
 
 def is_integral(x: Column) -> Column:

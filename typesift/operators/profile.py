@@ -116,12 +116,15 @@ def _classify_stages(na_tokens: tuple, date_patterns: tuple, keep: tuple) -> lis
     t = F.col("t")
     body = t.substr(F.lit(1), F.length(t) - 1)
     minus = t.endswith("-") & X.is_all_digits(F.translate(body, ".", ""))
-    stages.append(["*", X.shape(t).alias("shp"),
-                   F.when(minus, F.concat(F.lit("-"), body)).otherwise(t).alias("norm")])
-    # Only values whose digit shape is a date shape are split and cast, so a
-    # cast never sees a non-digit string (failed casts are the slow path).
+    # A shape is made only of values that can have a date shape: as long as one, a
+    # digit first.  Only values whose shape is one are split and cast, so a cast
+    # never sees a non-digit string (failed casts are the slow path).
     date_shapes = sorted({s for f in K.INFER_DATE_FORMATS + K.RATIO_DATE_FORMATS for s in X.format_shapes(f)})
-    stages.append(["*", F.col("shp").isin(date_shapes).alias("datey"), X.is_numeric(F.col("norm")).alias("isnum")])
+    sizes = [len(s) for s in date_shapes]
+    maybe = F.octet_length(t).between(min(sizes), max(sizes)) & F.ascii(t).between(48, 57)
+    stages.append(["*", F.when(maybe, X.shape(t)).alias("shp"),
+                   F.when(minus, F.concat(F.lit("-"), body)).otherwise(t).alias("norm")])
+    stages.append(["*", F.coalesce(F.col("shp").isin(date_shapes), F.lit(False)).alias("datey"), X.is_numeric(F.col("norm")).alias("isnum")])
     stages.append(["*", F.when(F.col("datey"), F.split(F.translate(t, "/.: ", "----"), "-")).alias("parts"),
                    F.when(F.col("isnum"), F.col("norm").try_cast("double")).alias("x")])
     nums = [F.try_element_at(F.col("parts"), F.lit(i)).try_cast("int").alias(f"n{i}") for i in range(1, 7)]
@@ -166,10 +169,10 @@ def _classify_stages(na_tokens: tuple, date_patterns: tuple, keep: tuple) -> lis
     fmt_bits = (F.coalesce(F.element_at(_shape_bits(K.INFER_DATE_FORMATS, FORMAT_BITS), shp), F.lit(0))
                 .bitwiseAND(valid_bits(K.INFER_DATE_FORMATS, FORMAT_BITS, K.INFER_YEAR_MIN, K.INFER_YEAR_MAX)))
     # Strict formats see the raw value: surrounding whitespace fails them.
-    fmt_bits = F.when(F.col("v") == t, fmt_bits).otherwise(0)
+    fmt_bits = F.when(F.col("datey") & (F.col("v") == t), fmt_bits).otherwise(0)
     ratio_ok = (F.coalesce(F.element_at(_shape_bits(K.RATIO_DATE_FORMATS, RATIO_BITS), shp), F.lit(0))
                 .bitwiseAND(valid_bits(K.RATIO_DATE_FORMATS, RATIO_BITS, K.RATIO_YEAR_MIN, K.RATIO_YEAR_MAX)) != 0)
-    stages.append(["*", fmt_bits.alias("fb"), ratio_ok.alias("rok")])
+    stages.append(["*", fmt_bits.alias("fb"), F.when(F.col("datey"), ratio_ok).otherwise(False).alias("rok")])
     fmt_bits, ratio_ok = F.col("fb"), F.col("rok")
     v = F.col("v")
     mask = (F.when(X.is_all_digits(v), BIT_DIGITS).otherwise(0)
@@ -185,7 +188,7 @@ def _classify_stages(na_tokens: tuple, date_patterns: tuple, keep: tuple) -> lis
     stages.append(["file_name", "column_name", *keep, "v",
                    F.when(v.isNotNull(), mask.cast("long")).alias("m"),
                    nonblank.alias("nb"),
-                   (nonblank & F.col("datey") & ratio_ok & pat).alias("dp")])
+                   (nonblank & ratio_ok & pat).alias("dp")])
     return stages
 
 
