@@ -175,6 +175,35 @@ def test_salvage(gz):
         assert [(x["offset"], x["length"]) for x in parts_] == [(x["offset"], x["length"]) for x in whole]
 
 
+def foreign(i, payload, *, version="WARC/1.1", more=(), block_digest=None, payload_digest=None):
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + payload
+    head = [version, "WARC-Type: response", f"WARC-Record-ID: <urn:page:{i}>", "Content-Type: application/http; msgtype=response", *more]
+    head += [f"WARC-Block-Digest: {block_digest(block)}"] if block_digest else []
+    head += [f"WARC-Payload-Digest: {payload_digest(payload)}"] if payload_digest else []
+    return "\r\n".join([*head, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_of_other_writers():
+    b32 = lambda d: "sha1:" + warc.base32_sha1(d).lower()
+    spellings = [b32, lambda d: "SHA1:" + hashlib.sha1(d).hexdigest().upper(), lambda d: "sha256:" + hashlib.sha256(d).hexdigest(),
+                 lambda d: "md5:" + hashlib.md5(d).hexdigest(), lambda d: "sha-256:" + __import__("base64").b64encode(hashlib.sha256(d).digest()).decode(),
+                 lambda d: "blake9:whatever", lambda d: "no label"]
+    good = [foreign(i, b"p%d" % i, block_digest=f, payload_digest=f) for i, f in enumerate(spellings)]
+    good += [foreign(20, b"old", version="WARC/0.18"), foreign(21, b"folded", more=["WARC-Target-URI: http://x/", "\t?a=1", "X-Note: one", " two"]),
+             foreign(22, b"long head", more=["X-Long: " + "y" * 200_000])]
+    for raw in (b"".join(good), b"".join(map(warc.gzip_member, good)), warc.gzip_member(b"".join(good))):
+        found = list(warc.salvage(Held(raw)))
+        assert not [r for r in found if "problem" in r]
+        assert [r["record_id"] for r in found] == [f"<urn:page:{i}>" for i in [*range(len(spellings)), 20, 21, 22]]
+        assert all(r["payload_digest"] == warc.base32_sha1(r["payload"]) for r in found)
+        assert found[-2]["target_uri"] == "http://x/ ?a=1"
+    bad = [foreign(i, b"p", block_digest=lambda d, f=f: f(d + b"!")) for i, f in enumerate(spellings[:5])]
+    assert [r["problem"] for x in bad for r in warc.salvage(Held(x))] == ["block digest"] * 5
+    mixed = warc.gzip_member(good[0] + b"junk " + bad[0] + good[1])  # damage inside one member
+    found = list(warc.salvage(Held(mixed)))
+    assert [r.get("record_id") for r in found] == ["<urn:page:0>", None, "<urn:page:1>"] and len({(r["offset"], r["length"]) for r in found}) == 1
+
+
 # ---- 3 near-dedup ---------------------------------------------------------
 
 def brute_components(rows):

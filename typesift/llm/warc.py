@@ -4,9 +4,11 @@
 archives to a shared folder.  Of equal payloads of at least ``min_bytes`` the
 one with the smallest page_id is a response and the others are revisits of it.
 
-``read_warc`` reads archives (gzip members or plain records) in byte ranges.
-Every record is checked: the member's CRC, the header, the block's length and
-its digests.  After a failed check the reader searches for the next valid
+``read_warc`` reads archives (gzip members of one or more records, or plain
+records; WARC/0.x and 1.x, folded header lines) in byte ranges.  Every record is
+checked: the member's CRC, the header, the block's length and its digests, in the
+algorithm and spelling that they declare; an unknown one is not checked.  After a
+failed check the reader searches for the next valid
 member or version line, recovers what follows, and logs the bytes between as a
 quarantined gap.
 
@@ -14,7 +16,8 @@ Definite results: a null payload is empty; a null url leaves the header out; a
 null page_id sorts after all others (such rows are revisits if any equal
 payload has a page_id, else responses); rows that share the smallest page_id
 are all responses; an empty table writes no archive and reads no record;
-columns other than page_id, url and html are ignored.
+columns other than page_id, url and html are ignored.  The records of one member
+share its offset and length.  A member is held whole by the task that reads it.
 
 Archives go through pyarrow's file systems, so the folder may be local to all
 (shared) or a store that pyarrow reaches.  Each attempt of a task writes files
@@ -160,55 +163,113 @@ class _Source:
         return -1
 
 
-_CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
+_CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/[01]\.")
+_VERSION = re.compile(rb"WARC/[01]\.[0-9]+")
 _HEAD_END = b"\r\n\r\n"
-_MAX_HEAD = 1 << 16
 
 
 def _headers(raw: bytes) -> dict[str, str]:
+    """Names (lower case) and values; a line that begins with white space goes on with the value before it."""
     lines = raw.decode("utf-8", "replace").split("\r\n")
-    if not re.fullmatch(r"WARC/1\.[0-9]", lines[0]):
+    if not re.fullmatch(r"WARC/[01]\.[0-9]+", lines[0]):
         raise Damaged("no version line")
-    out = {}
+    out, name = {}, None
     for line in lines[1:]:
+        if line[:1] in (" ", "\t") and name is not None:
+            out[name] = f"{out[name]} {line.strip()}".strip()
+            continue
         name, colon, value = line.partition(":")
         if not colon:
             raise Damaged("bad header line")
-        out[name.strip().lower()] = value.strip()
+        name = name.strip().lower()
+        out[name] = value.strip()
     if "warc-type" not in out or "warc-record-id" not in out or not out.get("content-length", "").isdigit():
         raise Damaged("required header missing")
     return out
 
 
+#: Digest labels and the names hashlib has for them.
+ALGORITHMS = {"sha1": "sha1", "sha-1": "sha1", "sha256": "sha256", "sha-256": "sha256", "sha384": "sha384", "sha-384": "sha384",
+              "sha512": "sha512", "sha-512": "sha512", "md5": "md5"}
+
+
+def digest_differs(declared: str, data: bytes) -> bool:
+    """Whether a declared digest is one that can be checked and is not the data's.
+
+    The value may be hex, base32 or base64, in any case that its alphabet allows;
+    an algorithm that is not known is not checked.
+    """
+    label, colon, value = declared.partition(":")
+    name = ALGORITHMS.get(label.strip().lower())
+    if not colon or name is None:
+        return not declared.isascii()  # a damaged label
+    want, value = hashlib.new(name, data).digest(), value.strip()
+    bare = value.rstrip("=")
+    if re.fullmatch("[0-9A-Fa-f]+", value) and len(value) == 2 * len(want):
+        return value.lower() != want.hex()
+    if re.fullmatch("[A-Za-z2-7]+", bare) and len(bare) == -(-8 * len(want) // 5):
+        return bare.upper() != base64.b32encode(want).decode().rstrip("=")
+    if re.fullmatch("[A-Za-z0-9+/_-]+", bare) and len(bare) == -(-8 * len(want) // 6):
+        return bare.replace("-", "+").replace("_", "/") != base64.b64encode(want).decode().rstrip("=")
+    return True  # no spelling of such a digest
+
+
 def _checked(head: dict[str, str], block: bytes) -> dict:
     """The record's fields, after the digests."""
-    if "warc-block-digest" in head and head["warc-block-digest"] != "sha1:" + base32_sha1(block):
+    if digest_differs(head.get("warc-block-digest", ""), block):
         raise Damaged("block digest")
     is_http = head.get("content-type", "").startswith("application/http")
     http, _, payload = block.partition(_HEAD_END) if is_http else (b"", b"", block)
     declared = head.get("warc-payload-digest", "")
-    n = len(payload)
+    n, digest = len(payload), None
     if head["warc-type"] == "revisit":
+        digest = declared.partition(":")[2] or None  # of the payload that is elsewhere
         found = re.search(rb"(?i)\r\ncontent-length:[ ]*([0-9]+)", http)
         n = int(found[1]) if found else 0
         payload = b""
-    elif declared and declared != "sha1:" + base32_sha1(payload):
+    elif digest_differs(declared, payload):
         raise Damaged("payload digest")
     return {"type": head["warc-type"], "record_id": head["warc-record-id"], "target_uri": head.get("warc-target-uri"),
-            "payload_digest": (declared.partition(":")[2] or base32_sha1(payload)), "payload_bytes": n,
+            "payload_digest": digest or base32_sha1(payload), "payload_bytes": n,
             "refers_to": head.get("warc-refers-to"), "payload": payload}
 
 
-def _parse(data: bytes) -> dict:
-    """A whole record, such as a member holds."""
-    end = data.find(_HEAD_END)
+def _parse(data: bytes, at: int = 0) -> tuple[dict, int]:
+    """(fields, end) of the record at a place of a member's data."""
+    end = data.find(_HEAD_END, at)
     if end < 0:
         raise Damaged("no header end")
-    head = _headers(data[:end])
+    head = _headers(data[at:end])
     start, n = end + 4, int(head["content-length"])
-    if data[start + n:] != _HEAD_END:
+    if data[start + n:start + n + 4] != _HEAD_END:
         raise Damaged("block length")
-    return _checked(head, data[start:start + n])
+    return _checked(head, data[start:start + n]), start + n + 4
+
+
+def _all(data: bytes) -> list[dict]:
+    """The records of a member, normally one; what lies between them is told as a problem.  Damaged if there is none."""
+    out, at, first = [], 0, None
+    while at < len(data):
+        try:
+            fields, at = _parse(data, at)
+            out.append(fields)
+        except Damaged as e:
+            first = first or e
+            out.append({"problem": str(e)})
+            while True:  # on to the next version line with a whole record
+                m = _VERSION.search(data, at + 1)
+                if m is None:
+                    at = len(data)
+                    break
+                at = m.start()
+                try:
+                    _parse(data, at)
+                    break
+                except Damaged:
+                    pass
+    if first is not None and all("problem" in r for r in out):
+        raise first
+    return out
 
 
 def _member(src: _Source, at: int) -> tuple[bytes, int]:
@@ -228,32 +289,40 @@ def _member(src: _Source, at: int) -> tuple[bytes, int]:
     return b"".join(parts), pos - len(z.unused_data)
 
 
-def _record(src: _Source, at: int) -> tuple[dict, int]:
-    """(fields, end) of the record at ``at``; Damaged has ``end`` where that is known."""
+def _plain_head(src: _Source, at: int) -> int:
+    """Length of the header of the plain record at ``at``, however long."""
+    n = 1 << 16
+    while (found := src.read(at, n).find(_HEAD_END)) < 0:
+        if at + n >= src.size:
+            raise Damaged("no header end")
+        n *= 2
+    return found
+
+
+def _records(src: _Source, at: int) -> tuple[list[dict], int]:
+    """(records, end) of the member or plain record at ``at``; Damaged has ``end`` where that is known."""
     if src.read(at, 3) == b"\x1f\x8b\x08":
         data, end = _member(src, at)
         try:
-            return _parse(data), end
+            return _all(data), end
         except Damaged as e:
             e.end = end
             raise
-    if src.read(at, 7) != b"WARC/1.":
+    if not _VERSION.match(src.read(at, 16)):
         raise Damaged("neither member nor version line")
-    head_end = src.read(at, _MAX_HEAD).find(_HEAD_END)
-    if head_end < 0:
-        raise Damaged("no header end")
+    head_end = _plain_head(src, at)
     head = _headers(src.read(at, head_end))
     start, n = at + head_end + 4, int(head["content-length"])
     if start + n + 4 > src.size or src.read(start + n, 4) != _HEAD_END:
         raise Damaged("block length")
-    return _checked(head, src.read(start, n)), start + n + 4
+    return [_checked(head, src.read(start, n))], start + n + 4
 
 
 def _next_valid(src: _Source, at: int) -> int:
     """Where the next readable record begins, or the end of the file."""
     while (at := src.candidate(at)) >= 0:
         try:
-            _record(src, at)
+            _records(src, at)
             return at
         except Damaged:
             at += 1
@@ -272,7 +341,7 @@ def salvage(file, start: int = 0, end: int | None = None) -> Iterator[dict]:
     inside = at < end
     while inside and at < src.size:
         try:
-            fields, after = _record(src, at)
+            found, after = _records(src, at)
         except Damaged as e:
             after = _next_valid(src, getattr(e, "end", at + 1))
             yield {"offset": at, "length": after - at, "problem": str(e)}
@@ -280,7 +349,8 @@ def salvage(file, start: int = 0, end: int | None = None) -> Iterator[dict]:
         else:
             if at >= end:  # the next range's
                 return
-            yield fields | {"offset": at, "length": after - at}
+            for fields in found:
+                yield fields | {"offset": at, "length": after - at}
         at = after
 
 
