@@ -4,14 +4,19 @@
 repeats) into one automaton that scans for all of them at once: a
 nondeterministic automaton by rule, subset construction over the bytes that
 the rules tell apart, and minimisation by partition refinement.  The result is
-a flat transition array.
+a flat transition array.  The scan tells where matches lie: a region begins
+where the automaton last had no match under way, and ends at the last byte on
+which it accepts the rule, so every match of the rule is inside one region.
+
+Definite results: a regex outside the grammar, or one that the empty string
+matches, is a ValueError; no texts, empty texts and null ones (given as empty)
+have no regions; equal texts have equal regions; texts may have any length,
+the memory of a scan is in proportion to the block.
 """
 
 from __future__ import annotations
 
-import re
-from re import _constants as op
-from re import _parser
+from functools import cached_property
 
 import numpy as np
 
@@ -20,6 +25,108 @@ from typesift.llm import textbatch as tb
 #: Longer lanes are walked alone; shorter ones side by side.
 LONG_LANE = 4096
 
+_ALL = frozenset(range(256))
+_SPECIAL = "()[]{}|*+?.^$"
+
+
+class _Regex:
+    """Parses one rule: ``a``, ``\\.``, ``\\xHH``, ``.``, ``[..]``, ``(..)``, ``(?:..)``, ``(?i:..)``, ``|`` and repeats.
+
+    Nodes: ("set", bytes), ("one of", sequences), ("repeat", least, most or None, node).
+    """
+
+    def __init__(self, rule: str):
+        self.rule, self.at = rule, 0
+        self.tree = self.choices(False)
+        if self.at < len(rule):
+            raise ValueError(f"unmatched ) in {rule!r}")
+
+    def next(self, n: int = 1) -> str:
+        part = self.rule[self.at:self.at + n]
+        if len(part) < n:
+            raise ValueError(f"{self.rule!r} ends too early")
+        self.at += n
+        return part
+
+    def seen(self, part: str) -> bool:
+        found = self.rule.startswith(part, self.at)
+        self.at += len(part) * found
+        return found
+
+    def choices(self, fold: bool):
+        found = [self.sequence(fold)]
+        while self.seen("|"):
+            found.append(self.sequence(fold))
+        return ("one of", found)
+
+    def sequence(self, fold: bool) -> list:
+        out = []
+        while self.at < len(self.rule) and self.rule[self.at] not in "|)":
+            node = self.atom(fold)
+            if self.seen("?"):
+                node = ("repeat", 0, 1, node)
+            elif self.seen("*"):
+                node = ("repeat", 0, None, node)
+            elif self.seen("+"):
+                node = ("repeat", 1, None, node)
+            elif self.seen("{"):
+                close = self.rule.index("}", self.at)
+                least, comma, most = self.next(close - self.at).partition(",")
+                self.next()
+                node = ("repeat", int(least), int(most) if most else None if comma else int(least), node)
+            if self.at < len(self.rule) and self.rule[self.at] in "?*+{":
+                raise ValueError(f"lazy and repeated repeats can't be compiled: {self.rule!r}")
+            out.append(node)
+        return out
+
+    def atom(self, fold: bool):
+        if self.seen("("):
+            inner = fold or self.seen("?i:")
+            if inner == fold and not self.seen("?:") and self.rule.startswith("?", self.at):
+                raise ValueError(f"group can't be compiled: {self.rule[self.at - 1:]!r}")
+            node = self.choices(inner)
+            if not self.seen(")"):
+                raise ValueError(f"unmatched ( in {self.rule!r}")
+            return node
+        if self.seen("["):
+            return ("set", self.members(fold))
+        if self.seen("."):
+            return ("set", _ALL - {0x0A})
+        if self.rule[self.at] in _SPECIAL:
+            raise ValueError(f"{self.rule[self.at]} can't be compiled: {self.rule!r}")
+        return ("set", _folded({self.char()}, fold))
+
+    def members(self, fold: bool) -> frozenset:
+        negate, out, first = self.seen("^"), set(), True
+        while first or not self.seen("]"):
+            low, first = self.char(), False
+            if self.rule.startswith("-", self.at) and not self.rule.startswith("-]", self.at):
+                self.next()
+                out.update(range(low, self.char() + 1))
+            else:
+                out.add(low)
+        out = _folded(out, fold)
+        return _ALL - out if negate else out
+
+    def char(self) -> int:
+        c = self.next()
+        if c == "\\":
+            c = self.next()
+            if c == "x":
+                return int(self.next(2), 16)
+            if c == "n":
+                return 0x0A
+            if c.isalnum():
+                raise ValueError(f"escape \\{c} can't be compiled")
+        if ord(c) > 127:
+            raise ValueError(f"{c} is not ASCII")
+        return ord(c)
+
+
+def _folded(members: set[int], fold: bool) -> frozenset:
+    more = {ord(x) for b in members if fold and b < 128 for x in (chr(b).lower(), chr(b).upper())}
+    return frozenset(members | more)
+
 
 class _Nfa:
     def __init__(self):
@@ -31,40 +138,33 @@ class _Nfa:
         self.free.append([])
         return len(self.on) - 1
 
-    def add(self, node, start: int, fold: bool) -> int:
-        """Append the parsed regex ``node`` after ``start``; returns its end."""
-        for kind, arg in node:
-            if kind in (op.LITERAL, op.NOT_LITERAL, op.IN, op.ANY):
-                end = self.state()
-                self.on[start].append((_members(kind, arg, fold), end))
-            elif kind is op.SUBPATTERN:
-                _, more, _, inner = arg
-                end = self.add(inner, start, fold or bool(more & re.IGNORECASE))
-            elif kind is op.BRANCH:
-                end = self.state()
-                for one in arg[1]:
-                    self.free[self.add(one, start, fold)].append(end)
-            elif kind is op.MAX_REPEAT:
-                least, most, inner = arg
-                end = start
-                for _ in range(least):
-                    end = self.add(inner, end, fold)
-                if most is op.MAXREPEAT:
-                    loop = self.state()
-                    self.free[end].append(loop)
-                    self.free[self.add(inner, loop, fold)].append(loop)
-                    end = loop
-                else:
-                    last = self.state()
-                    for _ in range(most - least):
-                        self.free[end].append(last)
-                        end = self.add(inner, end, fold)
-                    self.free[end].append(last)
-                    end = last
-            else:
-                raise ValueError(f"regex part {kind} can't be compiled")
-            start = end
-        return start
+    def add(self, node, start: int) -> int:
+        """Append ``node`` after ``start``; returns its end."""
+        kind = node[0]
+        if kind == "set":
+            end = self.state()
+            self.on[start].append((node[1], end))
+        elif kind == "one of":
+            end = self.state()
+            for sequence in node[1]:
+                last = start
+                for one in sequence:
+                    last = self.add(one, last)
+                self.free[last].append(end)
+        else:
+            _, least, most, inner = node
+            end = start
+            for _ in range(least):
+                end = self.add(inner, end)
+            last = self.state()
+            self.free[end].append(last)
+            if most is None:
+                self.free[self.add(inner, last)].append(last)
+            for _ in range((most or least) - least):
+                end = self.add(inner, end)
+                self.free[end].append(last)
+            end = last
+        return end
 
     def closure(self, states) -> frozenset:
         seen, todo = set(states), list(states)
@@ -76,29 +176,11 @@ class _Nfa:
         return frozenset(seen)
 
 
-def _members(kind, arg, fold: bool) -> frozenset:
-    if kind is op.ANY:
-        return frozenset(range(256)) - {0x0A}
-    if kind is op.IN:
-        out, negate = set(), False
-        for k, a in arg:
-            if k is op.NEGATE:
-                negate = True
-            elif k is op.LITERAL:
-                out.add(a)
-            elif k is op.RANGE:
-                out.update(range(a[0], a[1] + 1))
-            else:
-                raise ValueError(f"class part {k} can't be compiled")
-    else:
-        out, negate = {arg}, kind is op.NOT_LITERAL
-    if fold:
-        out |= {ord(c) for b in out if b < 128 for c in (chr(b).lower(), chr(b).upper())}
-    return frozenset(set(range(256)) - out if negate else out)
-
-
 class Scanner:
-    """step: transitions, flat, state * n_classes + class, states premultiplied; accept: rules' bits by state."""
+    """step: transitions, flat, state * n_classes + class, states premultiplied; accept: rules' bits by state.
+
+    State 0 is that in which no match is under way.
+    """
 
     def __init__(self, classes: np.ndarray, step: np.ndarray, accept: np.ndarray):
         self.n_classes = step.shape[1]
@@ -121,42 +203,71 @@ class Scanner:
         return n
 
     def scan(self, block: tb.Block) -> np.ndarray:
-        """For each text, the bits of the rules that match somewhere in it; every byte is read once."""
+        """For each text, the bits of the rules that match somewhere in it."""
         out = np.zeros(block.n, dtype=np.int64)
+        text, rule, _, _ = self.regions(block)
+        np.bitwise_or.at(out, text, np.int64(1) << rule)
+        return out
+
+    def regions(self, block: tb.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, rule, start, end) of the regions, in ascending places of ``block.data``; every byte is read once."""
         starts, ends = block.runs(self.lane_byte)
         size = ends - starts
         use = size >= self.shortest
         starts, size = starts[use], size[use]
-        if not len(starts):
-            return out
         order = np.argsort(-size, kind="stable")
         starts, size = starts[order], size[order]
-        bits = np.zeros(len(starts), dtype=np.int64)
         n_long = int(np.searchsorted(-size, -LONG_LANE, side="left"))
         data = self.classes[block.data]
+        found = [self._walk(data[starts[i]:starts[i] + size[i]].tobytes(), i) for i in range(n_long)]
+        if n_long < len(starts):
+            found.append(self._walk_lanes(data, starts[n_long:], size[n_long:], n_long))
+        lane, begin, end, bits = np.concatenate([np.zeros((4, 0), dtype=np.int64), *found], axis=1)
+        event, rule = np.nonzero(bits[:, None] >> np.arange(int(bits.max(initial=0)).bit_length()) & 1)
+        at = starts[lane[event]]
+        start, end = at + begin[event], at + end[event]
+        order = np.lexsort((end, rule, start))
+        start, end, rule = start[order], end[order], rule[order]
+        last = np.append((start[1:] != start[:-1]) | (rule[1:] != rule[:-1]), True)[:len(order)]  # the region's farthest end
+        start, end, rule = start[last], end[last], rule[last]
+        return np.searchsorted(block.bounds, start, side="right") - 1, rule, start, end
+
+    def _walk(self, data: bytes, lane: int) -> np.ndarray:
+        """Rows lane, begin, end, bits of the accepting places of one lane."""
+        table, flags = self._lists
+        state = begin = 0
+        events, last = [], None
+        for at, c in enumerate(data, 1):
+            state = table[state + c]
+            if not state:
+                begin = at
+            elif flags[state]:
+                if last and last[1] == begin and last[3] == flags[state]:
+                    last[2] = at
+                else:
+                    last = [lane, begin, at, flags[state]]
+                    events.append(last)
+        return np.array(events, dtype=np.int64).reshape(-1, 4).T
+
+    @cached_property
+    def _lists(self) -> tuple[list, list]:
+        return self.step.tolist(), self.accept.tolist()
+
+    def _walk_lanes(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray, first: int) -> np.ndarray:
+        """The same of many lanes side by side, longest first."""
         step, accept = self.step, self.accept
-        if n_long:
-            table, flags = step.tolist(), accept.tolist()
-            for i in range(n_long):
-                state = found = 0
-                for c in data[starts[i]:starts[i] + size[i]].tobytes():
-                    state = table[state + c]
-                    if flags[state]:
-                        found |= flags[state]
-                bits[i] = found
-        lanes, size, got = starts[n_long:].copy(), size[n_long:], bits[n_long:]
-        if len(lanes):
-            state = np.zeros(len(lanes), dtype=np.int32)
-            alive = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), side="right").tolist()  # lanes at least that long
-            for t, k in enumerate(alive):
-                s = step[state[:k] + data[lanes[:k] + t]]
-                state[:k] = s
-                hit = accept[s]
-                if hit.any():
-                    got[:k] |= hit
-        text = np.searchsorted(block.bounds, starts, side="right") - 1
-        np.bitwise_or.at(out, text, bits)
-        return out
+        state, begin = np.zeros(len(starts), dtype=np.int32), np.zeros(len(starts), dtype=np.int32)
+        alive = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), side="right").tolist()  # lanes at least that long
+        events = [np.zeros((4, 0), dtype=np.int64)]
+        for t, k in enumerate(alive):
+            s = step[state[:k] + data[starts[:k] + t]]
+            state[:k] = s
+            np.putmask(begin[:k], s == 0, t + 1)
+            bits = accept[s]
+            if bits.any():
+                hit = np.flatnonzero(bits)
+                events.append(np.stack([hit + first, begin[hit], np.full(len(hit), t + 1), bits[hit]]))
+        return np.concatenate(events, axis=1)
 
 
 def compile_rules(rules: list[str]) -> Scanner:
@@ -164,10 +275,11 @@ def compile_rules(rules: list[str]) -> Scanner:
     root = nfa.state()
     final: dict[int, int] = {}
     for i, rule in enumerate(rules):
-        parsed = _parser.parse(rule)
         start = nfa.state()
         nfa.free[root].append(start)
-        end = nfa.add(parsed, start, bool(parsed.state.flags & re.IGNORECASE))
+        end = nfa.add(_Regex(rule).tree, start)
+        if end in nfa.closure([start]):
+            raise ValueError(f"the empty string matches {rule!r}")
         final[end] = final.get(end, 0) | 1 << i
     # bytes that no rule tells apart are one class
     signature: dict[tuple, int] = {}
@@ -204,7 +316,8 @@ def compile_rules(rules: list[str]) -> Scanner:
         rows.append(row)
     step, accept = np.array(rows), np.array(accept)
     # minimisation: split groups of states until their members agree on every class
-    group = np.unique(accept, return_inverse=True)[1]
+    # (the start is alone in its group: in no other state is no match under way)
+    group = np.unique(2 * accept + (np.arange(len(accept)) == 0), return_inverse=True)[1]
     while True:
         finer = np.unique(np.column_stack([group, group[step]]), axis=0, return_inverse=True)[1].ravel()
         if finer.max() == group.max():

@@ -1,9 +1,9 @@
 """Secret scans by one combined deterministic automaton.
 
 All rules' regexes are compiled into one minimised automaton (see dfa), which
-reads each byte of a text once and says which rules match somewhere in it.
-Only in those texts, and only for those rules, the spans are then located.
-No rule crosses a line break.
+reads each byte of a text once and gives the regions that all matches of a
+rule begin in.  The rule itself is then only run there, to set the ends of
+the span and the length of its secret.  No rule crosses a line break.
 
 Definite results: null or empty texts have no spans; spans are code points,
 end exclusive, leftmost and non-overlapping within a kind, ordered by start
@@ -40,21 +40,26 @@ RULES: dict[str, tuple[str, int, int]] = {
     "google": (r"AIza[A-Za-z0-9_-]+", 0, 39),
 }
 
-#: What the automaton looks for: each rule up to the first byte that can make a match, so a text
-#: without it has no span of the rule; counts that would multiply the states stay with the check.
-SCANNED: dict[str, str] = {
-    "assign": r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]""",
-    "access": r"AKIA[A-Z0-9]",
-    "hex": r"[0-9a-f]{24}",
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "jwt": r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.",
-    "github": r"gh[pousr]_[A-Za-z0-9]",
-    "slack": r"xox[abprs]-[A-Za-z0-9-]",
-    "google": r"AIza[A-Za-z0-9_-]",
-}
+_OPEN_END = re.compile(r"(.*)(\[[^]]+\])\+(\)?)")
+
+
+def scanned(rule: str, least: int) -> str:
+    """What the automaton looks for: the rule up to the first byte that completes a match.
+
+    A last ``[class]+`` is cut to one byte, since open ends of several rules at
+    once would multiply the states; the least length of a rule that is one
+    class alone is put in.  The rule matches from just the places where this does,
+    but for lengths, which are checked on the whole match.
+    """
+    end = _OPEN_END.fullmatch(rule)
+    if not end:
+        return rule
+    return end[1] + end[2] + end[3] if end[1] else f"{end[2]}{{{least}}}"
+
 
 KINDS = list(RULES)
-_PATTERNS = [re.compile(r, re.ASCII) for r, _, _ in RULES.values()]
+_PATTERNS = [re.compile(r.encode()) for r, _, _ in RULES.values()]
+_CHARS = ~tb.byte_table(range(0x80, 0xC0))  # one byte of each code point
 
 _scanner: list[Scanner] = []
 
@@ -62,24 +67,30 @@ _scanner: list[Scanner] = []
 def scanner() -> Scanner:
     """The combined automaton, built once per process."""
     if not _scanner:
-        _scanner.append(compile_rules([SCANNED[k] for k in KINDS]))
+        _scanner.append(compile_rules([scanned(rule, least) for rule, _, least in RULES.values()]))
     return _scanner[0]
 
 
-def locate(text: str, bits: int) -> list[tuple[int, int, int]]:
-    """(start, kind number, end) of the spans of the rules in ``bits``."""
-    spans = []
-    for i, (_, group, least) in enumerate(RULES.values()):
-        if bits >> i & 1:
-            spans += [(m.start(), i, m.end()) for m in _PATTERNS[i].finditer(text) if m.end(group) - m.start(group) >= least]
-    return sorted(spans)
-
-
-def scan_block(raw: list[bytes], block: tb.Block) -> dict[int, list[tuple[int, int, int]]]:
-    """Spans of the texts that have any."""
-    bits = scanner().scan(block)
-    found = {i: locate(raw[i].decode("utf-8", "replace"), int(bits[i])) for i in np.flatnonzero(bits).tolist()}
-    return {i: s for i, s in found.items() if s}
+def scan_block(block: tb.Block) -> dict[int, list[tuple[int, int, int]]]:
+    """(start, kind number, end) of the spans of the texts that have any."""
+    spans, least, group = [], [r[2] for r in RULES.values()], [r[1] for r in RULES.values()]
+    done = [0] * len(KINDS)  # end of each kind's last match
+    for text, kind, lo, hi in zip(*(x.tolist() for x in scanner().regions(block))):
+        rule, at = _PATTERNS[kind], max(lo, done[kind])
+        while at < hi and (first := rule.search(block.bytes, at, hi)):
+            match = rule.match(block.bytes, first.start())  # to its end, which may lie beyond the region
+            at = done[kind] = match.end()
+            if match.end(group[kind]) - match.start(group[kind]) >= least[kind]:
+                spans.append((text, match.start(), kind, at))
+    if not spans:
+        return {}
+    chars = np.concatenate(([0], np.cumsum(_CHARS[block.data], dtype=np.int64)))  # code points before each byte
+    text, start, kind, end = np.array(sorted(spans), dtype=np.int64).T
+    before = chars[block.bounds[text]]
+    found: dict[int, list[tuple[int, int, int]]] = {}
+    for i, s, k, e in zip(text.tolist(), (chars[start] - before).tolist(), kind.tolist(), (chars[end] - before).tolist()):
+        found.setdefault(i, []).append((s, k, e))
+    return found
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -91,8 +102,8 @@ def find(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, raw, block in tb.blocks(b.column("text")):
-                found = scan_block(raw, block)
+            for lo, hi, _, block in tb.blocks(b.column("text")):
+                found = scan_block(block)
                 rows = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in found.get(i, ())] for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(rows, _SPANS)], names=["doc_id", "found"])
 
@@ -107,9 +118,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             where = b.schema.get_field_index("text")
-            for lo, hi, raw, block in tb.blocks(b.column("text")):
+            for lo, hi, _, block in tb.blocks(b.column("text")):
                 part = b.slice(lo, hi - lo)
-                found = scan_block(raw, block)
+                found = scan_block(block)
                 if found:
                     texts = part.column("text").to_pylist()
                     for i, spans in found.items():
