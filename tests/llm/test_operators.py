@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -335,6 +336,39 @@ def test_cascade_verdict_does_not_depend_on_the_order(spark):
     assert {n for n, _, _ in order} == set(quality.RULES) and rank == sorted(rank, reverse=True)
 
 
+def test_order_is_the_cheapest_of_all():
+    table = [("a", 3.0, 0.1), ("b", 1.0, 0.3), ("c", 2.0, 0.0), ("d", 0.5, 0.2), ("e", 1.0, 0.0)]
+    cost = lambda rows: sum(c * np.prod([1 - out for _, _, out in rows[:i]]) for i, (_, c, _) in enumerate(rows))
+    order = quality.by_rejection(table)
+    assert cost(order) <= min(map(cost, itertools.permutations(table))) + 1e-12
+    assert [n for n, _, _ in order] == ["d", "b", "a", "e", "c"]
+
+
+def test_selectivity_is_of_texts_that_pass_the_base():
+    good = PROSE + "The rest of the page says that nothing here was ever written twice by any one of its many patient authors."
+    loud = good.upper()
+    raw = [b"", b"FEW WORDS!!!", b"AGAIN AND AGAIN " * 60, good.encode(), loud.encode(), (good + " # * $ % & | < >" * 2).encode()]
+    n, spent, out = quality.measured(quality.View(raw))
+    assert n == 3 and out["shouting"] == 1 and out["exclaiming"] == 0 and out["symbol_share"] == 1
+    assert set(spent) == set(quality.RULES) and min(spent.values()) >= 0
+    assert quality.measured(quality.View([b"", b"x"]))[0] == 0
+
+
+def test_parts_of_a_view_keep_its_counts():
+    r = random.Random(9)
+    raw = ["".join(r.choices("ab AB!#.\né", k=r.randint(0, 300))).encode() for _ in range(100)]
+    view = quality.View(raw)
+    quality.passes_base(view)
+    at = np.array(sorted(r.sample(range(100), 37)))
+    part, fresh = view.part(at), quality.View([raw[i] for i in at.tolist()])
+    for name in quality.MEASURES:
+        assert name in part.__dict__ and (getattr(part, name) == getattr(fresh, name)).all()
+    for rule in quality.RULES.values():
+        assert (rule(part) == rule(fresh)).all() and (rule(part) == rule(view)[at]).all()
+    kept, _ = quality.verdict(view, at, list(quality.RULES))
+    assert (np.flatnonzero(kept) == at[quality.cascade([raw[i] for i in at.tolist()], list(quality.RULES))[0]]).all()
+
+
 # ---- 5 line dedup ---------------------------------------------------------
 
 def test_line_templates(spark):
@@ -414,6 +448,7 @@ def test_token_files(spark, scratch):
     token_orc.write_token_orc(frame(spark, rows), f"file://{scratch}/orc", tokens.vocabulary("byte_bpe_50k.json"))
     found = token_orc.lookup(spark, f"file://{scratch}/orc", [4]).collect()
     assert [r["ids"] for r in found] == [whole_ids("byte_bpe_50k.json", "word")]
+    assert [r["start"] for r in found] == [a for i, a, _, _ in want if i == 4]
     assert token_orc.op6(spark, frame(spark, [(None, "x")])).count() == 1
     assert token_orc.op6(spark, frame(spark, [])).count() == 0
 

@@ -1,10 +1,11 @@
 """Quality rules as a short-circuit cascade.
 
 Every document gets the base measures.  Those that pass the base limits go
-through the rules of ``RULES``, each only over what the earlier ones left.  The
-order is fitted: on a bounded sample each rule's cost (seconds of CPU) and
-selectivity (share rejected) are measured, and rules run by rejection per
-cost.  The verdict is the same in any order; the time isn't.
+through the rules of ``RULES``, each only over what the earlier ones left, and
+with what was measured already.  The order is fitted: on the texts of a bounded
+sample that pass the base, each rule's cost (seconds of CPU beyond the base
+measures) and selectivity (share rejected) are measured, and rules run by
+rejection per cost.  The verdict is the same in any order; the time isn't.
 
 Definite results: null or empty texts have no words and fail the base; equal
 lines count from the second on; repeated rows each give a row; an empty table
@@ -39,12 +40,34 @@ _ASCII_LETTER = tb.byte_table({*range(0x41, 0x5B), *range(0x61, 0x7B)})
 _EXCLAIM = tb.byte_table(b"!")
 
 
+#: Counts of a view, one for each text.
+_COUNTS = {"n_words", "n_lines", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"}
+
+
 class View:
     """What the rules measure on a block of texts, each thing once."""
 
-    def __init__(self, raw: list[bytes]):
+    def __init__(self, raw: list[bytes], block: tb.Block | None = None):
         self.raw = raw
-        self.block = tb.Block(raw)
+        if block is not None:
+            self.block = block
+
+    def part(self, at: np.ndarray) -> View:
+        """A view of the texts ``at``, with those of their counts that are known."""
+        view = View([self.raw[i] for i in at.tolist()])
+        for name in _COUNTS & self.__dict__.keys():
+            view.__dict__[name] = self.__dict__[name][at]
+        return view
+
+    def copy(self) -> View:
+        """The same texts and all that is known of them; what is measured later stays apart."""
+        view = View(self.raw)
+        view.__dict__.update(self.__dict__)
+        return view
+
+    @cached_property
+    def block(self) -> tb.Block:
+        return tb.Block(self.raw)
 
     @cached_property
     def words(self):
@@ -138,26 +161,67 @@ RULES: dict[str, Callable[[View], np.ndarray]] = {
     "word_length": _word_length, "few_letters": _few_letters, "trailing_off": _trailing_off}
 
 
-def cascade(raw: list[bytes], order: list[str]) -> tuple[np.ndarray, list[str | None]]:
-    """(kept, rule that rejected) for texts; each rule sees only what is left."""
-    left, by = np.arange(len(raw)), [None] * len(raw)
-    view, at = View(raw) if raw else None, left  # at: texts of the view
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+#: A view is cut down to the texts left when they are less than this share of it.
+LEAST_SHARE = 0.7
+
+
+def passes_base(view: View) -> np.ndarray:
+    """Which texts pass the base limits; afterwards the view holds all base measures."""
+    for name in MEASURES:
+        getattr(view, name)
+    return ~((view.n_words < MIN_WORDS) | (100 * view.n_repeat_words > MAX_REPEAT_PERCENT * view.n_words))
+
+
+def narrowed(view: View, at: np.ndarray, left: np.ndarray) -> tuple[View, np.ndarray]:
+    """The view of the texts ``at``, or one of those ``left`` if they are few."""
+    if len(left) >= LEAST_SHARE * len(at):
+        return view, at
+    return view.part(np.searchsorted(at, left)), left
+
+
+def verdict(view: View, left: np.ndarray, order: list[str]) -> tuple[np.ndarray, list[str | None]]:
+    """(kept, rule that rejected) for the view's texts; rules see the texts ``left`` (ascending), each what is left of them."""
+    kept, by = np.zeros(len(view.raw), dtype=bool), [None] * len(view.raw)
+    at = np.arange(len(view.raw))  # texts of the view
     for name in order:
         if not len(left):
             break
-        if len(left) < 0.7 * len(at):
-            view, at = View([raw[i] for i in left.tolist()]), left
+        view, at = narrowed(view, at, left)
         out = RULES[name](view)[np.searchsorted(at, left)]
         for i in left[out].tolist():
             by[i] = name
         left = left[~out]
-    kept = np.zeros(len(raw), dtype=bool)
     kept[left] = True
     return kept, by
 
 
+def cascade(raw: list[bytes], order: list[str]) -> tuple[np.ndarray, list[str | None]]:
+    """(kept, rule that rejected) for texts; each rule sees only what is left."""
+    return verdict(View(raw), np.arange(len(raw)), order)
+
+
+def measured(view: View) -> tuple[int, dict[str, float], dict[str, int]]:
+    """(texts that pass the base, each rule's CPU seconds over them, how many it rejects).
+
+    The seconds are what the cascade would spend on the rule beyond the base measures.
+    """
+    passed = np.flatnonzero(passes_base(view))
+    spent, out = dict.fromkeys(RULES, 0.0), dict.fromkeys(RULES, 0)
+    if len(passed):
+        view, at = narrowed(view, np.arange(len(view.raw)), passed)
+        view.block  # each cascade needs it, whatever its order
+        for name, rule in RULES.items():
+            own = view.copy()
+            t = time.process_time()
+            rejected = rule(own)
+            spent[name] = time.process_time() - t
+            out[name] = int(rejected[np.searchsorted(at, passed)].sum())
+    return len(passed), spent, out
+
+
 def fit_order(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
-    """(rule, CPU seconds a text, share rejected), by rejection per cost, best first."""
+    """(rule, CPU seconds a text, share rejected) over texts that pass the base, by rejection per cost, best first."""
     shipped(docs.sparkSession)
     texts = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64("doc_id").alias("h"))
     chosen = texts.select("h").orderBy("h").limit(sample_rows)  # by a hash of the id, not the table's order
@@ -166,42 +230,42 @@ def fit_order(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spent, out, n = dict.fromkeys(RULES, 0.0), dict.fromkeys(RULES, 0), 0
         for b in batches:
-            for lo, hi, raw, _ in tb.blocks(b.column("text")):
-                n += hi - lo
-                for name, rule in RULES.items():
-                    t = time.process_time()
-                    out[name] += int(rule(View(raw)).sum())  # a view of its own: the whole cost
-                    spent[name] += time.process_time() - t
+            for _, _, raw, block in tb.blocks(b.column("text")):
+                passed, seconds, rejected = measured(View(raw, block))
+                n += passed
+                for name in RULES:
+                    spent[name] += seconds[name]
+                    out[name] += rejected[name]
         yield pa.RecordBatch.from_pydict({"rule": list(RULES), "spent": list(spent.values()), "out": list(out.values()), "n": [n] * len(RULES)})
 
     rows = few.repartition(1).mapInArrow(measure, "rule string, spent double, out long, n long").groupBy("rule").agg(
         F.sum("spent").alias("spent"), F.sum("out").alias("out"), F.sum("n").alias("n")).collect()
     found = {r["rule"]: (r["spent"] / max(r["n"], 1), r["out"] / max(r["n"], 1)) for r in rows}
-    table = [(name, *found.get(name, (0.0, 0.0))) for name in RULES]
-    return sorted(table, key=lambda r: -r[2] / max(r[1], 1e-9))
+    return by_rejection([(name, *found.get(name, (0.0, 0.0))) for name in RULES])
+
+
+def by_rejection(table: list[tuple[str, float, float]]) -> list[tuple[str, float, float]]:
+    """(rule, cost, share rejected) by rejection per cost; of equal ones the cheaper first."""
+    return sorted(table, key=lambda r: (-r[2] / max(r[1], 1e-9), r[1]))
 
 
 def score(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     """doc_id, the base measures, base_failed, kept."""
     shipped(docs.sparkSession)
     order = order or [name for name, _, _ in fit_order(docs)]
-    measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, raw, _ in tb.blocks(b.column("text")):
-                view = View(raw)
-                base = {m: np.asarray(getattr(view, m), dtype=np.int64) for m in measures}
-                failed = (base["n_words"] < MIN_WORDS) | (100 * base["n_repeat_words"] > MAX_REPEAT_PERCENT * base["n_words"])
-                passed = np.flatnonzero(~failed)
-                kept = np.zeros(hi - lo, dtype=bool)
-                kept[passed] = cascade([raw[i] for i in passed.tolist()], order)[0]
+            for lo, hi, raw, block in tb.blocks(b.column("text")):
+                view = View(raw, block)
+                passed = passes_base(view)
+                base = {m: np.asarray(getattr(view, m), dtype=np.int64) for m in MEASURES}
+                kept, _ = verdict(view, np.flatnonzero(passed), order)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(lo, hi - lo), *map(pa.array, base.values()), pa.array(failed), pa.array(kept)],
-                    names=["doc_id", *measures, "base_failed", "kept"])
+                    [b.column("doc_id").slice(lo, hi - lo), *map(pa.array, base.values()), pa.array(~passed), pa.array(kept)],
+                    names=["doc_id", *MEASURES, "base_failed", "kept"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, " + ", ".join(f"{m} long" for m in measures) + ", base_failed boolean, kept boolean"
+    schema = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES) + ", base_failed boolean, kept boolean"
     return texts.mapInArrow(rate, schema)
 
 
