@@ -453,6 +453,43 @@ def test_token_files(spark, scratch):
     assert token_orc.op6(spark, frame(spark, [])).count() == 0
 
 
+def test_lookup_reads_only_the_row_groups_that_can_hold_the_id(spark, scratch):
+    path = f"file://{scratch}/groups"
+    big = 1 << 40  # a long on its way to the JVM, too
+    ids = [big + 2 * i for i in range(6000)]
+    docs = frame(spark, [(i, f"text {i}") for i in ids])
+    token_orc.write_token_orc(docs, path, tokens.vocabulary("byte_bpe_50k.json"), n_files=1, index_stride=1000)
+    found = token_orc.lookup(spark, path, [big + 7000])
+    plan = found._jdf.queryExecution().toString()
+    assert f"EqualTo(doc_id,{big + 7000})" in plan
+    assert "Window" not in plan and "Aggregate" not in plan
+    assert [r["doc_id"] for r in found.collect()] == [big + 7000]
+    # what the files' own reader hands on for a value: whole row groups of 1000
+    from pyarrow import fs, orc
+    files = [f.path for f in fs.LocalFileSystem().get_file_info(fs.FileSelector(f"{scratch}/groups")) if f.path.endswith(".orc")]
+    assert sum(orc.ORCFile(f).nrows for f in files) == len(ids)
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    Orc, Path = jvm.org.apache.orc.OrcFile, jvm.org.apache.hadoop.fs.Path
+    handed = {}
+    for value in (7000, 7001, 99999):  # present; inside the statistics' range but absent; outside it
+        n = 0
+        for f in files:
+            reader = Orc.createReader(Path(f"file://{f}"), Orc.readerOptions(conf))
+            leaf = jvm.org.apache.hadoop.hive.ql.io.sarg.PredicateLeaf
+            arg = (jvm.org.apache.hadoop.hive.ql.io.sarg.SearchArgumentFactory.newBuilder().startAnd()
+                   .equals("doc_id", getattr(leaf, "Type").LONG, big + value).end().build())
+            names = spark.sparkContext._gateway.new_array(jvm.java.lang.String, 1)
+            names[0] = "doc_id"
+            rows = reader.rows(reader.options().searchArgument(arg, names))
+            batch = reader.getSchema().createRowBatch()
+            while rows.nextBatch(batch):
+                n += batch.count()
+            rows.close()
+        handed[value] = n
+    assert handed == {7000: 1000, 7001: 0, 99999: 0}  # 7001: only the Bloom filter can tell
+
+
 def test_packing(spark):
     rows = odd_rows() + [(200 + i, PROSE * (i % 37)) for i in range(150)]
     docs = frame(spark, rows)

@@ -5,7 +5,9 @@ writer commits: ids as an integer list (ORC's run-length encoding), rows in
 ascending doc_id order within and across files, a row index every
 ``index_stride`` rows and a Bloom filter on doc_id.  Readers split files by
 stripe, and a filter on doc_id skips stripes and row groups by the statistics
-and the filters.  ``read_token_orc`` gives the rows with their global start.
+and the filters.  The ids of all documents before each file are written beside
+them, so neither ``read_token_orc``, which gives the rows with their global
+start, nor ``lookup`` has to read other files for it.
 
 Definite results: null text is empty (end id only); rows with equal doc_id are
 ordered by a hash of the text, then by the text; null doc_ids come first; an
@@ -33,6 +35,9 @@ INDEX_STRIDE = 1000
 STRIPE_BYTES = 16 << 20
 
 FILE_SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
+#: Folder beside the files (readers of the files pass over it): ids before each part.
+BASES = "_bases"
+BASES_SCHEMA = "part int, base long"
 
 
 def _encode(path: str, keep_space: bool, end_id: int):
@@ -72,16 +77,18 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, keep_space:
      .option("orc.row.index.stride", str(index_stride))
      .option("orc.stripe.size", str(stripe_bytes))
      .save(path))
+    # One small row per file written, so its size is bounded by n_files.
+    totals = spark.read.schema(FILE_SCHEMA).orc(path).groupBy("part").agg(F.sum("n_tokens").alias("total"))
+    before = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    bases = totals.select("part", F.coalesce(before, F.lit(0)).alias("base"))
+    bases.coalesce(1).write.mode("overwrite").orc(f"{path}/{BASES}")
 
 
 def read_token_orc(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids."""
     rows = spark.read.schema(FILE_SCHEMA).orc(path)
-    # One small row per file written, so its size is bounded by the writer's n_files.
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    bases = totals.select("part", (F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).alias("base"))
-    return rows.join(F.broadcast(bases), "part").select(
-        "doc_id", (F.coalesce("base", F.lit(0)) + F.col("start_in_part")).alias("start"), "n_tokens", "ids")
+    bases = spark.read.schema(BASES_SCHEMA).orc(f"{path}/{BASES}")  # one small row per file
+    return rows.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", "ids")
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
