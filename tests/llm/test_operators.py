@@ -558,6 +558,76 @@ def test_toxicity(spark):
     assert toxicity.op7(docs.limit(0), lab).count() == 0
 
 
+def plain_buckets(text: bytes) -> set[int]:
+    """Buckets of the 3-, 5- and 7-grams of a text's lines, one by one."""
+    out = set()
+    for line in text.split(b"\n"):
+        folded = bytes(0x20 if b in b"\t\v\f\r" else b + 32 if 65 <= b <= 90 else b for b in line)
+        for n in toxicity.SIZES:
+            for i in range(len(folded) - n + 1):
+                h = 0
+                for b in folded[i:i + n]:
+                    h = (h * textbatch.BASE + int(textbatch.BYTE_VALUES[b])) % (1 << 64)
+                out.add((h ^ h >> 29) * 0xBF58476D1CE4E5B9 % (1 << 64) >> 64 - toxicity.BITS)
+    return out
+
+
+def test_toxicity_fit_and_scores_against_a_plain_model():
+    r = random.Random(21)
+    words = "vile rude nasty plain river table green AND\tthe\n one two é".split(" ")
+    texts, toxic = [], []
+    for _ in range(120):
+        bad = r.random() < 0.4
+        texts.append(" ".join(r.choices(words[:5] if bad and r.random() < 0.9 else words[3:], k=r.randint(0, 12))).encode())
+        toxic.append(int(bad))
+    toxic = np.array(toxic)
+    found = [plain_buckets(t) for t in texts]
+    assert all(set(toxicity._features(t).tolist()) == f for t, f in zip(texts, found))
+    n, n1 = len(texts), int(toxic.sum())
+    ratio = {}
+    for b in set().union(*found):
+        yes, no = (sum(b in f for f, y in zip(found, toxic) if y == c) for c in (1, 0))
+        value = np.log((yes + 1) / (n1 + 2)) - np.log((no + 1) / (n - n1 + 2))
+        if yes + no >= toxicity.MIN_DOCUMENTS and abs(value) >= toxicity.MIN_RATIO:
+            ratio[b] = value
+    names = sorted(ratio)
+    x = np.array([[ratio[b] * (b in f) for b in names] for f in found])
+    weight = np.where(toxic, 0.5 / n1, 0.5 / (n - n1))
+
+    def loss(w, b):
+        z = x @ w + b
+        return (weight * (np.logaddexp(0, z) - toxic * z)).sum() + toxicity.PENALTY * np.abs(w).sum()
+
+    w, b, step = np.zeros(len(names)), 0.0, 1 / (0.25 * (np.linalg.norm(x * np.sqrt(weight)[:, None], 2) ** 2 + 1))
+    for _ in range(20000):  # plain proximal gradient, without acceleration
+        gap = (1 / (1 + np.exp(-(x @ w + b))) - toxic) * weight
+        w = w - step * (x.T @ gap)
+        w = np.sign(w) * np.maximum(np.abs(w) - step * toxicity.PENALTY, 0)
+        b -= step * gap.sum()
+    buckets, weights, intercept = toxicity.fit(texts, toxic)
+    assert set(buckets.tolist()) <= set(names)
+    own = np.zeros(len(names))
+    own[[names.index(k) for k in buckets.tolist()]] = [v / ratio[k] for k, v in zip(buckets.tolist(), weights)]
+    assert loss(own, intercept) <= loss(w, b) + 0.01 * loss(np.zeros(len(names)), 0.0)
+    table = np.zeros(1 << toxicity.BITS)
+    table[buckets] = weights
+    long = texts + [b"", b"\n", b" ".join(texts) * 40]
+    got = toxicity.score_block(textbatch.Block(long), table, intercept)
+    want = [1 / (1 + np.exp(-(sum(table[k] for k in plain_buckets(t)) + intercept))) for t in long[:-1]] + [
+        1 / (1 + np.exp(-np.clip(sum(table[k] for k in plain_buckets(b" ".join(texts) * 2)) + intercept, -35, 35)))]
+    assert np.allclose(got, want, atol=1e-9)
+
+
+def test_toxicity_fit_sees_every_chosen_id_once(spark):
+    rows = [(i, ("you vile rude thing " if i % 2 else "a green river bank ") * 3 + str(i)) for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    plain = toxicity.train(frame(spark, rows), labels, 30, 30)
+    hot = next(i for i in range(1, 60, 2) if zlib.crc32(str(i).encode()) % 5)
+    many = frame(spark, rows).unionByName(frame(spark, [rows[hot]] * 500).repartition(3))
+    for model in (toxicity.train(many, labels, 30, 30), toxicity.train(frame(spark, rows[::-1]), labels, 30, 30)):
+        assert len(model[0]) and model[0].tolist() == plain[0].tolist() and np.allclose(model[1], plain[1]) and np.isclose(model[2], plain[2])
+
+
 # ---- 9 secrets ------------------------------------------------------------
 
 def test_scanner_agrees_with_re():

@@ -6,13 +6,14 @@ of smoothed document shares between the two classes.  A logistic regression
 with an L1 penalty is fitted to the scaled features (accelerated proximal
 gradient), so few n-grams keep a weight and scoring is a table look-up.
 
-The fit uses at most ``MAX_TOXIC + MAX_CLEAN`` labelled rows, chosen by a hash
-of doc_id; every text is scored whole.
+The fit uses at most ``MAX_TOXIC + MAX_CLEAN`` labelled documents, chosen by a
+hash of doc_id, each with one text; every text is scored whole.
 
 Definite results: null or empty texts get the score of no n-grams; without
 labelled rows of both classes the score is the share of toxic labels (0 without
-any); labels that are null or without a document are not used; a null doc_id is
-held out; repeated rows are each scored; an empty table gives no rows; other
+any); labels that are null or without a document are not used; a doc_id labelled
+both ways is toxic; of the texts of one doc_id that with the least hash is fitted;
+a null doc_id is held out; repeated rows are each scored; an empty table gives no rows; other
 columns are ignored by ``score`` and kept by ``reject``.
 """
 
@@ -139,7 +140,9 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
         return known.where(F.col("toxic") == y).distinct().orderBy(F.xxhash64("id"), "id").limit(n)
     chosen = some(1, max_toxic).unionByName(some(0, max_clean)).groupBy("id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").select("text", "toxic").limit(2 * (max_toxic + max_clean))
+    # one text an id, so an id on very many rows counts no more than another; partial aggregation comes before the shuffle
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, y = [], []
@@ -151,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
             [pa.array([buckets.tolist()], pa.list_(pa.int64())), pa.array([weights.tolist()], pa.list_(pa.float64())), pa.array([intercept])],
             names=["buckets", "weights", "intercept"])
 
-    model = rows.repartition(1).mapInArrow(run, "buckets array<long>, weights array<double>, intercept double").first()
+    model = rows.repartition(1).sortWithinPartitions("id").mapInArrow(run, "buckets array<long>, weights array<double>, intercept double").first()
     if model is None:
         return np.zeros(0, dtype=np.int64), np.zeros(0), -20.0
     return np.array(model["buckets"], dtype=np.int64), np.array(model["weights"]), model["intercept"]
