@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 it as Parquet in the shared checkpoint folder and reads it again for the next.
 All stages but the last return the columns of their input; the last returns the
 pieces of every kept document with their places in the training sequences.
+
+Definite results: a null text is empty; toxicity gives it the score of no n-grams;
+line dedup keeps documents that had no word before; near-dedup links empty ones with
+nothing and keeps one of identical rows of a doc_id; decontamination finds nothing
+in them; packing gives them their end id.  Empty tables pass through every stage.
 """
 
 from __future__ import annotations
