@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from test_operators import brute_components, brute_hits, crc, whole_ids
+from test_operators import brute_components, brute_hits, crc, frame, odd_rows, whole_ids
 from typesift.llm import packing, toxicity
 from typesift.llm.queries import ORACLES, QUERIES
 
@@ -72,3 +72,27 @@ def test_oracle(spark, name):
     for c in got.columns:
         assert np.array_equal(got[c].map(str).to_numpy(), want[c].map(lambda v: str(v)).to_numpy()) or \
             [None if v is None else str(v).removesuffix(".0") for v in got[c]] == [None if v is None else str(v).removesuffix(".0") for v in want[c]], c
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark):
+    """Each stage by itself: columns kept, no clean row lost, copies and near copies of 0.8 gone, nothing invented."""
+    words = [f"w{i}x" for i in range(200)]
+    near = [*words[:95], "changed", *words[96:]]  # 191 of 201 shingles shared
+    fair = [*words[:40], "one", *words[41:90], "two", *words[91:140], "three", *words[141:180], "four", *words[181:]]
+    share = lambda a, b: (lambda x, y: len(x & y) / len(x | y))(*({tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (a, b)))
+    assert share(words, near) > 0.85 and 0.8 <= share(words, fair) < 0.85
+    rows = odd_rows() + [(1000, " ".join(words)), (1001, " ".join(words)), (1002, " ".join(near)), (1003, " ".join(fair))]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = frame(spark, rows)
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes), name
+        ids = [r["doc_id"] for r in out.collect()]
+        assert {1, 2, 3, 4, 5, 7, 1000} <= set(ids), name
+        if name == "near_dedup":
+            assert not {1001, 1002, 1003} & set(ids) and len(ids) == len(set(ids))
+        elif name != "line_dedup":
+            assert len(ids) == len(rows), name
+        empty = stage(spark, frame(spark, []), SF)
+        assert empty.columns == docs.columns and empty.count() == 0, name
+    packed = corpus_pipeline.packed(spark, frame(spark, rows), SF).collect()
+    assert {r["doc_id"] for r in packed} == {i for i, _ in rows} and corpus_pipeline.packed(spark, frame(spark, []), SF).count() == 0
