@@ -65,7 +65,7 @@ def test_oracle(spark, name):
     for f in os.listdir(SF):
         con.execute(f"CREATE VIEW {f.partition('.')[0]} AS SELECT * FROM '{SF}/{f}'")
     want = con.execute(ORACLES[name]).df()[list(got.columns)]
-    key = [got.columns[0]]
+    key = [c for c in got.columns if not (got[c].isna().any() or want[c].isna().any())]  # the first column alone may have ties
     got, want = (x.sort_values(key).reset_index(drop=True).astype(object) for x in (got, want))
     got, want = (x.where(x.notna(), None) for x in (got, want))
     assert len(got) == len(want)
