@@ -100,6 +100,37 @@ def format_shapes(fmt: str) -> list[str]:
     return sorted({"".join(x) for x in product(*options)})
 
 
+def year_regex(lo: int, hi: int) -> str:
+    """Matches the four-digit years from lo to hi."""
+    spans: dict[tuple[str, int], list[str]] = {}
+    y = lo
+    while y <= hi:
+        free = next(k for k in (3, 2, 1, 0) if y % 10 ** k == 0 and y + 10 ** k - 1 <= hi)
+        digits = f"{y:04d}"[:4 - free]
+        spans.setdefault((digits[:-1], free), []).append(digits[-1])
+        y += 10 ** free
+    return "(?:" + "|".join(f"{head}[{''.join(ends)}]" + (f"[0-9]{{{free}}}" if free else "")  # the widest spans first
+                            for (head, free), ends in sorted(spans.items(), key=lambda x: -x[0][1])) + ")"
+
+
+#: (years, months, days) of the calendar; leap years are one kind of year.
+_LEAP = "(?:[0-9]{2}(?:0[48]|[2468][048]|[13579][26])|(?:[02468][048]|[13579][26])00)"
+_CALENDAR = (("", "(?:{0}[1-9]|1[0-2])", "(?:{0}[1-9]|1[0-9]|2[0-8])"), ("", "(?:{0}[13-9]|1[0-2])", "(?:29|30)"),
+             ("", "(?:{0}[13578]|1[02])", "31"), (f"(?={_LEAP})", "{0}2", "29"))
+_CLOCK = {"%H": "(?:[01]?[0-9]|2[0-3])", "%M": "[0-5]?[0-9]", "%S": "[0-5]?[0-9]"}
+
+
+def valid_date_regex(formats, year_min: int, year_max: int) -> str:
+    """Matches what parses under one of the strict formats (F06/F07): its shape, the calendar with leap years and the years."""
+    own = []
+    for fmt in formats:
+        zero = "0" if _packed(fmt) else "0?"
+        for leap, m, d in _CALENDAR if "%d" in fmt else _CALENDAR[:1]:
+            part = {"%Y": leap + year_regex(year_min, year_max), "%m": m.replace("{0}", zero), "%d": d.replace("{0}", zero), **_CLOCK}
+            own.append("".join(part.get(p) or re.escape(p) for p in _DIRECTIVE.split(fmt) if p))
+    return r"\A(?:" + "|".join(own) + r")\z"
+
+
 def _packed(fmt: str) -> bool:
     return not re.sub(r"%[YmdHMS]", "", fmt)
 

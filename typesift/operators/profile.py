@@ -101,94 +101,67 @@ def _shape_bits(formats, bits) -> Column:
     return F.create_map(*pairs)
 
 
-RATIO_BITS = {fmt: 1 << i for i, fmt in enumerate(K.RATIO_DATE_FORMATS)}
+_UNSIGNED, _EXPONENT = r"(?:[0-9]++(?:\.[0-9]*+)?+|\.[0-9]++)", r"(?:[eE][+-]?+[0-9]++)?+\s*+$"
+#: A stripped value that is a number, or one with a trailing minus.
+NUMBER_REGEX = rf"^(?:{_UNSIGNED}(?:-\z|{_EXPONENT})|[+-]{_UNSIGNED}{_EXPONENT})"
+#: Digits of which a double is finite, whatever they are.
+FINITE_DIGITS = 300
 
 
 def _classify_stages(na_tokens: tuple, date_patterns: tuple, keep: tuple) -> list[list]:
     """The select-argument lists of ``classify``, stage by stage."""
-    # Every stage keeps all columns of the one before (``select("*", ...)``):
-    # a parent that uses all of its child's output lets whole-stage codegen
-    # put each stage in its own method, which keeps methods small enough
-    # for the JIT.  Columns are dropped only in the last projection.
+    # All of a stage's code ends in one generated method, and the JIT compiles none
+    # above 8,000 bytes.  So a cell's first character sorts out what can be a number
+    # or a date, digits need one regex, and a format is one regex that knows the calendar.
     stages: list[list] = []
-    stages.append(["file_name", "column_name", *keep, X.null_tokens(F.col("value"), na_tokens).alias("v")])
-    stages.append(["*", X.pystrip(F.col("v")).alias("t")])
-    t = F.col("t")
-    body = t.substr(F.lit(1), F.length(t) - 1)
-    minus = t.endswith("-") & X.is_all_digits(F.translate(body, ".", ""))
-    # A shape is made only of values that can have a date shape: as long as one, a
-    # digit first.  Only values whose shape is one are split and cast, so a cast
-    # never sees a non-digit string (failed casts are the slow path).
-    date_shapes = sorted({s for f in K.INFER_DATE_FORMATS + K.RATIO_DATE_FORMATS for s in X.format_shapes(f)})
-    sizes = [len(s) for s in date_shapes]
-    maybe = F.octet_length(t).between(min(sizes), max(sizes)) & F.ascii(t).between(48, 57)
-    stages.append(["*", F.when(maybe, X.shape(t)).alias("shp"),
-                   F.when(minus, F.concat(F.lit("-"), body)).otherwise(t).alias("norm")])
-    stages.append(["*", F.coalesce(F.col("shp").isin(date_shapes), F.lit(False)).alias("datey"), X.is_numeric(F.col("norm")).alias("isnum")])
-    stages.append(["*", F.when(F.col("datey"), F.split(F.translate(t, "/.: ", "----"), "-")).alias("parts"),
-                   F.when(F.col("isnum"), F.col("norm").try_cast("double")).alias("x")])
-    nums = [F.try_element_at(F.col("parts"), F.lit(i)).try_cast("int").alias(f"n{i}") for i in range(1, 7)]
-    is_packed = F.col("shp") == "00000000"
-    packed = [F.when(is_packed, t.substr(1, 4).try_cast("int")).alias("p1"),
-              F.when(is_packed, t.substr(5, 2).try_cast("int")).alias("p2"),
-              F.when(is_packed, t.substr(7, 2).try_cast("int")).alias("p3")]
-    stages.append(["*", *nums, *packed])
-    n = {i: F.col(f"n{i}") for i in range(1, 7)}
-    p = {i: F.col(f"p{i}") for i in range(1, 4)}
-
-    def cal(y, m, d):
-        return m.between(1, 12) & d.between(1, X.days_in_month(y, m))
-
-    def hms(h, mi, se):
-        return h.between(0, 23) & mi.between(0, 59) & se.between(0, 59)
-
-    roles = {  # role -> (year column, calendar-valid column)
-        "ymd": (n[1], cal(n[1], n[2], n[3])),
-        "dmy": (n[3], cal(n[3], n[2], n[1])),
-        "mdy": (n[3], cal(n[3], n[1], n[2])),
-        "packed": (p[1], cal(p[1], p[2], p[3])),
-    }
-    stages.append(["*", *[F.coalesce(ok, F.lit(False)).alias(f"cal_{r}") for r, (_, ok) in roles.items()],
-                   F.coalesce(hms(n[1], n[2], n[3]), F.lit(False)).alias("ok_hms"),
-                   F.coalesce(hms(n[4], n[5], n[6]), F.lit(False)).alias("ok_time")])
-
-    def valid_bits(formats, bits, ylo, yhi):
-        terms = []
-        for fmt in formats:
-            role = _role(fmt)
-            if role == "hms":
-                ok = F.col("ok_hms")
-            else:
-                ok = F.col(f"cal_{role}") & roles[role][0].between(ylo, yhi)
-                if len(X.format_fields(fmt)) == 6:
-                    ok = ok & F.col("ok_time")
-            terms.append(F.when(ok, bits[fmt]).otherwise(0))
-        return reduce(lambda a, b: a + b, terms)
-
-    shp = F.col("shp")
-    fmt_bits = (F.coalesce(F.element_at(_shape_bits(K.INFER_DATE_FORMATS, FORMAT_BITS), shp), F.lit(0))
-                .bitwiseAND(valid_bits(K.INFER_DATE_FORMATS, FORMAT_BITS, K.INFER_YEAR_MIN, K.INFER_YEAR_MAX)))
-    # Strict formats see the raw value: surrounding whitespace fails them.
-    fmt_bits = F.when(F.col("datey") & (F.col("v") == t), fmt_bits).otherwise(0)
-    ratio_ok = (F.coalesce(F.element_at(_shape_bits(K.RATIO_DATE_FORMATS, RATIO_BITS), shp), F.lit(0))
-                .bitwiseAND(valid_bits(K.RATIO_DATE_FORMATS, RATIO_BITS, K.RATIO_YEAR_MIN, K.RATIO_YEAR_MAX)) != 0)
-    stages.append(["*", fmt_bits.alias("fb"), F.when(F.col("datey"), ratio_ok).otherwise(False).alias("rok")])
-    fmt_bits, ratio_ok = F.col("fb"), F.col("rok")
-    v = F.col("v")
-    mask = (F.when(X.is_all_digits(v), BIT_DIGITS).otherwise(0)
-            + F.when(X.is_zero_padded(v), BIT_ZPAD).otherwise(0)
-            + F.when(F.col("isnum"), BIT_NUM).otherwise(0)
-            + F.when(F.col("isnum") & X.is_integral(F.col("x")), BIT_INT).otherwise(0)
-            + F.when(X.has_decimal_mark(v), BIT_DEC).otherwise(0)
-            + F.when(v.isin(*K.BOOLEAN_SPELLINGS), BIT_BOOL).otherwise(0)
+    own = ["file_name", "column_name", *keep, "v"]
+    stages.append([*own[:-1], X.null_tokens(F.col("value"), na_tokens).alias("v")])
+    v, t, a = F.col("v"), F.col("t"), F.col("a")
+    stages.append(["*", F.ascii(v).alias("a")])
+    stages.append(["*", F.when(a.between(48, 57), v.rlike(r"\A[0-9]+\z")).otherwise(False).alias("plain")])
+    plain, odd = F.col("plain"), F.col("odd")
+    # odd: not ASCII digits, but white space, a sign, a mark, a digit or no ASCII in front
+    stages.append(["*", F.when((a < 58) | (a > 127), ~plain).otherwise(False).alias("odd")])
+    edge = reduce(lambda x, y: x | y, [v.endswith(c) for c in X.PY_WHITESPACE], a <= 32)
+    wide = F.octet_length(v) != F.length(v)
+    stages.append(["*", F.when(odd & edge, X.pystrip(v)).otherwise(v).alias("t"),
+                   F.when(odd & (a >= 48) & wide, X.is_all_digits(v)).otherwise(plain).alias("digits")])
+    stages.append(["*", F.when(odd, ~t.contains("/") & ~t.contains(":") & t.rlike(NUMBER_REGEX)).otherwise(plain).alias("isnum")])
+    isnum = F.col("isnum")
+    sizes = [len(s) for f in K.INFER_DATE_FORMATS + K.RATIO_DATE_FORMATS for s in X.format_shapes(f)]
+    # A date is no number, but for eight digits.
+    maybe = odd & F.octet_length(t).between(min(sizes), max(sizes)) & (~isnum | (v != t)) & F.ascii(t).between(48, 57)
+    number = F.when(t.endswith("-"), t.substr(F.lit(1), F.length(t) - 1)).otherwise(t)
+    stages.append(["*", F.when(plain, F.octet_length(v) == 8).when(maybe, True).otherwise(False).alias("datey"),
+                   F.when(isnum & (odd | (F.octet_length(v) > FINITE_DIGITS)), number.try_cast("double")).alias("x")])
+    datey = F.col("datey")
+
+    def strict(formats):
+        bits = [F.when(v.rlike(X.valid_date_regex([f], K.INFER_YEAR_MIN, K.INFER_YEAR_MAX)), FORMAT_BITS[f]).otherwise(0) for f in formats]
+        return reduce(lambda p, q: p + q, bits, F.lit(0))
+
+    # A value's mark tells which formats can fit.  They see the raw value: surrounding whitespace fails them.
+    packed, rest = [f for f in K.INFER_DATE_FORMATS if X._packed(f)], [f for f in K.INFER_DATE_FORMATS if not X._packed(f)]
+    fits = F.when(isnum, strict(packed))
+    for mark in ":/.-":
+        fits, rest = fits.when(t.contains(mark), strict([f for f in rest if mark in f])), [f for f in rest if mark not in f]
+    stages.append(["*", F.when(datey & (v == t), fits.otherwise(strict(rest))).otherwise(0).alias("fb")])
+    fmt_bits = F.col("fb")
+    # The ratio's years include those of the initial formats, so what fits one that both have is a date.
+    both = sum(FORMAT_BITS[f] for f in K.INFER_DATE_FORMATS if f in K.RATIO_DATE_FORMATS)
+    least = min(len(s) for f in K.RATIO_DATE_FORMATS for s in X.format_shapes(f))
+    pat = t.rlike(X.fold_patterns(date_patterns)) if date_patterns else F.lit(False)
+    ratio_hit = (datey & (F.octet_length(t) >= least) & pat
+                 & (has_bit(fmt_bits, both) | t.rlike(X.valid_date_regex(K.RATIO_DATE_FORMATS, K.RATIO_YEAR_MIN, K.RATIO_YEAR_MAX))))
+    whole = F.when(odd | (F.octet_length(v) > FINITE_DIGITS), F.coalesce(X.is_integral(F.col("x")), F.lit(False))).otherwise(True)
+    mask = (F.when(F.col("digits"), BIT_DIGITS).otherwise(0)
+            + F.when((a == 48) & (F.octet_length(v) > 1), BIT_ZPAD).otherwise(0)
+            + F.when(isnum, F.when(whole, BIT_NUM + BIT_INT).otherwise(BIT_NUM)).otherwise(0)
+            + F.when(~plain & X.has_decimal_mark(v), BIT_DEC).otherwise(0)
+            + F.when(~plain & v.isin(*K.BOOLEAN_SPELLINGS), BIT_BOOL).otherwise(0)
             + fmt_bits)
     nonblank = v.isNotNull() & (t != "")
-    pat = t.rlike(X.fold_patterns(date_patterns)) if date_patterns else F.lit(False)
-    # ratio_ok implies a date shape, so the pattern regex only runs on those.
-    stages.append(["file_name", "column_name", *keep, "v",
-                   F.when(v.isNotNull(), mask.cast("long")).alias("m"),
-                   nonblank.alias("nb"),
-                   (nonblank & ratio_ok & pat).alias("dp")])
+    stages.append([*own, F.when(v.isNotNull(), mask.cast("long")).alias("m"), nonblank.alias("nb"), (nonblank & ratio_hit).alias("dp")])
     return stages
 
 
