@@ -57,11 +57,18 @@ def upsert(base: DataFrame, new: DataFrame, order: str | None = None) -> DataFra
     return align(base).join(new1.select(*KEYS), KEYS, "left_anti").unionByName(new1)
 
 
-def append(base: DataFrame, candidates: DataFrame) -> DataFrame:
+def append(base: DataFrame, candidates: DataFrame, repeats: bool = False) -> DataFrame:
     """Append candidate rows; a key that exists, or comes twice, is an error.
 
     The check is part of the plan: reading the result fails on a collision.
+    ``repeats``: the registry has no primary key, so rows of either side that share a
+    key are all kept; a candidate whose key the registry holds is still an error.
     """
+    if repeats:
+        held = base.select(*KEYS).distinct().withColumn("_held", F.lit(True))
+        clash = F.raise_error(F.concat(F.lit("append: the registry has "), F.to_json(F.struct(*KEYS))))
+        new = align(candidates).join(held, KEYS, "left").withColumn("file_name", F.when(F.col("_held"), clash.cast("string")).otherwise(F.col("file_name")))
+        return align(base).unionByName(align(new))
     rows = align(base).withColumn("_new", F.lit(0)).unionByName(align(candidates).withColumn("_new", F.lit(1)))
     attrs = [c for c in REGISTRY_COLUMNS if c not in KEYS]
     one = rows.groupBy(*KEYS).agg(F.count("*").alias("_n"), F.max("_new").alias("_new"),
