@@ -68,10 +68,17 @@ def datetime_text(v: Column, fmt: str | None) -> Column:
     p = X._parts(v, fmt)
     y, m, d = p.get("Y", F.lit(1900)), p.get("m", F.lit(1)), p.get("d", F.lit(1))
     hh, mi, ss = p.get("H", F.lit(0)), p.get("M", F.lit(0)), p.get("S", F.lit(0))
-    txt = F.format_string("%04d-%02d-%02d %02d:%02d:%02d", y, m, d, hh, mi, ss)
+    txt = _stamp(y, m, d, hh, mi, ss)
     return F.when(ok, txt)
 
 
+def _stamp(y: Column, m: Column, d: Column, hh: Column, mi: Column, ss: Column) -> Column:
+    """``yyyy-MM-dd HH:mm:ss`` of parts that are valid."""
+    def two(c):
+        return F.lpad(c.cast("string"), 2, "0")
+    return F.concat(F.lpad(y.cast("string"), 4, "0"), F.lit("-"), two(m), F.lit("-"), two(d), F.lit(" "), two(hh), F.lit(":"), two(mi), F.lit(":"), two(ss))
+
+
 def first_format(mask: Column) -> Column:
     """Name of the first strict format whose bit is set in ``mask``."""
     out = None
@@ -157,53 +164,26 @@ def with_datetime_text(df: DataFrame, value: str, fmt: str, out: str) -> DataFra
     """Add ``out`` = ``value`` parsed under the per-row format name in ``fmt``,
     rendered ``yyyy-MM-dd HH:mm:ss`` (NULL when it does not parse).
 
-    The value is split once (only when its digit shape is a date shape); the
-    format only selects which parts are year, month, day and time.
+    The value is split once, only when its format's regex takes it; the format
+    only selects which parts are year, month, day and time.
     """
     v, f = F.col(value), F.col(fmt)
-    shapes = sorted({s for x in K.INFER_DATE_FORMATS for s in X.format_shapes(x)})
-    shp = X.shape(v)
-    d = df.select("*", shp.alias("_shp"))
-    d = d.select("*", F.when(F.col("_shp").isin(shapes) & f.isNotNull(),
-                             F.split(F.translate(v, "/.: ", "----"), "-")).alias("_parts"))
-    n = {i: F.try_element_at(F.col("_parts"), F.lit(i)).try_cast("int") for i in range(1, 7)}
-    packed = F.col("_shp") == "00000000"
-    p = {1: F.when(packed, v.substr(1, 4).try_cast("int")), 2: F.when(packed, v.substr(5, 2).try_cast("int")),
-         3: F.when(packed, v.substr(7, 2).try_cast("int"))}
-    d = d.select("*", *[n[i].alias(f"_n{i}") for i in range(1, 7)], *[p[i].alias(f"_p{i}") for i in range(1, 4)])
-    n = {i: F.col(f"_n{i}") for i in range(1, 7)}
-    p = {i: F.col(f"_p{i}") for i in range(1, 4)}
-    pick = {  # role -> (y, m, d, H, M, S)
-        "ymd": (n[1], n[2], n[3], n[4], n[5], n[6]),
-        "dmy": (n[3], n[2], n[1], F.lit(0), F.lit(0), F.lit(0)),
-        "mdy": (n[3], n[1], n[2], F.lit(0), F.lit(0), F.lit(0)),
-        "packed": (p[1], p[2], p[3], F.lit(0), F.lit(0), F.lit(0)),
-        "hms": (F.lit(1900), F.lit(1), F.lit(1), n[1], n[2], n[3]),
-    }
-    parts = []
-    for i in range(6):
-        e = None
-        for fm in K.INFER_DATE_FORMATS:
-            role = P._role(fm)
-            val = pick[role][i]
-            if role == "ymd" and len(X.format_fields(fm)) == 3 and i >= 3:
-                val = F.lit(0)
-            e = F.when(f == fm, val) if e is None else e.when(f == fm, val)
-        parts.append(e.alias(f"_v{i}"))
-    bit = None
-    for fm, b in P.FORMAT_BITS.items():
-        bit = F.when(f == fm, F.lit(b)) if bit is None else bit.when(f == fm, F.lit(b))
-    bit = bit.otherwise(F.lit(0))
-    shape_ok = (F.coalesce(F.element_at(P._shape_bits(K.INFER_DATE_FORMATS, P.FORMAT_BITS), F.col("_shp")),
-                           F.lit(0)).bitwiseAND(bit) != 0)
-    d = d.select("*", *parts, shape_ok.alias("_shape_ok"))
-    y, m, dd, hh, mi, ss = (F.col(f"_v{i}") for i in range(6))
-    ok = (F.col("_shape_ok") & y.between(K.INFER_YEAR_MIN, K.INFER_YEAR_MAX) & m.between(1, 12)
-          & dd.between(1, X.days_in_month(y, m)) & hh.between(0, 23) & mi.between(0, 59) & ss.between(0, 59))
-    txt = F.format_string("%04d-%02d-%02d %02d:%02d:%02d", y, m, dd, hh, mi, ss)
-    helpers = ["_shp", "_parts", *[f"_n{i}" for i in range(1, 7)], *[f"_p{i}" for i in range(1, 4)],
-               *[f"_v{i}" for i in range(6)], "_shape_ok"]
-    return d.select("*", F.when(F.coalesce(ok, F.lit(False)), txt).alias(out)).drop(*helpers)
+    ok, roles = F.lit(False), {}
+    for fm in K.INFER_DATE_FORMATS:
+        roles.setdefault("time" if len(X.format_fields(fm)) == 6 else P._role(fm), []).append(fm)
+        ok = F.when(f == fm, v.rlike(X.valid_date_regex([fm], K.INFER_YEAR_MIN, K.INFER_YEAR_MAX))).otherwise(ok)
+    dashed = v
+    for c in "/.: ":
+        dashed = F.replace(dashed, F.lit(c), F.lit("-"))
+    eight = F.array(v.substr(1, 4), v.substr(5, 2), v.substr(7, 2))
+    d = df.select("*", F.when(ok, F.when(f.isin(roles["packed"]), eight).otherwise(F.split(dashed, "-"))).alias("_parts"))
+    p = [None, *[F.try_element_at(F.col("_parts"), F.lit(i)) for i in range(1, 7)]]
+    dmy, mdy, hms, time = (f.isin(roles[r]) for r in ("dmy", "mdy", "hms", "time"))
+    d = d.select("*", F.when(hms, "1900").when(dmy | mdy, p[3]).otherwise(p[1]).alias("_y"),
+                 F.when(hms, "1").when(mdy, p[1]).otherwise(p[2]).alias("_m"), F.when(hms, "1").when(dmy, p[1]).when(mdy, p[2]).otherwise(p[3]).alias("_d"),
+                 *[F.when(hms, p[i]).when(time, p[i + 3]).otherwise("0").alias(f"_t{i}") for i in (1, 2, 3)])
+    txt = _stamp(*[F.col(c) for c in ("_y", "_m", "_d", "_t1", "_t2", "_t3")])
+    return d.select("*", F.when(F.col("_parts").isNotNull(), txt).alias(out)).drop("_parts", "_y", "_m", "_d", "_t1", "_t2", "_t3")
 
 
 def load_typed_cells(cells: DataFrame, decisions: DataFrame, normalize: bool = False) -> DataFrame:
