@@ -92,3 +92,22 @@ def test_typed_cells_render_every_format(spark):
             ("2023-02-29", "%Y-%m-%d"): None, ("20240209", "%Y-%m-%d"): None, ("2024-02-09", None): None, (None, "%Y-%m-%d"): None}
     df = spark.createDataFrame(list(want), "v string, f string")
     assert {(r["v"], r["f"]): r["o"] for r in L.with_datetime_text(df, "v", "f", "o").collect()} == want
+
+
+def test_checksums_need_no_decimals_and_tell_copies(spark):
+    from typesift.sources import typed_tables as TT
+    schema = "table string, column string, int_value long, real_value double, text_value string"
+    one = spark.createDataFrame([("t", "c", 1, None, None), ("t", "c", None, None, None), ("t", "c", 2, None, None)], schema)
+    twice = spark.createDataFrame([("t", "c", 1, None, None), ("t", "c", None, None, None), ("t", "c", 1, None, None)], schema)
+    assert "decimal" not in TT.column_sums(one)._jdf.queryExecution().toString()
+    assert TT.readback(one, one).first()["same"] and not TT.readback(one, twice).first()["same"]
+    nulls = spark.createDataFrame([("t", "c", None, None, None)], schema)
+    assert TT.readback(nulls, nulls).first()["same"]
+
+
+def test_spread_extract_has_all_rows(spark):
+    from paths import SF_SMALL
+    from typesift.plans import fixtures as FX
+    plain, spread = FX.extract_orders(spark, SF_SMALL), FX.extract_orders(spark, SF_SMALL, spread=True)
+    assert spread.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(map(str, plain.collect())) == sorted(map(str, spread.collect()))

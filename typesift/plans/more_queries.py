@@ -278,7 +278,7 @@ def load_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = L.layouts(at.select(F.col("table").alias("file_name"), "pos", "column_name"),
                      at.join(dec, ["file_name", "column_name"]).select(F.col("table").alias("file_name"), "column_name", "load_type", "date_format"))
     plan = {r["file_name"]: r for r in plan.collect()}  # three layouts
-    f1, rows = FX.extract_orders(spark, sf_dir), None
+    f1, rows = FX.extract_orders(spark, sf_dir, spread=True), None
     for t, cols in columns.items():
         def strings(values):
             return F.array(*[F.lit(v).cast("string") for v in values])

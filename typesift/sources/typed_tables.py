@@ -217,9 +217,13 @@ def stored_cells(files: DataFrame, batch_rows: int = 4096) -> DataFrame:
 def column_sums(cells: DataFrame) -> DataFrame:
     """Per (table, column): rows, nulls and an order-free checksum of the values, in two lanes that copies don't cancel."""
     value = F.coalesce(F.col("int_value").cast("string"), F.col("real_value").cast("string"), F.col("text_value"))
-    some = value.isNotNull()
-    lane = [F.sum(F.when(some, F.xxhash64(value, F.lit(k))).cast("decimal(38,0)")).alias(f"sum{k}") for k in (1, 2)]
-    return cells.groupBy("table", "column").agg(F.count("*").alias("rows"), F.sum((~some).cast("long")).alias("nulls"), *lane)
+    hashed = cells.select("table", "column", value.alias("v")).select(
+        "table", "column", "v", *[F.when(F.col("v").isNotNull(), F.xxhash64("v", F.lit(k))).alias(f"h{k}") for k in (1, 2)])
+    # Each lane is three sums of 21 or 22 bits: a long holds those of 2^41 rows, and needs no decimals.
+    sums = [F.sum(part).alias(f"sum{k}{i}") for k in (1, 2) for i, part in enumerate(
+        (F.shiftrightunsigned(f"h{k}", 42), F.shiftrightunsigned(f"h{k}", 21).bitwiseAND(F.lit(0x1FFFFF)), F.col(f"h{k}").bitwiseAND(F.lit(0x1FFFFF))))]
+    found = hashed.groupBy("table", "column").agg(F.count("*").alias("rows"), F.sum(F.col("v").isNull().cast("long")).alias("nulls"), *sums)
+    return found.select("table", "column", "rows", "nulls", *[F.struct(*[f"sum{k}{i}" for i in range(3)]).alias(f"sum{k}") for k in (1, 2)])
 
 
 def readback(source: DataFrame, stored: DataFrame) -> DataFrame:
