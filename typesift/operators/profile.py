@@ -89,18 +89,6 @@ def _role(fmt: str) -> str:
     return {"Ymd": "ymd", "dmY": "dmy", "mdY": "mdy", "HMS": "hms"}[head]
 
 
-def _shape_bits(formats, bits) -> Column:
-    """Literal map: digit shape -> bits of the formats that shape can satisfy."""
-    acc: dict[str, int] = {}
-    for fmt in formats:
-        for shp in X.format_shapes(fmt):
-            acc[shp] = acc.get(shp, 0) | bits[fmt]
-    pairs = []
-    for k, b in sorted(acc.items()):
-        pairs += [F.lit(k), F.lit(b)]
-    return F.create_map(*pairs)
-
-
 _UNSIGNED, _EXPONENT = r"(?:[0-9]++(?:\.[0-9]*+)?+|\.[0-9]++)", r"(?:[eE][+-]?+[0-9]++)?+\s*+$"
 #: A stripped value that is a number, or one with a trailing minus.
 NUMBER_REGEX = rf"^(?:{_UNSIGNED}(?:-\z|{_EXPONENT})|[+-]{_UNSIGNED}{_EXPONENT})"
