@@ -284,3 +284,73 @@ def test_last_date_column_of_a_crlf_utf16_file_loads(spark, scratch):
     assert {r["column_name"]: r["Inferred_Type"] for r in a.analysis.collect()}["売上日"] == "DATETIME"
     J.load_folder(spark, folder, a.registry, out_dir=out)
     assert sorted(r["売上日"] for r in J.read_typed_table(spark, out, "d").collect()) == ["2024-01-01 00:00:00", "2024-01-02 00:00:00"]
+
+
+def cell_batches(rows, per):
+    """Batches as the writer takes them, of (table, layout, int_value, text_value)."""
+    import pyarrow as pa
+    for at in range(0, len(rows), per):
+        part = [list(c) for c in zip(*rows[at:at + per])]
+        yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.string()), pa.array(part[1], pa.string()), pa.nulls(len(part[0]), pa.int32()),
+                                          pa.array(part[2], pa.int64()), pa.nulls(len(part[0]), pa.float64()), pa.array(part[3], pa.string())],
+                                         names=["table", "layout", "pos", "int_value", "real_value", "text_value"])
+
+
+def manifest_lines(writer, batches):
+    import json
+    name = writer.write(batches).name
+    with open(f"{writer.root}/_commits/{writer.job}/{name}.json") as f:
+        return [json.loads(line) for line in f]
+
+
+def test_writer_holds_one_row_group_whatever_the_rows(scratch):
+    import json
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from typesift.sources import typed_tables as TT
+    width, n, held = 5, 240, []
+    layout = json.dumps([[f"a_long_name_of_a_column_{i}", "INTEGER" if i else "TEXT", None] for i in range(width)])
+    one = next(cell_batches([("t" if i % width == 0 else None, layout if i % width == 0 else None, i if i % width else None, None if i % width else f"text {i}")
+                             for i in range(10_000)], 10_000))  # each row tells its table and layout
+    sent = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sent, one.schema) as stream:
+        stream.write_batch(one)
+    sent = sent.getvalue()
+
+    def batches():
+        before = pa.total_allocated_bytes()
+        for _ in range(n):
+            held.append(pa.total_allocated_bytes() - before)
+            body = pa.allocate_buffer(sent.size)  # as from Spark, one block of memory a batch
+            np.frombuffer(body, np.uint8)[:] = np.frombuffer(sent, np.uint8)
+            yield pa.ipc.open_stream(body).read_next_batch()
+    lines = manifest_lines(TT._Writer({"path": scratch, "job": "j"}), batches())
+    assert sum(r["rows"] for r in lines) == n * 10_000 // width
+    assert max(held) < 64 << 20
+    tables = [pq.read_table(r["file"]) for r in lines]
+    assert len(tables) == 1 and pq.ParquetFile(lines[0]["file"]).metadata.num_row_groups > 1
+    assert tables[0].column(0).to_pylist() == [f"text {i}" for i in range(0, 10_000, width)] * n
+    assert tables[0].column(4).to_pylist() == list(range(4, 10_000, width)) * n
+
+
+def test_rows_cut_by_batches_and_row_groups_stay_whole(scratch, monkeypatch):
+    import json
+    import os
+    import pyarrow.parquet as pq
+    from typesift.sources import typed_tables as TT
+    monkeypatch.setattr(TT, "HELD_BYTES", 200)
+    monkeypatch.setattr(TT, "FILE_CELLS", 60)
+    layout = json.dumps([["n", "INTEGER", None], ["d", "DATETIME", "%Y-%m-%d"], ["s", "TEXT", None]])
+
+    def cells(table, n, bad=None):
+        return [c for k in range(n) for c in ((table, layout, k, None), (None, None, None, "never" if k == bad else "2024-01-02 03:04:05"), (None, None, None, f"é{k}"))]
+    rows = cells("a", 50) + cells("b", 18, bad=17) + cells("c", 1) + cells("a", 7)
+    lines = manifest_lines(TT._Writer({"path": scratch, "job": "j", "parity": "false"}), cell_batches(rows, 7))
+    found = {t: [k for r in lines if r["table"] == t and r["file"] for k in pq.read_table(r["file"]).to_pydict()["s"]] for t in "abc"}
+    assert found == {"a": [f"é{k}" for k in [*range(50), *range(7)]], "b": [], "c": ["é0"]}
+    assert sum(r["rows"] for r in lines if r["table"] == "a") == 57 and sum(r["rows"] for r in lines if r["table"] == "b") == 18
+    assert [bool(r["problem"]) for r in lines if r["table"] == "b"] == [True]
+    assert max(pq.ParquetFile(r["file"]).metadata.num_row_groups for r in lines if r["file"]) > 1
+    # A file of which a later row group fails is not left.
+    assert not os.listdir(os.path.join(scratch, "tables", "b"))

@@ -2,8 +2,9 @@
 
 Spark's own sinks write one schema a job.  ``TypedTables`` is a data source whose
 writer takes converted cells, in rows, of any tables: a task keeps the cells of one
-range of one file, cuts them into columns by their position, and writes a Parquet
-file with the table's own columns.  Each task leaves a fragment of the manifest; the
+range of one file, cuts them into columns by their position, and writes Parquet
+files with the table's own columns, by row groups of bounded size: that is all it
+holds, however many cells its range has.  Each task leaves a fragment of the manifest; the
 commit step names the fragments that count, so a table is the files that the commit
 names, whatever a lost or repeated task has left beside them.
 
@@ -34,8 +35,10 @@ from typesift.sources.ranges import located
 #: What the writer takes: the cells of whole rows, in order; table and layout at the first cell of a chunk, else null.
 CELL_SCHEMA = "table string, layout string, pos int, int_value long, real_value double, text_value string"
 FRAGMENT_SCHEMA = "table string, file string, rows long, problem string, fragment string"
-#: Cells of one table that a task holds before it writes them.
-HELD_CELLS = 4 << 20
+#: Cells of a file; a task begins another one beyond them.
+FILE_CELLS = 4 << 20
+#: Bytes of cells that a task holds before it writes them as a row group.
+HELD_BYTES = 32 << 20
 
 KINDS = {K.INTEGER: ("int_value", pa.int64()), K.REAL: ("real_value", pa.float64()), K.TEXT: ("text_value", pa.string()),
          K.DATETIME: ("text_value", pa.string())}
@@ -61,53 +64,92 @@ class Fragment(WriterCommitMessage):
     name: str | None
 
 
+def _turns(tables: pa.Array) -> list[int]:
+    """Where another table is told than the one before; most rows tell the same again."""
+    told = np.flatnonzero(tables.is_valid().to_numpy(zero_copy_only=False))
+    names = tables.take(pa.array(told)).dictionary_encode().indices.to_numpy()
+    return told[np.flatnonzero(np.diff(names, prepend=-1))].tolist()
+
+
+class _File:
+    """Files of one table, one after the other, each written by row groups: held is what one group takes, however many cells there are."""
+
+    def __init__(self, root: str, table: str, layout: list, parity: bool):
+        self.root, self.table, self.layout, self.parity = root, table, layout, parity
+        self.held: list[pa.RecordBatch] = []
+        self.cells = self.bytes = 0
+        self._begin()
+
+    def _begin(self) -> None:
+        self.rows, self.name, self.writer, self.problem = 0, None, None, None
+
+    def hold(self, batch: pa.RecordBatch) -> None:
+        # Copied, as a column or a slice of a batch keeps all of it in memory, with the layouts that its rows tell.
+        own = {c: pa.concat_arrays([batch.column(c)]) for c in ("int_value", "real_value", "text_value")}
+        self.held.append(pa.RecordBatch.from_pydict(own))
+        self.cells += batch.num_rows
+        self.bytes += self.held[-1].nbytes
+        if self.bytes > HELD_BYTES:
+            self._group()
+
+    def _group(self) -> None:
+        """Write the whole rows that are held as a row group; what is left of a row stays."""
+        n = self.cells - self.cells % len(self.layout)
+        if not n:
+            return
+        cells = pa.Table.from_batches(self.held)
+        self.held, self.cells, self.bytes = cells.slice(n).to_batches(), self.cells - n, 0
+        self.rows += n // len(self.layout)
+        if self.problem:
+            return
+        try:
+            found = as_table(self.layout, {c: cells.column(c).slice(0, n).combine_chunks() for c in cells.column_names}, self.parity)
+        except (pa.ArrowInvalid, pa.ArrowNotImplementedError, ValueError) as e:
+            self.problem = str(e).partition("\n")[0][:500]
+            return
+        if self.writer is None:  # an error of the store is the task's
+            import pyarrow.parquet as pq
+            self.name = f"{self.root}/tables/{self.table}/{uuid.uuid4().hex}.parquet"
+            fs, inner = located(self.name)
+            fs.create_dir(inner.rpartition("/")[0], recursive=True)
+            self.writer = pq.ParquetWriter(inner, found.schema, filesystem=fs)
+        self.writer.write_table(found)
+
+    def end(self) -> list[dict]:
+        """End the file with the whole rows that are held; its line of the manifest, if it has rows."""
+        self._group()
+        if self.writer:
+            self.writer.close()
+        if self.writer and self.problem:  # of a later group: the file does not count
+            fs, inner = located(self.name)
+            fs.delete_file(inner)
+        line = {"table": self.table, "file": None if self.problem else self.name, "rows": self.rows, "problem": self.problem}
+        lines = [line] if self.rows else []
+        self._begin()
+        return lines
+
+
 class _Writer(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str]):
         self.root, self.job, self.parity = options["path"].rstrip("/"), options["job"], options.get("parity", "true") == "true"
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Fragment:
-        told: dict[str, dict] = {}
-        held: list[pa.RecordBatch] = []
-        table, layout, rows = None, [], []
-
-        def store(whole: bool) -> None:
-            """Write the whole rows that are held; what is left of a row stays unless it is the table's last."""
-            nonlocal held
-            n = sum(b.num_rows for b in held)
-            if table is None or not n:
-                held = []
-                return
-            cells = pa.Table.from_batches(held).combine_chunks()
-            n -= n % len(layout)
-            held = [] if whole else cells.slice(n).to_batches()
-            cells = {c: cells.column(c).slice(0, n).combine_chunks() for c in ("int_value", "real_value", "text_value")}
-            line = {"table": table, "file": None, "rows": n // len(layout), "problem": None}
-            try:
-                found = as_table(layout, cells, self.parity)
-            except (pa.ArrowInvalid, pa.ArrowNotImplementedError, ValueError) as e:
-                line["problem"] = str(e).partition("\n")[0][:500]
-            else:  # an error of the store is the task's
-                line["file"] = f"{self.root}/tables/{table}/{uuid.uuid4().hex}.parquet"
-                fs, inner = located(line["file"])
-                fs.create_dir(inner.rpartition("/")[0], recursive=True)
-                import pyarrow.parquet as pq
-                pq.write_table(found, inner, filesystem=fs)
-            rows.append(line)
-
+        rows: list[dict] = []
+        file: _File | None = None
         for b in batches:
-            begins = np.flatnonzero(b.column("table").is_valid().to_numpy(zero_copy_only=False))
-            cuts = [0, *begins.tolist(), b.num_rows]
+            cuts = [0, *_turns(b.column("table")), b.num_rows]
             for lo, hi in zip(cuts, cuts[1:]):
                 if lo == hi:
                     continue
                 name = b.column("table")[lo].as_py()
-                if name is not None and name != table:
-                    store(True)
-                    table, layout = name, json.loads(b.column("layout")[lo].as_py())
-                held.append(b.slice(lo, hi - lo).select(["int_value", "real_value", "text_value"]))
-            if sum(x.num_rows for x in held) > HELD_CELLS:
-                store(False)
-        store(True)
+                if name is not None and (file is None or name != file.table):
+                    rows += file.end() if file else []
+                    file = _File(self.root, name, json.loads(b.column("layout")[lo].as_py()), self.parity)
+                if file:
+                    file.hold(b.slice(lo, hi - lo))
+            if file and file.rows * len(file.layout) + file.cells > FILE_CELLS:
+                rows += file.end()
+        rows += file.end() if file else []
         if not rows:
             return Fragment(None)
         name = uuid.uuid4().hex
